@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import simhash
+from paperloom.llm import packing, quality, simhash
 from paperloom.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -14,6 +14,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return found.select("doc_id", *[f"verdict.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed")])
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
+    "op9_packing": op9_packing,
 }
