@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import packing, quality, simhash
+from paperloom.llm import decontaminate, linededup, packing, quality, simhash
 from paperloom.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -19,12 +20,23 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"verdict.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed")])
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col(linededup.N_LINES).alias("n_lines"), F.col(linededup.N_DROPPED).alias("n_dropped"), "text")
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op6_decontamination": op6_decontamination,
     "op9_packing": op9_packing,
+    "op10_line_dedup": op10_line_dedup,
 }

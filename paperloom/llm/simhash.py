@@ -63,13 +63,13 @@ def text_fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, text_hash, fp): fp is the fingerprint's 64 bits as a signed long."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([text_fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), fp(F.col(text_col)).alias("fp"))
 
 
 @lru_cache(1)
@@ -226,12 +226,30 @@ def fingerprint_links(distinct: DataFrame, bits: int = 4, block: int = 50_000) -
     return dealt.repartition(*by).sortWithinPartitions("key").mapInPandas(_bucket_links(bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
-    """One row per document: (doc_id, fingerprint as 16 hex digits, component_id)."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
+    """One row per document: (doc_id, text_hash, fp, root, component_id); root names the component by a fingerprint of it."""
     fps = persisted(fingerprints(docs, id_col, text_col), "fingerprints")
     firsts = persisted(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     groups = components(fingerprint_links(firsts, bits), "a", "b", "fingerprint-links")
     member = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "first_id")
     roots = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = member.join(roots, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(label, fps["fp"] == label["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = member.join(roots, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    return fps.join(label, fps["fp"] == label["_fp"]).drop("_fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
+    """One row per document: (doc_id, fingerprint as 16 hex digits, component_id)."""
+    return grouped(docs, id_col, text_col, bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
+    """The document with the smallest id of each component (null ids last, then by text hash); same columns."""
+    rows = persisted(grouped(docs, id_col, text_col, bits).select("doc_id", "text_hash", "root"), "fingerprint-groups")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    twice = persisted(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "repeated-rows")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
+    kept = docs.join(first, same, "left_semi")
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
