@@ -16,7 +16,10 @@ ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +31,11 @@ from paperloom.llm.common import parts, persisted, spread_rank
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks kept in a task's cache of chunk -> ids; it starts anew when full.
-CACHE = 200_000
+_END = np.array([END_ID], "<u4").tobytes()
+#: Entries in a Python worker's cache of ids; a full one starts anew.
+CACHE = 700_000
+#: The type code of unsigned 32-bit numbers, which are little-endian on all machines Spark runs on but s390x.
+_U4 = next(c for c in "IL" if array(c).itemsize == 4)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -43,33 +49,63 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it prints, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 @lru_cache(2)
 def _encoder(vocab: str):
-    """text -> ids as a list. The pre-tokeniser never joins over white space, so chunks between ASCII spaces are encoded once each."""
+    """text -> ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
+
+    The pre-tokeniser never joins over white space, so chunks between white space are encoded once and
+    remembered, and so are the words inside them. Texts with characters whose lower case, composition
+    or class the two languages might see differently go through the tokenizer whole.
+    """
+    import regex
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_str(vocab)
-    known: dict[str, list[int]] = {}
-
-    def encode(text: str) -> list[int]:
-        out: list[int] = []
-        add = out.extend
-        for chunk in text.translate(_TO_SPACE).split(" "):
-            if chunk:
-                ids = known.get(chunk)
-                if ids is None:
-                    ids = model.encode(chunk, add_special_tokens=False).ids
-                    if len(known) >= CACHE:
-                        known.clear()
-                    if len(chunk) <= 64:
-                        known[chunk] = ids
-                add(ids)
-        return out
+    whole = Tokenizer.from_str(vocab)
+    words_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+    odd = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f]|<\\|").search
+    letters = _byte_letters()
 
-    return encode
+    class Spelled(dict):
+        def __missing__(self, c: int) -> str:
+            out = self[c] = "".join(letters[b] for b in chr(c).encode())
+            return out
+
+    spelled, tokenize = Spelled(), whole.model.tokenize
 
+    def word_ids(word: str) -> bytes:
+        return array(_U4, [t.id for t in tokenize(word.translate(spelled))]).tobytes()
 
-_TO_SPACE = {c: " " for c in range(9, 14)}
+    class Known(dict):
+        """Ids of words and of chunks."""
+
+        def __missing__(self, chunk: str) -> bytes:
+            if chunk.isalpha():
+                ids = word_ids(chunk)
+            elif chunk[-1] in ".,!" and chunk[:-1].isalpha():
+                ids = self[chunk[:-1]] + marks[chunk[-1]]
+            else:
+                ids = b"".join([self[w] if w.isalpha() else word_ids(w) for w in words_of(chunk)])
+            if len(self) >= CACHE:
+                self.clear()
+            if len(chunk) <= 64:
+                self[chunk] = ids
+            return ids
+
+    known, marks = Known(), {c: word_ids(c) for c in ".,!"}
+
+    def encode(text: str) -> bytes:
+        if odd(text) or not unicodedata.is_normalized("NFC", text):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(known.__getitem__, text.lower().split()))
+
+    return encode
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -81,9 +117,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                ids = encode(text or "")
-                ids.append(END_ID)
-                flat = np.array(ids, dtype="<u4")
+                flat = np.frombuffer(encode(text or "") + _END, "<u4")
                 for k, at in enumerate(range(0, len(flat), capacity)):
                     part = flat[at : at + capacity]
                     rows.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))

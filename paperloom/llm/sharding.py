@@ -82,7 +82,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     room = residual / cells
 
     def place_cell(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["bytes", "group"], ascending=[False, True])
+        # By hash, not by size: groups that only rows make equal must come mixed, or bytes end uneven.
+        frame = frame.sort_values("group")
         vectors = frame[list(MEASURES)].to_numpy(float)
         # Scaled to this cell's own sums, so that every cell fills all shards in step.
         want = room * (vectors.sum(axis=0) / np.maximum(room.sum(axis=0), 1e-9))
