@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontaminate, linededup, packing, quality, sharding, simhash
+from paperloom.llm import chat, decontaminate, linededup, packing, quality, secrets, sharding, simhash
 from paperloom.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -31,6 +31,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"verdict.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed")])
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found, _ = secrets.scan_versions(docs)
+    return secrets.findings(docs, found)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -49,6 +55,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op5_secret_scan": op5_secret_scan,
     "op6_decontamination": op6_decontamination,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
