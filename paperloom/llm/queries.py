@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontaminate, linededup, packing, quality, secrets, sharding, simhash
+from paperloom.llm import chat, decontaminate, htmltext, linededup, packing, quality, secrets, sharding, simhash, suffixes
 from paperloom.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -41,6 +41,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -57,6 +65,8 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_secret_scan": op5_secret_scan,
     "op6_decontamination": op6_decontamination,
+    "op7_html_text": op7_html_text,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }
