@@ -28,24 +28,30 @@ VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 N_LINES, N_DROPPED = "__n_lines", "__n_dropped"
 
 
-def line_shapes(text: Column) -> Column:
-    """The text's lines with variable tokens masked and white space made single."""
-    return F.transform(F.split(F.regexp_replace(F.regexp_replace(text, VARIABLE, "<*>"), r"[\x20\x09\x0B-\x0D]+", " "), "\n", -1), F.trim)
+#: Lines without any of these are their own shape.
+TO_MASK = r"[0-9\x09\x0B-\x0D]|\x20\x20|^\x20|\x20$"
+
+
+def line_shape(line: Column) -> Column:
+    """The line with variable tokens masked and white space made single."""
+    masked = F.trim(F.regexp_replace(F.regexp_replace(line, VARIABLE, "<*>"), r"[\x20\x09\x0B-\x0D]+", " "))
+    return F.when(line.rlike(TO_MASK), masked).otherwise(line)
 
 
 def n_tokens(shape: Column) -> Column:
     return F.when(shape == "", 0).otherwise(F.length(shape) - F.length(F.replace(shape, F.lit(" "), F.lit(""))) + 1)
 
 
-def template(shape: Column, depth: int) -> Column:
-    n = n_tokens(shape)
+def template(shape: Column, n: Column, depth: int) -> Column:
     return F.when((n > depth) & (n <= 2 * depth), F.concat(F.substring_index(shape, " ", depth), F.lit(" <*>"))).otherwise(shape)
 
 
 def template_lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
     """One row per line: (id, text_hash, line, n, template, context)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), line_shapes(F.col(text_col)).alias("shapes"))
-    rows = rows.select("id", "text_hash", F.transform("shapes", lambda s: F.struct(n_tokens(s).alias("n"), F.xxhash64(n_tokens(s), template(s, depth)).alias("t"))).alias("lines"))
+    shapes = F.transform(F.split(F.col(text_col), "\n", -1), line_shape)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.transform(shapes, lambda s: F.struct(s.alias("s"), n_tokens(s).alias("n"))).alias("shapes"))
+    lines = F.transform("shapes", lambda x: F.struct(x["n"].alias("n"), F.xxhash64(x["n"], template(x["s"], x["n"], depth)).alias("t")))
+    rows = rows.select("id", "text_hash", lines.alias("lines"))
     around = F.transform("lines", lambda x, i: F.struct(x["n"].alias("n"), x["t"].alias("t"), F.xxhash64(F.when(i > 0, F.get("lines", i - 1)["t"]), F.lit(0), F.get("lines", i + 1)["t"]).alias("context")))
     return rows.select("id", "text_hash", F.posexplode_outer(around).alias("line", "x")).where("line IS NOT NULL").select("id", "text_hash", "line", F.col("x.n").alias("n"), F.col("x.t").alias("template"), F.col("x.context").alias("context"))
 
@@ -60,7 +66,7 @@ def recurring_templates(lines: DataFrame, min_docs: int, independent: float) ->
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, independent: float = 0.5, min_tokens: int = 4, depth: int = 8) -> DataFrame:
     """``docs`` without the lines of recurring templates, and the columns ``__n_lines`` and ``__n_dropped``."""
-    lines = template_lines(docs, id_col, text_col, depth).where(F.col("n") >= min_tokens)
+    lines = persisted(template_lines(docs, id_col, text_col, depth).where(F.col("n") >= min_tokens).drop("n"), "template-lines")
     drop = persisted(recurring_templates(lines, min_docs, independent).select("template"), "recurring-templates")
     hits = lines.join(drop, "template").groupBy("id", "text_hash").agg(F.collect_set("line").alias("__drop"))
     hits = hits.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "__drop")
