@@ -8,7 +8,9 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> function of spark and the tables' folder) and ORACLE_SQL (name -> DuckDB SQL).
-MODULES: list[str] = []
+MODULES: list[str] = [
+    "paperloom.operators.retrieval",
+]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
