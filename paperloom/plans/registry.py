@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Modules with QUERIES (name -> function of spark and the tables' folder) and ORACLE_SQL (name -> DuckDB SQL).
 MODULES: list[str] = [
     "paperloom.operators.retrieval",
+    "paperloom.operators.usage",
 ]
 
 
