@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES: list[str] = [
     "paperloom.operators.retrieval",
     "paperloom.operators.usage",
+    "paperloom.operators.forms",
 ]
 
 
