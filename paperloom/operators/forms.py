@@ -28,17 +28,17 @@ def lookup(key: Column, table: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
 
 
-def first_entry(pairs: Sequence[tuple[str, str]], fits) -> Column:
-    """The value of the first (keyword, value) whose keyword fits."""
+def first_entry(pairs: Sequence[tuple[str, str]], x: Column, fits) -> Column:
+    """The value of the first (keyword, value) whose keyword fits x; x is bound once, not made again for every keyword."""
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in pairs])
-    return F.get(F.filter(table, lambda e: fits(e["k"])), F.lit(0))["v"]
+    return F.get(F.transform(F.array(x), lambda v: F.get(F.filter(table, lambda e: fits(v, e["k"])), F.lit(0))["v"]), F.lit(0))
 
 
 def instant_key(label: Column) -> Column:
     """Struct (profile_field, confidence): exact 0.95, else the first entry containing the label or contained in it 0.8, else null and 0."""
     x = F.lower(F.trim(label))
     exact = lookup(x, INSTANT_LABELS)
-    partial = first_entry(list(INSTANT_LABELS.items()), lambda k: x.contains(k) | k.contains(x))
+    partial = first_entry(list(INSTANT_LABELS.items()), x, lambda v, k: v.contains(k) | k.contains(v))
     return F.struct(F.coalesce(exact, partial).alias("profile_field"), F.when(exact.isNotNull(), 0.95).when(partial.isNotNull(), 0.8).otherwise(0.0).alias("confidence"))
 
 
@@ -50,7 +50,7 @@ def _folded_keyword(k: str) -> str:
 
 def ontology_key(label: Column) -> Column:
     x = folded_label(label)
-    return F.when(x != "", first_entry([(_folded_keyword(k), key) for key, _, words in ONTOLOGY for k in words], x.contains))
+    return F.when(x != "", first_entry([(_folded_keyword(k), key) for key, _, words in ONTOLOGY for k in words], x, lambda v, k: v.contains(k)))
 
 
 def ontology_kind(key: Column) -> Column:

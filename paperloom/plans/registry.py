@@ -12,6 +12,8 @@ MODULES: list[str] = [
     "paperloom.operators.retrieval",
     "paperloom.operators.usage",
     "paperloom.operators.forms",
+    "paperloom.operators.textops",
+    "paperloom.sources.files",
 ]
 
 
