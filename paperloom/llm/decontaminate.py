@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
 Texts become sequences of template tokens: numbers, units after numbers and capitalised names turn into
-typed placeholders, other words are lower-cased and lose their punctuation. Windows of 8 template
+typed placeholders, other words are lower-cased and lose their punctuation. Items are also taken in lower
+case, for documents that are in one case throughout. Windows of 8 template
 tokens are hashed (three doublings of the word hashes) and joined with those of the benchmark, if at
 least half of a window's tokens are words. Hits of a document and an item on one diagonal form a
 chain. A chain counts as a leak if it spans ``min_span`` tokens, or every window of a shorter item,
@@ -60,13 +61,19 @@ def with_windows(df: DataFrame, words: Column, out: str) -> DataFrame:
     return df
 
 
+def _both_cases(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item_id, template) of each item as it is and in lower case, as documents in one case only hold it. Tokens keep their places."""
+    texts = F.explode(F.array(F.col(text_col), F.lower(text_col)))
+    return benchmark.select(F.col(id_col).alias("item_id"), texts.alias("text")).select("item_id", template_of(slot_tokens(F.col("text"))).alias("template"))
+
+
 def _benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, item_id, item_pos, n_windows), of windows with enough words."""
-    items = benchmark.select(F.col(id_col).alias("item_id"), tokens(template_of(slot_tokens(F.col(text_col)))).alias("words"))
+    """(h, item_id, item_pos, n_windows), of windows with enough words; n_windows counts places."""
+    items = _both_cases(benchmark, id_col, text_col).select("item_id", tokens(F.col("template")).alias("words"))
     rows = with_windows(items, F.col("words"), "windows").select("item_id", "words", F.posexplode_outer("windows").alias("item_pos", "h")).where("h IS NOT NULL")
     literal = F.size(F.filter(F.slice("words", F.col("item_pos") + 1, WINDOW), lambda w: ~w.startswith(MARK)))
     rows = rows.where(2 * literal >= WINDOW).select("h", "item_id", "item_pos").distinct()
-    totals = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    totals = rows.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"))
     return rows.join(totals, "item_id")
 
 
@@ -92,10 +99,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     slots = F.filter(F.array_distinct(pairs), lambda p: p["a"].startswith(MARK))
     checked = both.withColumn("slots", slots)
     checked = checked.where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["a"]))))
-    same = F.forall("slots", lambda p: p["a"] == p["b"])
+    same = F.forall("slots", lambda p: F.regexp_replace(p["a"], f"^{MARK}.", "") == F.regexp_replace(p["b"], f"^{MARK}.", ""))
     found = checked.groupBy("doc_id", "text_hash", "item_id").agg(F.max("n_hit").alias("n_windows_hit"), F.max("span").alias("span"), F.bool_or(same).alias("same_slots"))
 
-    whole = benchmark.select(F.col(item_col).alias("item_id"), template_of(slot_tokens(F.col(item_text))).alias("template"))
+    whole = _both_cases(benchmark, item_col, item_text)
     whole = whole.where((F.col("template") != "") & (F.size(tokens(F.col("template"))) < WINDOW))
     n = F.size(tokens(F.col("template")))
     short = base.select("doc_id", "text_hash", template_of(slot_tokens(F.col("text"))).alias("template")).where(F.length("template") > 0).where(n < WINDOW)
