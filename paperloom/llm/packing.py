@@ -33,7 +33,7 @@ CAPACITY = 4096
 END_ID = 1
 _END = np.array([END_ID], "<u4").tobytes()
 #: Entries in a Python worker's cache of ids; a full one starts anew.
-CACHE = 700_000
+CACHE = 200_000
 #: The type code of unsigned 32-bit numbers, which are little-endian on all machines Spark runs on but s390x.
 _U4 = next(c for c in "IL" if array(c).itemsize == 4)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
