@@ -16,6 +16,8 @@ MODULES: list[str] = [
     "paperloom.operators.pages",
     "paperloom.operators.answers",
     "paperloom.sources.files",
+    "paperloom.sources.logs",
+    "paperloom.streaming.counters",
 ]
 
 
