@@ -95,7 +95,7 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (json_salvage, edit_repair, filled_field_parse, event_props)}
 _T = "trim(coalesce({}, ''))"
 ORACLE_SQL = {
-    "json_salvage": f"SELECT CAST(id AS BIGINT) AS id, list_filter([trim(answer), trim(regexp_extract(answer, '(?s)```(?:json)?\\s*(.*?)\s*```', 1)), regexp_extract(answer, '(?s)(\\{{.*\\}})', 1)], lambda x: x <> '' AND json_valid(x))[1] AS json FROM {values(ANSWERS, 'id, answer', 'a')}",
+    "json_salvage": f"SELECT CAST(id AS BIGINT) AS id, list_filter([trim(answer), trim(regexp_extract(answer, '(?s)```(?:json)?\\s*(.*?)\\s*```', 1)), regexp_extract(answer, '(?s)(\\{{.*\\}})', 1)], lambda x: x <> '' AND json_valid(x))[1] AS json FROM {values(ANSWERS, 'id, answer', 'a')}",
     "edit_repair": f"""WITH l AS (SELECT id, CASE WHEN json_valid(answer) THEN coalesce(json_extract(answer, '$.edits'), json_extract(answer, '$.suggestions'), CAST(answer AS JSON)) END AS j FROM {values(EDITS, 'id, answer', 'a')}), e AS (SELECT id, k, json_extract(j, '$[' || k || ']') AS x FROM (SELECT id, j, unnest(range(0, CAST(json_array_length(j) AS BIGINT))) AS k FROM l)),
  f AS (SELECT id, k, trim(coalesce(x->>'original', x->>'from', '')) AS original, trim(coalesce(x->>'suggestion', x->>'to', x->>'replacement', '')) AS suggestion, left(trim(coalesce(x->>'reason', '')), 200) AS reason, lower(trim(coalesce(x->>'category', ''))) AS c FROM e)
  SELECT CAST(id AS BIGINT) AS id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS place, original, suggestion, reason, CASE WHEN c IN {CATEGORIES} THEN c ELSE 'other' END AS category FROM f WHERE original <> '' AND suggestion <> '' AND original <> suggestion""",
