@@ -24,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import persisted
+from paperloom.llm.common import WORD, persisted
 
 PREFIX = 8
+PLACE = ["start_word", "start_char", "end_char"]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -44,7 +45,7 @@ class _Hashes(dict):
     """Word -> hash, starting anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -97,24 +98,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per passage: (doc_id, start_word, end_word, start_char, end_char), ends exclusive, in code points."""
     if length < PREFIX:
         raise ValueError(f"a passage has {PREFIX} words at least")
-    key = F.md5(F.encode(F.col(text_col), "UTF-8"))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.unhex(key).alias("key"), F.col(text_col).alias("text"))
-    ids = persisted(rows.select("doc_id", "key"), "text-keys")
-    copies = ids.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    copies = persisted(copies, "text-copies")
-    own = copies.select(F.col("key").alias("own_key"), "first_id", "copies")
-    # One row of each text: the one with the smallest id; a repeated row only adds to counts of its own key.
-    same = (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    texts = rows.join(own.select("own_key", "first_id"), same, "left_semi").select("key", "text")
-
-    def prefixes(frames):
-        for frame in frames:
-            for key, text in zip(frame["key"], frame["text"]):
-                found = minimisers(word_hashes(text), length)[1]
-                if len(found):
-                    yield pd.DataFrame({"key": key, "prefix": found.view(np.int64)})
-
-    def batched(function, columns):
+    text = F.col(text_col)
+    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("key"), text.alias("text"))
+    white = F.lit(" \t\n\x0b\x0c\r")
+    ends = [F.length(F.ltrim("text", white)), F.length(F.rtrim("text", white)), F.length("text")]
+    ids = rows.select("doc_id", "key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), (ends[2] - ends[0]).cast("long").alias("lead"), ends[1].cast("long").alias("tail"))
+    ids = persisted(ids.where(F.col("n_words") >= length), "text-keys")
+    copies = persisted(ids.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "text-copies")
+    several = F.min(F.xxhash64("key")) != F.max(F.xxhash64("key"))
+
+    def batched(function):
         """Joins a generator's small frames into fewer large ones."""
 
         def run(frames):
@@ -123,16 +116,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 held.append(out)
                 n += len(out)
                 if n >= 50_000:
-                    yield pd.concat(held, ignore_index=True)[columns]
+                    yield pd.concat(held, ignore_index=True)
                     held, n = [], 0
             if held:
-                yield pd.concat(held, ignore_index=True)[columns]
+                yield pd.concat(held, ignore_index=True)
 
         return run
 
-    selected = persisted(texts.mapInPandas(batched(prefixes, ["key", "prefix"]), "key binary, prefix long"), "sparse-suffixes")
-    common = selected.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix")
+    def prefixes(frames):
+        for frame in frames:
+            for key, text in zip(frame["key"], frame["text"]):
+                found = minimisers(word_hashes(text), length)[1]
+                if len(found):
+                    yield pd.DataFrame({"key": key, "prefix": found.view(np.int64)})
+
+    selected = persisted(rows.select("key", "text").mapInPandas(batched(prefixes), "key binary, prefix long"), "sparse-suffixes")
+    # Written, so that the join deals both sides itself and Spark can split a prefix that very many texts hold.
+    common = persisted(selected.groupBy("prefix").agg(several.alias("several")).where("several").select("prefix"), "common-prefixes")
     kept = selected.join(common, "prefix").groupBy("key").agg(F.collect_set("prefix").alias("prefixes"))
+    # One row of each text is extended: the one with the smallest id. The id deals too, so copies go to many tasks.
+    wanted = kept.join(copies, "key").select(F.col("key").alias("own_key"), "first_id", "prefixes")
+    suspects = rows.join(wanted, (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("key", "text", "prefixes")
 
     def stretches(frames):
         for frame in frames:
@@ -142,31 +146,35 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 at = np.flatnonzero(np.isin(low, np.asarray(prefixes_, np.int64).view(np.uint64)))
                 if not len(at):
                     continue
-                found = runs(h, length)[at]
-                first = np.zeros(len(at), np.int64)
-                first[np.unique(found, return_index=True)[1]] = 1
                 raw = np.frombuffer(text.encode(), np.uint8)
                 chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
                 inside = np.concatenate(([False], ~_SPACE[raw], [False]))
                 starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
-                yield pd.DataFrame({"key": key, "stretch": found.view(np.int64), "first": first, "start_word": at, "start_char": chars[starts[at]], "end_char": chars[ends[at + length - 1]]})
-
-    columns = ["key", "stretch", "first", "start_word", "start_char", "end_char"]
-    suspects = rows.join(own.select("own_key", "first_id"), same, "left_semi").select("key", "text").join(kept, "key")
-    extended = persisted(suspects.mapInPandas(batched(stretches, columns), "key binary, stretch long, first long, start_word long, start_char long, end_char long"), "stretches")
-    repeated = extended.groupBy("stretch").agg(F.sum("first").alias("n")).where("n > 1").select("stretch")
-    hits = extended.join(repeated, "stretch").select("key", "start_word", (F.col("start_word") + length).alias("end_word"), "start_char", "end_char").distinct()
+                out = pd.DataFrame({"key": key, "stretch": runs(h, length)[at].view(np.int64), "start_word": at, "start_char": chars[starts[at]], "end_char": chars[ends[at + length - 1]]})
+                # A stretch that the text holds again and again is one row: its first place, and the others in an array.
+                again = out["stretch"].duplicated()
+                if again.any():
+                    more = {k: x[PLACE].to_dict("records") for k, x in out[again].groupby("stretch")}
+                    out = out[~again]
+                    out = out.assign(more=[more.get(k) for k in out["stretch"]])
+                else:
+                    out["more"] = None
+                yield out
+
+    place = "start_word:int,start_char:int,end_char:int"
+    extended = persisted(suspects.mapInPandas(batched(stretches), f"key binary, stretch long, start_word int, start_char int, end_char int, more array<struct<{place}>>"), "stretches")
+    repeated = persisted(extended.groupBy("stretch").agg(several.alias("several")).where("several").select("stretch"), "repeated-stretches")
+    hits = extended.join(repeated, "stretch").join(copies.where("copies = 1").select("key"), "key", "left_semi")
+    hits = hits.select("key", F.explode(F.concat(F.array(F.struct(*PLACE)), F.coalesce("more", F.array().cast(f"array<struct<{place}>>")))).alias("p")).select("key", "p.*")
+    hits = hits.withColumn("end_word", F.col("start_word") + length)
     # Passages: stretches that touch or overlap.
     order = Window.partitionBy("key").orderBy("start_word")
     island = hits.withColumn("new", (F.col("start_word") > F.coalesce(F.lag("end_word").over(order), F.lit(-1))).cast("int"))
     island = island.withColumn("island", F.sum("new").over(order))
-    passages = island.groupBy("key", "island").agg(*[f(c).alias(c) for c, f in (("start_word", F.min), ("end_word", F.max), ("start_char", F.min), ("end_char", F.max))]).drop("island")
+    bounds = [f(c).cast("long").alias(c) for c, f in (("start_word", F.min), ("end_word", F.max), ("start_char", F.min), ("end_char", F.max))]
+    passages = island.groupBy("key", "island").agg(*bounds).drop("island")
     out = ["doc_id", "start_word", "end_word", "start_char", "end_char"]
-    in_parts = ids.join(copies.where("copies = 1").select("key"), "key").join(passages, "key").select(*out)
-
-    n_words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    lead = F.length(F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)).cast("long")
-    tail = F.length(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+$", "")).cast("long")
-    whole = rows.join(own.where("copies > 1").select("own_key"), F.col("key") == F.col("own_key"), "left_semi")
-    whole = whole.select("doc_id", F.lit(0).cast("long").alias("start_word"), n_words.alias("end_word"), lead.alias("start_char"), tail.alias("end_char")).where(F.col("end_word") >= length)
+    in_parts = ids.join(passages, "key").select(*out)
+    whole = ids.join(copies.where("copies > 1").select("key"), "key", "left_semi")
+    whole = whole.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), F.col("lead").alias("start_char"), F.col("tail").alias("end_char"))
     return in_parts.unionByName(whole)
