@@ -15,6 +15,7 @@ MODULES: list[str] = [
     "paperloom.operators.textops",
     "paperloom.operators.pages",
     "paperloom.operators.answers",
+    "paperloom.operators.compare",
     "paperloom.sources.files",
     "paperloom.sources.logs",
     "paperloom.streaming.counters",
