@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.literals import frame, values
 from paperloom.functions.text import human_size, safe_file_name
 from paperloom.operators.forms import ontology_key
+from paperloom.sources.tables import read, spread
 
 #: Kinds of loose values and what they look like.
 ENTITIES = {
@@ -114,7 +115,7 @@ def summary_chunks_of(docs: DataFrame, size: int = 3000) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +218,6 @@ ORACLE_SQL = {
     "redact_report": " UNION ALL ".join(f"SELECT '{n}' AS needle, CAST(sum({_count(n.lower())}) AS BIGINT) AS occurrences, count(*) FILTER ({_count(n.lower())} > 0) AS documents FROM documents" for n in NEEDLES),
     "scan_route": "SELECT doc_id, NOT bool_or(length(trim(l)) > 50) AS scanned FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id",
     "summary_plan": "SELECT doc_id, length(text) > 12000 AS map_reduce, CASE WHEN length(text) > 12000 THEN CAST(ceil(length(text) / 3000) AS BIGINT) ELSE 1 END AS nominal_chunks FROM documents",
-    "file_names": "SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_replace(string_split(url, '/')[-1], '[^A-Za-z0-9._\\- ]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 120), ''), 'document') AS name, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) ELSE printf('%.1f MB', n / 1048576) END AS size FROM (SELECT *, length(html) * 37 AS n FROM pages)",
+    "file_names": "SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_replace(string_split(url, '/')[-1], '[^A-Za-z0-9._\\- ]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 120), ''), 'document') AS name, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024, 1)) ELSE printf('%.1f MB', round(n / 1048576, 1)) END AS size FROM (SELECT *, length(html) * 37 AS n FROM pages)",
     "question_lines": "SELECT doc_id, CAST(len(q) AS BIGINT) AS n, md5(array_to_string(q, chr(10))) AS md5 FROM (SELECT doc_id, (list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x), '^[0-9.\\-) ]+', '')), lambda x: x <> ''))[1:3] AS q FROM documents)",
 }
