@@ -237,10 +237,8 @@ def audit_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 50 entries of each user's log (a fold in SQL recurses once per entry)."""
-    log = audit_source(spark, sf_dir).withColumn("team", F.col("actor"))
-    first = log.withColumn("r", F.row_number().over(Window.partitionBy("team").orderBy("ts", "id"))).where("r <= 50")
-    return audit_chain_rows(first)
+    """A log per user."""
+    return audit_chain_rows(audit_source(spark, sf_dir).withColumn("team", F.col("actor")))
 
 
 def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +314,7 @@ def chat_history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     kept = _t(spark, sf_dir, "conversations").withColumn("r", newest).where("r <= 4")
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return kept.select("conv_id", place.cast("long").alias("place"), "role", F.substring("text", 1, 200).alias("text"))
+    return kept.select("conv_id", place.cast("long").alias("place"), "role", "text")
 
 
 # Documents, library, dashboard
@@ -383,7 +381,7 @@ LIBRARY_QUERIES = {
 
 def _library_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return library(library_source(spark, sf_dir), **LIBRARY_QUERIES[name]).select("doc_id", "name", "pinned").limit(50)
+        return library(library_source(spark, sf_dir), **LIBRARY_QUERIES[name]).select("doc_id", "name", "pinned")
 
     run.__name__ = name
     return run
@@ -430,7 +428,7 @@ _LIB = """i AS (SELECT doc_id, 'Doc ' || doc_id || '.pdf' AS name, source AS fol
 
 
 def _lib(where: str, key: str) -> str:
-    return f"WITH {_LIB} SELECT doc_id, name, pinned FROM i WHERE {where} ORDER BY pinned DESC, {key}, name LIMIT 50"
+    return f"WITH {_LIB} SELECT doc_id, name, pinned FROM i WHERE {where} ORDER BY pinned DESC, {key}, name"
 
 
 ORACLE_SQL = {
@@ -444,7 +442,7 @@ ORACLE_SQL = {
     "quota_team_pool": f"WITH {_CALLS}, n AS (SELECT CAST(identity AS BIGINT) % 5 AS team, row_number() OVER (PARTITION BY CAST(identity AS BIGINT) % 5, day ORDER BY ts, id) AS nth FROM c) SELECT 'team:' || team AS identity, count(*) FILTER (nth <= least((team + 1) * 40, {TEAM_LIMIT_MAX})) AS allowed, count(*) FILTER (nth > least((team + 1) * 40, {TEAM_LIMIT_MAX})) AS refused FROM n GROUP BY team",
     "sync_latest": f"WITH {_SYNC} SELECT owner, file, version, device, updated_at, size FROM l WHERE NOT deleted",
     "sync_status": f"WITH {_SYNC} SELECT owner, count(*) AS files, round(sum(size), 4) AS total_size FROM l WHERE NOT deleted GROUP BY owner",
-    "audit_chain": f"WITH RECURSIVE r AS (SELECT user_id AS team, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, event_type || '|' || 'doc=|' || (event_id % 11) || '|' || props || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S') AS payload FROM events), c AS (SELECT team, id, r, '{ZEROS}' AS prev_hash, sha256('{ZEROS}|' || payload) AS hash FROM r WHERE r = 1 UNION ALL SELECT r.team, r.id, r.r, c.hash, sha256(c.hash || '|' || payload) FROM c JOIN r ON r.team = c.team AND r.r = c.r + 1 WHERE r.r <= 50) SELECT team, id, prev_hash, hash FROM c",
+    "audit_chain": f"WITH RECURSIVE r AS (SELECT user_id AS team, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, event_type || '|' || 'doc=|' || (event_id % 11) || '|' || props || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S') AS payload FROM events), c AS (SELECT team, id, r, '{ZEROS}' AS prev_hash, sha256('{ZEROS}|' || payload) AS hash FROM r WHERE r = 1 UNION ALL SELECT r.team, r.id, r.r, c.hash, sha256(c.hash || '|' || payload) FROM c JOIN r ON r.team = c.team AND r.r = c.r + 1) SELECT team, id, prev_hash, hash FROM c",
     "audit_verify": f"WITH {_AUDIT}, h AS (SELECT *, sha256(id || '|' || action) AS hash FROM a), p AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY team ORDER BY ts, id), '{ZEROS}') AS expected FROM h) SELECT team, count(*) AS tampered, min(id) AS first_id FROM p WHERE CASE WHEN id % 10 = 9 THEN 'bad' ELSE expected END <> expected GROUP BY team",
     "audit_cef": f"WITH {_AUDIT} SELECT id, 'CEF:0|AI-PDF|Teams|1.0|' || {_ESC.format('action')} || '|' || {_ESC.format('action')} || '|5|src=' || actor || ' dst=' || team || ' act=' || {_ESC.format('action')} || ' target=' || {_ESC.format('target')} || ' msg=' || {_ESC.format('detail')} AS line FROM a",
     "collab_retention": f"WITH {_AUDIT}, r AS (SELECT *, id % 2 AS file FROM a QUALIFY row_number() OVER (PARTITION BY team, id % 2 ORDER BY ts DESC, id DESC) <= 1000) SELECT team, file, count(*) AS kept, min(id) AS oldest_id FROM r GROUP BY ALL",
@@ -452,7 +450,7 @@ ORACLE_SQL = {
     "collab_log": f"WITH {_AUDIT}, k AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY team ORDER BY ts DESC, id DESC) <= 20) SELECT team, id, row_number() OVER (PARTITION BY team ORDER BY ts, id) AS place FROM k",
     "dlq": "WITH t AS (SELECT event_id AS attempt_id, ts, user_id * 3 AS hook_id, event_type, 500 + event_id % 4 AS status, CASE WHEN event_id % 2 = 0 THEN 'timeout' ELSE '' END AS error FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100), h AS (SELECT s_suppkey AS hook_id, 'https://example.com/' || s_name AS url, s_suppkey % 3 <> 0 AS active FROM supplier), f AS (SELECT hook_id, url, active, left('delivery_failed: ' || event_type || ' status=' || status || ' error=' || error, 500) AS reason, attempt_id FROM t JOIN h USING (hook_id)) SELECT * FROM f UNION ALL SELECT hook_id, url, active, 'inactive_or_delivery_failed', NULL FROM (SELECT * FROM h WHERE NOT active ORDER BY hook_id DESC LIMIT 20) WHERE hook_id NOT IN (SELECT hook_id FROM f)",
     "chat_sessions": "SELECT conv_id, count(turn) AS n_messages, coalesce(max(turn), 0) + 1 AS next_seq FROM (SELECT conv_id, turn FROM conversations UNION ALL SELECT -1, NULL) GROUP BY conv_id",
-    "chat_history_window": "WITH k AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role, left(text, 200) AS text FROM k",
+    "chat_history_window": "WITH k AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role, text FROM k",
     "doc_page": "SELECT doc_id, source, n_chars, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY doc_id DESC LIMIT 20 OFFSET 40",
     "doc_with_fields": "SELECT doc_id, source, CASE WHEN quality IS NULL THEN '' ELSE 'quality=' || quality || ';toxic=' || toxic END AS fields FROM documents LEFT JOIN labels USING (doc_id)",
     "dashboard_counts": "SELECT * FROM (SELECT count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT user_id) AS users FROM events), (SELECT count(*) AS documents, count(*) FILTER (n_chars > 12000) AS long_documents FROM documents), (SELECT count(DISTINCT conv_id) AS sessions, count(*) AS messages FROM conversations)",
