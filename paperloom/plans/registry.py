@@ -16,6 +16,7 @@ MODULES: list[str] = [
     "paperloom.operators.pages",
     "paperloom.operators.answers",
     "paperloom.operators.compare",
+    "paperloom.operators.records",
     "paperloom.sources.files",
     "paperloom.sources.logs",
     "paperloom.streaming.counters",
