@@ -8,7 +8,24 @@ from pyspark.sql import functions as F
 from paperloom.llm import chat, decontaminate, htmltext, linededup, packing, quality, secrets, sharding, simhash, suffixes
 from paperloom.llm.common import small_batches, table
 
-ORACLE_SQL: dict[str, str] = {}
+_W = r"[^\x20\x09-\x0D]+"
+_LINE_FAILS = rf"""(len(w) < 5 AND NOT regexp_matches(line, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*$'))
+ OR len(list_filter(w, lambda x: x IN ('|', '||', '/', '//', '>', '>>', '»', '›', '•', '·', '::'))) > 0.2 * len(w)
+ OR len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]{{2,}}|!{{2,}}'))) > 0.3 * len(w)
+ OR (len(w) <= 20 AND regexp_matches(line, '(?i){quality.BOILERPLATE.pattern}'))"""
+#: Only where SQL can state the result in reasonable time; tests hold the others against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
+ five AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+ often AS (SELECT doc_id, i FROM five QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+ rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM often, range(0, 5) AS r(j) GROUP BY doc_id),
+ lines AS (SELECT doc_id, k, l[k] AS line, regexp_extract_all(l[k], '{_W}') AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d))),
+ judged AS (SELECT doc_id, len(w) > 0 AND row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS dup, len(w) > 0 AND ({_LINE_FAILS}) AS fails, length(array_to_string(w, '')) AS chars FROM lines),
+ by_doc AS (SELECT doc_id, count(*) FILTER (dup) AS n_dup_lines, count(*) FILTER (fails) AS n_lines_removed, coalesce(sum(chars) FILTER (NOT fails), 0) AS left_chars FROM judged GROUP BY doc_id),
+ base AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines, coalesce(n, 0) AS n_repeat_words, n_lines_removed, left_chars FROM d JOIN by_doc USING (doc_id) LEFT JOIN rep USING (doc_id)),
+ failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND left_chars >= 0.5 * word_chars AS kept, n_lines_removed FROM failed""",
+}
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
