@@ -6,7 +6,7 @@ tokens generalise what follows to one wildcard, so that at least half of a templ
 longer lines keep their other tokens.
 
 A template recurs if it stands in ``min_docs`` documents or more, each with its own pair of
-neighbouring lines, and if those make up ``independent`` of all documents that hold it. The lines of
+neighbouring lines (around the template's first line there), and if those make up ``independent`` of all documents that hold it. The lines of
 one document's copies keep their neighbours, so copies do not make a template: near-duplicate search
 deals with them. Lines of recurring templates are dropped from all documents. Lines of fewer than
 ``min_tokens`` tokens are too short to tell and stay.
@@ -58,7 +58,7 @@ def template_lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> D
 
 def recurring_templates(lines: DataFrame, min_docs: int, independent: float) -> DataFrame:
     """(template, n_docs, n_contexts) of the templates to drop."""
-    of_docs = lines.groupBy("template", "id", "text_hash").agg(F.min("context").alias("context"))
+    of_docs = lines.groupBy("template", "id", "text_hash").agg(F.min_by("context", "line").alias("context"))
     of_contexts = of_docs.groupBy("template", "context").agg(F.count(F.lit(1)).alias("docs"))
     counts = of_contexts.groupBy("template").agg(F.sum("docs").alias("n_docs"), F.count(F.lit(1)).alias("n_contexts"))
     return counts.where((F.col("n_contexts") >= min_docs) & (F.col("n_contexts") >= independent * F.col("n_docs")))

@@ -25,6 +25,14 @@ ORACLE_SQL: dict[str, str] = {
  base AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines, coalesce(n, 0) AS n_repeat_words, n_lines_removed, left_chars FROM d JOIN by_doc USING (doc_id) LEFT JOIN rep USING (doc_id)),
  failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
  SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND left_chars >= 0.5 * word_chars AS kept, n_lines_removed FROM failed""",
+    "op10_line_dedup": rf"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+ lines AS (SELECT doc_id, k, l[k] AS line, list_transform(regexp_extract_all(l[k], '{_W}'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM d)),
+ named AS (SELECT doc_id, k, line, len(w) AS n, len(w) || ':' || CASE WHEN len(w) > 8 AND len(w) <= 16 THEN array_to_string(w[1:8], ' ') || ' <*>' ELSE array_to_string(w, ' ') END AS t FROM lines),
+ placed AS (SELECT *, struct_pack(a := lag(t) OVER o, b := lead(t) OVER o) AS context FROM named WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+ of_docs AS (SELECT t, doc_id, arg_min(context, k) AS context FROM placed WHERE n >= 4 GROUP BY ALL),
+ often AS (SELECT t FROM of_docs GROUP BY t HAVING count(DISTINCT context) >= 5 AND count(DISTINCT context) >= 0.5 * count(*)),
+ marked AS (SELECT doc_id, k, line, n >= 4 AND t IN (SELECT t FROM often) AS gone FROM placed)
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id""",
 }
 
 
