@@ -13,6 +13,21 @@ _LINE_FAILS = rf"""(len(w) < 5 AND NOT regexp_matches(line, '[.!?…。！？:;]
  OR len(list_filter(w, lambda x: x IN ('|', '||', '/', '//', '>', '>>', '»', '›', '•', '·', '::'))) > 0.2 * len(w)
  OR len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]{{2,}}|!{{2,}}'))) > 0.3 * len(w)
  OR (len(w) <= 20 AND regexp_matches(line, '(?i){quality.BOILERPLATE.pattern}'))"""
+
+
+def _secret_sql() -> str:
+    """Matches and the pieces between them, summed up to give each match's place."""
+    quoted = {k: p.replace("'", "''") for k, p in secrets.PATTERNS.items()}
+    kinds = " UNION ALL ".join(f"SELECT doc_id, {r} AS r, '{k}' AS kind, string_split_regex(text, '{p}') AS g, regexp_extract_all(text, '{p}') AS m FROM documents WHERE regexp_matches(text, '{p}')" for r, (k, p) in enumerate(quoted.items()))
+    value = secrets._VALUE.replace("'", "''")
+    base = "f.r < 3"
+    text = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, f.r)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)
+    return rf"""WITH k AS ({kinds}), u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k),
+ f AS (SELECT doc_id, r, kind, a, a + length(m[i]) AS b FROM (SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM u) WHERE kind <> 'assign' OR length(regexp_extract(m[i], '{value}', 1)) >= {secrets.MIN_VALUE})
+ SELECT doc_id, {counts}, sha256(coalesce({text} FILTER ({base}), '')) AS base_sha256, coalesce({text}, '') AS spans FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id"""
+
+
 #: Only where SQL can state the result in reasonable time; tests hold the others against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_quality": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
@@ -33,6 +48,7 @@ ORACLE_SQL: dict[str, str] = {
  often AS (SELECT t FROM of_docs GROUP BY t HAVING count(DISTINCT context) >= 5 AND count(DISTINCT context) >= 0.5 * count(*)),
  marked AS (SELECT doc_id, k, line, n >= 4 AND t IN (SELECT t FROM often) AS gone FROM placed)
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id""",
+    "op5_secret_scan": _secret_sql(),
 }
 
 
