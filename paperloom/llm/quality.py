@@ -103,21 +103,22 @@ def judge(text: str | None, rules: Rules = RULES, with_text: bool = True) -> tup
     failed = len(words) < rules.min_words or 100 * repeated > rules.repeat_percent * len(words)
     left = chars if not removed else sum(map(_word_chars, good))
     kept = not failed and left >= rules.keep_share * chars
-    return len(words), chars, symbols, dup, repeated, failed, kept, removed, "\n".join(good) if with_text else None
+    return len(words), chars, symbols, dup, repeated, failed, kept, removed, "\n".join(good) if with_text and removed else None
 
 
 def judged(docs: DataFrame, text_col: str = "text", out: str = "verdict", rules: Rules = RULES, with_text: bool = True) -> DataFrame:
-    """``docs`` with the struct ``out``: the counts, the verdict and, ``with_text``, the cleaned text."""
+    """``docs`` with the struct ``out``: the counts, the verdict and, ``with_text``, the cleaned text where lines were removed."""
     names = [x.split()[0] for x in VERDICT.split(", ")]
 
     @F.pandas_udf(VERDICT)
     def verdict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([judge(x, rules, with_text) for x in texts], columns=names)
 
-    return docs.withColumn(out, verdict(F.col(text_col)))
+    # Called nondeterministic so that a filter on the verdict is not moved below it, which would judge each text twice.
+    return docs.withColumn(out, verdict.asNondeterministic()(F.col(text_col)))
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text", rules: Rules = RULES) -> DataFrame:
     """The documents kept, with their bad lines removed; same columns."""
     out = "__quality_verdict"
-    return judged(docs, text_col, out, rules).where(F.col(f"{out}.kept")).withColumn(text_col, F.col(f"{out}.cleaned")).drop(out)
+    return judged(docs, text_col, out, rules).where(F.col(f"{out}.kept")).withColumn(text_col, F.coalesce(f"{out}.cleaned", text_col)).drop(out)
