@@ -85,30 +85,31 @@ def replaced(text: Column, needle: str, by: str) -> Column:
     return F.replace(text, F.lit(needle), F.lit(by))
 
 
-def summary_chunks_of(docs: DataFrame, size: int = 3000) -> DataFrame:
-    """(doc_id, chunk, start, text): cut after the last sentence, line or word end in a chunk's second half.
+#: Ends to cut after, the best first.
+CUTS = (". ", ".\n", "\n\n", "\n", " ")
+
+
+def chunk_end(text: str, at: int, size: int) -> int:
+    """Where the chunk that starts at ``at`` ends: after the last best cut in its second half, else after ``size`` characters."""
+    middle, end = at + size // 2, at + size
+    if end >= len(text):
+        return len(text)
+    second_half = text[middle:end]
+    return next((middle + second_half.rindex(cut) + len(cut) for cut in CUTS if cut in second_half), end)
 
-    Each cut depends on the one before it, so a text's chunks come from one pass over that text.
-    """
+
+def summary_chunks_of(docs: DataFrame, size: int = 3000) -> DataFrame:
+    """(doc_id, chunk, start, text); each cut depends on the one before it, so a text's chunks come from one pass over that text."""
     import pandas as pd
 
     def run(frames):
         for f in frames:
             rows = []
-            for doc_id, text in zip(f["doc_id"], f["text"]):
-                text, at, n = text or "", 0, 0
-                while True:
-                    end = min(at + size, len(text))
-                    if end < len(text):
-                        for sep in (". ", ".\n", "\n\n", "\n", " "):
-                            cut = text.rfind(sep, at + size // 2, end)
-                            if cut > at:
-                                end = cut + len(sep)
-                                break
-                    rows.append((doc_id, n, at, text[at:end]))
-                    at, n = end, n + 1
-                    if at >= len(text):
-                        break
+            for doc_id, text in zip(f["doc_id"], f["text"].fillna("")):
+                starts = [0]
+                while (end := chunk_end(text, starts[-1], size)) < len(text):
+                    starts.append(end)
+                rows += [(doc_id, n, a, text[a:b]) for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(text)]))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start", "text"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk long, start long, text string")

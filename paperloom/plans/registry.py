@@ -17,6 +17,7 @@ MODULES: list[str] = [
     "paperloom.operators.answers",
     "paperloom.operators.compare",
     "paperloom.operators.records",
+    "paperloom.operators.layout",
     "paperloom.sources.files",
     "paperloom.sources.logs",
     "paperloom.streaming.counters",
