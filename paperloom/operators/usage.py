@@ -143,24 +143,28 @@ def quota_team_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limited(calls: DataFrame, max_requests: int, window_seconds: float) -> DataFrame:
-    """(id, allowed): a window opens with a key's first call and again with the first call after it closed.
+    """(id, identity, allowed): a window opens with a key's first call and again with the first call after it closed.
 
-    Where a window opens depends on all calls before it, so each key's calls are taken in order.
+    Where a window opens depends on all calls before it, so each key's calls are taken in order: keys are
+    dealt, sorted and read as a stream of batches. A task holds one batch and one window, however many
+    calls a key has.
     """
     import pandas as pd
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["second", "id"])
-        start, used, out = None, 0, []
-        for second in frame["second"]:
-            if start is None or second - start >= window_seconds:
-                start, used = second, 0
-            out.append(used < max_requests)
-            used += out[-1]
-        return pd.DataFrame({"id": frame["id"], "identity": frame["identity"], "allowed": out})
+    def run(frames):
+        key, start, used = None, None, 0
+        for f in frames:
+            allowed = []
+            for identity, second in zip(f["identity"], f["second"]):
+                if identity != key or second - start >= window_seconds:
+                    key, start, used = identity, second, 0
+                allowed.append(used < max_requests)
+                used += allowed[-1]
+            yield pd.DataFrame({"id": f["id"], "identity": f["identity"], "allowed": allowed})
 
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return calls.select("id", "identity", seconds.alias("second")).groupBy("identity").applyInPandas(run, "id long, identity string, allowed boolean")
+    rows = calls.select("id", "identity", seconds.alias("second")).repartition("identity").sortWithinPartitions("identity", "second", "id")
+    return rows.mapInPandas(run, "id long, identity string, allowed boolean")
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
