@@ -291,7 +291,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> Iterable[tuple[str, set[str]]
         return f'<{tag} {r.choice(["class", "class", "id"])}="{name}">', f"</{tag}>"
 
     def boilerplate(kind: str) -> str:
-        p = r.random()
+        p, h = r.random(), r.choice(["h2", "h3", "h4", "p"])
         if kind == "menu":
             a, b = named("nav", "nav", "menu", "navbar", "breadcrumb")
             return f"{a}<ul>{links(r.randint(3, 9))}</ul>{b}"
@@ -303,7 +303,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> Iterable[tuple[str, set[str]]
             return f"{a}&copy; {r.choice([word() + '.example', '2024 ' + word()])} &middot; {' '.join(sentence(2, 9) for _ in range(r.randint(1, 3)))}{b}"
         if kind == "side":
             a, b = named("aside", "sidebar", "related", "widget", "trending")
-            return f"{a}<h3>{word()}</h3>{'<ul>' + links(r.randint(2, 6)) + '</ul>' if p < 0.6 else '<p>' + ' '.join(sentence(3, 12) for _ in range(r.randint(1, 4))) + '</p>'}{b}"
+            return f"{a}<{h}>{word()}</{h}>{'<ul>' + links(r.randint(2, 6)) + '</ul>' if p < 0.6 else '<p>' + ' '.join(sentence(3, 12) for _ in range(r.randint(1, 4))) + '</p>'}{b}"
         if kind == "ad":
             a, b = named("div", "ad", "ads", "advert", "sponsored", "promo")
             return f"{a}{' '.join(sentence(2, 10) for _ in range(r.randint(1, 3)))}{b}"
@@ -317,7 +317,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> Iterable[tuple[str, set[str]]
             a, b = named("div", "share", "social", "tags", "byline")
             return f"{a}{word()} {word()}{b}"
         a, b = named("section", "comments", "comment", "discussion", "replies")
-        return f"{a}<h3>{r.choice(['Comments', word()])}</h3>" + "".join(f'<div class="comment"><b>{word()}</b><p>{" ".join(sentence(2, 12) for _ in range(r.randint(1, 4)))}</p></div>' for _ in range(r.randint(1, 5))) + b
+        return f"{a}<{h}>{r.choice(['Comments', word()])}</{h}>" + "".join(f'<div class="comment"><b>{word()}</b><p>{" ".join(sentence(2, 12) for _ in range(r.randint(1, 4)))}</p></div>' for _ in range(r.randint(1, 5))) + b
 
     for _ in range(n):
         content: set[str] = set()
