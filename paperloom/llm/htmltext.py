@@ -175,11 +175,17 @@ def node_features(tree: _Tree, i: int) -> list[str]:
     return out
 
 
+#: Elements that hold both content and boilerplate; their own label tells little about their children's.
+FRAME = frozenset({"#root", "html", "body"})
+KINDS = ("frame", "text", "region", "plain", "top-text", "top-region", "top-plain")
+
+
 def child_kind(tree: _Tree, i: int) -> str:
     tag = tree.tag[i]
-    if tag == "#text":
-        return "text"
-    return "region" if tag in REGIONS or tree.hints[i] else "plain"
+    if tag in FRAME:
+        return "frame"
+    kind = "text" if tag == "#text" else "region" if tag in REGIONS or tree.hints[i] else "plain"
+    return "top-" + kind if tree.tag[tree.parent[i]] in FRAME else kind
 
 
 class Model:
@@ -251,7 +257,7 @@ def train(pages: Iterable[tuple[str, set[str]]], smooth: float = 0.5) -> Model:
     for f, kind in {(f, kind) for f, kind, _ in features}:
         unary[f] = tuple(math.log((features[f, kind, y] + smooth) / (labels[kind, y] + 2 * smooth)) for y in (0, 1))
     pair = {}
-    for kind in ("text", "region", "plain"):
+    for kind in KINDS:
         rows = [[pairs[kind, y, x] + smooth for x in (0, 1)] for y in (0, 1)]
         pair[kind] = [[math.log(c / sum(row)) for c in row] for row in rows]
     total = sum(root.values()) + 2 * smooth
