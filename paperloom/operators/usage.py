@@ -444,6 +444,10 @@ ORACLE_SQL = {
     "quota_daily": f"WITH {_CALLS}, n AS (SELECT *, row_number() OVER (PARTITION BY identity, day ORDER BY ts, id) AS nth FROM c) SELECT id, identity, nth, nth <= {FREE_LIMIT} AS allowed, least(nth, {FREE_LIMIT}) AS used, greatest(0, {FREE_LIMIT} - nth) AS remaining FROM n",
     "quota_tiers": f"WITH {_CALLS}, n AS (SELECT *, (['free', 'basic', 'monthly', 'lifetime'])[CAST(identity AS INTEGER) % 4 + 1] AS tier, row_number() OVER (PARTITION BY identity, day ORDER BY ts, id) AS nth FROM c) SELECT tier, count(*) AS calls, count(*) FILTER (CASE tier WHEN 'free' THEN nth <= {FREE_LIMIT} WHEN 'basic' THEN nth <= {BASIC_LIMIT} ELSE true END) AS allowed FROM n GROUP BY tier",
     "quota_team_pool": f"WITH {_CALLS}, n AS (SELECT CAST(identity AS BIGINT) % 5 AS team, row_number() OVER (PARTITION BY CAST(identity AS BIGINT) % 5, day ORDER BY ts, id) AS nth FROM c) SELECT 'team:' || team AS identity, count(*) FILTER (nth <= least((team + 1) * 40, {TEAM_LIMIT_MAX})) AS allowed, count(*) FILTER (nth > least((team + 1) * 40, {TEAM_LIMIT_MAX})) AS refused FROM n GROUP BY team",
+    "rate_limit": """WITH RECURSIVE e AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS identity, epoch_us(ts) / 1e6::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ w AS (SELECT id, identity, n, s AS opened, 1 AS used, true AS allowed FROM e WHERE n = 1
+  UNION ALL SELECT e.id, e.identity, e.n, CASE WHEN e.s - opened >= 21600 THEN e.s ELSE opened END, CASE WHEN e.s - opened >= 21600 THEN 1 WHEN used < 3 THEN used + 1 ELSE used END, e.s - opened >= 21600 OR used < 3 FROM w JOIN e ON e.identity = w.identity AND e.n = w.n + 1)
+ SELECT id, identity, allowed FROM w""",
     "sync_latest": f"WITH {_SYNC} SELECT owner, file, version, device, updated_at, size FROM l WHERE NOT deleted",
     "sync_status": f"WITH {_SYNC} SELECT owner, count(*) AS files, round(sum(size), 4) AS total_size FROM l WHERE NOT deleted GROUP BY owner",
     "audit_chain": f"WITH RECURSIVE r AS (SELECT user_id AS team, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, event_type || '|' || 'doc=|' || (event_id % 11) || '|' || props || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S') AS payload FROM events), c AS (SELECT team, id, r, '{ZEROS}' AS prev_hash, sha256('{ZEROS}|' || payload) AS hash FROM r WHERE r = 1 UNION ALL SELECT r.team, r.id, r.r, c.hash, sha256(c.hash || '|' || payload) FROM c JOIN r ON r.team = c.team AND r.r = c.r + 1) SELECT team, id, prev_hash, hash FROM c",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.operators.usage import FREE_LIMIT, funnel_source
+from paperloom.operators.usage import ORACLE_SQL as _BATCH_SQL
 from paperloom.sources.scratch import scratch_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -127,6 +128,7 @@ def batch_funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (stream_funnel, stream_quota, stream_rate_limit, stream_cache)}
 ORACLE_SQL = {
+    "stream_rate_limit": _BATCH_SQL["rate_limit"],
     "stream_funnel": "SELECT CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS variant, CASE event_type WHEN 'view' THEN 'exposure' WHEN 'purchase' THEN 'conversion' ELSE 'trial_start' END AS event_type, 'plan' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) AS plan, count(*) AS n FROM events WHERE event_type IN ('view', 'purchase', 'signup') GROUP BY ALL",
     "stream_quota": f"SELECT CAST(user_id AS VARCHAR) AS identity, CAST(ts AS DATE) AS day, count(*) AS calls, least(count(*), {FREE_LIMIT}) AS used FROM events GROUP BY ALL",
 }
