@@ -208,7 +208,17 @@ def _count(needle: str, text: str = "lower(text)") -> str:
     return f"CAST((length({text}) - length(replace({text}, '{needle}', ''))) / {len(needle)} AS BIGINT)"
 
 
+def _chunk_end(at: str) -> str:
+    """chunk_end() for chunks of 3000: the last place of a cut comes first in the reversed text."""
+    half = f"substr(text, {at} + 1501, 1500)"
+    codes = [" || ".join(f"chr({ord(c)})" for c in cut) for cut in CUTS]
+    back = [" || ".join(f"chr({ord(c)})" for c in reversed(cut)) for cut in CUTS]
+    cuts = " ".join(f"WHEN contains({half}, {c}) THEN {at} + 1501 + length({half}) - instr(reverse({half}), {b})" for c, b in zip(codes, back))
+    return f"CASE WHEN {at} + 3000 >= length(text) THEN length(text) {cuts} ELSE {at} + 3000 END"
+
+
 ORACLE_SQL = {
+    "summary_chunks": f"WITH RECURSIVE c AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS start, CAST({_chunk_end('0')} AS BIGINT) AS stop FROM documents UNION ALL SELECT doc_id, text, chunk + 1, stop, CAST({_chunk_end('stop')} AS BIGINT) FROM c WHERE stop < length(text)) SELECT doc_id, chunk, start, stop - start AS n_chars FROM c",
     "entity_extract": f"WITH {_E}, {_ENT} SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id, kind ORDER BY i) - 1 AS ordinal, value FROM z",
     "entity_counts": f"WITH {_E}, {_ENT} SELECT kind, count(*) AS n, count(DISTINCT value) AS n_values FROM z GROUP BY kind",
     "rtl_direction": f"SELECT doc_id, regexp_matches(f, '[{RTL}]') AS rtl, len(regexp_extract_all(text, '[{RTL}]')) > len(regexp_extract_all(text, '[{LTR}]')) AS majority_rtl, CASE WHEN regexp_matches(f, '[{RTL}]') THEN 'right' ELSE 'left' END AS alignment FROM (SELECT doc_id, text, regexp_extract(text, '[{RTL}{LTR}]') AS f FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {values(RTL_TEXTS, 'a, b', 'x')}))",
