@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.literals import frame, values
 from paperloom.functions.text import human_size, safe_file_name
+from paperloom.operators import forms
 from paperloom.operators.forms import ontology_key
 from paperloom.sources.tables import read, spread
 
@@ -217,7 +218,19 @@ def _chunk_end(at: str) -> str:
     return f"CASE WHEN {at} + 3000 >= length(text) THEN length(text) {cuts} ELSE {at} + 3000 END"
 
 
+def _key(label: str) -> str:
+    """The ontology key of a label, as a subquery."""
+    folded = forms._FOLD.replace("label", label)
+    return f"(SELECT arg_min(key, ord) FROM {forms._ONT} WHERE contains({folded}, k) AND {folded} <> '')"
+
+
+_CLEAN = "trim(regexp_replace(regexp_replace(trim({}), '^[:\\-–]+', ''), '[;,]+$', ''))"
 ORACLE_SQL = {
+    "label_value_lines": f"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) UNION ALL SELECT * FROM {values(LINES, 'a, b, c', 's')}),
+ n AS (SELECT doc_id, line, trim(text) AS raw, lead(text) OVER (PARTITION BY doc_id ORDER BY line) AS next FROM l), i AS (SELECT *, instr(raw, ':') > 1 AND instr(raw, ':') < length(raw) AS inline FROM n WHERE raw <> ''),
+ v AS (SELECT doc_id, line, inline, CASE WHEN inline THEN trim(split_part(raw, ':', 1)) WHEN NOT regexp_matches(raw, '[0-9]') THEN raw END AS lab, CASE WHEN inline THEN {_CLEAN.format("substr(raw, instr(raw, ':') + 1)")} ELSE {_CLEAN.format("next")} END AS val FROM i),
+ k AS (SELECT doc_id, line, val, {_key("lab")} AS key, inline OR {_key("val")} IS NULL AS good FROM v WHERE coalesce(val, '') <> '' AND length(val) <= 80)
+ SELECT doc_id, key, arg_min(val, line) AS value FROM k WHERE key IS NOT NULL AND good GROUP BY doc_id, key""",
     "summary_chunks": f"WITH RECURSIVE c AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS start, CAST({_chunk_end('0')} AS BIGINT) AS stop FROM documents UNION ALL SELECT doc_id, text, chunk + 1, stop, CAST({_chunk_end('stop')} AS BIGINT) FROM c WHERE stop < length(text)) SELECT doc_id, chunk, start, stop - start AS n_chars FROM c",
     "entity_extract": f"WITH {_E}, {_ENT} SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id, kind ORDER BY i) - 1 AS ordinal, value FROM z",
     "entity_counts": f"WITH {_E}, {_ENT} SELECT kind, count(*) AS n, count(DISTINCT value) AS n_values FROM z GROUP BY kind",
