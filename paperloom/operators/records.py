@@ -155,7 +155,7 @@ def fill_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full years of each order at the end of July 2026, from its date thirty years earlier or more."""
+    """Full years on 15 July 2026 since the day twenty years before each order."""
     born = F.add_months(F.to_date("o_orderdate"), -12 * 20)
     return read(spark, sf_dir, "orders").select("o_orderkey", age(born, F.lit("2026-07-15").cast("date")).alias("age"))
 
@@ -238,5 +238,6 @@ ORACLE_SQL = {
     "recent_files": "WITH l AS (SELECT user_id, event_type || '/' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 40) AS path, max((ts, event_id)) AS x, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL) SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY x DESC) AS place, path, event_id FROM l QUALIFY place <= 60",
     "retry_schedule": "WITH e AS (SELECT event_id, ([429, 500, 404, 503])[event_id % 4 + 1] AS status FROM events WHERE event_type = 'error') SELECT event_id, status, a AS attempt, CASE WHEN a > 1 THEN pow(2.0::DOUBLE, a - 2) ELSE 0.0::DOUBLE END AS wait FROM e, (VALUES (1), (2), (3)) AS t(a) WHERE a = 1 OR status >= 500 OR status = 429",
     "stroke_distance": f"WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, {_D['x']} AS px, {_D['y']} AS py, {_D['a']} AS a, {_D['b']} AS b FROM lineitem), t AS (SELECT *, CASE WHEN a = b THEN 0.0::DOUBLE ELSE least(greatest(((px - a) * (b - a) + (py - b) * (a - b)) / (2 * (b - a) * (b - a)), 0.0::DOUBLE), 1.0::DOUBLE) END AS t FROM p) SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(pow(px - (a + t * (b - a)), 2) + pow(py - (b + t * (a - b)), 2)), 6) AS distance FROM t",
+    "path_ids": "SELECT page_id, lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::UBIGINT, list_transform(string_split(url, ''), lambda c: unicode(c)::UBIGINT)), lambda a, c: ((xor(a, c)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT)::UBIGINT))), 16, '0') AS document_id FROM pages",
     "masked_numbers": "SELECT c_custkey, CASE WHEN length(d) >= 4 THEN right(d, 4) END AS last_four, CASE WHEN c_acctbal <> 0 THEN round((1 - c_custkey / c_acctbal) * 100, 4) ELSE 0.0::DOUBLE END AS reduction FROM (SELECT *, regexp_replace(c_name, '[^1-9]', '', 'g') AS d FROM customer)",
 }
