@@ -9,7 +9,6 @@ from paperloom.sources.scratch import scratch_path
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
