@@ -231,7 +231,7 @@ def cef_escape(x: Column) -> Column:
 
 def cef_lines(log: DataFrame) -> Column:
     parts = [F.lit("src="), cef_escape(F.col("actor").cast("string")), F.lit(" dst="), cef_escape(F.col("team").cast("string")), F.lit(" act="), cef_escape(F.col("action")), F.lit(" target="), cef_escape(F.col("target")), F.lit(" msg="), cef_escape(F.col("detail"))]
-    head = [F.lit("CEF:0|AI-PDF|Teams|1.0|"), cef_escape(F.col("action")), F.lit("|"), cef_escape(F.col("action")), F.lit("|5|")]
+    head = [F.lit("CEF:0|paperloom|audit|1.0|"), cef_escape(F.col("action")), F.lit("|"), cef_escape(F.col("action")), F.lit("|5|")]
     return F.concat(*head, *parts)
 
 
@@ -452,7 +452,7 @@ ORACLE_SQL = {
     "sync_status": f"WITH {_SYNC} SELECT owner, count(*) AS files, round(sum(size), 4) AS total_size FROM l WHERE NOT deleted GROUP BY owner",
     "audit_chain": f"WITH RECURSIVE r AS (SELECT user_id AS team, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, event_type || '|' || 'doc=|' || (event_id % 11) || '|' || props || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S') AS payload FROM events), c AS (SELECT team, id, r, '{ZEROS}' AS prev_hash, sha256('{ZEROS}|' || payload) AS hash FROM r WHERE r = 1 UNION ALL SELECT r.team, r.id, r.r, c.hash, sha256(c.hash || '|' || payload) FROM c JOIN r ON r.team = c.team AND r.r = c.r + 1) SELECT team, id, prev_hash, hash FROM c",
     "audit_verify": f"WITH {_AUDIT}, h AS (SELECT *, sha256(id || '|' || action) AS hash FROM a), p AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY team ORDER BY ts, id), '{ZEROS}') AS expected FROM h) SELECT team, count(*) AS tampered, min(id) AS first_id FROM p WHERE CASE WHEN id % 10 = 9 THEN 'bad' ELSE expected END <> expected GROUP BY team",
-    "audit_cef": f"WITH {_AUDIT} SELECT id, 'CEF:0|AI-PDF|Teams|1.0|' || {_ESC.format('action')} || '|' || {_ESC.format('action')} || '|5|src=' || actor || ' dst=' || team || ' act=' || {_ESC.format('action')} || ' target=' || {_ESC.format('target')} || ' msg=' || {_ESC.format('detail')} AS line FROM a",
+    "audit_cef": f"WITH {_AUDIT} SELECT id, 'CEF:0|paperloom|audit|1.0|' || {_ESC.format('action')} || '|' || {_ESC.format('action')} || '|5|src=' || actor || ' dst=' || team || ' act=' || {_ESC.format('action')} || ' target=' || {_ESC.format('target')} || ' msg=' || {_ESC.format('detail')} AS line FROM a",
     "collab_retention": f"WITH {_AUDIT}, r AS (SELECT *, id % 2 AS file FROM a QUALIFY row_number() OVER (PARTITION BY team, id % 2 ORDER BY ts DESC, id DESC) <= 1000) SELECT team, file, count(*) AS kept, min(id) AS oldest_id FROM r GROUP BY ALL",
     "collab_replay": f"WITH {_AUDIT} SELECT team, row_number() OVER (PARTITION BY team ORDER BY ts, id) AS place, id, action FROM a QUALIFY place <= 100",
     "collab_log": f"WITH {_AUDIT}, k AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY team ORDER BY ts DESC, id DESC) <= 20) SELECT team, id, row_number() OVER (PARTITION BY team ORDER BY ts, id) AS place FROM k",
