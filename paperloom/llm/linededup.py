@@ -9,7 +9,8 @@ A template recurs if it stands in ``min_docs`` documents or more, each with its
 neighbouring lines (around the template's first line there), and if those make up ``independent`` of all documents that hold it. The lines of
 one document's copies keep their neighbours, so copies do not make a template: near-duplicate search
 deals with them. Lines of recurring templates are dropped from all documents. Lines of fewer than
-``min_tokens`` tokens are too short to tell and stay.
+``min_tokens`` tokens are too short to tell and stay. ``dedup_lines`` does this, as the SQL of op10
+states it; ``dedup_independent``, the pipeline's stage, counts independent documents instead.
 
 Counts are summed before each shuffle, so a line that stands in a third of the documents is counted
 by all tasks. Null texts stay null; blank lines stay; a document may end up empty but keeps its row.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import persisted
+from paperloom.llm.common import components, persisted, star_pairs
 
 #: A token that holds a digit, from its first character on.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
@@ -68,6 +69,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the lines of recurring templates, and the columns ``__n_lines`` and ``__n_dropped``."""
     lines = persisted(template_lines(docs, id_col, text_col, depth).where(F.col("n") >= min_tokens).drop("n"), "template-lines")
     drop = persisted(recurring_templates(lines, min_docs, independent).select("template"), "recurring-templates")
+    return _without(docs, lines, drop, id_col, text_col)
+
+
+def _without(docs: DataFrame, lines: DataFrame, drop: DataFrame, id_col: str, text_col: str) -> DataFrame:
     hits = lines.join(drop, "template").groupBy("id", "text_hash").agg(F.collect_set("line").alias("__drop"))
     hits = hits.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "__drop")
     found = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
@@ -80,3 +85,38 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_dropped = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long")
     counted = found.withColumn(N_LINES, n_lines).withColumn(N_DROPPED, n_dropped)
     return counted.withColumn(text_col, cleaned).drop("__id", "__hash", "__drop", "__lines")
+
+
+def copy_groups(sets: DataFrame, shared: float) -> DataFrame:
+    """(node, root) of the nodes that have near copies: documents that share ``shared`` or more of the longer one's tokens, line by line.
+
+    Every line proposes pairs with a few of the documents that hold it, one for each row at most twice, so a
+    line that stands everywhere makes no more pairs than rows. Copies share many lines and meet in each.
+    """
+    rows = sets.select("node", F.explode("set").alias("key"))
+    pairs = persisted(star_pairs(rows), "line-pairs")
+    a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    tokens = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, t: n + t.bitwiseAND(0xFF))
+    longer = F.greatest(tokens(F.col("set_a")), tokens(F.col("set_b")))
+    alike = pairs.join(a, "a").join(b, "b").where(tokens(F.array_intersect("set_a", "set_b")) >= shared * longer)
+    return components(alike.select("a", "b"), "a", "b", "line-copies")
+
+
+def dedup_independent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, min_tokens: int = 4, depth: int = 8, shared: float = 0.5) -> DataFrame:
+    """As ``dedup_lines``, but a template recurs if it stands in ``min_docs`` independent documents, whatever its neighbours and however many copies hold it.
+
+    Near copies (``copy_groups``) are one document. A template below ``min_tokens`` tokens needs twice as
+    many documents for each token it lacks.
+    """
+    # The low byte holds the number of tokens.
+    packed = F.shiftleft(F.col("template"), 8).bitwiseOR(F.least("n", F.lit(255)).cast("long"))
+    lines = template_lines(docs, id_col, text_col, depth).where("n > 0").select("id", "text_hash", "line", packed.alias("template"))
+    lines = persisted(lines, "template-lines")
+    of_docs = lines.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("template")).alias("set"))
+    sets = persisted(of_docs.select(F.xxhash64("set").alias("node"), "set").dropDuplicates(["node"]), "template-sets")
+    roots = copy_groups(sets, shared).select("node", F.col("component").alias("root"))
+    held = sets.join(roots, "node", "left").select(F.explode("set").alias("template"), F.coalesce("root", "node").alias("root"))
+    counts = held.distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"))
+    lacking = F.greatest(F.lit(min_tokens) - F.col("template").bitwiseAND(0xFF), F.lit(0))
+    drop = persisted(counts.where(F.col("n_docs") >= min_docs * F.pow(F.lit(2.0), lacking)).select("template"), "recurring-templates")
+    return _without(docs, lines, drop, id_col, text_col)

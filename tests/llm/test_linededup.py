@@ -1,3 +1,4 @@
+import corpus_pipeline
 from paperloom.llm import linededup
 from tests.llm.data import docs, no_docs, prose
 
@@ -46,3 +47,34 @@ def test_odd_rows_and_columns(spark):
     assert out.columns == df.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
     assert linededup.dedup_lines(no_docs(spark)).count() == 0
+
+
+def independent(spark, texts):
+    return {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(spark, texts), "").collect()}
+
+
+def test_blocks_of_lines_go_from_independent_documents(spark):
+    block = "\n".join(prose(500 + k, 8) for k in range(3))
+    copied = "\n".join([*(prose(200 + k, 20) for k in range(9)), block])
+    own = [f"{prose(i, 60)}\n{prose(100 + i, 30)}" for i in range(20)]
+    edited = [copied.replace(prose(200 + i % 9, 20), prose(300 + i, 20)) for i in range(45)]  # each has a line of its own
+    got = independent(spark, [f"{t}\n{block}" for t in own] + [copied] * 80 + edited)
+    assert [got[i] for i in range(20)] == own
+    assert got[20] == copied[: -len(block) - 1]
+    assert all(got[100 + i] == t[: -len(block) - 1] for i, t in enumerate(edited))
+
+
+def test_copies_alone_keep_their_lines(spark):
+    copied = "\n".join(prose(200 + k, 20) for k in range(9))
+    texts = [copied] * 30 + [copied.replace(prose(200 + i % 9, 20), prose(300 + i, 20)) for i in range(45)]
+    assert list(independent(spark, texts).values()) == texts
+
+
+def test_short_lines_need_more_documents(spark):
+    texts = [f"{prose(i, 40)}\nAll rights reserved.\n{prose(100 + i, 30)}" + ("\nThank you." if i < 15 else "\nAnd ornd.") for i in range(40)]
+    got = independent(spark, texts)
+    assert all("reserved" not in t and "ornd" not in t for t in got.values())
+    assert all(("Thank" in got[i]) == (i < 15) for i in range(40))
+    odd = docs(spark)
+    out = linededup.dedup_independent(odd).drop(linededup.N_LINES, linededup.N_DROPPED)
+    assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
