@@ -80,17 +80,23 @@ def components(links: DataFrame, a: str, b: str, name: str = "components") -> Da
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def star_pairs(rows: DataFrame, buckets: int = 64) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes that share a key, from rows (node, key): at most two a row.
+def star_pairs(rows: DataFrame, whole: int = 0, buckets: int = 64) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes that share a key, from distinct rows (node, key).
 
-    A key's nodes are dealt into ``buckets``; each meets one node of its bucket, and these meet one of their
+    Keys of up to ``whole`` nodes give all their pairs, others at most two a row: a key's nodes are dealt into ``buckets``; each meets one node of its bucket, and these meet one of their
     own. Which node it is differs from key to key. So no task holds all of a common key, and nodes of which
     every two are alike are connected by any key that only they share.
     """
+    given = rows
     rows = rows.select("key", "node", F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("node")).alias("x"), F.pmod("node", F.lit(buckets)).alias("bucket"))
     centres = rows.groupBy("key", "bucket").agg(F.min("x").alias("centre"), F.count(F.lit(1)).alias("n"))
-    tops = centres.groupBy("key").agg(F.min("centre").alias("top"), F.sum("n").alias("n")).where("n > 1").select("key", "top")
-    centres = persisted(centres.join(tops, "key").select("key", "bucket", F.col("centre.node").alias("centre"), F.col("top.node").alias("top"), "n"), "star-centres")
+    tops = centres.groupBy("key").agg(F.min("centre").alias("top"), F.sum("n").alias("n")).where("n > 1")
+    tops = persisted(tops, "star-keys")
+    centres = persisted(centres.join(tops.where(F.col("n") > whole).select("key", "top"), "key").select("key", "bucket", F.col("centre.node").alias("centre"), F.col("top.node").alias("top"), "n"), "star-centres")
     within = rows.join(centres.where("n > 1"), ["key", "bucket"]).select("node", F.col("centre").alias("other"))
     pairs = within.union(centres.select(F.col("centre").alias("node"), F.col("top").alias("other")))
+    if whole > 1:
+        few = given.join(tops.where(F.col("n") <= whole).select("key"), "key").groupBy("key").agg(F.collect_list("node").alias("all"))
+        few = few.select("all", F.explode("all").alias("node"))
+        pairs = pairs.union(few.select("node", F.explode(F.filter("all", lambda x: x > F.col("node"))).alias("other")))
     return pairs.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()

@@ -242,9 +242,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped(docs, id_col, text_col, bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
-    """The document with the smallest id of each component (null ids last, then by text hash); same columns."""
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, text_links: DataFrame | None = None) -> DataFrame:
+    """The document with the smallest id of each component (null ids last, then by text hash); same columns.
+
+    ``text_links`` (a, b) are further links, between text hashes.
+    """
     rows = persisted(grouped(docs, id_col, text_col, bits).select("doc_id", "text_hash", "root"), "fingerprint-groups")
+    if text_links is not None:
+        root = rows.select("text_hash", "root").distinct()
+        ends = text_links.join(root.toDF("a", "root_a"), "a").join(root.toDF("b", "root_b"), "b")
+        wider = components(ends.select("root_a", "root_b"), "root_a", "root_b", "text-links").withColumnRenamed("node", "root")
+        rows = persisted(rows.join(wider, "root", "left").select("doc_id", "text_hash", F.coalesce("component", "root").alias("root")), "wider-groups")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     twice = persisted(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "repeated-rows")
