@@ -4,9 +4,10 @@ Texts become sequences of template tokens: numbers, units after numbers and capi
 typed placeholders, other words are lower-cased and lose their punctuation. Items are also taken in lower
 case, for documents that are in one case throughout. Windows of 8 template
 tokens are hashed (three doublings of the word hashes) and joined with those of the benchmark, if at
-least half of a window's tokens are words. Hits of a document and an item on one diagonal form a
-chain. A chain counts as a leak if it spans ``min_span`` tokens, or every window of a shorter item,
-and its slots are consistent: each value in the item stands for one value in the document. So a
+least half of a window's tokens are words. Items with other windows too, which are mostly names and
+numbers, are also searched by windows of the tokens themselves. Hits of a document and an item on one
+diagonal form a chain. A chain counts as a leak if it spans ``min_span`` tokens, or every window that
+a shorter item has in one of its forms, and its slots are consistent: each value in the item stands for one value in the document. So a
 question whose numbers and names were swapped throughout is caught, and one that only happens to have
 the same frame is not.
 
@@ -61,20 +62,34 @@ def with_windows(df: DataFrame, words: Column, out: str) -> DataFrame:
     return df
 
 
+def plain_of(slots: Column) -> Column:
+    """Names as words like any others, in every case of letters the same; numbers and units keep their marks and values, and all tokens their places."""
+    return F.replace(slots, F.lit(f"{MARK}a"), F.lit(""))
+
+
 def _both_cases(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, template) of each item as it is and in lower case, as documents in one case only hold it. Tokens keep their places."""
-    texts = F.explode(F.array(F.col(text_col), F.lower(text_col)))
-    return benchmark.select(F.col(id_col).alias("item_id"), texts.alias("text")).select("item_id", template_of(slot_tokens(F.col("text"))).alias("template"))
+    """(item_id, form, slots, template) of each item as it is (form 0) and in lower case (1), as documents in one case only hold it. Tokens keep their places."""
+    texts = F.posexplode(F.array(F.col(text_col), F.lower(text_col)))
+    found = benchmark.select(F.col(id_col).alias("item_id"), texts.alias("form", "text")).withColumn("slots", slot_tokens(F.col("text")))
+    return found.select("item_id", "form", "slots", template_of(F.col("slots")).alias("template"))
 
 
 def _benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, item_id, item_pos, n_windows), of windows with enough words; n_windows counts places."""
-    items = _both_cases(benchmark, id_col, text_col).select("item_id", tokens(F.col("template")).alias("words"))
-    rows = with_windows(items, F.col("words"), "windows").select("item_id", "words", F.posexplode_outer("windows").alias("item_pos", "h")).where("h IS NOT NULL")
+    """(h, item_id, item_pos, forms, n_0, n_1, n_2): windows with enough words of forms 0 and 1, and of items where form 0 lacks some, all windows of plain tokens (form 2).
+
+    ``forms`` has a bit for each form that has the window there; n_k counts the windows of form k.
+    """
+    both = _both_cases(benchmark, id_col, text_col)
+    plain = both.where("form = 0").select("item_id", F.lit(2).alias("form"), tokens(plain_of(F.col("slots"))).alias("words"))
+    items = both.select("item_id", "form", tokens(F.col("template")).alias("words")).union(plain)
+    rows = with_windows(items, F.col("words"), "windows").select("item_id", "form", "words", F.posexplode_outer("windows").alias("item_pos", "h")).where("h IS NOT NULL")
     literal = F.size(F.filter(F.slice("words", F.col("item_pos") + 1, WINDOW), lambda w: ~w.startswith(MARK)))
-    rows = rows.where(2 * literal >= WINDOW).select("h", "item_id", "item_pos").distinct()
-    totals = rows.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"))
-    return rows.join(totals, "item_id")
+    rows = persisted(rows.select("h", "item_id", "item_pos", "form", (2 * literal >= WINDOW).alias("enough")), "item-windows")
+    lacking = rows.where("form = 0 AND NOT enough").select("item_id").distinct()
+    rows = rows.where("form < 2 AND enough").union(rows.where("form = 2").join(lacking, "item_id", "left_semi").select(rows.columns))
+    totals = rows.groupBy("item_id").agg(*[F.count_distinct(F.when(F.col("form") == k, F.col("item_pos"))).alias(f"n_{k}") for k in range(3)])
+    spans = rows.groupBy("h", "item_id", "item_pos").agg(F.bit_or(F.get(F.array(F.lit(1), F.lit(2), F.lit(4)), F.col("form"))).alias("forms"))
+    return spans.join(totals, "item_id")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_span: int = 13) -> DataFrame:
@@ -82,11 +97,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spans = persisted(_benchmark_windows(benchmark, item_col, item_text), "benchmark-windows")
     few = spans.count() <= MAX_BROADCAST
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    words = tokens(template_of(slot_tokens(F.col("text"))))
-    windows = with_windows(base, words, "windows").select("doc_id", "text_hash", F.posexplode_outer("windows").alias("pos", "h")).where("h IS NOT NULL")
+    slots = base.select("doc_id", "text_hash", slot_tokens(F.col("text")).alias("slots"))
+    windows = with_windows(slots, tokens(template_of(F.col("slots"))), "windows")
+    windows = with_windows(windows, tokens(plain_of(F.col("slots"))), "plain")
+    windows = windows.select("doc_id", "text_hash", F.posexplode_outer(F.arrays_zip("windows", "plain")).alias("pos", "x")).where("x IS NOT NULL")
+    windows = windows.select("doc_id", "text_hash", "pos", F.explode(F.array_distinct(F.array("x.windows", "x.plain"))).alias("h"))
     hits = windows.join(F.broadcast(spans) if few else spans, "h")
-    hits = hits.groupBy("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "n_windows").agg(F.count_distinct("item_pos").alias("n_hit"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
-    chains = hits.where(F.least(F.lit(min_span - WINDOW + 1), F.col("n_windows")) <= F.col("n_hit"))
+    n_of = lambda k: F.count_distinct(F.when(F.col("forms").bitwiseAND(1 << k) != 0, F.col("item_pos")))
+    hits = hits.groupBy("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "n_0", "n_1", "n_2").agg(F.count_distinct("item_pos").alias("n_hit"), *[n_of(k).alias(f"hit_{k}") for k in range(3)], F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
+    asked = min_span - WINDOW + 1
+    enough = F.col("n_hit") >= asked
+    for k in range(3):  # each form's hits against its own windows: a document holds an item in one form
+        enough |= (F.col(f"n_{k}") > 0) & (F.col(f"hit_{k}") >= F.least(F.lit(asked), F.col(f"n_{k}")))
+    chains = hits.where(enough)
     chains = persisted(chains.select("doc_id", "text_hash", "item_id", "diagonal", "n_hit", "first", (F.col("last") + WINDOW - F.col("first")).alias("span")), "leak-chains")
 
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(slot_tokens(F.col(item_text))).alias("item_words"))
@@ -103,7 +126,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     found = checked.groupBy("doc_id", "text_hash", "item_id").agg(F.max("n_hit").alias("n_windows_hit"), F.max("span").alias("span"), F.bool_or(same).alias("same_slots"))
 
     whole = _both_cases(benchmark, item_col, item_text)
-    whole = whole.where((F.col("template") != "") & (F.size(tokens(F.col("template"))) < WINDOW))
+    whole = whole.select("item_id", "template").where((F.col("template") != "") & (F.size(tokens(F.col("template"))) < WINDOW))
     n = F.size(tokens(F.col("template")))
     short = base.select("doc_id", "text_hash", template_of(slot_tokens(F.col("text"))).alias("template")).where(F.length("template") > 0).where(n < WINDOW)
     short = short.join(whole, "template").select("doc_id", "text_hash", "item_id", F.lit(0).cast("long").alias("n_windows_hit"), n.alias("span"), F.lit(False).alias("same_slots")).distinct()

@@ -48,3 +48,12 @@ def test_remove_keeps_clean_documents_and_columns(spark):
 
 def test_slots_keep_their_place():
     assert decontaminate.WINDOW == 8
+
+
+def test_copies_of_items_full_of_names_are_caught(spark):
+    names = ["Alice Brown, Bob Green and Carol White met near Paris today.", "Maria Lopez sold Peter Smith 3 kg of Gala Apples near New York City for 12 dollars."]
+    long = "Anna Bell, Carl Dunn, Eva Ford, Gus Hale, Ida Jones, Karl Lamb, Mia Nash and Otto Pratt came. " + prose(5, 30)
+    around = lambda t: f"{prose(50, 40)} {t} {prose(51, 40)}"
+    texts = [around(t) for t in names] + [around(t.lower()) for t in names] + [around(t.upper()) for t in names]
+    texts += [around(long[: long.index(" came")]), around(names[1].replace("Maria Lopez", "Rosa Marin").replace("Gala Apples", "Conference Pears"))]
+    assert set(hits(spark, texts, [*names, long])) == {(0, 0), (1, 1), (2, 0), (3, 1), (4, 0), (5, 1), (6, 2)}
