@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 ZEROS = "0" * 64
 #: Daily limits and the tiers without one.
@@ -203,17 +204,30 @@ def sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_chain_rows(log: DataFrame) -> DataFrame:
     """Adds prev_hash and hash = sha256(prev|action|target|detail|time) to each team's log, in order.
 
-    Each hash needs the one before it, so a team's log is folded as one sorted array.
+    Each hash needs the one before it, so teams are dealt, sorted and read as a stream of batches. A task
+    holds one batch and one hash, however long a team's log is.
     """
-    entry = F.struct("ts", "id", F.concat_ws("|", F.coalesce("action", F.lit("")), F.coalesce("target", F.lit("")), F.coalesce("detail", F.lit("")), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("payload"))
-    start = F.struct(F.lit(ZEROS).alias("prev"), F.array().cast("array<struct<id:bigint,prev_hash:string,hash:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        h = F.sha2(F.concat_ws("|", acc["prev"], x["payload"]), 256)
-        return F.struct(h.alias("prev"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), acc["prev"].alias("prev_hash"), h.alias("hash")))).alias("out"))
-
-    folded = log.groupBy("team").agg(F.aggregate(F.sort_array(F.collect_list(entry)), start, step, lambda acc: acc["out"]).alias("rows"))
-    return folded.select("team", F.inline("rows"))
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        key, before = None, ZEROS
+        for batch in batches:
+            prev, own = [], []
+            for team, payload in zip(batch["key"].to_pylist(), batch["payload"].to_pylist()):
+                if team != key:
+                    key, before = team, ZEROS
+                prev.append(before)
+                before = hashlib.sha256(f"{before}|{payload}".encode()).hexdigest()
+                own.append(before)
+            yield pa.RecordBatch.from_arrays([batch["team"], batch["id"], pa.array(prev, pa.string()), pa.array(own, pa.string())], names=["team", "id", "prev_hash", "hash"])
+
+    payload = F.concat_ws("|", F.coalesce("action", F.lit("")), F.coalesce("target", F.lit("")), F.coalesce("detail", F.lit("")), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    key = F.concat(F.lit("t"), F.coalesce(F.col("team").cast("string"), F.lit("")), F.col("team").isNull().cast("string"))
+    rows = log.select("team", F.col("id").cast("long").alias("id"), key.alias("key"), "ts", payload.alias("payload"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "ts", "id", "payload").drop("ts")
+    return rows.mapInArrow(run, StructType([log.schema["team"], StructField("id", LongType()), StructField("prev_hash", StringType()), StructField("hash", StringType())]))
 
 
 def broken_links(chain: DataFrame) -> DataFrame:

@@ -81,6 +81,25 @@ def test_revision_log_and_exports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 5
 
 
+def test_audit_chain_goes_over_batches_and_gathers_no_log(spark):
+    rows = [(i, i // 3, (None, 1, 2)[i % 3 % 2 + (i % 7 == 0)], "act", None if i % 5 == 0 else f"t{i}", "d") for i in range(200)]
+    log = frame(spark, rows, "id long, second long, team long, action string, target string, detail string").withColumn("ts", F.timestamp_seconds("second"))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        chain = usage.audit_chain_rows(log)
+        assert "collect_list" not in chain._jdf.queryExecution().toString()
+        got = {r["id"]: tuple(r) for r in chain.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    before, want = {}, {}
+    for i, second, team, action, target, detail in rows:
+        prev = before.get(team, usage.ZEROS)
+        before[team] = hashlib.sha256(f"{prev}|{action}|{target or ''}|{detail}|1970-01-01T00:{second // 60:02}:{second % 60:02}".encode()).hexdigest()
+        want[i] = (team, i, prev, before[team])
+    assert got == want
+
+
 def test_hmac(spark):
     got = {r["id"]: r["signature"] for r in logs.webhook_signatures(spark, SF).collect()}
     assert got == {i: hmac.new(k.encode(), p.encode(), hashlib.sha256).hexdigest() for i, p, k in logs.SIGNED}
