@@ -45,5 +45,36 @@ def test_passages_equal_brute_force(spark):
                 assert t[x["start_char"] : x["end_char"]].encode().split() == t.encode().split()[x["start_word"] : x["end_word"]]
 
 
+def test_neighbours_over_the_ends_of_batches_and_tasks(spark):
+    """Many tasks with one row a batch: most neighbours lie beyond an end."""
+    r = random.Random(8)
+    shared = [prose(700 + i, 70) for i in range(3)]
+    texts = [f"{prose(i, r.randint(0, 30))} {shared[i % 3]} {prose(90 + i % 4, r.randint(0, 30))}" for i in range(24)]
+    texts += [" ".join([shared[0]] * 6 + [prose(300, 9)] + [shared[0]] * 6), "a b " * 60, "a b " * 70 + "c"]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(keep, ("23", "1", "false")):
+            spark.conf.set(k, v)
+        got = suffixes.repeated_passages(docs(spark, texts)).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert sorted(((x["doc_id"], x["start_word"], x["end_word"]) for x in got), key=str) == brute(list(enumerate(texts)), 50)
+
+
+def test_a_gap_between_the_longest_matches_is_settled(spark):
+    """One text shares a long right side, another a long left side, a third the middle."""
+    words = [f"w{i}" for i in range(100)]
+    other = iter(f"x{i}" for i in range(10_000))
+
+    def variant(a, b):
+        return " ".join(w if a <= i < b else next(other) for i, w in enumerate(words))
+
+    for cut in (20, 41):
+        texts = [" ".join(words), variant(0, cut + 14), variant(cut, 100), variant(cut - 24, cut + 30)]
+        got = suffixes.repeated_passages(docs(spark, texts)).collect()
+        assert sorted(((x["doc_id"], x["start_word"], x["end_word"]) for x in got), key=str) == brute(list(enumerate(texts)), 50)
+
+
 def test_empty_table(spark):
     assert suffixes.repeated_passages(no_docs(spark)).count() == 0
