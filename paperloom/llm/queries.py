@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import chat, decontaminate, htmltext, linededup, packing, quality, secrets, sharding, simhash, suffixes
 from paperloom.llm.common import small_batches, table
+from paperloom.sources.scratch import scratch_path
 
 _W = r"[^\x20\x09-\x0D]+"
 _LINE_FAILS = rf"""(len(w) < 5 AND NOT regexp_matches(line, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*$'))
@@ -15,17 +16,31 @@ _LINE_FAILS = rf"""(len(w) < 5 AND NOT regexp_matches(line, '[.!?…。！？:;]
  OR (len(w) <= 20 AND regexp_matches(line, '(?i){quality.BOILERPLATE.pattern}'))"""
 
 
+#: Stated here a second time, apart from the operator: what each kind of secret looks like.
+_SECRETS = {
+    "assign": r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
+    "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    "url": r"[a-z][a-z0-9+.-]{0,20}://[^\s:@/]{1,100}:[^\s:@/]{1,100}@",
+}
+
+
 def _secret_sql() -> str:
-    """Matches and the pieces between them, summed up to give each match's place."""
-    quoted = {k: p.replace("'", "''") for k, p in secrets.PATTERNS.items()}
+    """Matches and the pieces between them, summed up to give each match's place; short matches are dropped after."""
+    quoted = {k: p.replace("'", "''") for k, p in _SECRETS.items()}
     kinds = " UNION ALL ".join(f"SELECT doc_id, {r} AS r, '{k}' AS kind, string_split_regex(text, '{p}') AS g, regexp_extract_all(text, '{p}') AS m FROM documents WHERE regexp_matches(text, '{p}')" for r, (k, p) in enumerate(quoted.items()))
-    value = secrets._VALUE.replace("'", "''")
-    base = "f.r < 3"
+    value = r"""^(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$"""
+    good = f"CASE kind WHEN 'assign' THEN length(regexp_extract(x, '{value}', 1)) >= 12 WHEN 'access' THEN length(x) >= 18 WHEN 'hex' THEN length(x) >= 16 ELSE true END"
     text = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, f.r)"
-    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
     return rf"""WITH k AS ({kinds}), u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k),
- f AS (SELECT doc_id, r, kind, a, a + length(m[i]) AS b FROM (SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM u) WHERE kind <> 'assign' OR length(regexp_extract(m[i], '{value}', 1)) >= {secrets.MIN_VALUE})
- SELECT doc_id, {counts}, sha256(coalesce({text} FILTER ({base}), '')) AS base_sha256, coalesce({text}, '') AS spans FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id"""
+ placed AS (SELECT doc_id, r, kind, i, m[i] AS x, sum(length(g[i]) + CASE WHEN i > 1 THEN length(m[i - 1]) ELSE 0 END) OVER (PARTITION BY doc_id, r ORDER BY i) AS a FROM u),
+ f AS (SELECT doc_id, r, kind, CAST(a AS BIGINT) AS a, CAST(a + length(x) AS BIGINT) AS b FROM placed WHERE {good})
+ SELECT doc_id, {counts}, sha256(coalesce({text} FILTER (f.r < 3), '')) AS base_sha256, coalesce({text}, '') AS spans FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id"""
 
 
 #: Only where SQL can state the result in reasonable time; tests hold the others against brute force.
@@ -77,8 +92,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found, _ = secrets.scan_versions(docs)
-    return secrets.findings(docs, found)
+    ledger = secrets.update_ledger(docs, scratch_path(spark, "blob-ledger"))
+    return secrets.findings(docs, secrets.known(ledger))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,26 +2,30 @@
 
 Every version of a text is a blob named by its SHA-256. Only pairs of blob and rule version that the
 ledger does not hold are scanned; findings are kept per blob and joined back to all rows (paths,
-versions) that hold it. A rerun with the same rules scans new blobs alone; a new rule version scans
-all blobs once more.
+versions) that hold it. A rerun with the same rules scans new blobs alone; a changed rule has a new
+version, derived from the patterns, and scans all blobs once more.
 
-Matches are found by splitting: a pattern's matches and the pieces between them alternate, so summing
-their lengths gives every match's place in code points without a loop.
+Matches are found by marking: a pattern's matches are wrapped in two control characters, and the text is
+cut at the first of them. Each part is then a match and what follows it, and running sums of the parts'
+lengths give every match's place in code points, in time linear in the matches. (Where a text holds
+these control characters itself, a third one stands for them, which no pattern tells apart.)
 
 Kinds: ``assign``, ``access`` and ``hex`` are the base rules; ``pem`` (private key blocks), ``jwt``,
 ``github``, ``slack`` and ``url`` (credentials in an address) are added to them. Null texts are empty
 and have no finding. Repeated rows share a blob and each get its findings; a null id keeps its row.
-Extra columns are ignored.
+Extra columns are ignored. A blob's findings are one array, as long as its text has matches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import persisted
 
-RULE_VERSION = "1"
 #: Kinds in their order, as Java patterns. A run of hexadecimal digits matches whole or not at all, and so
 #: does what follows AKIA: asking for the least length is the same as dropping shorter matches. A short
 #: value of ``assign`` does take its place, so it is matched first and dropped after.
@@ -40,33 +44,38 @@ MIN_VALUE = 12
 _VALUE = r"""^(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)$"""
 
 
-def spans(text: Column, kind: str) -> Column:
-    """Array of (start, end) of the kind's matches, leftmost and not overlapping."""
-    pattern = PATTERNS[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    both = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+#: Names the rules: it changes with any of them.
+RULE_VERSION = hashlib.sha256(repr((PATTERNS, BASE, MIN_VALUE, _VALUE)).encode()).hexdigest()[:16]
+_OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\x03"
+_FOUND = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.length(x["m"])
-        good = F.length(F.regexp_extract(x["m"], _VALUE, 1)) >= MIN_VALUE if kind == "assign" else F.lit(True)
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.when(good, F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"))))).otherwise(acc["out"]).alias("out")))
 
-    found = F.aggregate(both, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+def matched_parts(text: Column, rank: int, kind: str) -> Column:
+    """Array of (rank, i, length, match_length, good): part i of the text cut before every match; part 0 has no match."""
+    parts = F.split(F.regexp_replace(text, PATTERNS[kind], f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
 
+    def part(x: Column, i: Column) -> Column:
+        match = F.substring_index(x, _CLOSE, 1)
+        good = F.length(F.regexp_extract(match, _VALUE, 1)) >= MIN_VALUE if kind == "assign" else F.lit(True)
+        marks = F.when(i > 0, 1).otherwise(0)
+        return F.struct(F.lit(rank).alias("rank"), i.alias("i"), (F.length(x) - marks).cast("long").alias("length"), F.when(i > 0, F.length(match)).cast("long").alias("match_length"), (good & (i > 0)).alias("good"))
 
-def scan(blobs: DataFrame) -> DataFrame:
-    """Adds ``found`` to (blob, text): the kinds' spans as structs (start, rank, kind, end), sorted; text goes."""
+    return F.transform(parts, part)
 
-    def named(rank: int, kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
-    all_kinds = [named(rank, kind) for rank, kind in enumerate(PATTERNS)]
-    each = blobs.select("blob", *[spans(F.col("text"), kind).alias(kind) for kind in PATTERNS])
-    return each.select("blob", F.array_sort(F.concat(*all_kinds)).alias("found")).where(F.size("found") > 0)
+def scan(blobs: DataFrame) -> DataFrame:
+    """(blob, found) of the blobs (blob, text) with findings: spans as structs (start, rank, kind, end), sorted."""
+    text = F.col("text")
+    plain = F.when(text.contains(_OPEN) | text.contains(_CLOSE), F.translate(text, _OPEN + _CLOSE, _OTHER * 2)).otherwise(text)
+    each = blobs.select("blob", plain.alias("text")).select("blob", *[matched_parts(F.col("text"), rank, kind).alias(kind) for rank, kind in enumerate(PATTERNS)])
+    # Columns of their own above, so that each pattern runs over a text once.
+    some = F.concat(*[F.when(F.size(kind) > 1, F.col(kind)).otherwise(F.slice(kind, 1, 0)) for kind in PATTERNS])
+    rows = each.select("blob", F.explode_outer(some).alias("x")).where("x IS NOT NULL").select("blob", "x.*")
+    before = Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))).where("good")
+    kind = F.get(F.array(*map(F.lit, PATTERNS)), F.col("rank"))
+    span = F.struct("start", "rank", kind.alias("kind"), (F.col("start") + F.col("match_length")).alias("end"))
+    return placed.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("found"))
 
 
 def with_blob(rows: DataFrame, text_col: str) -> DataFrame:
@@ -85,13 +94,36 @@ def scan_versions(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = named.groupBy("blob").agg(F.min("id").alias("rep"))
     if ledger is not None:
         reps = reps.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    reps = reps.withColumnRenamed("blob", "rep_blob")
+    reps = persisted(reps.withColumnRenamed("blob", "rep_blob"), "unseen-blobs")
     chosen = named.join(reps, (named["blob"] == reps["rep_blob"]) & named["id"].eqNullSafe(reps["rep"]), "left_semi")
-    found = persisted(scan(chosen.select("blob", "text")).groupBy("blob").agg(F.first("found").alias("found")), "secret-findings")
+    # A blob whose row is repeated, id and all, would be scanned for each; the first findings are all.
+    found = persisted(scan(chosen.dropDuplicates(["blob", "id"]).select("blob", "text")), "secret-findings")
     new = reps.select(F.col("rep_blob").alias("blob"), F.lit(rule_version).alias("rule_version")).join(found, "blob", "left")
     return found, new
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at ``path``, or None where there is none yet."""
+    try:
+        return spark.read.schema(f"blob binary, rule_version string, found {_FOUND}").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def update_ledger(rows: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """Scans what the ledger at ``path`` has not seen, appends it there and returns the whole ledger."""
+    _, new = scan_versions(rows, id_col, text_col, read_ledger(rows.sparkSession, path), rule_version)
+    new.write.mode("append").parquet(path)
+    return read_ledger(rows.sparkSession, path)
+
+
+def known(ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+    """(blob, found) of one rule version, each blob once even if two runs appended it."""
+    return ledger.where((F.col("rule_version") == rule_version) & F.col("found").isNotNull()).select("blob", "found").dropDuplicates(["blob"])
+
+
 def findings(rows: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``rows``: doc_id, counts, base_sha256, spans; ``found`` has (blob, found)."""
     named = with_blob(rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").select("doc_id", "blob")
