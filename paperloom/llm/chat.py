@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LEARNED = frozenset({"assistant"})
-FORMATTED = "conv_id long, n_turns long, formatted string, ids array<int>, loss_mask array<boolean>, loss_spans array<struct<start:int,end:int>>"
+FORMATTED = "conv_id long, n_turns long, formatted string, ids array<int>, offsets array<struct<start:int,end:int>>, loss_mask array<boolean>"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END) + "\n", re.S)
 
@@ -79,24 +79,36 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-def loss_mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[list[bool], list[tuple[int, int]]]:
-    """Which tokens lie in a span, and the characters these tokens cover within it. Both lists are sorted."""
+def loss_mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[bool]:
+    """Which tokens lie in a span. Both lists are sorted."""
     starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    mask, covered = [False] * len(offsets), []
+    mask = [False] * len(offsets)
     for a, b in spans:
         first, last = bisect_right(ends, a), bisect_left(starts, b)
         if first < last:
             mask[first:last] = [True] * (last - first)
-            covered.append((max(a, starts[first]), min(b, ends[last - 1])))
-    return mask, covered
+    return mask
 
 
-def format_conversation(turns: list[tuple[str, str]], model, learned: frozenset[str] = LEARNED) -> tuple[str, list[int], list[bool], list[tuple[int, int]]]:
-    """(formatted, ids, mask, the spans of characters under the mask)."""
+def text_under(formatted: str, offsets: list[tuple[int, int]], mask: list[bool]) -> list[str]:
+    """The text that the masked tokens cover, a piece for each run of them. Tokens may share a character."""
+    pieces: list[list[str]] = []
+    at, open_ = 0, False
+    for (a, b), on in zip(offsets, mask):
+        if on:
+            if not open_:
+                pieces.append([])
+            pieces[-1].append(formatted[max(at, a) : b])
+            at = max(at, b)
+        open_ = on
+    return ["".join(x) for x in pieces]
+
+
+def format_conversation(turns: list[tuple[str, str]], model, learned: frozenset[str] = LEARNED) -> tuple[str, list[int], list[tuple[int, int]], list[bool]]:
+    """(formatted, ids, offsets, mask)."""
     formatted, spans = render(turns)
     code = model.encode(formatted, add_special_tokens=False)
-    mask, covered = loss_mask(code.offsets, [(a, b) for role, a, b in spans if role in learned and a < b])
-    return formatted, code.ids, mask, covered
+    return formatted, code.ids, code.offsets, loss_mask(code.offsets, [(a, b) for role, a, b in spans if role in learned and a < b])
 
 
 def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learned: frozenset[str] = LEARNED, tokenizer: str | None = None) -> DataFrame:
@@ -108,9 +120,9 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
         for frame in frames:
             rows = []
             for conv, own in zip(frame["conv_id"], frame["turns"]):
-                formatted, ids, mask, spans = format_conversation([(x["role"], x["text"]) for x in own], model, learned)
-                rows.append((conv, len(own), formatted, np.array(ids, np.int32), np.array(mask, bool), [{"start": a, "end": b} for a, b in spans]))
-            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "formatted", "ids", "loss_mask", "loss_spans"])
+                formatted, ids, offsets, mask = format_conversation([(x["role"], x["text"]) for x in own], model, learned)
+                rows.append((conv, len(own), formatted, np.array(ids, np.int32), [{"start": a, "end": b} for a, b in offsets], np.array(mask, bool)))
+            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "formatted", "ids", "offsets", "loss_mask"])
             yield out.assign(conv_id=out["conv_id"].astype("Int64"))
 
     empty = F.lit("")
@@ -120,7 +132,7 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What can be read back from FORMATTED: turns by the control strings, learned text by the mask's spans."""
+    """What can be read back from FORMATTED: turns by the control strings, learned text by the masked tokens' offsets."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
 
     def run(frames):
@@ -128,7 +140,7 @@ def digest(formatted: DataFrame) -> DataFrame:
             rows = []
             for x in frame.itertuples():
                 turns = parse(x.formatted)
-                learned = [unescape(x.formatted[s["start"] : s["end"]]) for s in x.loss_spans]
+                learned = [unescape(t) for t in text_under(x.formatted, [(o["start"], o["end"]) for o in x.offsets], x.loss_mask)]
                 rows.append(
                     (
                         x.conv_id,

@@ -5,25 +5,32 @@ typed placeholders, other words are lower-cased and lose their punctuation. Item
 case, for documents that are in one case throughout. Windows of 8 template
 tokens are hashed (three doublings of the word hashes) and joined with those of the benchmark, if at
 least half of a window's tokens are words. Items with other windows too, which are mostly names and
-numbers, are also searched by windows of the tokens themselves. Hits of a document and an item on one
-diagonal form a chain. A chain counts as a leak if it spans ``min_span`` tokens, or every window that
-a shorter item has in one of its forms, and its slots are consistent: each value in the item stands for one value in the document. So a
-question whose numbers and names were swapped throughout is caught, and one that only happens to have
-the same frame is not.
+numbers, are also searched by windows of the tokens themselves.
+
+Hits of a document and an item form a chain as long as they follow each other in both: at most ``REACH``
+tokens apart (or further, if the item has no indexed window in between), and on diagonals of one band,
+so that a few words put in, left out or changed do not break it. A chain counts as a leak if it has as
+many windows as ``min_span`` tokens in a row, or every window that a shorter item has in one of its
+forms, and its slots are consistent, one to one: each value in the item stands for one value in the
+document and no two for the same. So a question whose numbers and names were swapped throughout is
+caught, and one that only happens to have the same frame is not.
 
 An item of fewer than 8 template tokens leaks only into documents whose whole template equals its own.
-Null and empty texts have no windows. Repeated rows each count once by (id, text). Extra columns are
-ignored.
+Null and empty texts have no windows. Repeated rows each count once by (id, text). An item is its id and
+text together, so null ids are items too, and two texts under one id are two. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import persisted
 
 WINDOW = 8
+#: Tokens that two hits of one chain may lie apart, and the diagonals that a band has.
+REACH, BAND = 16, 8
+NUMBER = r"[0-9](?:[0-9.,:/]*[0-9])?"
 UNITS = "kg|mg|g|lbs?|oz|km|cm|mm|m|mi|ft|in|mph|kmh|ml|l|%|percent|usd|eur|dollars?|euros?|cents?|miles?|meters?|metres?|kilometers?|kilometres?|feet|inches|hours?|minutes?|seconds?|days?|weeks?|months?|years?|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|v|a|°c|°f"
 #: Marks a slot's token; no text keeps this character.
 MARK = "\x01"
@@ -34,10 +41,11 @@ MAX_BROADCAST = 1_000_000
 def slot_tokens(text: Column) -> Column:
     """The text as template tokens that still hold their slots' values, parted by single spaces."""
     x = F.regexp_replace(text, MARK, " ")
-    x = F.regexp_replace(x, rf"(?i)(?<![\p{{L}}\p{{N}}])([0-9][0-9.,:/]*)\s?({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}n$1 {MARK}u$2 ")
-    x = F.regexp_replace(x, rf"(?<![\p{{L}}\p{{N}}{MARK}])([0-9][0-9.,:/]*)", f" {MARK}n$1 ")
+    x = F.regexp_replace(x, rf"(?i)(?<![\p{{L}}\p{{N}}])({NUMBER})\s?({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}n$1 {MARK}u$2 ")
+    x = F.regexp_replace(x, rf"(?<![\p{{L}}\p{{N}}{MARK}.,:/])({NUMBER})", f" {MARK}n$1 ")
     x = F.regexp_replace(x, r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f" {MARK}a$1 ")
-    x = F.lower(F.regexp_replace(x, rf"[^\p{{L}}\p{{N}}{MARK}]+", " "))
+    # Separators within a number stay; all else that is no letter or digit parts tokens.
+    x = F.lower(F.regexp_replace(x, rf"(?:[.,:/](?![0-9])|(?<![0-9])[.,:/]|[^\p{{L}}\p{{N}}{MARK}.,:/])+", " "))
     return F.trim(x)
 
 
@@ -67,34 +75,44 @@ def plain_of(slots: Column) -> Column:
     return F.replace(slots, F.lit(f"{MARK}a"), F.lit(""))
 
 
-def _both_cases(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, form, slots, template) of each item as it is (form 0) and in lower case (1), as documents in one case only hold it. Tokens keep their places."""
-    texts = F.posexplode(F.array(F.col(text_col), F.lower(text_col)))
-    found = benchmark.select(F.col(id_col).alias("item_id"), texts.alias("form", "text")).withColumn("slots", slot_tokens(F.col("text")))
-    return found.select("item_id", "form", "slots", template_of(F.col("slots")).alias("template"))
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item, item_id, text): ``item`` names the pair of id and text."""
+    found = benchmark.select(F.xxhash64(F.col(id_col).isNull(), id_col, text_col).alias("item"), F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
+    return found.where(F.col("text").isNotNull()).dropDuplicates(["item"])
+
 
+def _both_cases(items: DataFrame) -> DataFrame:
+    """(item, form, slots, template) of each item as it is (form 0) and in lower case (1), as documents in one case only hold it. Tokens keep their places."""
+    texts = F.posexplode(F.array(F.col("text"), F.lower("text")))
+    found = items.select("item", texts.alias("form", "text")).withColumn("slots", slot_tokens(F.col("text")))
+    return found.select("item", "form", "slots", template_of(F.col("slots")).alias("template"))
 
-def _benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, item_id, item_pos, forms, n_0, n_1, n_2): windows with enough words of forms 0 and 1, and of items where form 0 lacks some, all windows of plain tokens (form 2).
 
-    ``forms`` has a bit for each form that has the window there; n_k counts the windows of form k.
+def _benchmark_windows(items: DataFrame) -> DataFrame:
+    """(h, item, item_pos, forms, before, n_0, n_1, n_2): windows with enough words of forms 0 and 1, and of items where form 0 lacks some, all windows of plain tokens (form 2).
+
+    ``forms`` has a bit for each form that has the window there; ``before`` is the place of the last window of
+    forms 0 and 1 before this one; n_k counts the windows of form k.
     """
-    both = _both_cases(benchmark, id_col, text_col)
-    plain = both.where("form = 0").select("item_id", F.lit(2).alias("form"), tokens(plain_of(F.col("slots"))).alias("words"))
-    items = both.select("item_id", "form", tokens(F.col("template")).alias("words")).union(plain)
-    rows = with_windows(items, F.col("words"), "windows").select("item_id", "form", "words", F.posexplode_outer("windows").alias("item_pos", "h")).where("h IS NOT NULL")
+    both = _both_cases(items)
+    plain = both.where("form = 0").select("item", F.lit(2).alias("form"), tokens(plain_of(F.col("slots"))).alias("words"))
+    words = both.select("item", "form", tokens(F.col("template")).alias("words")).union(plain)
+    rows = with_windows(words, F.col("words"), "windows").select("item", "form", "words", F.posexplode_outer("windows").alias("item_pos", "h")).where("h IS NOT NULL")
     literal = F.size(F.filter(F.slice("words", F.col("item_pos") + 1, WINDOW), lambda w: ~w.startswith(MARK)))
-    rows = persisted(rows.select("h", "item_id", "item_pos", "form", (2 * literal >= WINDOW).alias("enough")), "item-windows")
-    lacking = rows.where("form = 0 AND NOT enough").select("item_id").distinct()
-    rows = rows.where("form < 2 AND enough").union(rows.where("form = 2").join(lacking, "item_id", "left_semi").select(rows.columns))
-    totals = rows.groupBy("item_id").agg(*[F.count_distinct(F.when(F.col("form") == k, F.col("item_pos"))).alias(f"n_{k}") for k in range(3)])
-    spans = rows.groupBy("h", "item_id", "item_pos").agg(F.bit_or(F.get(F.array(F.lit(1), F.lit(2), F.lit(4)), F.col("form"))).alias("forms"))
-    return spans.join(totals, "item_id")
+    rows = persisted(rows.select("h", "item", "item_pos", "form", (2 * literal >= WINDOW).alias("enough")), "item-windows")
+    lacking = rows.where("form = 0 AND NOT enough").select("item").distinct()
+    rows = rows.where("form < 2 AND enough").union(rows.where("form = 2").join(lacking, "item", "left_semi").select(rows.columns))
+    totals = rows.groupBy("item").agg(*[F.count_distinct(F.when(F.col("form") == k, F.col("item_pos"))).alias(f"n_{k}") for k in range(3)])
+    spans = rows.groupBy("h", "item", "item_pos").agg(F.bit_or(F.get(F.array(F.lit(1), F.lit(2), F.lit(4)), F.col("form"))).alias("forms"))
+    earlier = Window.partitionBy("item").orderBy("item_pos").rangeBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.max(F.when(F.col("forms") != 4, F.col("item_pos"))).over(earlier), F.lit(-1))
+    return spans.withColumn("before", before).join(totals, "item")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_span: int = 13) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows_hit, span, same_slots): one row for each document and item it holds."""
-    spans = persisted(_benchmark_windows(benchmark, item_col, item_text), "benchmark-windows")
+    bench = _items(benchmark, item_col, item_text)
+    spans = persisted(_benchmark_windows(bench), "benchmark-windows")
     few = spans.count() <= MAX_BROADCAST
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     slots = base.select("doc_id", "text_hash", slot_tokens(F.col("text")).alias("slots"))
@@ -102,30 +120,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     windows = with_windows(windows, tokens(plain_of(F.col("slots"))), "plain")
     windows = windows.select("doc_id", "text_hash", F.posexplode_outer(F.arrays_zip("windows", "plain")).alias("pos", "x")).where("x IS NOT NULL")
     windows = windows.select("doc_id", "text_hash", "pos", F.explode(F.array_distinct(F.array("x.windows", "x.plain"))).alias("h"))
-    hits = windows.join(F.broadcast(spans) if few else spans, "h")
+    hits = windows.join(F.broadcast(spans) if few else spans, "h").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    # Repeated rows of one id and text are one; their hits are the same.
+    hits = persisted(hits.drop("h").distinct(), "window-hits")
+
+    # Bands overlap by half, so what drifts by less than that is whole in one of them.
+    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.floor((F.col("diagonal") + i * BAND // 2) / BAND).alias("at")) for i in (0, 1)])
+    hits = hits.withColumn("band", F.explode(bands))
+    own = ["doc_id", "text_hash", "item", "band"]
+    order = Window.partitionBy(*own).orderBy("pos", "item_pos")
+    last, last_item = F.lag("pos").over(order), F.lag("item_pos").over(order)
+    step = F.col("item_pos") - last_item
+    follows = (step >= -BAND) & ((step <= REACH) | (last_item >= F.col("before"))) & (F.col("pos") - last <= F.greatest(F.lit(REACH), step) + BAND)
+    linked = hits.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("chain", F.sum("new").over(order))
     n_of = lambda k: F.count_distinct(F.when(F.col("forms").bitwiseAND(1 << k) != 0, F.col("item_pos")))
-    hits = hits.groupBy("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "n_0", "n_1", "n_2").agg(F.count_distinct("item_pos").alias("n_hit"), *[n_of(k).alias(f"hit_{k}") for k in range(3)], F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
+    chains = linked.groupBy(*own, "chain", "n_0", "n_1", "n_2").agg(F.count_distinct("item_pos").alias("n_hit"), *[n_of(k).alias(f"hit_{k}") for k in range(3)], (F.max("item_pos") + WINDOW - F.min("item_pos")).alias("span"))
     asked = min_span - WINDOW + 1
     enough = F.col("n_hit") >= asked
     for k in range(3):  # each form's hits against its own windows: a document holds an item in one form
         enough |= (F.col(f"n_{k}") > 0) & (F.col(f"hit_{k}") >= F.least(F.lit(asked), F.col(f"n_{k}")))
-    chains = hits.where(enough)
-    chains = persisted(chains.select("doc_id", "text_hash", "item_id", "diagonal", "n_hit", "first", (F.col("last") + WINDOW - F.col("first")).alias("span")), "leak-chains")
-
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(slot_tokens(F.col(item_text))).alias("item_words"))
-    of_chains = chains.join(items, chains["item_id"].eqNullSafe(items["item_id"])).drop(items["item_id"])
-    suspects = chains.select("doc_id", "text_hash").distinct()
+    chains = chains.where(enough).select(*own, "chain", "n_hit", "span")
+    pieces = linked.groupBy(*own, "chain", "diagonal").agg(F.min("item_pos").alias("first"), (F.max("item_pos") + WINDOW - F.min("item_pos")).alias("size"))
+    named = chains.select(*[F.col(c).alias(f"_{c}") for c in (*own, "chain")], "n_hit", "span")
+    same_chain = pieces["doc_id"].eqNullSafe(named["_doc_id"])
+    for c in (*own[1:], "chain"):
+        same_chain &= pieces[c] == named[f"_{c}"]
+    pieces = persisted(pieces.join(named, same_chain).select(*own, "chain", "diagonal", "first", "size", "n_hit", "span"), "leak-chains")
+
+    of_chains = pieces.join(bench.select("item", "item_id", tokens(slot_tokens(F.col("text"))).alias("item_words")), "item")
+    suspects = pieces.select("doc_id", "text_hash").distinct()
     texts = base.join(suspects, base["doc_id"].eqNullSafe(suspects["doc_id"]) & (base["text_hash"] == suspects["text_hash"]), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     texts = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), tokens(slot_tokens(F.col("text"))).alias("doc_words"))
     both = of_chains.join(texts, of_chains["doc_id"].eqNullSafe(texts["_id"]) & (of_chains["text_hash"] == texts["_hash"]))
-    pairs = F.zip_with(F.slice("item_words", F.col("first") + 1, F.col("span")), F.slice("doc_words", F.col("first") + F.col("diagonal") + 1, F.col("span")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    slots = F.filter(F.array_distinct(pairs), lambda p: p["a"].startswith(MARK))
-    checked = both.withColumn("slots", slots)
-    checked = checked.where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["a"]))))
-    same = F.forall("slots", lambda p: F.regexp_replace(p["a"], f"^{MARK}.", "") == F.regexp_replace(p["b"], f"^{MARK}.", ""))
-    found = checked.groupBy("doc_id", "text_hash", "item_id").agg(F.max("n_hit").alias("n_windows_hit"), F.max("span").alias("span"), F.bool_or(same).alias("same_slots"))
-
-    whole = _both_cases(benchmark, item_col, item_text)
+    pairs = F.zip_with(F.slice("item_words", F.col("first") + 1, F.col("size")), F.slice("doc_words", F.col("first") + F.col("diagonal") + 1, F.col("size")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    # Slots that face a slot of their kind; elsewhere words were changed, or the document is in one case.
+    slots = F.filter(pairs, lambda p: p["a"].startswith(MARK) & (F.substring(p["a"], 1, 2) == F.substring(p["b"], 1, 2)))
+    checked = both.select("doc_id", "text_hash", "item", "item_id", "band", "chain", "n_hit", "span", slots.alias("slots"))
+    checked = checked.groupBy("doc_id", "text_hash", "item", "item_id", "band", "chain", "n_hit", "span").agg(F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    values = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side])))
+    checked = checked.where((F.size("slots") == values("a")) & (F.size("slots") == values("b")))
+    same = F.forall("slots", lambda p: p["a"] == p["b"])
+    found = checked.groupBy("doc_id", "text_hash", "item", "item_id").agg(F.max("n_hit").alias("n_windows_hit"), F.max("span").alias("span"), F.bool_or(same).alias("same_slots")).drop("item")
+
+    whole = _both_cases(bench).join(bench.select("item", "item_id"), "item")
     whole = whole.select("item_id", "template").where((F.col("template") != "") & (F.size(tokens(F.col("template"))) < WINDOW))
     n = F.size(tokens(F.col("template")))
     short = base.select("doc_id", "text_hash", template_of(slot_tokens(F.col("text"))).alias("template")).where(F.length("template") > 0).where(n < WINDOW)

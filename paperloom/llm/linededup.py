@@ -1,16 +1,19 @@
 """Line dedup over a log-template tree, in DataFrame functions alone.
 
-Every line goes down a tree of fixed depth: first its token count, then its leading ``depth`` tokens,
-tokens with a digit counting as the wildcard ``<*>``. At the leaf, lines of up to twice ``depth``
-tokens generalise what follows to one wildcard, so that at least half of a template is constant;
-longer lines keep their other tokens.
-
-A template recurs if it stands in ``min_docs`` documents or more, each with its own pair of
-neighbouring lines (around the template's first line there), and if those make up ``independent`` of all documents that hold it. The lines of
-one document's copies keep their neighbours, so copies do not make a template: near-duplicate search
-deals with them. Lines of recurring templates are dropped from all documents. Lines of fewer than
-``min_tokens`` tokens are too short to tell and stay. ``dedup_lines`` does this, as the SQL of op10
-states it; ``dedup_independent``, the pipeline's stage, counts independent documents instead.
+Every line goes down a tree of fixed depth: first its token count, then its leading ``depth`` tokens.
+Tokens with a digit are the wildcard ``<*>`` from the start. A leaf turns the fields that vary into
+wildcards: a token stays in the template if ``min_docs`` independent documents or more have it at its
+place in the leaf, so lines that agree in all but a name have one template, whatever their length and
+wherever the name stands. A template is worth its name if ``min_tokens`` of its tokens and a
+``similarity`` share of them are constant; a line whose field holds a common value also belongs to the
+template with that field generalised, if the leaf has it.
+
+A template recurs if it stands in ``min_docs`` independent documents or more; lines of recurring
+templates are dropped from all documents. So are lines that recur as they stand; of these, lines of
+fewer than ``min_tokens`` tokens need twice as many documents for each token they lack. Near copies
+(``copy_groups``: half of the longer one's tokens shared, line by line) are one document, so copies do
+not make a template: near-duplicate search deals with them. Lines of up to ``min_tokens`` tokens are
+not generalised, but for digits.
 
 Counts are summed before each shuffle, so a line that stands in a third of the documents is counted
 by all tasks. Null texts stay null; blank lines stay; a document may end up empty but keeps its row.
@@ -43,37 +46,91 @@ def n_tokens(shape: Column) -> Column:
     return F.when(shape == "", 0).otherwise(F.length(shape) - F.length(F.replace(shape, F.lit(" "), F.lit(""))) + 1)
 
 
-def template(shape: Column, n: Column, depth: int) -> Column:
-    return F.when((n > depth) & (n <= 2 * depth), F.concat(F.substring_index(shape, " ", depth), F.lit(" <*>"))).otherwise(shape)
+def _named(s: Column, n: Column, depth: int, min_tokens: int) -> dict[str, Column]:
+    """A shape's hash, with the number of tokens in the low byte, and its leaf's; short lines have none."""
+    packed = F.shiftleft(F.xxhash64(n, s), 8).bitwiseOR(F.least(n, F.lit(255)).cast("long"))
+    return {"shape": packed, "leaf": F.when(n > min_tokens, F.xxhash64(n, F.substring_index(s, " ", depth)))}
 
 
-def template_lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """One row per line: (id, text_hash, line, n, template, context)."""
+def _shapes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, shapes): an array of (s, n) for the lines in order."""
     shapes = F.transform(F.split(F.col(text_col), "\n", -1), line_shape)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.transform(shapes, lambda s: F.struct(s.alias("s"), n_tokens(s).alias("n"))).alias("shapes"))
-    lines = F.transform("shapes", lambda x: F.struct(x["n"].alias("n"), F.xxhash64(x["n"], template(x["s"], x["n"], depth)).alias("t")))
-    rows = rows.select("id", "text_hash", lines.alias("lines"))
-    around = F.transform("lines", lambda x, i: F.struct(x["n"].alias("n"), x["t"].alias("t"), F.xxhash64(F.when(i > 0, F.get("lines", i - 1)["t"]), F.lit(0), F.get("lines", i + 1)["t"]).alias("context")))
-    return rows.select("id", "text_hash", F.posexplode_outer(around).alias("line", "x")).where("line IS NOT NULL").select("id", "text_hash", "line", F.col("x.n").alias("n"), F.col("x.t").alias("template"), F.col("x.context").alias("context"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.transform(shapes, lambda s: F.struct(s.alias("s"), n_tokens(s).alias("n"))).alias("shapes"))
+
+
+def template_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
+    """One row per line with a token: (id, text_hash, line, shape, leaf)."""
+    lines = F.transform("shapes", lambda x: F.struct(x["n"].alias("n"), *[c.alias(k) for k, c in _named(x["s"], x["n"], depth, min_tokens).items()]))
+    rows = _shapes(docs, id_col, text_col).select("id", "text_hash", F.posexplode_outer(lines).alias("line", "x"))
+    return rows.where("x.n > 0").select("id", "text_hash", "line", "x.shape", "x.leaf")
+
+
+def leaf_tokens(docs: DataFrame, leaves: DataFrame, text_col: str, depth: int, min_tokens: int) -> DataFrame:
+    """(shape, leaf, tokens) of the distinct shapes in ``leaves``; tokens are hashes."""
+    lines = F.transform("shapes", lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), *[c.alias(k) for k, c in _named(x["s"], x["n"], depth, min_tokens).items()]))
+    rows = _shapes(docs, text_col, text_col).select(F.explode_outer(lines).alias("x")).where(F.col("x.n") > min_tokens).select("x.*")
+    rows = rows.join(leaves, "leaf", "left_semi").select("shape", "leaf", F.transform(F.split("s", " "), lambda t: F.xxhash64(t)).alias("tokens"))
+    return rows.groupBy("shape").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
+
+
+def leaf_templates(tokens: DataFrame, held: DataFrame, min_docs: int, min_tokens: int, similarity: float) -> DataFrame:
+    """The shapes (one column) that belong to a recurring template of their leaf."""
+    documents = F.count_distinct("root")
+    words = persisted(tokens.select("shape", "leaf", F.posexplode("tokens").alias("pos", "token")).join(held.select("shape", "root"), "shape"), "leaf-words")
+    constant = words.groupBy("leaf", "pos", "token").agg(documents.alias("n")).where(F.col("n") >= min_docs)
+    constant = persisted(constant.select("leaf", "pos", "token", F.xxhash64("pos", "token").alias("field")), "leaf-constants")
+    of_shape = words.select("shape", "leaf", "pos", "token").distinct().join(constant, ["leaf", "pos", "token"], "left")
+    # The fields' hashes combined by exclusive or: leaving out one of them takes its hash away again.
+    of_shape = of_shape.groupBy("shape", "leaf").agg(F.count(F.lit(1)).alias("n"), F.count("field").alias("n_constant"), F.bit_xor("field").alias("fields"), F.collect_list("field").alias("each"))
+    of_shape = persisted(of_shape.where("n_constant > 0"), "shape-templates")
+    named = of_shape.where((F.col("n_constant") >= min_tokens) & (F.col("n_constant") >= similarity * F.col("n")))
+    named = named.select("shape", F.xxhash64("leaf", "n_constant", "fields").alias("template"))
+    often = named.join(held.select("shape", "root"), "shape").groupBy("template").agg(documents.alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    often = persisted(often.select("template"), "leaf-templates")
+    wider = of_shape.select("shape", "leaf", "n_constant", "fields", F.explode("each").alias("field"))
+    wider = wider.select("shape", F.xxhash64("leaf", F.col("n_constant") - 1, F.col("fields").bitwiseXOR(F.col("field"))).alias("template"))
+    return named.union(wider).join(often, "template", "left_semi").select("shape")
 
 
-def recurring_templates(lines: DataFrame, min_docs: int, independent: float) -> DataFrame:
-    """(template, n_docs, n_contexts) of the templates to drop."""
-    of_docs = lines.groupBy("template", "id", "text_hash").agg(F.min_by("context", "line").alias("context"))
-    of_contexts = of_docs.groupBy("template", "context").agg(F.count(F.lit(1)).alias("docs"))
-    counts = of_contexts.groupBy("template").agg(F.sum("docs").alias("n_docs"), F.count(F.lit(1)).alias("n_contexts"))
-    return counts.where((F.col("n_contexts") >= min_docs) & (F.col("n_contexts") >= independent * F.col("n_docs")))
-
+def copy_groups(sets: DataFrame, shared: float) -> DataFrame:
+    """(node, root) of the nodes that have near copies: documents that share ``shared`` or more of the longer one's tokens, line by line.
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, independent: float = 0.5, min_tokens: int = 4, depth: int = 8) -> DataFrame:
+    Every line proposes pairs with a few of the documents that hold it, one for each row at most twice, so a
+    line that stands everywhere makes no more pairs than rows. Copies share many lines and meet in each.
+    """
+    rows = sets.select("node", F.explode("set").alias("key"))
+    pairs = persisted(star_pairs(rows), "line-pairs")
+    a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    tokens = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, t: n + t.bitwiseAND(0xFF))
+    longer = F.greatest(tokens(F.col("set_a")), tokens(F.col("set_b")))
+    alike = pairs.join(a, "a").join(b, "b").where(tokens(F.array_intersect("set_a", "set_b")) >= shared * longer)
+    return components(alike.select("a", "b"), "a", "b", "line-copies").withColumnRenamed("component", "root")
+
+
+def recurring_shapes(docs: DataFrame, lines: DataFrame, text_col: str, min_docs: int, min_tokens: int, depth: int, similarity: float, shared: float) -> DataFrame:
+    """(shape) of all lines to drop; ``lines`` as ``template_lines`` gives them."""
+    of_docs = lines.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("shape", "leaf"))).alias("both"))
+    sets = of_docs.select(F.transform("both", lambda x: x["shape"]).alias("set"), F.transform("both", lambda x: x["leaf"]).alias("leaves"))
+    sets = persisted(sets.select(F.xxhash64("set").alias("node"), "set", "leaves").dropDuplicates(["node"]), "template-sets")
+    roots = copy_groups(sets.select("node", "set"), shared)
+    held = sets.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.explode(F.arrays_zip("set", "leaves")).alias("x"))
+    held = persisted(held.select("root", F.col("x.set").alias("shape"), F.col("x.leaves").alias("leaf")).distinct(), "shapes-of-documents")
+    lacking = F.greatest(F.lit(min_tokens) - F.col("shape").bitwiseAND(0xFF), F.lit(0))
+    exact = held.groupBy("shape").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs * F.pow(F.lit(2.0), lacking)).select("shape")
+    # Only a leaf that enough documents reach can hold a template.
+    leaves = held.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count_distinct("root").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    leaves = persisted(leaves.select("leaf"), "reached-leaves")
+    tokens = persisted(leaf_tokens(docs, leaves, text_col, depth, min_tokens), "leaf-tokens")
+    return exact.union(leaf_templates(tokens, held, min_docs, min_tokens, similarity)).distinct()
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, min_tokens: int = 4, depth: int = 2, similarity: float = 0.75, shared: float = 0.5) -> DataFrame:
     """``docs`` without the lines of recurring templates, and the columns ``__n_lines`` and ``__n_dropped``."""
-    lines = persisted(template_lines(docs, id_col, text_col, depth).where(F.col("n") >= min_tokens).drop("n"), "template-lines")
-    drop = persisted(recurring_templates(lines, min_docs, independent).select("template"), "recurring-templates")
-    return _without(docs, lines, drop, id_col, text_col)
-
-
-def _without(docs: DataFrame, lines: DataFrame, drop: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    hits = lines.join(drop, "template").groupBy("id", "text_hash").agg(F.collect_set("line").alias("__drop"))
+    if not 0 < depth <= min_tokens:
+        raise ValueError("a template's leading tokens are among its constant ones")
+    lines = persisted(template_lines(docs, id_col, text_col, depth, min_tokens), "template-lines")
+    drop = persisted(recurring_shapes(docs, lines, text_col, min_docs, min_tokens, depth, similarity, shared), "recurring-shapes")
+    hits = lines.join(drop, "shape").groupBy("id", "text_hash").agg(F.collect_set("line").alias("__drop"))
     hits = hits.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "__drop")
     found = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
     text = F.col(text_col)
@@ -85,38 +142,3 @@ def _without(docs: DataFrame, lines: DataFrame, drop: DataFrame, id_col: str, te
     n_dropped = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long")
     counted = found.withColumn(N_LINES, n_lines).withColumn(N_DROPPED, n_dropped)
     return counted.withColumn(text_col, cleaned).drop("__id", "__hash", "__drop", "__lines")
-
-
-def copy_groups(sets: DataFrame, shared: float) -> DataFrame:
-    """(node, root) of the nodes that have near copies: documents that share ``shared`` or more of the longer one's tokens, line by line.
-
-    Every line proposes pairs with a few of the documents that hold it, one for each row at most twice, so a
-    line that stands everywhere makes no more pairs than rows. Copies share many lines and meet in each.
-    """
-    rows = sets.select("node", F.explode("set").alias("key"))
-    pairs = persisted(star_pairs(rows), "line-pairs")
-    a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    tokens = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, t: n + t.bitwiseAND(0xFF))
-    longer = F.greatest(tokens(F.col("set_a")), tokens(F.col("set_b")))
-    alike = pairs.join(a, "a").join(b, "b").where(tokens(F.array_intersect("set_a", "set_b")) >= shared * longer)
-    return components(alike.select("a", "b"), "a", "b", "line-copies")
-
-
-def dedup_independent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, min_tokens: int = 4, depth: int = 8, shared: float = 0.5) -> DataFrame:
-    """As ``dedup_lines``, but a template recurs if it stands in ``min_docs`` independent documents, whatever its neighbours and however many copies hold it.
-
-    Near copies (``copy_groups``) are one document. A template below ``min_tokens`` tokens needs twice as
-    many documents for each token it lacks.
-    """
-    # The low byte holds the number of tokens.
-    packed = F.shiftleft(F.col("template"), 8).bitwiseOR(F.least("n", F.lit(255)).cast("long"))
-    lines = template_lines(docs, id_col, text_col, depth).where("n > 0").select("id", "text_hash", "line", packed.alias("template"))
-    lines = persisted(lines, "template-lines")
-    of_docs = lines.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("template")).alias("set"))
-    sets = persisted(of_docs.select(F.xxhash64("set").alias("node"), "set").dropDuplicates(["node"]), "template-sets")
-    roots = copy_groups(sets, shared).select("node", F.col("component").alias("root"))
-    held = sets.join(roots, "node", "left").select(F.explode("set").alias("template"), F.coalesce("root", "node").alias("root"))
-    counts = held.distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"))
-    lacking = F.greatest(F.lit(min_tokens) - F.col("template").bitwiseAND(0xFF), F.lit(0))
-    drop = persisted(counts.where(F.col("n_docs") >= min_docs * F.pow(F.lit(2.0), lacking)).select("template"), "recurring-templates")
-    return _without(docs, lines, drop, id_col, text_col)

@@ -10,12 +10,16 @@ of ranks within a length), again bounded by the capacity alone, and each piece f
 rank among the pieces of its length. No task sees all documents.
 
 Null texts are empty: their single piece is the end token alone. Documents longer than the capacity
-are cut into full pieces and a rest. Repeated rows are packed each for itself; extra columns are
-ignored.
+are cut into full pieces and a rest. Repeated rows are packed each for itself, whatever their ids: ranks
+are dealt by the pieces' places in a written table. Extra columns are ignored.
+
+Any tokenizer file serves. Words are cached only under the normaliser and the word splitter that the
+cache knows (``_KNOWN_PARTS``); texts go through other tokenizers whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -36,6 +40,18 @@ _END = np.array([END_ID], "<u4").tobytes()
 CACHE = 200_000
 #: The type code of unsigned 32-bit numbers, which are little-endian on all machines Spark runs on but s390x.
 _U4 = next(c for c in "IL" if array(c).itemsize == 4)
+#: Normaliser and word splitter of a tokenizer file under which words can be encoded one by one.
+_KNOWN_PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -62,12 +78,20 @@ def _encoder(vocab: str):
 
     The pre-tokeniser never joins over white space, so chunks between white space are encoded once and
     remembered, and so are the words inside them. Texts with characters whose lower case, composition
-    or class the two languages might see differently go through the tokenizer whole.
+    or class the two languages might see differently go through the tokenizer whole, and so do all
+    texts if the tokenizer is not one of this kind.
     """
     import regex
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_str(vocab)
+
+    def encode_whole(text: str) -> bytes:
+        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    said = json.loads(vocab)
+    if {k: said.get(k) for k in _KNOWN_PARTS} != _KNOWN_PARTS:
+        return encode_whole
     words_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
     odd = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f]|<\\|").search
     letters = _byte_letters()
@@ -102,7 +126,7 @@ def _encoder(vocab: str):
 
     def encode(text: str) -> bytes:
         if odd(text) or not unicodedata.is_normalized("NFC", text):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return encode_whole(text)
         return b"".join(map(known.__getitem__, text.lower().split()))
 
     return encode
@@ -187,7 +211,8 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tu
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: PIECES, sequence_id and offset."""
     spark = docs.sparkSession
-    cut = persisted(pieces(docs, id_col, text_col, capacity, tokenizer), "pieces")
+    cut = pieces(docs, id_col, text_col, capacity, tokenizer)
+    cut = persisted(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     # At most `capacity` rows, however many documents there are.
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots, _ = plan_bins(counts, capacity)
@@ -210,6 +235,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                     off[own] = run[:, 4] + i % run[:, 3] * lengths[own]
             yield frame.drop(columns="rank").assign(sequence_id=seq, offset=off)
 
-    order = ["doc_id", "piece", "ids_crc32", "start"]
-    ranked = spread_rank(cut, ["length"], order, "rank", parts(spark)).select(*[x.split()[0] for x in PIECES.split(", ")], "rank")
+    ranked = spread_rank(cut, ["length"], ["row"], "rank", parts(spark)).select(*[x.split()[0] for x in PIECES.split(", ")], "rank")
     return ranked.mapInPandas(place, PIECES + ", sequence_id long, offset long")

@@ -8,16 +8,17 @@ Two steps keep this distributed:
 
 * A group above ``1 / heavy`` of a shard in some measure is heavy. There are at most 3 * heavy * shards
   of them however large the corpus is, so they are placed first, in one list. A group above half a
-  shard is cut into pieces of at most a quarter of a shard, by a hash of the document id: no shard
-  could hold it beside its share of the rest.
+  shard is cut into pieces of at most a quarter of a shard, as many for each shard, by a gapless rank
+  of its rows: no shard could hold it beside its share of the rest.
 * The light groups are dealt by hash into cells. A cell places its groups by the same rule, its share
   of the residual capacity being the capacity; each cell is thus balanced, and so is their sum. A cell
   holds about ``cell`` group vectors, so the number of cells grows with the corpus.
 
-The law is ``bytes``: sizes near equal. Slots count from 0 without gaps within a shard.
+The law is ``bytes``: sizes near equal. Slots count from 0 without gaps within a shard. A single text of
+more than a shard's bytes is not cut: its shard then holds it, and whatever else the rule gives it.
 
-A null text has no bytes and forms one group, with size 1. Empty tables give no rows. Repeated rows are
-placed each with its group. Extra columns are ignored.
+A null text has no bytes and forms one group, with size 1. Empty tables give no rows. Repeated rows and
+repeated or null ids are rows like any others: ranks are dealt by the rows' places in a written table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,18 +61,21 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
         F.coalesce(F.unhex(F.md5(F.encode(text, "UTF-8"))), F.lit(b"")).alias("group"),
     )
-    rows = persisted(rows, "document-sizes")
+    # Numbers the written rows: ranks do not depend on ids, which may repeat.
+    rows = persisted(rows.withColumn("row", F.monotonically_increasing_id()), "document-sizes")
     sums = [F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
     groups = persisted(rows.groupBy("group").agg(*sums), "text-groups")
     total = groups.agg(*[F.sum(m).alias(m) for m in MEASURES], F.count(F.lit(1)).alias("groups")).first()
     capacity = np.array([max(total[m] or 0, 1) / shards for m in MEASURES])
 
-    # Heavy groups, cut where they are larger than half a shard. Bounded by 3 * heavy * shards rows.
+    # Heavy groups, cut where they are larger than half a shard. Bounded by 3 * (heavy + 2 * shards) * shards rows, plus four a shard.
     is_heavy = F.greatest(*[F.col(m) / float(c) for m, c in zip(MEASURES, capacity)])
     weights = groups.withColumn("share", is_heavy)
     big = weights.where(F.col("share") > 1 / heavy)
-    cut = big.select("group", F.when(F.col("share") > 0.5, F.ceil(F.col("share") * 4)).otherwise(1).cast("int").alias("pieces"))
-    of = rows.join(F.broadcast(cut), "group").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
+    cut = big.select("group", F.when(F.col("share") > 0.5, shards * F.ceil(F.col("share") * 4 / shards)).otherwise(1).cast("int").alias("pieces"))
+    of = persisted(rows.join(F.broadcast(cut), "group"), "heavy-documents")
+    of = spread_rank(of, ["group"], ["row"], "rank", parts(docs.sparkSession))
+    of = persisted(of.withColumn("piece", (F.col("rank") % F.col("pieces")).cast("int")).drop("rank", "pieces"), "heavy-pieces")
     heavies = of.groupBy("group", "piece").agg(*sums).orderBy("group", "piece").toPandas()
     residual = np.tile(capacity, (shards, 1))
     heavies["shard"] = place(heavies[list(MEASURES)].to_numpy(float).reshape(-1, 3), residual, capacity)
@@ -95,9 +99,9 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
     spark = docs.sparkSession
     placed = spark.createDataFrame(heavies[["group", "piece", "shard"]].astype({"piece": "int32", "shard": "int32"}), "group binary, piece int, shard int")
-    columns = ["doc_id", "size", "text_crc32", "n_tokens", "shard"]
+    columns = ["doc_id", "size", "text_crc32", "n_tokens", "row", "shard"]
     of_heavy = of.join(F.broadcast(placed), ["group", "piece"]).select(*columns)
     of_light = rows.join(F.broadcast(cut.select("group")), "group", "left_anti").join(lights, "group").select(*columns)
     done = persisted(of_heavy.unionByName(of_light), "placed-documents")
-    ranked = spread_rank(done, ["shard"], ["doc_id", "size", "text_crc32"], "slot", parts(spark))
+    ranked = spread_rank(done, ["shard"], ["row"], "slot", parts(spark))
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_tokens")

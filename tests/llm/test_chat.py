@@ -13,10 +13,10 @@ texts = st.lists(st.sampled_from(PARTS), max_size=10).map("".join)
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "<|im_end|>\n"]), texts), max_size=5))
 def test_round_trip_and_mask(turns):
-    formatted, ids, mask, spans = chat.format_conversation(turns, chat.encoder(chat.vocabulary()))
-    assert chat.parse(formatted) == turns and len(ids) == len(mask)
+    formatted, ids, offsets, mask = chat.format_conversation(turns, chat.encoder(chat.vocabulary()))
+    assert chat.parse(formatted) == turns and len(ids) == len(mask) == len(offsets)
     learned = "".join(t for r, t in turns if r == "assistant")
-    assert "".join(chat.unescape(formatted[a:b]) for a, b in spans) == learned
+    assert [chat.unescape(t) for t in chat.text_under(formatted, offsets, mask)] == [t for r, t in turns if r == "assistant" and t]
     assert any(mask) == bool(learned)
 
 
@@ -27,8 +27,14 @@ def test_mask_by_binary_search_equals_scan():
         offsets = list(zip(cuts, cuts[1:]))
         ends = sorted(r.sample(range(60), 6))
         spans = list(zip(ends[::2], ends[1::2]))
-        mask, _ = chat.loss_mask(offsets, spans)
-        assert mask == [any(a < d and c < b for c, d in spans) for a, b in offsets]
+        assert chat.loss_mask(offsets, spans) == [any(a < d and c < b for c, d in spans) for a, b in offsets]
+
+
+def test_a_token_missing_from_the_mask_is_missing_from_the_text():
+    formatted, ids, offsets, mask = chat.format_conversation([("assistant", "one two three")], chat.encoder(chat.vocabulary()))
+    on = [i for i, m in enumerate(mask) if m]
+    mask[on[1]] = False
+    assert "".join(chat.text_under(formatted, offsets, mask)) != "one two three"
 
 
 def test_rows(spark):

@@ -1,3 +1,5 @@
+import random
+
 from paperloom.llm import decontaminate
 from tests.llm.data import docs, no_docs, prose
 
@@ -24,6 +26,58 @@ def test_passages_and_swapped_parameters_are_caught(spark):
     assert got[0, 0]["span"] == 30
 
 
+def test_two_values_never_share_one(spark):
+    item = "Tom gives 3 apples to Sue and 5 pears to Bob while 7 plums stay in the basket near the old door today"
+    merged = item.replace("Sue", "Tom").replace("5", "3").replace("7", "3")
+    swapped = item.replace("Sue", "Ann").replace("5", "6").replace("Tom", "Sue")
+    assert set(hits(spark, [merged, swapped, item], [item])) == {(1, 0), (2, 0)}
+
+
+def test_scattered_phrases_are_no_passage(spark):
+    words = prose(2, 220).split()
+    item = " ".join(words)
+    far = [" ".join(words[a : a + 9]) for a in range(0, 200, 40)]  # two windows each
+    stuffed = " ".join(f"{x} {prose(300 + i, 31)}" for i, x in enumerate(far))
+    assert not hits(spark, [stuffed], [item])
+
+
+def test_null_and_repeated_item_ids(spark):
+    a, b, c = prose(1, 30), prose(2, 30), prose(3, 30)
+    table = spark.createDataFrame([(None, a), (7, b), (7, c), (7, c), (8, None)], "item_id long, text string")
+    got = decontaminate.leaks(docs(spark, [f"x {a} y", f"x {b} y", f"x {c} y", prose(9, 60)]), table).collect()
+    assert sorted((r["doc_id"], str(r["item_id"])) for r in got) == [(0, "None"), (1, "7"), (2, "7")]
+
+
+def test_recall_of_reparameterised_questions(spark):
+    """Names, numbers and units replaced one to one, and a word put in, left out or changed."""
+    r = random.Random(5)
+    names = ["Anna", "Boris", "Clara", "David", "Elena", "Frank", "Greta", "Henry"]
+
+    def question(i, values):
+        filler = prose(2000 + i, 24).replace(".", "").split()
+        slots = iter(values)
+        return " ".join(w if k % 6 or not k else f"{w} {next(slots)}" for k, w in enumerate(filler))
+
+    def values():
+        return [*r.sample(names, 2), f"{r.randint(10, 99)}.{r.randint(10, 99)} kg"]
+
+    items = [question(i, values()) for i in range(30)]
+    asked = [question(i, values()) for i in range(30)]
+    for i in range(30):
+        words = asked[i].split()
+        k = r.randint(9, 18)
+        if i % 4 == 1:
+            words.insert(k, "inserted")
+        elif i % 4 == 2:
+            words[k : k + 1] = []
+        elif i % 4 == 3:
+            words[2] = "changed"
+        asked[i] = f"{prose(50, 30)} {' '.join(words)} {prose(51, 30)}"
+    clean = [prose(4000 + i, 90) for i in range(30)]
+    got = set(hits(spark, asked + clean, items))
+    assert len(got & {(i, i) for i in range(30)}) >= 27 and got <= {(i, i) for i in range(30)}
+
+
 def test_short_items_match_whole_texts_only(spark):
     got = hits(spark, ["What is 2 plus 2", "what is 7 plus 9?", "Well, what is 2 plus 2 then", ""], ["What is 2 plus 2?", None, ""])
     assert set(got) == {(0, 0), (1, 0)}

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from paperloom.llm import linededup
 from tests.llm.data import docs, no_docs, prose
@@ -27,6 +29,35 @@ def test_middle_of_a_line_may_vary(spark):
     assert all("Posted" not in r["text"] for r in got.values())
 
 
+def test_names_vary_in_lines_of_any_length(spark):
+    """A name at any place behind the leading tokens, in short, middling and long lines."""
+    long = prose(800, 21).split()
+    r = random.Random(1)
+
+    def notices(i):
+        name = prose(1000 + i, 1).strip(".") + "x" * (i % 7)
+        return [f"Posted by {name} in news", f"This page was last changed {name} ago by the team here", f"Read on {name} for all the rest of it", " ".join([*long[:9], name, *long[9:], name])]
+
+    planted = [notices(i) for i in range(40)]
+    texts = []
+    for i, found in enumerate(planted):
+        lines = [prose(i * 50 + k, r.randint(5, 30)) for k in range(6)] + found
+        r.shuffle(lines)
+        texts.append("\n".join(lines))
+    _, got = run(spark, docs(spark, texts))
+    caught = sum(line not in got[i]["text"].split("\n") for i, found in enumerate(planted) for line in found)
+    assert caught >= 0.9 * 160
+    assert all(got[i]["__n_dropped"] <= 4 for i in range(40))
+
+
+def test_a_common_value_belongs_to_the_wider_template(spark):
+    names = ["Smith"] * 4 + [f"Name{chr(97 + i)}" for i in range(6)]
+    texts = [f"{prose(i, 40)}\nPosted by {name} in our news\n{prose(60 + i, 20)}" for i, name in enumerate(names)]
+    texts += [f"{prose(100 + i, 40)}\nPosted by Smith in {w} news\n{prose(160 + i, 20)}" for i, w in enumerate(("blue", "red"))]
+    _, got = run(spark, docs(spark, texts))
+    assert all(("Posted" in got[i]["text"]) == (i > 9) for i in range(12))
+
+
 def test_fewer_documents_than_asked_keep_their_lines(spark):
     texts = [f"{prose(i, 30)}\n{LICENCE.format(2)}" for i in range(4)]
     _, got = run(spark, docs(spark, texts))
@@ -76,5 +107,5 @@ def test_short_lines_need_more_documents(spark):
     assert all("reserved" not in t and "ornd" not in t for t in got.values())
     assert all(("Thank" in got[i]) == (i < 15) for i in range(40))
     odd = docs(spark)
-    out = linededup.dedup_independent(odd).drop(linededup.N_LINES, linededup.N_DROPPED)
+    out = linededup.dedup_lines(odd).drop(linededup.N_LINES, linededup.N_DROPPED)
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))

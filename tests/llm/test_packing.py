@@ -26,6 +26,48 @@ def test_encoder_equals_the_tokenizer(text):
     assert ids == own.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizers_give_their_own_ids(name):
+    own = Tokenizer.from_file(public_tokenizers.path(name))
+    encode = packing._encoder(packing.vocabulary(public_tokenizers.path(name)))
+    for text in ("Hello  World's 42 ends.\nNew line", " É日 <|endoftext|> x", prose(4, 50), ""):
+        assert np.frombuffer(encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def naive_bins(lengths, capacity):
+    """Best-two-fit, one document after another: fill greedily with the longest that fits, then swap the smallest for two."""
+    left, bins = sorted(lengths), 0
+    while left:
+        own, gap = [], capacity
+        while any(x <= gap for x in left):
+            x = max(x for x in left if x <= gap)
+            left.remove(x)
+            own.append(x)
+            gap -= x
+        while gap:
+            least = min(own)
+            pairs = [(left[i] + left[j], left[i]) for i in range(len(left)) for j in range(i) if left[i] + left[j] <= gap + least]
+            if not pairs or max(pairs)[0] <= least:
+                break
+            total, a = max(pairs)
+            own.remove(least)
+            for x in (a, total - a):
+                left.remove(x)
+                own.append(x)
+            gap += least - total
+            left.append(least)
+        bins += 1
+    return bins
+
+
+def test_plan_on_the_histogram_equals_packing_one_by_one():
+    r = random.Random(11)
+    for _ in range(60):
+        capacity = r.choice([12, 30, 64])
+        lengths = [r.randint(1, capacity) for _ in range(r.randint(1, 40))]
+        assert check_plan(lengths, capacity) == naive_bins(lengths, capacity)
+
+
 def check_plan(lengths, capacity):
     slots, bins = packing.plan_bins(dict(Counter(lengths)), capacity)
     fill, count = defaultdict(int), Counter()
@@ -78,5 +120,10 @@ def test_pack_round_trip(spark, model):
     assert len(by_seq) <= -(-sum(r["length"] for r in got) // capacity) + 2
 
 
+def test_rows_that_repeat_an_id_get_places_of_their_own(spark):
+    got = packing.pack(spark.createDataFrame([(None, "same words here")] * 40 + [(1, "same words here")] * 40, "doc_id long, text string"), capacity=16).collect()
+    assert len(got) == 80 and len({(r["sequence_id"], r["offset"]) for r in got}) == 80
+
+
 def test_empty_table(spark):
     assert packing.pack(no_docs(spark)).count() == 0

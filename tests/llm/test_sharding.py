@@ -38,6 +38,36 @@ def test_place_takes_the_highest_dot_product():
     assert residual.tolist() == [[9.0, 1.0, 5.0], [1.0, 9.0, 5.0]]
 
 
+def test_a_heavy_text_of_one_id_is_cut_evenly(spark):
+    """Equal rows with one doc_id, or none, fill the shards like any others."""
+    for heavy_id in (5, None):
+        rows = [(heavy_id, "the same text")] * 320 + [(100 + i, f"text {i:08d}") for i in range(320)]
+        got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), cell=100).collect()
+        sums, slots = Counter(), {}
+        for r in got:
+            sums[r["shard"]] += r["size"]
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        assert len(got) == 640 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+        assert max(sums.values()) - min(sums.values()) <= 3 * 14
+
+
+def test_all_three_measures_are_about_as_even_as_by_one_list(spark):
+    """Against placing all groups in one list: bytes, tokens and rows over shards."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(["w" * int(n)] * int(k)) + f" {i}" for i, (n, k) in enumerate(zip(r.integers(1, 12, 1200), r.integers(1, 60, 1200)))]
+    got = sharding.shard(docs(spark, texts), heavy=64, cell=200).collect()
+    measures = np.zeros((16, 3))
+    for x in got:
+        measures[x["shard"]] += (x["size"], x["n_tokens"], 1)
+    vectors = np.array([(len(t) + 1, len(t.split()), 1) for t in texts], float)
+    capacity = vectors.sum(axis=0) / 16
+    residual = np.tile(capacity, (16, 1))
+    sharding.place(vectors, residual, capacity)
+    one_list = np.abs(residual / capacity).max(axis=0)
+    ours = np.abs(measures / capacity - 1).max(axis=0)
+    assert (ours <= one_list + 0.05).all()
+
+
 def test_one_document_and_none(spark):
     assert [r["slot"] for r in sharding.shard(docs(spark, ["x"])).collect()] == [0]
     assert sharding.shard(no_docs(spark)).count() == 0
