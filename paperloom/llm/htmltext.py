@@ -1,16 +1,18 @@
 """Main-text extraction by a tree-structured graphical model over the DOM.
 
 Every block element and every block of text is a node with a hidden label, content or boilerplate. Its
-own features (tag, words in class, id and role, length, share of link text, sentence end) give its
-unary potential; a parent and a child are tied by a pairwise potential that depends on the kind of
+own features (tag, words in class, id and role, length, share of link text, sentence ends, and for an
+element those of all its text) give its unary potential; a parent and a child are tied by a pairwise potential that depends on the kind of
 child. Sum-product messages go up to the root and down again, which is exact on a tree, and the blocks
 of text with a content marginal above one half are kept.
 
-The potentials are smoothed counts over labelled pages. The tables carry no labels for pages, so the
-labelled pages come from ``labelled_pages``: layouts with known main text, a documented bounded number
-drawn by a fixed seed. Any other labelled pages can be given to ``train`` instead.
+Pair potentials are smoothed counts over labelled pages, unary ones the weights of a logistic regression. The tables carry no labels for pages, so the
+labelled pages come from ``labelled_pages``: five kinds of layout (``LAYOUTS``: sections by their own
+elements, by telling names, by either, by nothing but plain ``div`` elements, and by table cells) with
+known main text, a documented bounded number drawn by a fixed seed. Any other labelled pages can be
+given to ``train`` instead.
 
-Scripts, styles, comments and form controls never become text. White space inside a block turns into one
+Scripts, styles, comments and form controls never become text, nor do drawings; formulas do. White space inside a block turns into one
 space; blocks are joined by a line feed in page order; character references are decoded. Null and empty
 pages give an empty text. Broken markup is read as browsers would: an open paragraph or list item ends
 where the next begins, unmatched end tags are ignored, open elements end with the page. Repeated rows each give a
@@ -28,13 +30,16 @@ from collections.abc import Iterable
 from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose text is never page text.
-SILENT = frozenset("head title script style noscript template iframe object svg math canvas select option textarea button audio video map".split())
+SILENT = frozenset("head title script style noscript template iframe object svg annotation annotation-xml canvas select option textarea button audio video map".split())
+#: Roots of foreign markup, in which a closing slash ends an element.
+FOREIGN = frozenset({"svg", "math"})
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header"
     " hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -108,6 +113,8 @@ class _Tree(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in FOREIGN and (self.get_starttag_text() or "").endswith("/>"):
+            return  # <svg width=1/> is meant to end here, though the slash belongs to the value
         if tag == "br" or tag == "hr":
             self.run.append(" ")
             if tag == "hr":
@@ -135,7 +142,9 @@ class _Tree(HTMLParser):
         self.silent += tag in SILENT
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        # Elsewhere browsers do not heed the slash.
+        if tag not in FOREIGN and not any(t in FOREIGN for t, _ in self.stack):
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -161,16 +170,46 @@ def parse(page: str | None) -> _Tree:
     return tree
 
 
-def node_features(tree: _Tree, i: int) -> list[str]:
+class _Below:
+    """Words, characters, characters of links, and blocks of text with and without a sentence end below every element."""
+
+    def __init__(self, tree: _Tree) -> None:
+        n = len(tree.tag)
+        self.words, self.chars, self.links, self.stops, self.blocks = ([0] * n for _ in range(5))
+        for i in range(n - 1, 0, -1):
+            text, p = tree.text[i], tree.parent[i]
+            if text is not None:
+                self.words[i], self.chars[i], self.links[i] = len(text.split()), len(text), tree.links[i]
+                self.stops[i], self.blocks[i] = int(_stops(text)), 1
+            self.words[p] += self.words[i]
+            self.chars[p] += self.chars[i]
+            self.links[p] += self.links[i]
+            self.stops[p] += self.stops[i]
+            self.blocks[p] += self.blocks[i]
+
+
+def _stops(text: str) -> bool:
+    return text[-1] in ".!?…\"”»"
+
+
+def _share(part: int, whole: int) -> int:
+    return 0 if not part else 1 if part < 0.4 * whole else 2 if part < 0.8 * whole else 3
+
+
+def node_features(tree: _Tree, i: int, below: _Below) -> list[str]:
     tag = tree.tag[i]
+    links = _share(below.links[i], below.chars[i])
     if tag != "#text":
         hints = tree.hints[i] or ("none",)
-        return ["tag=" + tag, *("hint=" + h for h in hints)]
+        own = ["element", "tag=" + tag, *("hint=" + h for h in hints)]
+        if below.blocks[i] < 2:
+            return own  # a single block speaks for itself
+        size = min(9, int(math.log2(below.words[i] + 1)))
+        return [*own, f"below={size}", f"linked={links}", f"stops={_share(below.stops[i], below.blocks[i])}"]
     text = tree.text[i]
-    n, share = len(text.split()), tree.links[i] / max(1, len(text))
-    out = ["in=" + tree.tag[tree.parent[i]], f"words={min(6, int(math.log2(n)))}", f"links={0 if share == 0 else 1 if share < 0.4 else 2}"]
-    out.append("end=" + ("stop" if text[-1] in ".!?…\"”»" else "none"))
-    if n < 40 and _NOTE.search(text):
+    out = ["text", "in=" + tree.tag[tree.parent[i]], f"words={min(6, int(math.log2(below.words[i])))}", f"links={links}"]
+    out.append("end=" + ("stop" if _stops(text) else "none"))
+    if below.words[i] < 40 and _NOTE.search(text):
         out.append("note")
     return out
 
@@ -199,11 +238,11 @@ class Model:
         n = len(tree.tag)
         # A page of n nodes costs O(n): one message up and one down per edge.
         own = [[0.0, 0.0] for _ in range(n)]
-        kinds = [""] * n
+        kinds, below = [""] * n, _Below(tree)
         own[0] = list(self.root)
         for i in range(1, n):
             kinds[i] = child_kind(tree, i)
-            for f in node_features(tree, i):
+            for f in node_features(tree, i, below):
                 u = self.unary.get(f)
                 if u:
                     own[i][0] += u[0]
@@ -234,11 +273,16 @@ def _add(a: float, b: float) -> float:
 
 
 def train(pages: Iterable[tuple[str, set[str]]], smooth: float = 0.5) -> Model:
-    """From (html, its content blocks): a text node is content if it is one of them, an element if most of its text is."""
-    features, pairs, labels, root = Counter(), Counter(), Counter(), Counter()
+    """From (html, its content blocks): a text node is content if it is one of them, an element if most of its text is.
+
+    Pair potentials are smoothed counts. Unary ones are weights of a logistic regression of the labels on the
+    features, less the labels' prior odds, which the pairs already hold.
+    """
+    pairs, root = Counter(), Counter()
+    seen: dict[str, list[tuple[list[str], int]]] = {"text": [], "element": []}
     for page, content in pages:
         tree = parse(page)
-        n = len(tree.tag)
+        n, below = len(tree.tag), _Below(tree)
         weight = [[0, 0] for _ in range(n)]
         for i in range(n - 1, 0, -1):
             if tree.tag[i] == "#text":
@@ -248,114 +292,184 @@ def train(pages: Iterable[tuple[str, set[str]]], smooth: float = 0.5) -> Model:
         label = [CONTENT if w[0] > w[1] else BOILERPLATE for w in weight]
         root[label[0]] += 1
         for i in range(1, n):
-            kind = "text" if tree.tag[i] == "#text" else "element"
-            labels[kind, label[i]] += 1
             pairs[child_kind(tree, i), label[tree.parent[i]], label[i]] += 1
-            for f in node_features(tree, i):
-                features[f, kind, label[i]] += 1
+            features = node_features(tree, i, below)
+            seen[features[0]].append((features, label[i]))
     unary: dict[str, tuple[float, float]] = {}
-    for f, kind in {(f, kind) for f, kind, _ in features}:
-        unary[f] = tuple(math.log((features[f, kind, y] + smooth) / (labels[kind, y] + 2 * smooth)) for y in (0, 1))
+    for kind, rows in seen.items():
+        for f, w in _logistic(rows, kind).items():
+            unary[f] = (w / 2, -w / 2)
     pair = {}
     for kind in KINDS:
-        rows = [[pairs[kind, y, x] + smooth for x in (0, 1)] for y in (0, 1)]
-        pair[kind] = [[math.log(c / sum(row)) for c in row] for row in rows]
+        counts = [[pairs[kind, y, x] + smooth for x in (0, 1)] for y in (0, 1)]
+        pair[kind] = [[math.log(c / sum(row)) for c in row] for row in counts]
     total = sum(root.values()) + 2 * smooth
     return Model(unary, pair, tuple(math.log((root[y] + smooth) / total) for y in (0, 1)))
 
 
-def labelled_pages(n: int = 400, seed: int = 7) -> Iterable[tuple[str, set[str]]]:
-    """Pages with known main text: (html, set of content blocks)."""
+def _logistic(rows: list[tuple[list[str], int]], bias: str, ridge: float = 1.0, steps: int = 12) -> dict[str, float]:
+    """Weight of every feature in the log odds of content, by Newton's method; ``bias`` is the feature that all rows have."""
+    names = sorted({f for features, _ in rows for f in features})
+    if not names:
+        return {}
+    column = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for i, (features, _) in enumerate(rows):
+        x[i, [column[f] for f in features]] = 1
+    y = np.array([label == CONTENT for _, label in rows], float)
+    w = np.zeros(len(names))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+    w[column[bias]] -= math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    return dict(zip(names, w.tolist()))
+
+
+LAYOUTS = ("elements", "names", "mixed", "bare", "table")
+_ELEMENTS = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form", "talk": "section", "main": "article main", "ad": "aside", "notice": "dialog", "share": "aside"}
+_NAMES = {
+    "menu": "nav menu navbar breadcrumb",
+    "head": "header masthead banner",
+    "foot": "footer copyright legal",
+    "side": "sidebar related widget trending",
+    "ad": "ad ads advert sponsored promo",
+    "notice": "cookie consent notice newsletter popup alert",
+    "form": "form search login contact",
+    "talk": "comments discussion replies",
+    "share": "share social tags byline",
+    "main": "content article-body post entry-content story",
+}
+
+
+def labelled_pages(n: int = 600, seed: int = 7, layouts: tuple[str, ...] = LAYOUTS) -> Iterable[tuple[str, set[str]]]:
+    """Pages with known main text: (html, set of content blocks). The layouts take turns."""
     r = random.Random(seed)
     syllables = [a + b for a in "bdfgklmnprstv" for b in "aeiou"]
 
     def word() -> str:
         return "".join(r.choices(syllables, k=r.randint(1, 4)))
 
+    def words(least: int, most: int) -> str:
+        return " ".join(word() for _ in range(r.randint(least, most)))
+
     def sentence(least: int, most: int) -> str:
-        return " ".join(word() for _ in range(r.randint(least, most))).capitalize() + r.choice(["."] * 8 + ["!", "?"])
-
-    def prose(content: set[str]) -> str:
-        text = " ".join(sentence(1, 14) for _ in range(r.choice([1, 1, 2, 3, 5, 8])))
-        if r.random() < 0.15:
-            text = " | ".join(word() for _ in range(r.randint(3, 20)))
-        elif r.random() < 0.1:
-            text = text.rstrip(".!?")
-        content.add(text)
-        return html_lib.escape(text)
-
-    def links(k: int) -> str:
-        return "".join(f'<li><a href="/{word()}">{word().capitalize() if r.random() < 0.5 else word()}</a></li>' for _ in range(k))
-
-    def named(tag: str, *classes: str) -> tuple[str, str]:
-        """An element by its own tag or, as often, a div with a telling class."""
-        kind = r.random()
-        if kind < 0.4 and tag != "div":
-            return f"<{tag}>", f"</{tag}>"
-        name = r.choice(classes) + r.choice(["", "", "-box", " wrap", "_1"])
-        tag = r.choice([tag, "div", "section"]) if kind < 0.8 else "div"
-        return f'<{tag} {r.choice(["class", "class", "id"])}="{name}">', f"</{tag}>"
-
-    def boilerplate(kind: str) -> str:
-        p, h = r.random(), r.choice(["h2", "h3", "h4", "p"])
-        if kind == "menu":
-            a, b = named("nav", "nav", "menu", "navbar", "breadcrumb")
-            return f"{a}<ul>{links(r.randint(3, 9))}</ul>{b}"
-        if kind == "head":
-            a, b = named("header", "header", "masthead", "banner")
-            return f"{a}<h1>{word()}</h1>{'<p>' + sentence(2, 6) + '</p>' if p < 0.5 else ''}{b}" if p < 0.7 else f"{a}{word()} {word()}{b}"
-        if kind == "foot":
-            a, b = named("footer", "footer", "copyright", "legal")
-            return f"{a}&copy; {r.choice([word() + '.example', '2024 ' + word()])} &middot; {' '.join(sentence(2, 9) for _ in range(r.randint(1, 3)))}{b}"
-        if kind == "side":
-            a, b = named("aside", "sidebar", "related", "widget", "trending")
-            return f"{a}<{h}>{word()}</{h}>{'<ul>' + links(r.randint(2, 6)) + '</ul>' if p < 0.6 else '<p>' + ' '.join(sentence(3, 12) for _ in range(r.randint(1, 4))) + '</p>'}{b}"
-        if kind == "ad":
-            a, b = named("div", "ad", "ads", "advert", "sponsored", "promo")
-            return f"{a}{' '.join(sentence(2, 10) for _ in range(r.randint(1, 3)))}{b}"
-        if kind == "notice":
-            a, b = named("div", "cookie", "consent", "notice", "newsletter", "popup", "alert")
-            return f"{a}{'<p>' if p < 0.5 else ''}{r.choice(['We use cookies. ', 'Subscribe now. ', ''])}{sentence(3, 12)}{'</p>' if p < 0.5 else ''}{b}"
-        if kind == "form":
-            a, b = named("form", "form", "search", "login", "contact")
-            return f"{a}<label>{word()}</label><input name=q><p>{sentence(2, 7)}</p><button>{word()}</button>{b}"
-        if kind == "share":
-            a, b = named("div", "share", "social", "tags", "byline")
-            return f"{a}{word()} {word()}{b}"
-        a, b = named("section", "comments", "comment", "discussion", "replies")
-        return f"{a}<{h}>{r.choice(['Comments', word()])}</{h}>" + "".join(f'<div class="comment"><b>{word()}</b><p>{" ".join(sentence(2, 12) for _ in range(r.randint(1, 4)))}</p></div>' for _ in range(r.randint(1, 5))) + b
-
-    for _ in range(n):
+        return words(least, most).capitalize() + r.choice(["."] * 8 + ["!", "?"])
+
+    def sentences(k: int, least: int, most: int) -> str:
+        return " ".join(sentence(least, most) for _ in range(k))
+
+    def link() -> str:
+        return f'<a href="/{word()}">{words(1, 3).capitalize() if r.random() < 0.5 else word()}</a>'
+
+    def links() -> str:
+        """Links as a list, a line or a row of blocks."""
+        kind, own = r.random(), [link() for _ in range(r.randint(3, 9))]
+        if kind < 0.6:
+            return "<ul>" + "".join(f"<li>{x}</li>" for x in own) + "</ul>"
+        return r.choice([" | ", " &middot; ", " "]).join(own) if kind < 0.8 else "".join(f"<div>{x}</div>" for x in own)
+
+    def page(layout: str) -> tuple[str, set[str]]:
         content: set[str] = set()
 
+        def region(kind: str) -> tuple[str, str]:
+            if layout in ("bare", "table"):
+                tag = "form" if kind == "form" else "div"
+                return f"<{tag}>", f"</{tag}>"
+            if layout == "elements" or (layout == "mixed" and r.random() < 0.5):
+                tag = r.choice(_ELEMENTS[kind].split())
+                name = f' id="{kind}"' if kind in ("ad", "notice", "share") else ' id="comments"' if kind == "talk" else ""
+                return f"<{tag}{name}>", f"</{tag}>"
+            name = r.choice(_NAMES[kind].split()) + r.choice(["", "", "-box", " wrap", "_1"])
+            tag = r.choice(["div", "div", "section"]) if kind != "form" else "form"
+            return f'<{tag} {r.choice(["class", "class", "id"])}="{name}">', f"</{tag}>"
+
+        def prose() -> str:
+            """A block of content; with links or inline markup at times, which leave the text as it is."""
+            text = sentences(r.choice([1, 1, 2, 3, 5, 8]), 1, 14)
+            kind = r.random()
+            if kind < 0.1:
+                text = " | ".join(word() for _ in range(r.randint(3, 20)))
+            elif kind < 0.2:
+                text = text.rstrip(".!?")
+            elif kind < 0.4:
+                text = sentence(1, r.choice([1, 3, 6]))
+            elif kind < 0.45:  # content too may speak of such things
+                text = r.choice(["All rights reserved.", "This says more on cookies. ", "She did subscribe to it. ", "His privacy policy is old. "]) + (sentence(1, 9) if r.random() < 0.5 else "")
+                text = text.strip()
+            content.add(text)
+            parts = text.split(" ")
+            if len(parts) > 2 and r.random() < 0.3:
+                i = r.randrange(len(parts) - 1)
+                j = min(len(parts), i + r.randint(1, 3))
+                a, b = r.choice([('<a href="/x">', "</a>")] * 3 + [("<b>", "</b>"), ("<em>", "</em>"), ("<code>", "</code>")])
+                return html_lib.escape(" ".join(parts[:i]) + " " * (i > 0)) + a + html_lib.escape(" ".join(parts[i:j])) + b + html_lib.escape(" " * (j < len(parts)) + " ".join(parts[j:]))
+            return html_lib.escape(text)
+
+        def item() -> str:
+            return r.choice(["<li>{}</li>", "<li><p>{}</p></li>"]).format(prose())
+
         def body_part() -> str:
             p = r.random()
             if p < 0.7:
-                return f"<p>{prose(content)}</p>"
-            if p < 0.78:
-                return f"<p><b>{prose(content)}<br>"
-            if p < 0.86:
-                return f"<h2>{prose(content)}</h2>"
-            if p < 0.92:
-                return "<ul>" + "".join(f"<li>{prose(content)}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
-            if p < 0.95:
-                return f"<blockquote><p>{prose(content)}</p></blockquote>"
-            if p < 0.975:
-                return "<table>" + "".join(f"<tr><td>{prose(content)}</td><td>{prose(content)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>"
-            return f"<pre>{prose(content)}</pre>"
-
-        title = prose(content)
+                return f"<p>{prose()}</p>"
+            if p < 0.8:
+                return f"<{(h := r.choice(['h2', 'h3']))}>{prose()}</{h}>"
+            if p < 0.87:
+                return "<ul>" + "".join(item() for _ in range(r.randint(2, 5))) + "</ul>"
+            if p < 0.9:
+                return f"<blockquote><p>{prose()}</p></blockquote>"
+            if p < 0.94:
+                return "<table>" + "".join(f"<tr><td>{prose()}</td><td>{prose()}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>"
+            if p < 0.97:
+                return f"<figure><img src=x><figcaption>{prose()}</figcaption></figure>"
+            return f"<pre>{prose()}</pre>"
+
+        def boilerplate(kind: str) -> str:
+            p, h, (a, b) = r.random(), r.choice(["h2", "h3", "h4", "p"]), region(kind)
+            if kind == "menu":
+                return a + links() + b
+            if kind == "head":
+                return f"{a}<{(t := r.choice(['h1', 'div', 'p']))}>{words(1, 3)}</{t}>{'<p>' + sentence(2, 6) + '</p>' if p < 0.4 else links() if p < 0.6 else ''}{b}"
+            if kind == "foot":
+                line = r.choice([f"&copy; 20{r.randint(10, 25)} {words(1, 2)}", f"Copyright {words(1, 2)}. All rights reserved.", f"{words(1, 2)}, {r.randint(1, 99)} {word()}, {word()}", sentences(r.randint(1, 3), 2, 9)])
+                return f"{a}{'<p>' + line + '</p>' if p < 0.6 else line}{links() if p < 0.4 else ''}{b}"
+            if kind == "side":
+                inner = links() if p < 0.6 else "<p>" + sentences(r.randint(1, 4), 3, 12) + "</p>" if p < 0.8 else "".join(f"<div>{link()}<p>{sentence(4, 10)}</p></div>" for _ in range(r.randint(1, 4)))
+                return f"{a}<{h}>{word()}</{h}>{inner}{b}"
+            if kind == "ad":
+                return f"{a}{sentences(r.randint(1, 3), 2, 10) if p < 0.6 else '<p>' + link() + ' ' + sentence(2, 6) + '</p>'}{b}"
+            if kind == "notice":
+                line = r.choice(["We use cookies. ", "Subscribe now. ", "Sign up for our newsletter. ", ""]) + sentence(3, 12)
+                return f"{a}{'<p>' + line + '</p>' if p < 0.5 else line}{link() if p < 0.3 else ''}{b}"
+            if kind == "form":
+                return f"{a}<label>{word()}</label><input name=q><p>{sentence(2, 7)}</p><button>{word()}</button>{b}"
+            if kind == "share":
+                return f"{a}{links() if p < 0.5 else words(2, 4)}{b}"
+            said = "".join(f"<div{' class=comment' if layout not in ('bare', 'table') else ''}><b>{word()}</b> {word()} {r.randint(1, 28)}<p>{sentences(r.randint(1, 4), 2, 12)}</p></div>" for _ in range(r.randint(1, 5)))
+            return f"{a}<{h}>{r.choice(['Comments', word()])}</{h}>{said}{b}"
+
+        title = words(2, 8).capitalize()
+        content.add(title)
         parts = [body_part() for _ in range(r.choice([1, 2, 4, 8, 15]))]
         if r.random() < 0.35:
             parts.insert(r.randint(0, len(parts)), boilerplate(r.choice(["ad", "share", "side", "notice", "form"])))
-        a, b = ("<article>", "</article>") if r.random() < 0.6 else named("main", "content", "article-body", "post", "entry-content", "story")
+        a, b = region("main")
         main = f"{a}<h1>{title}</h1>{''.join(parts)}{b}"
-        if r.random() < 0.3:
-            main = f"<div class=\"{r.choice(['wrapper', 'page', 'container', 'main'])}\">{main}{boilerplate('side') if r.random() < 0.5 else ''}</div>"
         before = [boilerplate(k) for k in ("head", "menu", "notice", "ad", "form") if r.random() < 0.55]
         after = [boilerplate(k) for k in ("talk", "side", "ad", "notice", "form", "foot") if r.random() < 0.5]
         r.shuffle(before)
-        yield f"<!DOCTYPE html><html><head><title>{title}</title><script>x('</p>')</script></head><body>{''.join(before)}{main}{''.join(after)}</body></html>", {" ".join(x.split()) for x in content}
+        if layout == "table":
+            cells = "".join(f"<td>{x}</td>" for x in (boilerplate("menu"), main, boilerplate("side")))
+            inner = f"<table><tr><td colspan=3>{''.join(before)}</td></tr><tr>{cells}</tr><tr><td colspan=3>{''.join(after)}</td></tr></table>"
+        elif r.random() < 0.4:
+            name = "" if layout == "bare" else f' class="{r.choice(["wrapper", "page", "container", "main"])}"'
+            inner = f"{''.join(before)}<div{name}>{main}{boilerplate('side') if r.random() < 0.5 else ''}</div>{''.join(after)}"
+        else:
+            inner = "".join((*before, main, *after))
+        return f"<html><head><title>{title} - {word()}</title><script>track(1)</script></head><body>{inner}</body></html>", {" ".join(x.split()) for x in content}
+
+    for i in range(n):
+        yield page(layouts[i % len(layouts)])
 
 
 @lru_cache(1)

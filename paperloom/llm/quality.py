@@ -5,7 +5,8 @@ Each line that holds a word is judged on its own:
 * punctuation: fewer than ``short_line`` words and no sentence end, or more than ``noisy_share`` of its
   words carry symbol punctuation (two or more of ``#*$%&|<>`` or ``!``);
 * navigation: more than ``separator_share`` of its words are bare separators such as ``|`` or ``»``;
-* boilerplate: at most ``boilerplate_words`` words and a licence, cookie or rights notice.
+* boilerplate: at most ``boilerplate_words`` words and a licence, cookie or rights notice, by phrases of
+  the four languages of the corpus (others are caught by the year after ``©`` and by loan words alone).
 
 A document is kept if it passes the base rules (``min_words``, share of words in repeated 5-word
 windows) and its remaining lines hold at least ``keep_share`` of its word characters.
@@ -26,12 +27,19 @@ from pyspark.sql import functions as F
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-SENTENCE_END = re.compile(r"[.!?…。！？:;][\"'”’»)\]]*$")
+SENTENCE_END = re.compile(r"[.!?…。！？:;؟।॥։።][\"'”’»)\]]*$")
 NOISY_WORD = re.compile(r"[#*$%&|<>]{2,}|!{2,}")
 SEPARATORS = frozenset({b"|", b"||", b"/", b"//", b">", b">>", "»".encode(), "›".encode(), "•".encode(), "·".encode(), b"::"})
+#: Licence, rights, cookie and account notices in English, German, French and Spanish.
 BOILERPLATE = re.compile(
     r"all rights reserved|licen[sc]ed under|released under|creative commons|general public license|copyright ©|© ?\d{4}"
-    r"|cookie|privacy policy|terms of (use|service)|subscribe to|sign up|log ?in\b|click here|powered by",
+    r"|cookie|privacy policy|terms of (use|service)|subscribe to|sign up|log ?in\b|click here|powered by"
+    r"|alle rechte vorbehalten|lizenziert unter|veröffentlicht unter der|datenschutzerklärung|nutzungsbedingungen"
+    r"|newsletter abonnieren|jetzt (anmelden|registrieren|abonnieren)|hier klicken|klicken sie hier"
+    r"|tous droits réservés|sous licence|politique de confidentialité|conditions (générales )?d['’]utilisation|mentions légales"
+    r"|abonnez-vous|inscrivez-vous|cliquez ici|propulsé par"
+    r"|todos los derechos reservados|bajo (la |una )?licencia|política de privacidad|términos (de uso|y condiciones)|aviso legal"
+    r"|suscr[ií]bete|reg[ií]strate|ha(z|ga) clic|iniciar sesión",
     re.I,
 )
 

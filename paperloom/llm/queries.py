@@ -10,10 +10,19 @@ from paperloom.llm.common import small_batches, table
 from paperloom.sources.scratch import scratch_path
 
 _W = r"[^\x20\x09-\x0D]+"
-_LINE_FAILS = rf"""(len(w) < 5 AND NOT regexp_matches(line, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*$'))
+#: The notices, stated a second time for the SQL.
+_NOTICES = """all rights reserved|licen[sc]ed under|released under|creative commons|general public license|copyright ©|© ?\\d{4}
+|cookie|privacy policy|terms of (use|service)|subscribe to|sign up|log ?in\\b|click here|powered by
+|alle rechte vorbehalten|lizenziert unter|veröffentlicht unter der|datenschutzerklärung|nutzungsbedingungen
+|newsletter abonnieren|jetzt (anmelden|registrieren|abonnieren)|hier klicken|klicken sie hier
+|tous droits réservés|sous licence|politique de confidentialité|conditions (générales )?d[''’]utilisation|mentions légales
+|abonnez-vous|inscrivez-vous|cliquez ici|propulsé par
+|todos los derechos reservados|bajo (la |una )?licencia|política de privacidad|términos (de uso|y condiciones)|aviso legal
+|suscr[ií]bete|reg[ií]strate|ha(z|ga) clic|iniciar sesión""".replace("\n", "")
+_LINE_FAILS = rf"""(len(w) < 5 AND NOT regexp_matches(line, '[.!?…。！？:;؟।॥։።]["''”’»)\]]*[\x20\x09-\x0D]*$'))
  OR len(list_filter(w, lambda x: x IN ('|', '||', '/', '//', '>', '>>', '»', '›', '•', '·', '::'))) > 0.2 * len(w)
  OR len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]{{2,}}|!{{2,}}'))) > 0.3 * len(w)
- OR (len(w) <= 20 AND regexp_matches(line, '(?i){quality.BOILERPLATE.pattern}'))"""
+ OR (len(w) <= 20 AND regexp_matches(line, '(?i){_NOTICES}'))"""
 
 
 #: Stated here a second time, apart from the operator: what each kind of secret looks like.
@@ -55,13 +64,24 @@ ORACLE_SQL: dict[str, str] = {
  base AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines, coalesce(n, 0) AS n_repeat_words, n_lines_removed, left_chars FROM d JOIN by_doc USING (doc_id) LEFT JOIN rep USING (doc_id)),
  failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
  SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND left_chars >= 0.5 * word_chars AS kept, n_lines_removed FROM failed""",
-    "op10_line_dedup": rf"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+    "op10_line_dedup": rf"""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
  lines AS (SELECT doc_id, k, l[k] AS line, list_transform(regexp_extract_all(l[k], '{_W}'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM d)),
- named AS (SELECT doc_id, k, line, len(w) AS n, len(w) || ':' || CASE WHEN len(w) > 8 AND len(w) <= 16 THEN array_to_string(w[1:8], ' ') || ' <*>' ELSE array_to_string(w, ' ') END AS t FROM lines),
- placed AS (SELECT *, struct_pack(a := lag(t) OVER o, b := lead(t) OVER o) AS context FROM named WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
- of_docs AS (SELECT t, doc_id, arg_min(context, k) AS context FROM placed WHERE n >= 4 GROUP BY ALL),
- often AS (SELECT t FROM of_docs GROUP BY t HAVING count(DISTINCT context) >= 5 AND count(DISTINCT context) >= 0.5 * count(*)),
- marked AS (SELECT doc_id, k, line, n >= 4 AND t IN (SELECT t FROM often) AS gone FROM placed)
+ sets AS (SELECT doc_id, list_sort(list_distinct(list(array_to_string(w, ' ')))) AS s FROM lines WHERE len(w) > 0 GROUP BY doc_id),
+ elems AS (SELECT node, s, string_split(s, ' ') AS w FROM (SELECT min(doc_id) AS node, unnest(s) AS s FROM sets GROUP BY s)),
+ sizes AS (SELECT node, sum(least(len(w), 255)) AS size FROM elems GROUP BY node),
+ common AS (SELECT a.node AS a, b.node AS b, sum(least(len(a.w), 255)) AS common FROM elems a JOIN elems b ON a.s = b.s AND a.node < b.node GROUP BY ALL),
+ alike AS (SELECT a, b FROM common JOIN sizes x ON x.node = a JOIN sizes y ON y.node = b WHERE common >= 0.5 * greatest(x.size, y.size)),
+ reach(node, root) AS (SELECT node, node FROM sizes UNION SELECT e.b, reach.root FROM reach JOIN (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike) e ON e.a = reach.node),
+ held AS (SELECT DISTINCT s, w, root FROM elems JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) USING (node)),
+ exact AS (SELECT s FROM held GROUP BY s, w HAVING count(*) >= 5 * pow(2, greatest(4 - len(w), 0))),
+ words AS (SELECT s, w, len(w) AS n, root, unnest(range(1, len(w) + 1)) AS i FROM held WHERE len(w) > 4),
+ constant AS (SELECT n, w[1] AS w1, w[2] AS w2, i, w[i] AS t FROM words GROUP BY ALL HAVING count(DISTINCT root) >= 5),
+ fields AS (SELECT DISTINCT s, words.n, words.i, coalesce(t, chr(1)) AS t FROM words LEFT JOIN constant c ON c.n = words.n AND w1 = w[1] AND w2 = w[2] AND c.i = words.i AND t = w[words.i]),
+ named AS (SELECT s, n, list(t ORDER BY i) AS t, count(*) FILTER (t <> chr(1)) AS c FROM fields GROUP BY s, n),
+ often AS (SELECT t FROM named JOIN held USING (s) WHERE c >= 4 AND c >= 0.75 * n GROUP BY t HAVING count(DISTINCT root) >= 5),
+ wider AS (SELECT s, list_concat(t[1:i - 1], [chr(1)], t[i + 1:]) AS t FROM (SELECT s, t, unnest(range(1, n + 1)) AS i FROM named) WHERE t[i] <> chr(1)),
+ gone AS (SELECT s FROM exact UNION SELECT s FROM named WHERE t IN (SELECT t FROM often) UNION SELECT s FROM wider WHERE t IN (SELECT t FROM often)),
+ marked AS (SELECT doc_id, k, line, array_to_string(w, ' ') IN (SELECT s FROM gone) AS gone FROM lines)
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id""",
     "op5_secret_scan": _secret_sql(),
 }

@@ -36,6 +36,28 @@ def test_lines_are_judged_alone():
     assert not lost[6] and not lost[5]
 
 
+NOTICES = {
+    "en": ["© 2024 Example Ltd.", "All rights reserved.", "Licensed under CC BY-NC 4.0.", "Read our privacy policy and the terms of use here.", "Please log in to continue."],
+    "de": ["Alle Rechte vorbehalten.", "Lizenziert unter der MIT-Lizenz.", "Mehr dazu in unserer Datenschutzerklärung.", "Diese Seite verwendet Cookies.", "Jetzt anmelden und weiterlesen!"],
+    "fr": ["Tous droits réservés.", "Publié sous licence MIT.", "Voir notre politique de confidentialité.", "Ce site utilise des cookies.", "Abonnez-vous dès maintenant !"],
+    "es": ["Todos los derechos reservados.", "Publicado bajo la licencia MIT.", "Consulte nuestra política de privacidad.", "Este sitio utiliza cookies.", "Suscríbete hoy mismo."],
+}
+CLEAN = {
+    "en": ["The river rose by a metre in one night.", "She logged the results and went home.", "Every right has its price.", "\"Who is there?\" he asked.", "They baked bread for the whole street."],
+    "de": ["Der Fluss stieg über Nacht um einen Meter.", "Sie hatte recht behalten.", "Die Bedingungen waren hart.", "Er las den Brief zweimal.", "Am Abend wurde es kalt."],
+    "fr": ["La rivière a monté d'un mètre cette nuit.", "Il avait le droit de partir.", "Nous avons lu la lettre deux fois.", "Le pain était encore chaud.", "Où vas-tu ?"],
+    "es": ["El río subió un metro en una noche.", "Tenía derecho a irse.", "Leímos la carta dos veces.", "El pan estaba todavía caliente.", "¿Adónde vas?"],
+}
+
+
+def test_notices_of_all_four_languages_are_found():
+    fails = lambda line: quality.line_fails(line, line.encode().split())
+    for lang in NOTICES:
+        assert sum(map(fails, NOTICES[lang])) == 5, lang
+        assert not [x for x in CLEAN[lang] if fails(x)], lang
+    assert not fails("هل هذا صحيح؟") and not fails("यह सही है।")
+
+
 def test_clean_documents_stay_and_columns_too(spark):
     df = docs(spark, [prose(i, 50 + 7 * i) for i in range(20)] + [None, "", "too short"])
     kept = quality.filter_documents(df)
