@@ -133,3 +133,51 @@ SIGNATURE_LABELS = [
     "unterschrift", "unterschriften", "ort, datum, unterschrift", "datum, unterschrift", "hier unterschreiben", "unterzeichner",
     "signer ici", "signataire", "التوقيع", "توقيع", "واژۆ", "ئیمزا",
 ]
+
+#: Field types by the first group that has a keyword in the lower-cased label; glyphs and short options are tested between.
+TYPE_KEYWORDS = {
+    "signature": ["signature", "unterschrift", "sign here", "signed"],
+    "option": ["ja", "nein", "yes", "no", "männlich", "weiblich", "divers", "ledig", "verheiratet"],
+    "email": ["e-mail", "email", "e mail"],
+    "date": ["date", "datum", "birth", "geburt", "geboren", "dob", "valid", "expiry"],
+    "phone": ["phone", "tel", "telefon", "mobile", "handy", "fax"],
+    "number": ["amount", "betrag", "iban", "zip", "postal", "plz", "number", "nummer", "no.", "nr", "sum", "total", "konto", "account", "salary", "income", "einkommen"],
+    "name": ["name", "vorname", "nachname", "first name", "last name", "surname", "familienname"],
+}
+CHECKBOX_GLYPHS = "[]()□☐☑☒■◻◼⬜"
+RADIO_GLYPHS = "○◎◉◯⚪⚫"
+
+#: Words that tell what a form field takes.
+INPUT_KEYWORDS = {
+    "email": ["e-mail", "email", "mail", "ئیمەیڵ", "البريد", "ایمیل", "correo"],
+    "place": ["place", "city", "town", "stadt", "wohnort", "geburtsort", "شوێن", "مكان", "محل", "lugar", "ciudad"],
+    "date": ["datum", "date", "geburtsdatum", "geboren", "birth", "tt.mm", "dd.mm", "dd/mm", "mm/dd", "jjjj", "yyyy", "بەروار", "تاريخ", "تاریخ", "fecha"],
+    "phone": ["telefon", "phone", "tel.", "mobil", "handy", "fax", "تەلەفۆن", "مۆبایل", "هاتف", "تلفن", "teléfono"],
+    "zip": ["plz", "postleitzahl", "zip", "postal", "postcode", "código postal"],
+    "number": ["hausnummer", "hausnr", "betrag", "amount", "anzahl", "summe", "menge", "quantity", "ژمارە", "رقم", "عدد"],
+}
+
+#: Profile keys by the first rule that has a keyword in the lower-cased label.
+PROFILE_RULES = {
+    "first_name": ["first name", "given name", "forename", "vorname", "prénom", "prenom", "nombre", "الاسم الأول"],
+    "last_name": ["last name", "surname", "family name", "nachname", "familienname", "nom de famille", "apellido", "apellidos", "اسم العائلة"],
+    "date_of_birth": ["date of birth", "birth date", "birthday", "dob", "geburtsdatum", "geburtstag", "date de naissance", "fecha de nacimiento", "تاريخ الميلاد"],
+    "nationality": ["nationality", "citizenship", "staatsangehörigkeit", "nationalité", "nacionalidad", "الجنسية"],
+    "email": ["email", "e-mail", "correo", "البريد"],
+    "phone_number": ["phone", "telephone", "mobile", "telefon", "téléphone", "telefono", "teléfono", "الهاتف"],
+    "postal_code": ["postal code", "post code", "postcode", "zip", "plz", "postleitzahl", "code postal", "código postal", "codigo postal", "الرمز البريدي"],
+    "street_address": ["address", "street", "anschrift", "straße", "strasse", "adresse", "dirección", "direccion", "calle", "العنوان"],
+    "city": ["city", "town", "stadt", "ville", "ciudad", "المدينة"],
+    "country": ["country", "pays", "país", "pais", "الدولة"],
+    "id_number": ["passport", "id number", "identity", "national id", "reisepass", "ausweis", "pasaporte", "جواز"],
+    "employer_name": ["employer", "company", "organization", "organisation", "arbeitgeber", "employeur", "empresa", "جهة العمل"],
+    "job_title": ["job title", "occupation", "position", "beruf", "profession", "profesión", "profesion", "cargo", "المهنة"],
+}
+
+#: Files that may be analysed.
+ALLOWED_TYPES = (
+    "application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/msword",
+    "image/png", "image/jpeg", "image/jpg", "image/tiff", "image/webp", "image/gif",
+)
+UPLOAD_TYPES = ("application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "image/png", "image/jpeg")
+WIDGET_KINDS = {1: "text", 2: "checkbox", 3: "radio", 4: "select", 5: "text", 6: "signature"}

@@ -12,6 +12,7 @@ MODULES: list[str] = [
     "paperloom.operators.retrieval",
     "paperloom.operators.usage",
     "paperloom.operators.forms",
+    "paperloom.operators.fields",
     "paperloom.operators.textops",
     "paperloom.operators.pages",
     "paperloom.operators.answers",
