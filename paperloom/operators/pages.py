@@ -174,12 +174,15 @@ def outline_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Elements and regions with made-up places, from line items: parts are elements, the first line of an order a region."""
+    """Elements and regions with made-up places, from line items: all are elements, the first line of an order is a region too.
+
+    Twenty orders make a page, so pages grow in number with the table and not in size.
+    """
     li = _t(spark, sf_dir, "lineitem")
-    page = F.col("l_orderkey") % 50
+    page = F.floor(F.col("l_orderkey") / 20)
     x, y = (F.col("l_partkey") % 90) / 100, (F.col("l_suppkey") % 80) / 100
     elements = li.select(page.alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), x.alias("x"), y.alias("y"), (F.col("l_quantity") / 500).alias("w"), ((F.col("l_quantity") % 3) / 100).alias("h"), F.concat(F.lit("w-"), F.col("l_partkey").cast("string")).alias("word"))
-    regions = li.where("l_linenumber = 1 AND l_orderkey % 7 = 0").select(page.alias("page"), F.col("l_orderkey").alias("region"), x.alias("x"), y.alias("y"), F.lit(0.05).alias("w"), F.lit(0.03).alias("h"))
+    regions = li.where("l_linenumber = 1").select(page.alias("page"), F.col("l_orderkey").alias("region"), x.alias("x"), y.alias("y"), F.lit(0.05).alias("w"), F.lit(0.03).alias("h"))
     return elements, regions
 
 
@@ -208,7 +211,7 @@ _ALL = (page_range_parse, page_range_format, page_invert, page_move, bates_label
 QUERIES = {f.__name__: f for f in _ALL}
 
 _HEAD = "x AS (SELECT page_id, regexp_extract_all(html, '(?i)(<h[1-6])[ >]', 1) AS g, regexp_extract_all(html, '(?i)<h[1-6][^>]*>([^<]*)', 1) AS t FROM pages), h AS (SELECT page_id // 10 AS doc, page_id % 10 * 100 + k - 1 AS idx, page_id % 10 AS page, CAST(right(g[k], 1) AS INTEGER) + page_id % 10 % 3 AS level, t[k] AS title FROM (SELECT *, unnest(range(1, len(g) + 1)) AS k FROM x))"
-_BOX = "e AS (SELECT l_orderkey % 50 AS page, l_orderkey * 10 + l_linenumber AS idx, (l_partkey % 90) / 100 AS x, (l_suppkey % 80) / 100 AS y, l_quantity / 500 AS w, (l_quantity % 3) / 100 AS h, 'w-' || l_partkey AS word FROM lineitem), r AS (SELECT l_orderkey % 50 AS page, l_orderkey AS region, (l_partkey % 90) / 100 AS x, (l_suppkey % 80) / 100 AS y, 0.05::DOUBLE AS w, 0.03::DOUBLE AS h FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0)"
+_BOX = "e AS (SELECT l_orderkey // 20 AS page, l_orderkey * 10 + l_linenumber AS idx, (l_partkey % 90) / 100 AS x, (l_suppkey % 80) / 100 AS y, l_quantity / 500 AS w, (l_quantity % 3) / 100 AS h, 'w-' || l_partkey AS word FROM lineitem), r AS (SELECT l_orderkey // 20 AS page, l_orderkey AS region, (l_partkey % 90) / 100 AS x, (l_suppkey % 80) / 100 AS y, 0.05::DOUBLE AS w, 0.03::DOUBLE AS h FROM lineitem WHERE l_linenumber = 1)"
 _INS = "{0} >= r.x AND {0} < r.x + r.w AND {1} >= r.y AND {1} < r.y + r.h"
 ORACLE_SQL = {
     "page_range_parse": f"WITH s AS (SELECT id, unnest(list_filter(list_transform(string_split(trim(spec), ','), lambda p: trim(p)), lambda p: p <> '')) AS p FROM {values(SPECS, 'id, spec', 't')}), b AS (SELECT id, TRY_CAST(CASE WHEN contains(p, '-') THEN trim(split_part(p, '-', 1)) ELSE p END AS INTEGER) AS a, TRY_CAST(CASE WHEN contains(p, '-') THEN trim(substr(p, instr(p, '-') + 1)) ELSE p END AS INTEGER) AS b FROM s), o AS (SELECT id, bool_and(coalesce(a BETWEEN 1 AND 10 AND b BETWEEN 1 AND 10, false)) AS good, flatten(list(range(least(a, b) - 1, greatest(a, b)))) AS p FROM b GROUP BY id) SELECT CAST(t.id AS BIGINT) AS id, CASE WHEN o.id IS NULL THEN '' WHEN good THEN array_to_string(list_sort(list_distinct(p)), ' ') END AS pages FROM {values(SPECS, 'id, spec', 't')} LEFT JOIN o ON o.id = t.id",

@@ -13,6 +13,8 @@ MODULES: list[str] = [
     "paperloom.operators.usage",
     "paperloom.operators.forms",
     "paperloom.operators.fields",
+    "paperloom.operators.accounts",
+    "paperloom.operators.geometry",
     "paperloom.operators.textops",
     "paperloom.operators.pages",
     "paperloom.operators.answers",
