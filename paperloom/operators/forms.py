@@ -181,7 +181,11 @@ def ontology_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, CHECKS, "value string, kind string")
+    k = F.col("o_orderkey")
+    kinds = F.array(*map(F.lit, ("email", "phone", "date", "number", "iban", "zip", "name")))
+    texts = F.array(F.date_format("o_orderdate", "dd.MM.yyyy"), F.floor("o_totalprice").cast("string"), F.col("o_orderpriority"), F.concat(F.lit("user"), k.cast("string"), F.lit("@example.org")), F.concat(F.lit("+49 "), (k * 7919).cast("string")))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.get(texts, (k % 5).cast("int")).alias("value"), F.get(kinds, (k % 7).cast("int")).alias("kind"))
+    rows = frame(spark, CHECKS, "value string, kind string").unionByName(orders)
     return rows.select("value", "kind", validation(F.col("value"), F.col("kind")).alias("c")).select("value", "kind", F.col("c.error").isNull().alias("valid"), "c.error", "c.suggestion")
 
 
@@ -213,7 +217,10 @@ DATE_ROWS = [("2024-03-05",), ("05.03.2024",), ("3/25/2024",), ("25/3/2024",), (
 
 
 def date_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, DATE_ROWS, "value string").select("value", normalised_date(F.col("value")).alias("normalised"))
+    k = F.col("o_orderkey")
+    forms = F.array(*[F.date_format("o_orderdate", f) for f in ("yyyy-MM-dd", "dd.MM.yyyy", "M/d/yyyy", "d-M-yyyy", "yyyy")])
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.get(forms, (k % 5).cast("int")).alias("value"))
+    return frame(spark, DATE_ROWS, "value string").unionByName(orders).select("value", normalised_date(F.col("value")).alias("normalised"))
 
 
 def cross_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,6 +240,10 @@ _PROFILE = values([(i, k, v) for i, (k, v) in enumerate(PROFILE)], "ord, k, v",
 _IBAN = "list_reduce(list_prepend(0, list_transform(string_split(substr(s, 5) || substr(s, 1, 4), ''), lambda c: CAST(unicode(c) AS INTEGER))), lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END)"
 
 
+_ORDER_CHECKS = """ UNION ALL SELECT [strftime(o_orderdate, '%d.%m.%Y'), CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR), o_orderpriority, 'user' || o_orderkey || '@example.org', '+49 ' || o_orderkey * 7919][o_orderkey % 5 + 1],
+ ['email', 'phone', 'date', 'number', 'iban', 'zip', 'name'][o_orderkey % 7 + 1] FROM orders"""
+
+
 def _validated(source: str) -> str:
     """Adds error and suggestion to rows with (value, kind)."""
     dates = " OR ".join(f"regexp_matches(v, '{p}')" for p in DATES)
@@ -261,11 +272,11 @@ _SIG = "(" + " OR ".join("contains(t, '" + k.replace("'", "''") + "')" for k in
 ORACLE_SQL = {
     "field_map": f"SELECT id, coalesce(e, p) AS profile_field, CASE WHEN e IS NOT NULL THEN 0.95::DOUBLE WHEN p IS NOT NULL THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM (SELECT CAST(id AS BIGINT) AS id, (SELECT v FROM {_INSTANT} WHERE k = lower(trim(label))) AS e, (SELECT arg_min(v, ord) FROM {_INSTANT} WHERE contains(lower(trim(label)), k) OR contains(k, lower(trim(label)))) AS p FROM {_LABELS})",
     "ontology_match": f"SELECT CAST(id AS BIGINT) AS id, arg_min(key, ord) AS key, arg_min(kind, ord) AS kind FROM {_LABELS} LEFT JOIN {_ONT} ON contains({_FOLD}, k) AND {_FOLD} <> '' GROUP BY id",
-    "field_validate": f"SELECT value, kind, error IS NULL AS valid, error, suggestion FROM ({_validated('SELECT * FROM ' + values(CHECKS, 'value, kind', 't'))})",
+    "field_validate": f"SELECT value, kind, error IS NULL AS valid, error, suggestion FROM ({_validated('SELECT * FROM ' + values(CHECKS, 'value, kind', 't') + _ORDER_CHECKS)})",
     "batch_fill": f"SELECT CAST(form AS BIGINT) AS form, * EXCLUDE (form) FROM ({_FILLED})",
     "batch_fill_status": f"SELECT *, CASE WHEN filled = 0 THEN 'failed' WHEN filled < detected THEN 'partial' ELSE 'success' END AS status FROM (SELECT CAST(form AS BIGINT) AS form, count(*) AS detected, count(DISTINCT label) FILTER (placed IS NOT NULL) AS filled, count(*) FILTER (placed IS NULL) AS uncertain, count(error) AS errors FROM ({_FILLED}) GROUP BY form)",
     "fallback_fill": f"SELECT CAST(id AS BIGINT) AS id, f AS profile_field, p.v AS value, CASE WHEN p.v IS NOT NULL THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM (SELECT id, (SELECT arg_min(v, ord) FROM {values([(i, k, v) for i, (k, v) in enumerate(FALLBACK_KEYWORDS.items())], 'ord, k, v', 'm')} WHERE contains(lower(label), k)) AS f FROM {_LABELS}) LEFT JOIN {_PROFILE} ON p.k = f",
     "signature_lines": f"WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) UNION ALL SELECT * FROM {values(SIGNATURE_ROWS, 'a, b, c', 's')}), t AS (SELECT *, lower(trim(text)) AS t FROM l), c AS (SELECT *, CASE WHEN {_SIG} THEN 0.9::DOUBLE WHEN regexp_matches(t, '_{{5,}}|\\.{{5,}}|-{{5,}}|x{{3,}}') THEN 0.7::DOUBLE WHEN contains(t, 'datum') OR contains(t, 'date') OR contains(t, 'ort,') OR contains(t, 'place,') THEN 0.5::DOUBLE ELSE 0 END AS confidence FROM t) SELECT doc_id, CAST(line AS BIGINT) AS line, left(t, 50) AS label, round(line % 50 / 50 + 0.02, 6) AS y, 0.2::DOUBLE AS w, 0.04::DOUBLE AS h, confidence FROM c WHERE confidence >= 0.5",
-    "date_normalize": f"SELECT value, CASE WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN v[9:10] || '.' || v[6:7] || '.' || v[1:4] WHEN len(p) = 3 THEN CASE WHEN CAST(p[2] AS INTEGER) > 12 AND CAST(p[1] AS INTEGER) <= 12 THEN lpad(p[2], 2, '0') || '.' || lpad(p[1], 2, '0') ELSE lpad(p[1], 2, '0') || '.' || lpad(p[2], 2, '0') END || '.' || p[3] ELSE v END AS normalised FROM (SELECT *, CASE WHEN regexp_matches(v, '^[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{4}}$') THEN string_split_regex(v, '[/-]') ELSE [] END AS p FROM (SELECT value, trim(value) AS v FROM {values(DATE_ROWS, 'value', 'd')}))",
+    "date_normalize": f"SELECT value, CASE WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN v[9:10] || '.' || v[6:7] || '.' || v[1:4] WHEN len(p) = 3 THEN CASE WHEN CAST(p[2] AS INTEGER) > 12 AND CAST(p[1] AS INTEGER) <= 12 THEN lpad(p[2], 2, '0') || '.' || lpad(p[1], 2, '0') ELSE lpad(p[1], 2, '0') || '.' || lpad(p[2], 2, '0') END || '.' || p[3] ELSE v END AS normalised FROM (SELECT *, CASE WHEN regexp_matches(v, '^[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{4}}$') THEN string_split_regex(v, '[/-]') ELSE [] END AS p FROM (SELECT value, trim(value) AS v FROM (SELECT value FROM {values(DATE_ROWS, 'value', 'd')} UNION ALL SELECT [strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%d.%m.%Y'), strftime(o_orderdate, '%-m/%-d/%Y'), strftime(o_orderdate, '%-d-%-m-%Y'), strftime(o_orderdate, '%Y')][o_orderkey % 5 + 1] FROM orders)))",
     "cross_field": "SELECT o_orderkey, printf('%.2f', CAST(round(CAST(o_totalprice - t AS DECIMAL(18,6)), 2) AS DOUBLE)) AS net, printf('%.2f', CAST(round(CAST(t AS DECIMAL(18,6)), 2) AS DOUBLE)) AS tax FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 0.07::DOUBLE ELSE o_totalprice * 0.19::DOUBLE END AS t FROM orders)",
 }

@@ -66,16 +66,22 @@ def funnel_by_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Latency
 
 
-def route_rollup(events: DataFrame, per_route: int = 100, max_routes: int = 200) -> DataFrame:
-    """Per route over its last ``per_route`` events: count, mean and maximum of p95, slow rate in percent, last event.
-
-    Only the first ``max_routes`` routes by their first event have a name; the others share ``(other)``.
-    """
+def routed(events: DataFrame, max_routes: int) -> DataFrame:
+    """Events by route: only the first ``max_routes`` routes by their first event have a name; the others share ``(other)``."""
     first = events.groupBy("route").agg(F.min("seq").alias("first_seq"))
     named = first.orderBy("first_seq").limit(max_routes).select("route", F.lit(True).alias("named"))
-    routed = events.join(named, "route", "left").withColumn("route", F.when(F.col("named"), F.col("route")).otherwise("(other)"))
-    recent = routed.withColumn("r", F.row_number().over(Window.partitionBy("route").orderBy(F.desc("seq")))).where(F.col("r") <= per_route)
-    return recent.groupBy("route").agg(
+    return events.join(named, "route", "left").withColumn("route", F.when(F.col("named"), F.col("route")).otherwise("(other)")).drop("named")
+
+
+def kept_events(events: DataFrame, per_route: int = 100, max_routes: int = 200) -> DataFrame:
+    """The last ``per_route`` events of each route."""
+    order = Window.partitionBy("route").orderBy(F.desc("seq"))
+    return routed(events, max_routes).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_route)
+
+
+def route_rollup(events: DataFrame, per_route: int = 100, max_routes: int = 200) -> DataFrame:
+    """Per route over what it keeps: count, mean and maximum of p95, slow rate in percent, last event."""
+    return kept_events(events, per_route, max_routes).groupBy("route").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("p95"), 2).alias("avg_p95"),
         F.max("p95").alias("max_p95"),
@@ -95,7 +101,7 @@ def perf_route_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def perf_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the reported p95 values over what the routes keep, and slow frames among the last 1000 events."""
     e = perf_source(spark, sf_dir)
-    kept = e.withColumn("r", F.row_number().over(Window.partitionBy("route").orderBy(F.desc("seq")))).where("r <= 100")
+    kept = kept_events(e)
     recent = e.orderBy(F.desc("seq")).limit(1000)
     return kept.agg(F.round(F.avg("p95"), 2).alias("overall_avg_p95"), F.count(F.lit(1)).alias("total_events")).crossJoin(recent.agg(F.count_if("slow").alias("recent_slow_frames")))
 
@@ -328,9 +334,9 @@ def chat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last four messages of each session, oldest first."""
+    """The last ten messages of each session, oldest first."""
     newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    kept = _t(spark, sf_dir, "conversations").withColumn("r", newest).where("r <= 4")
+    kept = _t(spark, sf_dir, "conversations").withColumn("r", newest).where("r <= 10")
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     return kept.select("conv_id", place.cast("long").alias("place"), "role", "text")
 
@@ -472,7 +478,7 @@ ORACLE_SQL = {
     "collab_log": f"WITH {_AUDIT}, k AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY team ORDER BY ts DESC, id DESC) <= 20) SELECT team, id, row_number() OVER (PARTITION BY team ORDER BY ts, id) AS place FROM k",
     "dlq": "WITH t AS (SELECT event_id AS attempt_id, ts, user_id * 3 AS hook_id, event_type, 500 + event_id % 4 AS status, CASE WHEN event_id % 2 = 0 THEN 'timeout' ELSE '' END AS error FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100), h AS (SELECT s_suppkey AS hook_id, 'https://example.com/' || s_name AS url, s_suppkey % 3 <> 0 AS active FROM supplier), f AS (SELECT hook_id, url, active, left('delivery_failed: ' || event_type || ' status=' || status || ' error=' || error, 500) AS reason, attempt_id FROM t JOIN h USING (hook_id)) SELECT * FROM f UNION ALL SELECT hook_id, url, active, 'inactive_or_delivery_failed', NULL FROM (SELECT * FROM h WHERE NOT active ORDER BY hook_id DESC LIMIT 20) WHERE hook_id NOT IN (SELECT hook_id FROM f)",
     "chat_sessions": "SELECT conv_id, count(turn) AS n_messages, coalesce(max(turn), 0) + 1 AS next_seq FROM (SELECT conv_id, turn FROM conversations UNION ALL SELECT -1, NULL) GROUP BY conv_id",
-    "chat_history_window": "WITH k AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role, text FROM k",
+    "chat_history_window": "WITH k AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role, text FROM k",
     "doc_page": "SELECT doc_id, source, n_chars, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY doc_id DESC LIMIT 20 OFFSET 40",
     "doc_with_fields": "SELECT doc_id, source, CASE WHEN quality IS NULL THEN '' ELSE 'quality=' || quality || ';toxic=' || toxic END AS fields FROM documents LEFT JOIN labels USING (doc_id)",
     "dashboard_counts": "SELECT * FROM (SELECT count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT user_id) AS users FROM events), (SELECT count(*) AS documents, count(*) FILTER (n_chars > 12000) AS long_documents FROM documents), (SELECT count(DISTINCT conv_id) AS sessions, count(*) AS messages FROM conversations)",

@@ -35,9 +35,15 @@ def daily_usage(calls: DataFrame, limit: int) -> DataFrame:
 
 
 def rate_limited_stream(calls: DataFrame, max_requests: int, window_seconds: float) -> DataFrame:
-    """(id, identity, allowed) of each call, by a window that opens with a key's first call; calls of a batch are taken in order of time."""
+    """(id, identity, allowed) of each call, by a window that opens with a key's first call; calls of a batch are taken in order of time.
+
+    A key that is silent for a window's length gives up its state: its next call opens a window anyhow.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, used = state.get if state.exists else (None, 0)
         rows = pd.concat(list(frames)).sort_values(["second", "id"])
         allowed = []
@@ -47,15 +53,22 @@ def rate_limited_stream(calls: DataFrame, max_requests: int, window_seconds: flo
             allowed.append(used < max_requests)
             used += allowed[-1]
         state.update((start, used))
+        state.setTimeoutDuration(max(1, int(window_seconds * 1000)))
         yield pd.DataFrame({"id": rows["id"], "identity": key[0], "allowed": allowed})
 
-    return calls.groupBy("identity").applyInPandasWithState(step, "id long, identity string, allowed boolean", "start double, used long", "append", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("identity").applyInPandasWithState(step, "id long, identity string, allowed boolean", "start double, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def cache_stream(lookups: DataFrame, ttl_seconds: float) -> DataFrame:
-    """(id, hash, hit): a hash is a hit for ``ttl_seconds`` after it was set; hits do not prolong it, the next miss sets it anew."""
+    """(id, hash, hit): a hash is a hit for ``ttl_seconds`` after it was set; hits do not prolong it, the next miss sets it anew.
+
+    A hash that is not asked for during that time gives up its state.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         since = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["second", "id"])
         hits = []
@@ -65,23 +78,42 @@ def cache_stream(lookups: DataFrame, ttl_seconds: float) -> DataFrame:
                 since = second
             hits.append(hit)
         state.update((since,))
+        state.setTimeoutDuration(max(1, int(ttl_seconds * 1000)))
         yield pd.DataFrame({"id": rows["id"], "hash": key[0], "hit": hits})
 
-    return lookups.groupBy("hash").applyInPandasWithState(step, "id long, hash string, hit boolean", "since double", "append", GroupStateTimeout.NoTimeout)
+    return lookups.groupBy("hash").applyInPandasWithState(step, "id long, hash string, hit boolean", "since double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def upsert_latest(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the latest row of each key. Every batch writes its own version, so a batch that is run again overwrites itself."""
+    """A foreachBatch sink for the latest row of each key: a batch appends its own latest rows, and writes nothing else anew.
+
+    A batch that is run again overwrites itself. Read the table with ``latest_rows``; ``compact`` folds it now and then.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if batch_id == 0 else batch.unionByName(spark.read.parquet(f"{path}/version={batch_id - 1}"))
-        latest = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
-        rows.withColumn("_r", latest).where("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        _latest(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
+def _latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest row of each key, by partial aggregation."""
+    at = F.struct(*order)
+    whole = F.max_by(F.struct(*rows.columns), at)
+    return rows.groupBy(*keys).agg(whole.alias("_row")).select("_row.*")
+
+
+def latest_rows(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest row of each key over all batches; of equal ones the later batch's."""
+    rows = spark.read.parquet(path)
+    return _latest(rows, keys, [*order, "batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, path: str, to: str, keys: list[str], order: list[str]) -> None:
+    """Folds all batches into the first batch of a new folder, for a stream that goes on there."""
+    latest_rows(spark, path, keys, order).write.mode("overwrite").parquet(f"{to}/batch=-1")
+
+
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs a stream over all there is and returns its result as a table in the shared folder."""
     spark = stream.sparkSession
@@ -117,9 +149,9 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookups by the props' content, kept for a day."""
+    """Lookups by the props' content, kept for seven days."""
     lookups = event_stream(spark, sf_dir).select(F.col("event_id").alias("id"), F.sha2("props", 256).alias("hash"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("second"))
-    return drain(cache_stream(lookups, 86400), "cache", "append")
+    return drain(cache_stream(lookups, 7 * 86400), "cache", "append")
 
 
 def batch_funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,10 @@ def test_upsert_keeps_the_latest(spark, tmp_path):
     write(frame(spark, [("a", 1, 1), ("b", 1, 2)], "k string, v int, at int"), 0)
     for _ in range(2):  # a batch run twice
         write(frame(spark, [("a", 2, 3), ("b", 0, 1)], "k string, v int, at int"), 1)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t/version=1")).collect()} == {("a", 2, 3), ("b", 1, 2)}
+    want = {("a", 2, 3), ("b", 1, 2)}
+    assert {tuple(r) for r in counters.latest_rows(spark, str(tmp_path / "t"), ["k"], ["at"]).collect()} == want
+    counters.compact(spark, str(tmp_path / "t"), str(tmp_path / "u"), ["k"], ["at"])
+    assert {tuple(r) for r in counters.latest_rows(spark, str(tmp_path / "u"), ["k"], ["at"]).collect()} == want
 
 
 def test_revision_log_and_exports(spark, tmp_path):
