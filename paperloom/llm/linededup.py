@@ -32,6 +32,7 @@ VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 N_LINES, N_DROPPED = "__n_lines", "__n_dropped"
 
 
+TOKEN = r"[^\x20\x09-\x0D]"
 #: Lines without any of these are their own shape.
 TO_MASK = r"[0-9\x09\x0B-\x0D]|\x20\x20|^\x20|\x20$"
 
@@ -46,40 +47,34 @@ def n_tokens(shape: Column) -> Column:
     return F.when(shape == "", 0).otherwise(F.length(shape) - F.length(F.replace(shape, F.lit(" "), F.lit(""))) + 1)
 
 
-def _named(s: Column, n: Column, depth: int, min_tokens: int) -> dict[str, Column]:
-    """A shape's hash, with the number of tokens in the low byte, and its leaf's; short lines have none."""
-    packed = F.shiftleft(F.xxhash64(n, s), 8).bitwiseOR(F.least(n, F.lit(255)).cast("long"))
-    return {"shape": packed, "leaf": F.when(n > min_tokens, F.xxhash64(n, F.substring_index(s, " ", depth)))}
-
-
-def _shapes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, shapes): an array of (s, n) for the lines in order."""
-    shapes = F.transform(F.split(F.col(text_col), "\n", -1), line_shape)
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.transform(shapes, lambda s: F.struct(s.alias("s"), n_tokens(s).alias("n"))).alias("shapes"))
-
-
 def template_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """One row per line with a token: (id, text_hash, line, shape, leaf)."""
-    lines = F.transform("shapes", lambda x: F.struct(x["n"].alias("n"), *[c.alias(k) for k, c in _named(x["s"], x["n"], depth, min_tokens).items()]))
-    rows = _shapes(docs, id_col, text_col).select("id", "text_hash", F.posexplode_outer(lines).alias("line", "x"))
-    return rows.where("x.n > 0").select("id", "text_hash", "line", "x.shape", "x.leaf")
+    """One row per line with a token: (id, text_hash, line, shape, leaf, masked).
+
+    ``shape`` is a hash with the number of tokens in the low byte; ``leaf`` and the masked line are null for
+    lines too short to generalise. Lines are exploded first, so that all else is compiled code over columns.
+    """
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode_outer(F.split(F.col(text_col), "\n", -1)).alias("line", "raw"))
+    lines = lines.where(F.col("raw").rlike(TOKEN)).select("id", "text_hash", "line", line_shape(F.col("raw")).alias("s"))
+    lines = lines.select("id", "text_hash", "line", "s", n_tokens(F.col("s")).alias("n"))
+    shape = F.shiftleft(F.xxhash64("n", "s"), 8).bitwiseOR(F.least("n", F.lit(255)).cast("long"))
+    long = F.col("n") > min_tokens
+    return lines.select("id", "text_hash", "line", shape.alias("shape"), F.when(long, F.xxhash64("n", F.substring_index("s", " ", depth))).alias("leaf"), F.when(long, F.col("s")).alias("masked"))
 
 
-def leaf_tokens(docs: DataFrame, leaves: DataFrame, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """(shape, leaf, tokens) of the distinct shapes in ``leaves``; tokens are hashes."""
-    lines = F.transform("shapes", lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), *[c.alias(k) for k, c in _named(x["s"], x["n"], depth, min_tokens).items()]))
-    rows = _shapes(docs, text_col, text_col).select(F.explode_outer(lines).alias("x")).where(F.col("x.n") > min_tokens).select("x.*")
-    rows = rows.join(leaves, "leaf", "left_semi").select("shape", "leaf", F.transform(F.split("s", " "), lambda t: F.xxhash64(t)).alias("tokens"))
-    return rows.groupBy("shape").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
+def leaf_lines(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(shape, leaf, masked) of the distinct shapes in ``leaves``."""
+    rows = lines.where("leaf IS NOT NULL").select("shape", "leaf", "masked").join(leaves, "leaf", "left_semi")
+    return rows.groupBy("shape").agg(F.first("leaf").alias("leaf"), F.first("masked").alias("masked"))
 
 
-def leaf_templates(tokens: DataFrame, held: DataFrame, min_docs: int, min_tokens: int, similarity: float) -> DataFrame:
+def leaf_templates(distinct: DataFrame, held: DataFrame, min_docs: int, min_tokens: int, similarity: float) -> DataFrame:
     """The shapes (one column) that belong to a recurring template of their leaf."""
     documents = F.count_distinct("root")
-    words = persisted(tokens.select("shape", "leaf", F.posexplode("tokens").alias("pos", "token")).join(held.select("shape", "root"), "shape"), "leaf-words")
-    constant = words.groupBy("leaf", "pos", "token").agg(documents.alias("n")).where(F.col("n") >= min_docs)
+    words = distinct.select("shape", "leaf", F.posexplode_outer(F.split("masked", " ")).alias("pos", "token"))
+    words = persisted(words.select("shape", "leaf", "pos", F.xxhash64("token").alias("token")), "leaf-words")
+    constant = words.join(held.select("shape", "root"), "shape").groupBy("leaf", "pos", "token").agg(documents.alias("n")).where(F.col("n") >= min_docs)
     constant = persisted(constant.select("leaf", "pos", "token", F.xxhash64("pos", "token").alias("field")), "leaf-constants")
-    of_shape = words.select("shape", "leaf", "pos", "token").distinct().join(constant, ["leaf", "pos", "token"], "left")
+    of_shape = words.join(constant, ["leaf", "pos", "token"], "left")
     # The fields' hashes combined by exclusive or: leaving out one of them takes its hash away again.
     of_shape = of_shape.groupBy("shape", "leaf").agg(F.count(F.lit(1)).alias("n"), F.count("field").alias("n_constant"), F.bit_xor("field").alias("fields"), F.collect_list("field").alias("each"))
     of_shape = persisted(of_shape.where("n_constant > 0"), "shape-templates")
@@ -107,7 +102,7 @@ def copy_groups(sets: DataFrame, shared: float) -> DataFrame:
     return components(alike.select("a", "b"), "a", "b", "line-copies").withColumnRenamed("component", "root")
 
 
-def recurring_shapes(docs: DataFrame, lines: DataFrame, text_col: str, min_docs: int, min_tokens: int, depth: int, similarity: float, shared: float) -> DataFrame:
+def recurring_shapes(lines: DataFrame, min_docs: int, min_tokens: int, similarity: float, shared: float) -> DataFrame:
     """(shape) of all lines to drop; ``lines`` as ``template_lines`` gives them."""
     of_docs = lines.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("shape", "leaf"))).alias("both"))
     sets = of_docs.select(F.transform("both", lambda x: x["shape"]).alias("set"), F.transform("both", lambda x: x["leaf"]).alias("leaves"))
@@ -120,8 +115,8 @@ def recurring_shapes(docs: DataFrame, lines: DataFrame, text_col: str, min_docs:
     # Only a leaf that enough documents reach can hold a template.
     leaves = held.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count_distinct("root").alias("n_docs")).where(F.col("n_docs") >= min_docs)
     leaves = persisted(leaves.select("leaf"), "reached-leaves")
-    tokens = persisted(leaf_tokens(docs, leaves, text_col, depth, min_tokens), "leaf-tokens")
-    return exact.union(leaf_templates(tokens, held, min_docs, min_tokens, similarity)).distinct()
+    distinct = persisted(leaf_lines(lines, leaves), "leaf-lines")
+    return exact.union(leaf_templates(distinct, held, min_docs, min_tokens, similarity)).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, min_tokens: int = 4, depth: int = 2, similarity: float = 0.75, shared: float = 0.5) -> DataFrame:
@@ -129,7 +124,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 0 < depth <= min_tokens:
         raise ValueError("a template's leading tokens are among its constant ones")
     lines = persisted(template_lines(docs, id_col, text_col, depth, min_tokens), "template-lines")
-    drop = persisted(recurring_shapes(docs, lines, text_col, min_docs, min_tokens, depth, similarity, shared), "recurring-shapes")
+    drop = persisted(recurring_shapes(lines, min_docs, min_tokens, similarity, shared), "recurring-shapes")
     hits = lines.join(drop, "shape").groupBy("id", "text_hash").agg(F.collect_set("line").alias("__drop"))
     hits = hits.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "__drop")
     found = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
