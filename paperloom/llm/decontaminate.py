@@ -30,9 +30,11 @@ from paperloom.llm.common import persisted
 WINDOW = 8
 #: Tokens that two hits of one chain may lie apart, and the diagonals that a band has.
 REACH, BAND = 16, 8
-NUMBER = r"[0-9](?:[0-9.,:/]*[0-9])?"
+#: Stands for a separator within a number.
+INNER = "\x02"
+NUMBER = f"[0-9][0-9{INNER}]*"
 UNITS = "kg|mg|g|lbs?|oz|km|cm|mm|m|mi|ft|in|mph|kmh|ml|l|%|percent|usd|eur|dollars?|euros?|cents?|miles?|meters?|metres?|kilometers?|kilometres?|feet|inches|hours?|minutes?|seconds?|days?|weeks?|months?|years?|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|v|a|°c|°f"
-#: Marks a slot's token; no text keeps this character.
+#: Marks a slot's token; no text keeps this character, nor INNER.
 MARK = "\x01"
 #: Rows of benchmark windows up to which they are sent to all tasks (24 bytes each); beyond, both sides are shuffled.
 MAX_BROADCAST = 1_000_000
@@ -40,13 +42,14 @@ MAX_BROADCAST = 1_000_000
 
 def slot_tokens(text: Column) -> Column:
     """The text as template tokens that still hold their slots' values, parted by single spaces."""
-    x = F.regexp_replace(text, MARK, " ")
-    x = F.regexp_replace(x, rf"(?i)(?<![\p{{L}}\p{{N}}])({NUMBER})\s?({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}n$1 {MARK}u$2 ")
-    x = F.regexp_replace(x, rf"(?<![\p{{L}}\p{{N}}{MARK}.,:/])({NUMBER})", f" {MARK}n$1 ")
-    x = F.regexp_replace(x, r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f" {MARK}a$1 ")
-    # Separators within a number stay; all else that is no letter or digit parts tokens.
-    x = F.lower(F.regexp_replace(x, rf"(?:[.,:/](?![0-9])|(?<![0-9])[.,:/]|[^\p{{L}}\p{{N}}{MARK}.,:/])+", " "))
-    return F.trim(x)
+    x = F.when(text.contains(MARK) | text.contains(INNER), F.translate(text, MARK + INNER, "  ")).otherwise(text)
+    # Lookaheads first: they fail at once where a pattern cannot start.
+    n = F.regexp_replace(x, r"[.,:/](?=[0-9])(?<=[0-9].)", INNER)
+    n = F.regexp_replace(n, rf"(?i)(?=[0-9])(?<![\p{{L}}\p{{N}}])({NUMBER})\s?({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}n$1 {MARK}u$2 ")
+    n = F.regexp_replace(n, rf"(?=[0-9])(?<![\p{{L}}\p{{N}}{MARK}{INNER}])({NUMBER})", f" {MARK}n$1 ")
+    x = F.when(text.rlike("[0-9]"), n).otherwise(x)
+    x = F.regexp_replace(x, r"(?=\p{Lu})(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f" {MARK}a$1 ")
+    return F.trim(F.lower(F.regexp_replace(x, rf"[^\p{{L}}\p{{N}}{MARK}{INNER}]+", " ")))
 
 
 def template_of(slots: Column) -> Column:
