@@ -37,13 +37,10 @@ def daily_usage(calls: DataFrame, limit: int) -> DataFrame:
 def rate_limited_stream(calls: DataFrame, max_requests: int, window_seconds: float) -> DataFrame:
     """(id, identity, allowed) of each call, by a window that opens with a key's first call; calls of a batch are taken in order of time.
 
-    A key that is silent for a window's length gives up its state: its next call opens a window anyhow.
+    A key's state is two numbers and is kept for good: a time-out would drop calls that come late.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         start, used = state.get if state.exists else (None, 0)
         rows = pd.concat(list(frames)).sort_values(["second", "id"])
         allowed = []
@@ -53,22 +50,18 @@ def rate_limited_stream(calls: DataFrame, max_requests: int, window_seconds: flo
             allowed.append(used < max_requests)
             used += allowed[-1]
         state.update((start, used))
-        state.setTimeoutDuration(max(1, int(window_seconds * 1000)))
         yield pd.DataFrame({"id": rows["id"], "identity": key[0], "allowed": allowed})
 
-    return calls.groupBy("identity").applyInPandasWithState(step, "id long, identity string, allowed boolean", "start double, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.groupBy("identity").applyInPandasWithState(step, "id long, identity string, allowed boolean", "start double, used long", "append", GroupStateTimeout.NoTimeout)
 
 
 def cache_stream(lookups: DataFrame, ttl_seconds: float) -> DataFrame:
     """(id, hash, hit): a hash is a hit for ``ttl_seconds`` after it was set; hits do not prolong it, the next miss sets it anew.
 
-    A hash that is not asked for during that time gives up its state.
+    A hash's state is one number and is kept for good: a time-out would drop lookups that come late.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         since = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["second", "id"])
         hits = []
@@ -78,10 +71,9 @@ def cache_stream(lookups: DataFrame, ttl_seconds: float) -> DataFrame:
                 since = second
             hits.append(hit)
         state.update((since,))
-        state.setTimeoutDuration(max(1, int(ttl_seconds * 1000)))
         yield pd.DataFrame({"id": rows["id"], "hash": key[0], "hit": hits})
 
-    return lookups.groupBy("hash").applyInPandasWithState(step, "id long, hash string, hit boolean", "since double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return lookups.groupBy("hash").applyInPandasWithState(step, "id long, hash string, hit boolean", "since double", "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_latest(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
