@@ -51,7 +51,7 @@ _FOUND = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
 def matched_parts(text: Column, rank: int, kind: str) -> Column:
-    """Array of (rank, i, length, match_length, good): part i of the text cut before every match; part 0 has no match."""
+    """Array of (rank, i, length, match_length, good): part i of the text cut before every match; part 0 has no match. Null where nothing matches."""
     parts = F.split(F.regexp_replace(text, PATTERNS[kind], f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
 
     def part(x: Column, i: Column) -> Column:
@@ -60,22 +60,24 @@ def matched_parts(text: Column, rank: int, kind: str) -> Column:
         marks = F.when(i > 0, 1).otherwise(0)
         return F.struct(F.lit(rank).alias("rank"), i.alias("i"), (F.length(x) - marks).cast("long").alias("length"), F.when(i > 0, F.length(match)).cast("long").alias("match_length"), (good & (i > 0)).alias("good"))
 
-    return F.transform(parts, part)
+    return F.when(text.rlike(PATTERNS[kind]), F.transform(parts, part))
 
 
 def scan(blobs: DataFrame) -> DataFrame:
     """(blob, found) of the blobs (blob, text) with findings: spans as structs (start, rank, kind, end), sorted."""
     text = F.col("text")
     plain = F.when(text.contains(_OPEN) | text.contains(_CLOSE), F.translate(text, _OPEN + _CLOSE, _OTHER * 2)).otherwise(text)
-    each = blobs.select("blob", plain.alias("text")).select("blob", *[matched_parts(F.col("text"), rank, kind).alias(kind) for rank, kind in enumerate(PATTERNS)])
-    # Columns of their own above, so that each pattern runs over a text once.
-    some = F.concat(*[F.when(F.size(kind) > 1, F.col(kind)).otherwise(F.slice(kind, 1, 0)) for kind in PATTERNS])
-    rows = each.select("blob", F.explode_outer(some).alias("x")).where("x IS NOT NULL").select("blob", "x.*")
-    before = Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    # A blob whose row is repeated, id and all, comes more than once; each copy is placed for itself.
+    each = blobs.select("blob", F.monotonically_increasing_id().alias("copy"), plain.alias("text"))
+    each = each.select("blob", "copy", *[matched_parts(F.col("text"), rank, kind).alias(kind) for rank, kind in enumerate(PATTERNS)])
+    some = F.flatten(F.array_compact(F.array(*PATTERNS)))
+    rows = each.select("blob", "copy", F.explode_outer(some).alias("x")).where("x IS NOT NULL").select("blob", "copy", "x.*").repartition("blob")
+    before = Window.partitionBy("blob", "copy", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))).where("good")
     kind = F.get(F.array(*map(F.lit, PATTERNS)), F.col("rank"))
     span = F.struct("start", "rank", kind.alias("kind"), (F.col("start") + F.col("match_length")).alias("end"))
-    return placed.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("found"))
+    found = placed.groupBy("blob", "copy").agg(F.array_sort(F.collect_list(span)).alias("found"))
+    return found.groupBy("blob").agg(F.first("found").alias("found"))
 
 
 def with_blob(rows: DataFrame, text_col: str) -> DataFrame:
@@ -96,8 +98,7 @@ def scan_versions(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text
         reps = reps.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     reps = persisted(reps.withColumnRenamed("blob", "rep_blob"), "unseen-blobs")
     chosen = named.join(reps, (named["blob"] == reps["rep_blob"]) & named["id"].eqNullSafe(reps["rep"]), "left_semi")
-    # A blob whose row is repeated, id and all, would be scanned for each; the first findings are all.
-    found = persisted(scan(chosen.dropDuplicates(["blob", "id"]).select("blob", "text")), "secret-findings")
+    found = persisted(scan(chosen.select("blob", "text")), "secret-findings")
     new = reps.select(F.col("rep_blob").alias("blob"), F.lit(rule_version).alias("rule_version")).join(found, "blob", "left")
     return found, new
 
