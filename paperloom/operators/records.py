@@ -224,7 +224,9 @@ _ALL = (webhook_subscribers, receipt_preflight, audit_details, profile_lines, le
 QUERIES = {f.__name__: f for f in _ALL}
 
 _D = {"x": "l_quantity / 100", "y": "l_linenumber / 100", "a": "(l_partkey % 7) / 7", "b": "(l_suppkey % 5) / 5"}
+_CUT = "CASE WHEN len({0}) < 3 THEN {0} ELSE [{0}[1]] || flatten(list_transform(range(1, len({0})), lambda i: [{0}[i] * 0.75::DOUBLE + {0}[i + 1] * 0.25::DOUBLE, {0}[i] * 0.25::DOUBLE + {0}[i + 1] * 0.75::DOUBLE])) || [{0}[-1]] END"
 ORACLE_SQL = {
+    "smooth_strokes": f"WITH s AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity, l_tax) AS x FROM lineitem GROUP BY l_orderkey), a AS (SELECT l_orderkey, {_CUT.format('x')} AS y FROM s), b AS (SELECT l_orderkey, {_CUT.format('y')} AS z FROM a) SELECT l_orderkey, CAST(len(z) AS BIGINT) AS n, round(list_sum(z) / len(z), 6) AS mean_x FROM b",
     "webhook_subscribers": "SELECT s_suppkey AS hook_id, s_suppkey % 3 <> 0 AND s_suppkey % 2 = 0 AS gets_purchase, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'bogus' END AS unknown FROM supplier",
     "receipt_preflight": f"SELECT CAST(id AS BIGINT) AS id, array_to_string(list_filter([CASE WHEN length(t) < 20 THEN 'short' END, CASE WHEN length(t) > 2000 THEN 'long' END, CASE WHEN p = '' THEN 'no_product' END, CASE WHEN p <> '' AND p NOT IN ('monthly', 'yearly', 'lifetime') THEN 'unknown_product' END, CASE WHEN regexp_matches(t, '[ \\n\\t<>]') THEN 'characters' END], lambda e: e IS NOT NULL), ',') AS errors FROM (SELECT id, coalesce(product, '') AS p, coalesce(token, '') AS t FROM {values(RECEIPTS, 'id, product, token', 'r')})",
     "audit_details": "SELECT event_id, 'action' AS kept FROM events",

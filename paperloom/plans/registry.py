@@ -18,6 +18,7 @@ MODULES: list[str] = [
     "paperloom.operators.textops",
     "paperloom.operators.pages",
     "paperloom.operators.answers",
+    "paperloom.operators.replies",
     "paperloom.operators.compare",
     "paperloom.operators.records",
     "paperloom.operators.layout",
