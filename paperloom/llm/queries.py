@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontaminate, htmltext, linededup, packing, quality, secrets, sharding, simhash, suffixes
+from paperloom.llm import chat, clusters, decontaminate, htmltext, linededup, packing, quality, secrets, sharding, simhash, suffixes
 from paperloom.llm.common import small_batches, table
 from paperloom.sources.scratch import scratch_path
 
@@ -52,6 +52,24 @@ def _secret_sql() -> str:
  SELECT doc_id, {counts}, sha256(coalesce({text} FILTER (f.r < 3), '')) AS base_sha256, coalesce({text}, '') AS spans FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id"""
 
 
+def _cluster_sql(rounds: int = 10) -> str:
+    """Rounds written out one after another; a mean is floored by taking the remainder off first."""
+    d = "list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, min({{'d': {d}, 'c': c.c}}) AS m FROM v, c{r} c GROUP BY rid)")
+        if r < rounds:
+            mean = "list((s - ((s % n) + n) % n) // n ORDER BY i)"
+            sums = f"SELECT m.c AS c, i, sum(e[i]) AS s, count(*) AS n FROM a{r} JOIN v USING (rid), range(1, 65) AS t(i) GROUP BY m.c, i"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(g.e, old.e) AS e FROM c{r} old LEFT JOIN (SELECT c, {mean} AS e FROM ({sums}) GROUP BY c) g USING (c))")
+    return f"""WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, e FROM (SELECT sha256('3:' || vec_id) AS h, e FROM v ORDER BY h LIMIT 8)),
+ {", ".join(steps)}
+ SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+ FROM a{rounds} JOIN v USING (rid) JOIN c{rounds} c ON c.c = m.c"""
+
+
 #: Only where SQL can state the result in reasonable time; tests hold the others against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_quality": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
@@ -84,6 +102,7 @@ ORACLE_SQL: dict[str, str] = {
  marked AS (SELECT doc_id, k, line, array_to_string(w, ' ') IN (SELECT s FROM gone) AS gone FROM lines)
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id""",
     "op5_secret_scan": _secret_sql(),
+    "op11_centroids": _cluster_sql(),
 }
 
 
@@ -140,6 +159,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col(linededup.N_LINES).alias("n_lines"), F.col(linededup.N_DROPPED).alias("n_dropped"), "text")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.digest(*clusters.cluster(table(spark, sf_dir, "embeddings"))).drop("n_exact")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sharding": op2_sharding,
@@ -151,4 +174,5 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_centroids": op11_centroids,
 }
