@@ -20,11 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
+def persisted(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

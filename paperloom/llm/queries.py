@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, clusters, decontaminate, htmltext, linededup, packing, quality, secrets, sharding, simhash, suffixes
+from paperloom.llm import chat, clusters, decontaminate, htmltext, linededup, packing, quality, secrets, sharding, simhash, suffixes, tokenfiles
 from paperloom.llm.common import small_batches, table
 from paperloom.sources.scratch import scratch_path
 
@@ -163,6 +163,13 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.digest(*clusters.cluster(table(spark, sf_dir, "embeddings"))).drop("n_exact")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    path = scratch_path(spark, "token-files")
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path)
+    return tokenfiles.read_tokens(spark, path, with_ids=False)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sharding": op2_sharding,
@@ -175,4 +182,5 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_centroids": op11_centroids,
+    "op13_token_files": op13_token_files,
 }
