@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, clusters, decontaminate, htmltext, linededup, packing, quality, secrets, sharding, simhash, suffixes, tokenfiles
+from paperloom.llm import chat, clusters, decontaminate, htmltext, linededup, packing, quality, repair, secrets, sharding, simhash, suffixes, tokenfiles
 from paperloom.llm.common import small_batches, table
 from paperloom.sources.scratch import scratch_path
 
@@ -70,6 +70,39 @@ def _cluster_sql(rounds: int = 10) -> str:
  FROM a{rounds} JOIN v USING (rid) JOIN c{rounds} c ON c.c = m.c"""
 
 
+def _crc_table() -> list[int]:
+    """What eight shifts make of each byte, under the polynomial of CRC-32."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+def _repair_sql() -> str:
+    """Damage, faults and the cheapest edits of whole conversations, a row a recursion; written apart from the operator."""
+    ones = "(VALUES (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2))"
+    name = "CASE {} WHEN 'u' THEN 'user:' ELSE 'assistant:' END"
+    lead = f"""SELECT s AS a, s AS b, 0 AS c, '' AS w, [] AS t FROM (VALUES (0), (1), (2), (3)) AS x(s)
+ UNION ALL SELECT a, b, 2, 'I', [{name.format("l")}] FROM one UNION ALL SELECT x.a, y.b, 4, 'II', [{name.format("x.l")}, {name.format("y.l")}] FROM one x JOIN one y ON y.a = x.b"""
+    return rf"""WITH RECURSIVE one(a, l, b) AS {ones}, lead AS ({lead}),
+ move AS (SELECT a, 'D' AS e, '' AS l, b, c + 3 AS c, w || 'D' AS w, t FROM lead UNION ALL SELECT 0, 'K', 's', 1, 0, 'K', []
+ UNION ALL SELECT x.a, 'K', y.l, y.b, c, w || 'K', t FROM lead x JOIN one y ON y.a = x.b UNION ALL SELECT x.a, 'R', y.l, y.b, c + 2, w || 'R', t FROM lead x JOIN one y ON y.a = x.b),
+ keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS k FROM conversations),
+ kinds AS (SELECT *, xor(list_reduce(list_transform(k, lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor({_crc_table()}[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 20 AS kind FROM keyed),
+ hurt AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM kinds, range(2) AS n(i) WHERE kind <> 0 AND (i = 0 OR kind = 3)),
+ rows_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) - 1 AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM hurt),
+ judged AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS f,
+ coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) || role[1] NOT IN ('su', 'ua', 'au'), false) AS bad FROM rows_),
+ ids AS (SELECT DISTINCT conv_id FROM conversations),
+ path(id, k, s, best) AS (SELECT conv_id, CAST(0 AS BIGINT), 0, {{'c': CAST(0 AS BIGINT), 'w': '', 't': CAST([] AS VARCHAR[])}} FROM ids UNION ALL
+ SELECT p.id, p.k + 1, m.b, min({{'c': p.best.c + m.c + CASE WHEN f = 'truncated' AND e <> 'D' THEN 1 ELSE 0 END, 'w': p.best.w || m.w,
+ 't': list_concat(p.best.t, m.t, CASE e WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [{name.format("m.l")} || text] END)}})
+ FROM path p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.id AND j.k = p.k JOIN move m ON m.a = p.s WHERE e = 'D' OR f NOT IN ('blank', 'duplicate') AND (e = 'R' OR m.l = role[1]) GROUP BY p.id, p.k, m.b),
+ sums AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate, count(*) FILTER (f = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM judged GROUP BY conv_id),
+ ends AS (SELECT ids.conv_id, min({{'c': best.c + c, 'w': best.w || lead.w, 't': list_concat(best.t, lead.t)}}) AS m FROM ids LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM ids.conv_id JOIN path ON path.id IS NOT DISTINCT FROM ids.conv_id AND path.k = coalesce(n, 0) JOIN lead ON lead.a = s AND lead.b IN (0, 3) GROUP BY ids.conv_id)
+ SELECT ends.conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, m.c AS cost, m.w AS audit, sha256(array_to_string(m.t, chr(10))) AS repaired_sha256 FROM ends LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM ends.conv_id"""
+
+
 #: Only where SQL can state the result in reasonable time; tests hold the others against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_quality": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
@@ -103,6 +136,7 @@ ORACLE_SQL: dict[str, str] = {
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id""",
     "op5_secret_scan": _secret_sql(),
     "op11_centroids": _cluster_sql(),
+    "op12_conversation_repair": _repair_sql(),
 }
 
 
@@ -163,6 +197,11 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.digest(*clusters.cluster(table(spark, sf_dir, "embeddings"))).drop("n_exact")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.digest(turns, repair.repair(repair.damage(turns)))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     path = scratch_path(spark, "token-files")
@@ -182,5 +221,6 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_centroids": op11_centroids,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_token_files": op13_token_files,
 }
