@@ -45,7 +45,7 @@ from paperloom.llm.packing import _U4, _byte_letters
 END_ID = 0
 LIMIT, BLOCK, STEP = 16, 32768, 128
 #: Entries in a Python worker's cache of ids; a full one starts anew.
-CACHE = 200_000
+CACHE = 500_000
 #: Blocks decoded side by side.
 _TOGETHER = 8
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
