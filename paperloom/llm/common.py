@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,48 +57,87 @@ def spread_rank(df: DataFrame, group: list[str], order: list[str], out: str, buc
 def components(links: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
     """Connected components of ``links``: rows (node, component), component = smallest reachable node.
 
-    Alternates large-star and small-star steps until the star edges stay the same. The links stay in
+    Alternates large-star and small-star steps until no edge is new and none is gone. The links stay in
     Spark all along; each step is written to the shared folder. Links to oneself and repeated links
     do no harm; nodes without any link are not returned.
     """
     hi, lo = F.greatest(a, b), F.least(a, b)
     edges = persisted(links.select(hi.alias("u"), lo.alias("v")).where("u <> v").distinct(), name)
 
-    def size(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
-
-    before = size(edges)
-    while before[0]:
+    n = edges.count()
+    while n:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = persisted(small, name)
-        now = size(edges)
-        if now == before:
+        after = persisted(small, name)
+        before, n = n, after.count()
+        done = n == before and after.exceptAll(edges).isEmpty()  # both have distinct rows
+        edges = after
+        if done:
             break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def star_pairs(rows: DataFrame, whole: int = 0, buckets: int = 64) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes that share a key, from distinct rows (node, key).
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them where ``df`` has such a column already. Column names differ without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def star_pairs(rows: DataFrame, whole: int = 0, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of nodes that share a key, from distinct rows (node, key), and the keys of more than ``whole`` nodes.
 
-    Keys of up to ``whole`` nodes give all their pairs, others at most two a row: a key's nodes are dealt into ``buckets``; each meets one node of its bucket, and these meet one of their
-    own. Which node it is differs from key to key. So no task holds all of a common key, and nodes of which
-    every two are alike are connected by any key that only they share.
+    Keys of up to ``whole`` nodes give all their pairs, others at most two a row: a key's nodes are dealt into
+    ``buckets``; each meets one node of its bucket, and these meet one of their own. Which node it is differs
+    from key to key. So no task holds all of a common key, and nodes of which every two are alike are
+    connected by any key that only they share.
     """
     given = rows
     rows = rows.select("key", "node", F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("node")).alias("x"), F.pmod("node", F.lit(buckets)).alias("bucket"))
     centres = rows.groupBy("key", "bucket").agg(F.min("x").alias("centre"), F.count(F.lit(1)).alias("n"))
     tops = centres.groupBy("key").agg(F.min("centre").alias("top"), F.sum("n").alias("n")).where("n > 1")
     tops = persisted(tops, "star-keys")
-    centres = persisted(centres.join(tops.where(F.col("n") > whole).select("key", "top"), "key").select("key", "bucket", F.col("centre.node").alias("centre"), F.col("top.node").alias("top"), "n"), "star-centres")
+    large = tops.where(F.col("n") > whole).select("key", "top")
+    centres = persisted(centres.join(large, "key").select("key", "bucket", F.col("centre.node").alias("centre"), F.col("top.node").alias("top"), "n"), "star-centres")
     within = rows.join(centres.where("n > 1"), ["key", "bucket"]).select("node", F.col("centre").alias("other"))
     pairs = within.union(centres.select(F.col("centre").alias("node"), F.col("top").alias("other")))
     if whole > 1:
         few = given.join(tops.where(F.col("n") <= whole).select("key"), "key").groupBy("key").agg(F.collect_list("node").alias("all"))
         few = few.select("all", F.explode("all").alias("node"))
         pairs = pairs.union(few.select("node", F.explode(F.filter("all", lambda x: x > F.col("node"))).alias("other")))
-    return pairs.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return pairs.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), large.select("key")
+
+
+def links_by_keys(keys: DataFrame, verified: Callable[[DataFrame], DataFrame], narrower: Callable[[DataFrame], DataFrame], sure: Callable[[DataFrame], DataFrame] | None = None, whole: int = 64, name: str = "links") -> DataFrame:
+    """Links (a, b) that connect all nodes that are alike and share keys, without all pairs of a common key.
+
+    ``keys`` has distinct rows (key, node, ...). A key of up to ``whole`` nodes proposes all its pairs, a larger
+    one a star. ``verified`` keeps the pairs that are alike. A larger key whose nodes are connected by then is done;
+    the rows of any other go through ``narrower``, which must give every two alike nodes of a key a common
+    narrower key (and none once a row has no more to narrow by), and all begins again with these. ``sure`` picks the
+    rows of ``keys`` of which any two with one key are alike: they get a star of their own.
+    """
+    links = None
+    while True:
+        rows = keys.select("key", "node")
+        if sure is not None:
+            rows = rows.union(sure(keys).select(F.xxhash64("key", F.lit("sure")).alias("key"), "node"))
+        pairs, large = star_pairs(rows, whole)
+        new = persisted(verified(persisted(pairs, f"{name}-pairs")), name)
+        links = new if links is None else links.union(new)
+        common = keys.join(large, "key", "left_semi")
+        if common.isEmpty():
+            return links
+        roots = components(links, "a", "b", f"{name}-so-far")
+        rooted = common.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("component", "node").alias("root"))
+        apart = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+        keys = persisted(narrower(common.join(apart, "key", "left_semi")), f"{name}-keys")
+        if keys.isEmpty():
+            return links

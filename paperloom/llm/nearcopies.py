@@ -2,11 +2,11 @@
 
 A text's shingles are the distinct runs of five lower-cased words (a shorter text is one shingle), each a
 64-bit hash. 120 MinHash values form 24 keys of five, so two texts of similarity 0.8 share a key with
-probability 0.9999 and more alike ones surely. Equal texts are one node. A key of up to 32
-nodes proposes all its pairs; a larger one (``star_pairs``) pairs with a centre, which differs from key to
-key, at most twice a row, and so may miss a pair where most of its nodes are less alike. Pairs below the
-similarity are left out. Nulls and texts
-without a word have no shingle and link to nothing.
+probability 0.9999 and more alike ones surely. Equal texts are one node. A key of up to 64
+nodes proposes all its pairs. A larger one pairs each node with a centre; if that leaves it in more than one
+piece, its nodes are dealt anew by each pair of this key and a later one, and so on until the keys are small,
+connected or at their end. Pairs below the similarity are left out. Nulls and texts without a word have no
+shingle and link to nothing.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import persisted, star_pairs
+from paperloom.llm.common import links_by_keys, persisted
 
 BANDS, ROWS, SEED = 24, 5, 42
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -50,7 +50,7 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def links(docs: DataFrame, text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """(a, b): hashes of distinct texts that are ``similarity`` alike or more; they connect whatever a key's nodes have alike with its centres."""
+    """(a, b): hashes of distinct texts that are ``similarity`` alike or more, enough of them to connect all such texts that share a key."""
 
     @F.pandas_udf("array<long>")
     def keys(texts: pd.Series) -> pd.Series:
@@ -63,11 +63,19 @@ def links(docs: DataFrame, text_col: str = "text", similarity: float = 0.8) -> D
 
     texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
     rows = persisted(texts.select("node", keys(F.col("text")).alias("keys")).dropDuplicates(["node"]), "band-keys")
-    pairs = persisted(star_pairs(rows.select("node", F.explode("keys").alias("key")), whole=32), "near-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = persisted(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", sets(F.col("text")).alias("set")), "shingle-sets")
-    a, b = asked.select(F.col("node").alias("a"), F.col("set").alias("set_a")), asked.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    least, most = F.least(F.size("set_a"), F.size("set_b")), F.greatest(F.size("set_a"), F.size("set_b"))
-    both = pairs.join(a, "a").join(b, "b").where(least >= similarity * most)
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    bands = rows.select("node", F.posexplode("keys").alias("band", "key"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = persisted(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", sets(F.col("text")).alias("set")), "shingle-sets")
+        a, b = (asked.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+        least, most = F.least(F.size("set_a"), F.size("set_b")), F.greatest(F.size("set_a"), F.size("set_b"))
+        both = pairs.join(a, "a").join(b, "b").where(least >= similarity * most)
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        return both.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+
+    def narrower(common: DataFrame) -> DataFrame:
+        later = bands.select("node", F.col("band").alias("next"), F.col("key").alias("other"))
+        return common.join(later, "node").where("next > band").select("node", F.col("next").alias("band"), F.xxhash64("key", "other").alias("key"))
+
+    return links_by_keys(bands, verified, narrower, name="near-copies")

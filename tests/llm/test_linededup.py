@@ -109,3 +109,35 @@ def test_short_lines_need_more_documents(spark):
     odd = docs(spark)
     out = linededup.dedup_lines(odd).drop(linededup.N_LINES, linededup.N_DROPPED)
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
+
+
+def test_a_line_shared_by_alike_and_unlike_documents(spark, tmp_path):
+    """A long line in many unlike documents and in a family of alike ones, whose members link to each other and not to most others."""
+    import duckdb
+
+    from paperloom.llm.queries import ORACLE_SQL
+
+    r = random.Random(3)
+    long = prose(7000, 30)
+    pool = [prose(7100 + i, r.randint(6, 9)) for i in range(12)]
+    texts = [f"{prose(i, 25)}\n{long}" for i in range(150)]  # the line is more than half of these
+    texts += [f"{prose(200 + i, 40)}\n{long}" for i in range(100)]  # and less than half of these
+    texts += ["\n".join([prose(400 + i, 35), long, *r.sample(pool, 5)]) for i in range(80)]
+    texts += [f"{prose(600 + i, 45)}\n{pool[i % 12]}\n{prose(800 + i, 45)}" for i in range(60)]
+    r.shuffle(texts)
+    df = docs(spark, texts).select("doc_id", "text")
+    df.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = {d: (n, k, t) for d, n, k, t in con.execute(f"SELECT doc_id, n_lines, n_dropped, text FROM ({ORACLE_SQL['op10_line_dedup']})").fetchall()}
+    out, got = run(spark, df)
+    assert {d: (x["__n_lines"], x["__n_dropped"], x["text"]) for d, x in got.items()} == want
+    assert 0 < sum(k > 0 for _, k, _ in want.values())
+
+
+def test_columns_named_like_the_operators_own(spark):
+    df = docs(spark, [prose(1, 30)] * 3)
+    for name in ("drop", "__drop", "hit_id", "LINES", "hit_hash"):
+        df = df.withColumn(name, df["doc_id"])
+    out = linededup.dedup_lines(df).drop(linededup.N_LINES, linededup.N_DROPPED)
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
