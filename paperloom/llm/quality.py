@@ -5,8 +5,9 @@ Each line that holds a word is judged on its own:
 * punctuation: fewer than ``short_line`` words and no sentence end, or more than ``noisy_share`` of its
   words carry symbol punctuation (two or more of ``#*$%&|<>`` or ``!``);
 * navigation: more than ``separator_share`` of its words are bare separators such as ``|`` or ``»``;
-* boilerplate: at most ``boilerplate_words`` words and a licence, cookie or rights notice, by phrases of
-  the four languages of the corpus (others are caught by the year after ``©`` and by loan words alone).
+* boilerplate: at most ``boilerplate_words`` words and a licence, cookie, account or rights notice, by whole
+  phrases of the four languages of the corpus, or by shorter ones that open the line (other languages
+  are caught by the year after ``©`` alone).
 
 A document is kept if it passes the base rules (``min_words``, share of words in repeated 5-word
 windows) and its remaining lines hold at least ``keep_share`` of its word characters.
@@ -22,6 +23,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,18 +32,27 @@ SPACES = " \t\n\x0b\x0c\r"
 SENTENCE_END = re.compile(r"[.!?…。！？:;؟।॥։።][\"'”’»)\]]*$")
 NOISY_WORD = re.compile(r"[#*$%&|<>]{2,}|!{2,}")
 SEPARATORS = frozenset({b"|", b"||", b"/", b"//", b">", b">>", "»".encode(), "›".encode(), "•".encode(), "·".encode(), b"::"})
-#: Licence, rights, cookie and account notices in English, German, French and Spanish.
-BOILERPLATE = re.compile(
-    r"all rights reserved|licen[sc]ed under|released under|creative commons|general public license|copyright ©|© ?\d{4}"
-    r"|cookie|privacy policy|terms of (use|service)|subscribe to|sign up|log ?in\b|click here|powered by"
-    r"|alle rechte vorbehalten|lizenziert unter|veröffentlicht unter der|datenschutzerklärung|nutzungsbedingungen"
+#: Licence, rights, cookie and account notices in English, German, French and Spanish: whole phrases that prose hardly holds ...
+PHRASES = (
+    r"all rights reserved|licen[sc]ed under (the |an? )?([^ ]+ ){0,5}(licen[sc]e|[^ ]*[0-9]\.[0-9])|released under (the |an? )?([^ ]+ ){0,5}licen[sc]e"
+    r"|creative commons|general public license|copyright (©|\(c\)|[0-9]{4})|privacy policy|terms (of (use|service)|and conditions)"
+    r"|(uses?|using|accept|allow|verwendet|verwenden|nutzt|nutzen|utilise|utilisons|utiliza|utilizamos|usa|usamos|acepta(r|mos)?)( (all|our|des|les|de|las|los|alle))? cookies"
+    r"|cookies? (policy|settings|consent|preferences|notice|banner|richtlinie|einstellungen)|pol(itique|ítica) (relative aux|de|des|en matière de) cookies"
+    r"|subscribe to (our|this) (newsletter|channel|feed|mailing list|blog|podcast)|sign up (now|today|here|for (our|updates|free|a free|an account|the newsletter))"
+    r"|(please|must|need to|have to) log ?in|log ?in to (continue|comment|reply|post|view|your account)|click here"
+    r"|alle rechte vorbehalten|lizenziert unter|veröffentlicht unter der ([^ ]+ ){0,3}[^ ]*lizenz|datenschutzerklärung|nutzungsbedingungen"
     r"|newsletter abonnieren|jetzt (anmelden|registrieren|abonnieren)|hier klicken|klicken sie hier"
     r"|tous droits réservés|sous licence|politique de confidentialité|conditions (générales )?d['’]utilisation|mentions légales"
-    r"|abonnez-vous|inscrivez-vous|cliquez ici|propulsé par"
-    r"|todos los derechos reservados|bajo (la |una )?licencia|política de privacidad|términos (de uso|y condiciones)|aviso legal"
-    r"|suscr[ií]bete|reg[ií]strate|ha(z|ga) clic|iniciar sesión",
-    re.I,
+    r"|abonnez-vous (à (notre|la)|dès maintenant|gratuitement)|cliquez ici|propulsé par"
+    r"|todos los derechos reservados|bajo (la |una )?licencia [^ ]+|política de privacidad|términos (de uso|y condiciones)|aviso legal"
+    r"|suscr[ií]bete (a|hoy|ya|ahora)|ha(z|ga) clic (aquí|en)|iniciar sesión"
 )
+#: ... and shorter ones where they open the line.
+OPENINGS = r"(proudly )?powered by|subscribe|sign up|log ?in|abonnez-vous|inscrivez-vous|suscr[ií]b(ete|ase)|reg[ií]str(ate|ese)"
+_EDGE = r"[^\p{L}\p{N}_]"
+#: Said in what Python and RE2 read alike: no \b, \w or \s.
+NOTICE = rf"(?i)(^|{_EDGE})({PHRASES})($|{_EDGE})|^{_EDGE}*({OPENINGS})($|{_EDGE})|© ?[0-9]{{4}}"
+BOILERPLATE = regex.compile(NOTICE)
 
 
 @dataclass(frozen=True)

@@ -10,19 +10,12 @@ from paperloom.llm.common import small_batches, table
 from paperloom.sources.scratch import scratch_path
 
 _W = r"[^\x20\x09-\x0D]+"
-#: The notices, stated a second time for the SQL.
-_NOTICES = """all rights reserved|licen[sc]ed under|released under|creative commons|general public license|copyright ©|© ?\\d{4}
-|cookie|privacy policy|terms of (use|service)|subscribe to|sign up|log ?in\\b|click here|powered by
-|alle rechte vorbehalten|lizenziert unter|veröffentlicht unter der|datenschutzerklärung|nutzungsbedingungen
-|newsletter abonnieren|jetzt (anmelden|registrieren|abonnieren)|hier klicken|klicken sie hier
-|tous droits réservés|sous licence|politique de confidentialité|conditions (générales )?d[''’]utilisation|mentions légales
-|abonnez-vous|inscrivez-vous|cliquez ici|propulsé par
-|todos los derechos reservados|bajo (la |una )?licencia|política de privacidad|términos (de uso|y condiciones)|aviso legal
-|suscr[ií]bete|reg[ií]strate|ha(z|ga) clic|iniciar sesión""".replace("\n", "")
+#: A list of phrases, not logic; a hand-made set of lines tests it.
+_NOTICES = quality.NOTICE.replace("'", "''")
 _LINE_FAILS = rf"""(len(w) < 5 AND NOT regexp_matches(line, '[.!?…。！？:;؟।॥։።]["''”’»)\]]*[\x20\x09-\x0D]*$'))
  OR len(list_filter(w, lambda x: x IN ('|', '||', '/', '//', '>', '>>', '»', '›', '•', '·', '::'))) > 0.2 * len(w)
  OR len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]{{2,}}|!{{2,}}'))) > 0.3 * len(w)
- OR (len(w) <= 20 AND regexp_matches(line, '(?i){_NOTICES}'))"""
+ OR (len(w) <= 20 AND regexp_matches(line, '{_NOTICES}'))"""
 
 
 #: Stated here a second time, apart from the operator: what each kind of secret looks like.
@@ -30,11 +23,11 @@ _SECRETS = {
     "assign": r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"[0-9a-f]+",
-    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----)?",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
-    "url": r"[a-z][a-z0-9+.-]{0,20}://[^\s:@/]{1,100}:[^\s:@/]{1,100}@",
+    "url": r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D:@/]+:[^\x20\x09-\x0D:@/]+@",
 }
 
 
@@ -91,7 +84,9 @@ def _repair_sql() -> str:
  kinds AS (SELECT *, xor(list_reduce(list_transform(k, lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor({_crc_table()}[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 20 AS kind FROM keyed),
  hurt AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM kinds, range(2) AS n(i) WHERE kind <> 0 AND (i = 0 OR kind = 3)),
  rows_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) - 1 AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM hurt),
- judged AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS f,
+ judged AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS f,
  coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) || role[1] NOT IN ('su', 'ua', 'au'), false) AS bad FROM rows_),
  ids AS (SELECT DISTINCT conv_id FROM conversations),
  path(id, k, s, best) AS (SELECT conv_id, CAST(0 AS BIGINT), 0, {{'c': CAST(0 AS BIGINT), 'w': '', 't': CAST([] AS VARCHAR[])}} FROM ids UNION ALL

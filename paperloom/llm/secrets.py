@@ -10,8 +10,9 @@ cut at the first of them. Each part is then a match and what follows it, and run
 lengths give every match's place in code points, in time linear in the matches. (Where a text holds
 these control characters itself, a third one stands for them, which no pattern tells apart.)
 
-Kinds: ``assign``, ``access`` and ``hex`` are the base rules; ``pem`` (private key blocks), ``jwt``,
-``github``, ``slack`` and ``url`` (credentials in an address) are added to them. Null texts are empty
+Kinds: ``assign``, ``access`` and ``hex`` are the base rules; ``pem`` (private key blocks; the first line alone
+if the last is missing or more than eight hyphens stand between them), ``jwt``, ``github``, ``slack`` and ``url``
+(credentials in an address, of any length) are added to them. Null texts are empty
 and have no finding. Repeated rows share a blob and each get its findings; a null id keeps its row.
 Extra columns are ignored. A blob's findings are one array, as long as its text has matches.
 """
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import persisted
 
+_OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\x03"
 #: Kinds in their order, as Java patterns. A run of hexadecimal digits matches whole or not at all, and so
 #: does what follows AKIA: asking for the least length is the same as dropping shorter matches. A short
 #: value of ``assign`` does take its place, so it is matched first and dropped after.
@@ -33,12 +35,15 @@ PATTERNS = {
     "assign": r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[a-z0-9+/_.=-]+""",
     "access": r"AKIA[A-Z0-9]{14,}",
     "hex": r"[0-9a-f]{16,}",
-    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----)?",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
-    "url": r"[a-z][a-z0-9+.-]{0,20}://[^\s:@/]{1,100}:[^\s:@/]{1,100}@",
+    "url": r"(?<![a-z0-9+.-])([0-9+.-]*+)([a-z][a-z0-9+.-]*+://[^\x20\x09-\x0D:@/]+:[^\x20\x09-\x0D:@/]+@)",
 }
+#: What of a match is wrapped. A scheme begins with the first letter of its run; asking for the whole run
+#: keeps the search linear, and what stands before that letter is left outside.
+_WRAPPED = {"url": f"$1{_OPEN}$2{_CLOSE}"}
 BASE = ("assign", "access", "hex")
 MIN_VALUE = 12
 _VALUE = r"""^(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)$"""
@@ -46,13 +51,12 @@ _VALUE = r"""^(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["
 
 #: Names the rules: it changes with any of them.
 RULE_VERSION = hashlib.sha256(repr((PATTERNS, BASE, MIN_VALUE, _VALUE)).encode()).hexdigest()[:16]
-_OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\x03"
 _FOUND = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
 def matched_parts(text: Column, rank: int, kind: str) -> Column:
     """Array of (rank, i, length, match_length, good): part i of the text cut before every match; part 0 has no match. Null where nothing matches."""
-    parts = F.split(F.regexp_replace(text, PATTERNS[kind], f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
+    parts = F.split(F.regexp_replace(text, PATTERNS[kind], _WRAPPED.get(kind, f"{_OPEN}$0{_CLOSE}")), _OPEN, -1)
 
     def part(x: Column, i: Column) -> Column:
         match = F.substring_index(x, _CLOSE, 1)

@@ -58,6 +58,54 @@ def test_notices_of_all_four_languages_are_found():
     assert not fails("هل هذا صحيح؟") and not fails("यह सही है।")
 
 
+#: Lines of plain prose that hold the words of notices, and notices; made by hand.
+PROSE = """She wrote a blog in French for ten years before the war.
+A catalog in the library lists every book by its author.
+An analog in nature is the spiral of a shell.
+Mix the cookie dough and bake it for ten minutes.
+The mill was powered by a wheel in the stream.
+The prisoner was released under a deal with the court.
+He was licensed under state law to sell wine.
+They threw the last log in the stove and waited.
+He would not subscribe to that opinion, nor to any other.
+Nobody would sign up to row against the wind.
+It clicks; here comes the train at last.
+The right to vote was reserved for a few in 1848.
+In common, creative people sleep badly.
+We ate three cookies and drank all of the milk.
+The policy of privacy in that house was silence.
+Der Keks lag unter dem Schrank, klick machte das Schloss.
+Sie war jetzt angemeldet und wartete im Flur.
+Die Lizenz hing unter Glas an der Wand.
+Il avait la licence sous le bras en sortant.
+Les conditions de la paix furent dures pour tous.
+Nous avons cliqué et rien ne s'est passé.
+El aviso llegó tarde y era poco legal.
+La policía de la ciudad cerró la calle.
+Bajo la mesa dormía un perro viejo.""".split("\n")
+MORE_NOTICES = """Powered by WordPress
+Proudly powered by Example CMS.
+Log in | Register | Help with this
+This site uses cookies to improve your visit.
+Please log in to comment on this page.
+Copyright (c) 2020 The Authors. Ask before you copy.
+By using this site you accept our Terms of Service.
+Released under the MIT License.
+This work is licensed under the GNU General Public License, version 3.
+Sign up for our mailing list today.
+Veröffentlicht unter der GNU General Public License oder einer freien Lizenz.
+Klicken Sie hier, um mehr zu erfahren.
+POLITIQUE DE CONFIDENTIALITÉ.
+Haga clic aquí para leer el texto completo.
+Inscrivez-vous et lisez la suite.""".split("\n")
+
+
+def test_prose_with_the_words_of_notices_stays():
+    fails = lambda line: quality.line_fails(line, line.encode().split())
+    assert not [x for x in PROSE if fails(x)]
+    assert sum(map(fails, MORE_NOTICES)) >= 0.9 * len(MORE_NOTICES)
+
+
 def test_clean_documents_stay_and_columns_too(spark):
     df = docs(spark, [prose(i, 50 + 7 * i) for i in range(20)] + [None, "", "too short"])
     kept = quality.filter_documents(df)

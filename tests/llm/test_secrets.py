@@ -42,6 +42,27 @@ def test_added_kinds(spark):
     assert [got[i].split(":")[0] for i in range(4)] == ["pem", "url", "github", "jwt"]
 
 
+def test_added_kinds_have_whole_spans(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\nMIIEow+/=\nabc\n-----END RSA PRIVATE KEY-----"
+    texts = [f"see 9http://me:{'p' * 140}@host and ftp://{'u' * 200}:x@h", f"a {key} b", "-----BEGIN PRIVATE KEY----- cut off", f"{'a' * 300_000}://x {'a1' * 200_000}", f"{'s' * 60}://u:p@"]
+    df = docs(spark, texts)
+    got = {r["doc_id"]: r["spans"] for r in secrets.findings(df, secrets.scan_versions(df)[0]).collect()}
+    assert got == {0: "url:5:156,url:165:374", 1: f"pem:2:{2 + len(key)}", 2: "pem:0:27", 3: got[3], 4: "url:0:67"}
+    assert "url" not in got[3]
+
+
+def test_a_second_run_over_a_lasting_ledger_scans_nothing(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    df = docs(spark)
+    first = secrets.update_ledger(df, path)
+    n = first.count()
+    before = sorted(map(str, secrets.findings(df, secrets.known(first)).collect()))
+    _, new = secrets.scan_versions(df, ledger=secrets.read_ledger(spark, path))
+    assert new.count() == 0
+    again = secrets.update_ledger(df, path)
+    assert again.count() == n and sorted(map(str, secrets.findings(df, secrets.known(again)).collect())) == before
+
+
 def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     first = docs(spark, ["password=abcdefghijkl1", "nothing here", "password=abcdefghijkl1"])
     found, new = secrets.scan_versions(first)
