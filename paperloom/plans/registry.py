@@ -25,6 +25,7 @@ MODULES: list[str] = [
     "paperloom.sources.files",
     "paperloom.sources.logs",
     "paperloom.streaming.counters",
+    "paperloom.streaming.stateful",
 ]
 
 
