@@ -15,6 +15,7 @@ MODULES: list[str] = [
     "paperloom.operators.fields",
     "paperloom.operators.accounts",
     "paperloom.operators.geometry",
+    "paperloom.operators.images",
     "paperloom.operators.textops",
     "paperloom.operators.pages",
     "paperloom.operators.answers",
