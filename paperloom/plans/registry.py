@@ -16,6 +16,8 @@ MODULES: list[str] = [
     "paperloom.operators.accounts",
     "paperloom.operators.geometry",
     "paperloom.operators.images",
+    "paperloom.operators.arrange",
+    "paperloom.operators.outlines",
     "paperloom.operators.textops",
     "paperloom.operators.pages",
     "paperloom.operators.answers",
