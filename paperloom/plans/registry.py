@@ -18,6 +18,7 @@ MODULES: list[str] = [
     "paperloom.operators.images",
     "paperloom.operators.arrange",
     "paperloom.operators.outlines",
+    "paperloom.operators.edits",
     "paperloom.operators.textops",
     "paperloom.operators.pages",
     "paperloom.operators.answers",
