@@ -1,6 +1,6 @@
-"""Boxes on pages: hits, overlaps, labels near fields, turned pages, shapes, reading order, paragraphs, and edits of a page list.
+"""Boxes on pages: hits, overlaps, labels near fields, turned pages, shapes, and edits of a page list.
 
-A page is one unit of work, with as many boxes as fit on it; pages are dealt over the cluster.
+Boxes meet regions by page and cell of a grid (``grid``), so a dense page costs what its boxes cost.
 """
 
 from __future__ import annotations
@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators.fields import is_field_label, printed_label
-from paperloom.operators.layout import LETTER, RTL_LETTER
+from paperloom.operators.grid import boxes_in_cells, in_cells, shared_cell, with_cell
 from paperloom.operators.pages import boxes
 from paperloom.sources.tables import read
 
 HISTORY = 200
-COLUMN_GAP = 0.08
 ELEMENT = "text string, x double, y double, w double, h double, fontSize double, fontName string, bold boolean, italic boolean, source string, confidence double"
 
 
@@ -25,36 +24,48 @@ def _holds(r: str, x: Column, y: Column) -> Column:
     return (x >= F.col(f"{r}.x")) & (x < F.col(f"{r}.x") + F.col(f"{r}.w")) & (y >= F.col(f"{r}.y")) & (y < F.col(f"{r}.y") + F.col(f"{r}.h"))
 
 
+def _same_cell(a: str, b: str) -> Column:
+    return (F.col(f"{a}.page") == F.col(f"{b}.page")) & (F.col(f"{a}.cell") == F.col(f"{b}.cell"))
+
+
 def hit_test(elements: DataFrame, points: DataFrame) -> DataFrame:
     """(page, point, idx): the topmost element (highest idx) under each point; points without one are left out."""
-    e, p = elements.alias("e"), points.alias("p")
-    hits = p.join(e, (F.col("e.page") == F.col("p.page")) & _holds("e", F.col("p.x"), F.col("p.y")))
+    e, p = boxes_in_cells(elements).alias("e"), with_cell(points, F.col("x"), F.col("y")).alias("p")
+    hits = p.join(e, _same_cell("e", "p") & _holds("e", F.col("p.x"), F.col("p.y")))
     return hits.groupBy("p.page", "p.point").agg(F.max("e.idx").alias("idx"))
 
 
 def overlapping(elements: DataFrame, regions: DataFrame) -> DataFrame:
     """(page, region, idx): elements and regions that share an area."""
-    e, r = elements.alias("e"), regions.alias("r")
+    e, r = boxes_in_cells(elements).alias("e"), boxes_in_cells(regions).alias("r")
     across = (F.col("e.x") < F.col("r.x") + F.col("r.w")) & (F.col("r.x") < F.col("e.x") + F.col("e.w"))
     down = (F.col("e.y") < F.col("r.y") + F.col("r.h")) & (F.col("r.y") < F.col("e.y") + F.col("e.h"))
-    return e.join(r, (F.col("e.page") == F.col("r.page")) & across & down & (F.col("e.w") > 0) & (F.col("e.h") > 0)).select("e.page", "r.region", "e.idx")
+    return e.join(r, _same_cell("e", "r") & shared_cell("e", "r") & across & down & (F.col("e.w") > 0) & (F.col("e.h") > 0)).select("e.page", "r.region", "e.idx")
 
 
 def kept_words(words: DataFrame, erased: DataFrame) -> DataFrame:
     """Words whose centre no erased box holds."""
-    w, r = words.alias("w"), erased.alias("r")
-    return w.join(r, (F.col("w.page") == F.col("r.page")) & _holds("r", F.col("w.x") + F.col("w.w") / 2, F.col("w.y") + F.col("w.h") / 2), "left_anti")
+    w, r = with_cell(words, F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2).alias("w"), boxes_in_cells(erased).alias("r")
+    return w.join(r, _same_cell("w", "r") & _holds("r", F.col("w.x") + F.col("w.w") / 2, F.col("w.y") + F.col("w.h") / 2), "left_anti").drop("cell")
 
 
 def near_labels(fields: DataFrame, words: DataFrame) -> DataFrame:
     """(page, region, label): the nearest line of words just above a field that starts over it, else the words just left of it in its line; null if none."""
-    f, w = fields.withColumn("fh", F.when(F.col("h") <= 0, 0.02).otherwise(F.col("h"))).alias("f"), words.alias("w")
-    h, bottom = F.col("fh"), F.col("w.y") + F.col("w.h")
+    tall = fields.withColumn("fh", F.when(F.col("h") <= 0, 0.02).otherwise(F.col("h")))
+    h, x, slack = F.col("fh"), F.col("x"), 1e-9
+    bottom, right = F.col("w.y") + F.col("w.h"), F.col("w.x") + F.col("w.w")
+
+    def pairs(is_above: bool, fields_: DataFrame, words_: DataFrame, holds: Column) -> DataFrame:
+        both = fields_.alias("f").join(words_.alias("w"), _same_cell("f", "w") & holds)
+        return both.select("f.page", "f.region", "fh", F.col("w.x").alias("x"), "w.idx", "w.word", F.lit(is_above).alias("above"), F.lit(not is_above).alias("beside"), bottom.alias("bottom"))
+
+    # A word above by its left and bottom, one beside by its right and middle: each is in one cell.
+    over_it = in_cells(tall, x - h * 0.5 - slack, F.col("y") - h * 1.6 - slack, x + F.col("w") + slack, F.col("y") + h * 0.2 + slack)
     above = (bottom <= F.col("f.y") + h * 0.2) & (bottom >= F.col("f.y") - h * 1.6) & (F.col("w.x") >= F.col("f.x") - h * 0.5) & (F.col("w.x") < F.col("f.x") + F.col("f.w"))
-    middle = F.abs(F.col("w.y") + F.col("w.h") / 2 - (F.col("f.y") + F.col("f.h") / 2))
-    right = F.col("w.x") + F.col("w.w")
-    beside = (middle < h * 0.6) & (right <= F.col("f.x") + 0.002) & (right > F.col("f.x") - 0.35)
-    pairs = f.join(w, (F.col("f.page") == F.col("w.page")) & (above | beside)).select("f.page", "f.region", "fh", F.col("w.x").alias("x"), "w.idx", "w.word", above.alias("above"), beside.alias("beside"), bottom.alias("bottom"))
+    middle = F.col("y") + F.col("h") / 2
+    left_of_it = in_cells(tall, x - 0.35 - slack, middle - h * 0.6 - slack, x + 0.002 + slack, middle + h * 0.6 + slack)
+    beside = (F.abs(F.col("w.y") + F.col("w.h") / 2 - (F.col("f.y") + F.col("f.h") / 2)) < h * 0.6) & (right <= F.col("f.x") + 0.002) & (right > F.col("f.x") - 0.35)
+    pairs = pairs(True, over_it, with_cell(words, x, F.col("y") + F.col("h")), above).union(pairs(False, left_of_it, with_cell(words, x + F.col("w"), middle), beside))
     word = F.struct("x", "idx", "word")
     found = pairs.groupBy("page", "region").agg(F.max(F.when(F.col("above"), F.col("bottom"))).alias("nearest"), F.first("fh").alias("fh"), F.collect_list(F.when(F.col("above"), F.struct("bottom", word.alias("w")))).alias("over"), F.collect_list(F.when(F.col("beside"), word)).alias("left"))
 
@@ -177,141 +188,6 @@ def text_elements(items: Column) -> Column:
     return F.filter(F.transform(F.filter(parsed, lambda e: e.isNotNull()), element), lambda e: e["text"] != "")
 
 
-# Reading order and paragraphs, page by page.
-
-
-def same_line(a, b) -> bool:
-    """Whether two boxes stand in one visual line."""
-    overlap, low = min(a.y + a.h, b.y + b.h) - max(a.y, b.y), min(a.h, b.h)
-    if low <= 0.0001:
-        return abs(a.y - b.y) <= 0.008
-    if overlap > 0 and overlap / low >= 0.35:
-        return True
-    return abs(a.y + a.h / 2 - b.y - b.h / 2) <= 0.45 * (a.h + b.h) / 2
-
-
-def gutter(boxes_: list, rows: list[list]) -> float | None:
-    """Where a page falls into two columns: the widest gap of left edges, if no box crosses it and each side has two rows."""
-    if len(boxes_) < 4 or len(rows) < 2:
-        return None
-    by_left = sorted(boxes_, key=lambda b: b.x)
-    gaps = [(b.x - a.x - a.w, -i) for i, (a, b) in enumerate(zip(by_left, by_left[1:]))]
-    widest, i = max(gaps)
-    if widest < COLUMN_GAP:
-        return None
-    split = by_left[-i].x + by_left[-i].w + widest / 2
-    sides = ([b.x + b.w <= split + 0.0001 for b in row] for row in rows)
-    if any(b.x + b.w > split + 0.0001 and b.x < split - 0.0001 for b in boxes_):
-        return None
-    sides = list(sides)
-    return split if sum(map(any, sides)) >= 2 and sum(not all(s) for s in sides) >= 2 else None
-
-
-def order_page(boxes_: list, rtl) -> list:
-    """Boxes in reading order: rows from the top, columns one after another, rows of right-to-left text from the right."""
-    rows: list[list] = []
-    for b in sorted(boxes_, key=lambda b: b.y):
-        if rows and same_line(rows[-1][-1], b):
-            rows[-1].append(b)
-        else:
-            rows.append([b])
-    split = gutter(boxes_, rows)
-    if split is not None:
-        left = [[b for b in row if b.x + b.w <= split + 0.0001] for row in rows]
-        right = [[b for b in row if b.x + b.w > split + 0.0001] for row in rows]
-        rows = [row for row in (right + left if rtl(boxes_) else left + right) if row]
-    return [b for row in rows for b in sorted(row, key=lambda b: b.x, reverse=rtl(row))]
-
-
-def majority_rtl(boxes_: list) -> bool:
-    import re
-
-    text = "".join(b.word for b in boxes_)
-    return 2 * len(re.findall(RTL_LETTER, text)) > len(re.findall(LETTER, text))
-
-
-def reading_order(elements: DataFrame) -> DataFrame:
-    """(page, idx, place, starts_line) of elements (page, idx, x, y, w, h, word); boxes that are not finite come last."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx")
-        finite = f[["x", "y", "w", "h"]].map(lambda v: v == v and abs(v) != float("inf")).all(axis=1)
-        ordered = order_page(list(f[finite].itertuples()), majority_rtl)
-        starts = [not i or not same_line(ordered[i - 1], b) for i, b in enumerate(ordered)]
-        rest = f[~finite]["idx"].tolist()
-        idx = [b.idx for b in ordered] + rest
-        return pd.DataFrame({"page": f["page"].iloc[0], "idx": idx, "place": range(len(idx)), "starts_line": starts + [True] * len(rest)})
-
-    return elements.select("page", "idx", "x", "y", "w", "h", F.coalesce("word", F.lit("")).alias("word")).groupBy("page").applyInPandas(run, "page long, idx long, place long, starts_line boolean")
-
-
-def selection(elements: DataFrame, ordered: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(page, text, source, confidence) of the elements between two of a page (first, last, either way round) in reading order."""
-    ends = ranges.select("page", F.explode(F.array("first", "last")).alias("idx")).join(ordered, ["page", "idx"]).groupBy("page").agg(F.min("place").alias("a"), F.max("place").alias("b"))
-    chosen = ordered.join(ends, "page").where("place BETWEEN a AND b").join(elements.select("page", "idx", "word", "source", "confidence"), ["page", "idx"])
-    one = F.struct("place", "a", "starts_line", "word")
-    text = F.aggregate(F.array_sort(F.collect_list(one)), F.lit(""), lambda out, x: F.concat(out, F.when(x["place"] == x["a"], "").when(x["starts_line"], "\n").when(out.endswith(" ") | x["word"].startswith(" "), "").otherwise(" "), x["word"]))
-    source = F.when(F.count_distinct("source") == 1, F.min("source")).otherwise("mixed")
-    sure = F.least(F.lit(1.0), F.coalesce(F.min(F.when(~F.isnan("confidence") & (F.abs("confidence") != float("inf")), F.col("confidence"))), F.lit(1.0)))
-    return chosen.groupBy("page").agg(text.alias("text"), source.alias("source"), sure.alias("confidence"))
-
-
-def page_paragraphs(boxes_: list, aspect: float = 1.0) -> list[list]:
-    """Boxes of each paragraph: lines, cut at gaps of 2.5 heights, that follow each other closely, alike in height and aligned on a side or in the middle."""
-    rows: list[list] = []
-    for b in sorted((b for b in boxes_ if b.word.strip()), key=lambda b: b.y + b.h / 2):
-        if rows and same_line(rows[-1][0], b):
-            rows[-1].append(b)
-        else:
-            rows.append([b])
-    lines: list[list] = []
-    for row in rows:
-        row.sort(key=lambda b: b.x)
-        for i, b in enumerate(row):
-            if i and (b.x - row[i - 1].x - row[i - 1].w) * aspect <= max(b.h, row[i - 1].h) * 2.5:
-                lines[-1].append(b)
-            else:
-                lines.append([b])
-
-    def rect(line: list) -> tuple[float, float, float, float]:
-        return min(b.x for b in line), min(b.y for b in line), max(b.x + b.w for b in line), max(b.y + b.h for b in line)
-
-    def follows(a: tuple, b: tuple) -> bool:
-        ha, hb = a[3] - a[1], b[3] - b[1]
-        if max(ha, hb) / max(min(ha, hb), 1e-6) > 1.35 or min(a[2], b[2]) <= max(a[0], b[0]):
-            return False
-        near = ha / aspect * 1.5
-        return min(abs(a[0] - b[0]), abs(a[2] - b[2]), abs((a[0] + a[2] - b[0] - b[2]) / 2)) <= near
-
-    left = sorted(((rect(line), line) for line in lines), key=lambda x: x[0][1])
-    out = []
-    while left:
-        (last, group), *rest = left
-        group, kept, closed = list(group), [], False
-        for box, line in rest:
-            closed = closed or box[1] - last[3] > (last[3] - last[1]) * 0.9
-            if not closed and follows(last, box):
-                group += line
-                last = box
-            else:
-                kept.append((box, line))
-        out.append(group)
-        left = kept
-    return out
-
-
-def paragraphs(elements: DataFrame) -> DataFrame:
-    """(page, idx, paragraph, place) of elements (page, idx, x, y, w, h, word); blank words and boxes that are not finite are left out."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f[f[["x", "y", "w", "h"]].map(lambda v: v == v and abs(v) != float("inf")).all(axis=1)].sort_values("idx")
-        found = page_paragraphs(list(f.itertuples()))
-        rows = [(b.page, b.idx, k, i) for k, group in enumerate(found) for i, b in enumerate(group)]
-        return pd.DataFrame(rows, columns=["page", "idx", "paragraph", "place"])
-
-    return elements.select("page", "idx", "x", "y", "w", "h", F.coalesce("word", F.lit("")).alias("word")).groupBy("page").applyInPandas(run, "page long, idx long, paragraph long, place long")
-
-
 def undo_history(log: DataFrame, depth: int = HISTORY) -> DataFrame:
     """(owner, id, undoable, redoable) after each entry of an owner's log (owner, ts, id, kind of push, undo or redo).
 
@@ -408,28 +284,13 @@ def element_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "e.text", "e.x", "e.fontSize", "e.bold", "e.source", "e.confidence")
 
 
-def element_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading_order(boxes(spark, sf_dir)[0])
-
-
-def element_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(boxes(spark, sf_dir)[0])
-
-
-def selected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page from its lowest to its highest element."""
-    elements = boxes(spark, sf_dir)[0].withColumn("source", F.when(F.col("idx") % 3 == 0, "ocr").otherwise("native")).withColumn("confidence", (F.col("idx") % 9 + 1) / 10)
-    ranges = elements.groupBy("page").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
-    return selection(elements, reading_order(elements), ranges)
-
-
 def edit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as edits: errors undo, signups do again."""
     kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("push")
     return undo_history(read(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), "ts", F.col("event_id").alias("id"), kind.alias("kind")), 5)
 
 
-QUERIES = {f.__name__: f for f in (element_hits, region_overlaps, words_left, field_labels, turned_boxes, quad_shapes, tiny_squares, page_edits, element_json, element_order, element_paragraphs, selected_text, edit_history)}
+QUERIES = {f.__name__: f for f in (element_hits, region_overlaps, words_left, field_labels, turned_boxes, quad_shapes, tiny_squares, page_edits, element_json, edit_history)}
 
 _BOX = "e AS (SELECT l_orderkey // 20 AS page, l_orderkey * 10 + l_linenumber AS idx, (l_partkey % 90) / 100 AS x, (l_suppkey % 80) / 100 AS y, l_quantity / 500 AS w, (l_quantity % 3) / 100 AS h, 'w-' || l_partkey AS word FROM lineitem), r AS (SELECT l_orderkey // 20 AS page, l_orderkey AS region, (l_partkey % 90) / 100 AS x, (l_suppkey % 80) / 100 AS y, 0.05::DOUBLE AS w, 0.03::DOUBLE AS h FROM lineitem WHERE l_linenumber = 1)"
 _IN = "{0} >= {2}.x AND {0} < {2}.x + {2}.w AND {1} >= {2}.y AND {1} < {2}.y + {2}.h"

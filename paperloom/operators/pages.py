@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.literals import frame, values
+from paperloom.operators.grid import boxes_in_cells, with_cell
 
 COVERAGE = 0.15
 
@@ -77,22 +78,24 @@ def sections(pages: DataFrame, headings: DataFrame) -> DataFrame:
 
 def covered(elements: DataFrame, regions: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """Elements of which a single region of their page covers the threshold; elements without area by their corner."""
-    e, r = elements.alias("e"), regions.alias("r")
+    # Both meet in every cell that they share, so an element is told from others by a number.
+    e, r = boxes_in_cells(elements.withColumn("_row", F.monotonically_increasing_id())).alias("e"), boxes_in_cells(regions).alias("r")
     w = F.least(F.col("e.x") + F.col("e.w"), F.col("r.x") + F.col("r.w")) - F.greatest("e.x", "r.x")
     h = F.least(F.col("e.y") + F.col("e.h"), F.col("r.y") + F.col("r.h")) - F.greatest("e.y", "r.y")
     area = F.col("e.w") * F.col("e.h")
     corner = (F.col("e.x") >= F.col("r.x")) & (F.col("e.x") < F.col("r.x") + F.col("r.w")) & (F.col("e.y") >= F.col("r.y")) & (F.col("e.y") < F.col("r.y") + F.col("r.h"))
     flat = (F.col("e.w") <= 0) | (F.col("e.h") <= 0)
     hit = F.when(flat, corner).otherwise((w > 0) & (h > 0) & (w * h >= threshold * area))
-    return e.join(r, (F.col("e.page") == F.col("r.page")) & hit, "left_semi")
+    met = e.join(r, (F.col("e.page") == F.col("r.page")) & (F.col("e.cell") == F.col("r.cell")) & hit, "left_semi")
+    return met.dropDuplicates(["_row"]).drop("_row", "cell")
 
 
 def region_needles(words: DataFrame, regions: DataFrame) -> DataFrame:
     """(page, region, needle): the phrase under a region and its distinctive words."""
-    w, r = words.alias("w"), regions.alias("r")
+    w, r = with_cell(words, F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2).alias("w"), boxes_in_cells(regions).alias("r")
     cx, cy = F.col("w.x") + F.col("w.w") / 2, F.col("w.y") + F.col("w.h") / 2
     inside = (cx >= F.col("r.x")) & (cx < F.col("r.x") + F.col("r.w")) & (cy >= F.col("r.y")) & (cy < F.col("r.y") + F.col("r.h"))
-    hits = w.join(r, (F.col("w.page") == F.col("r.page")) & inside).select("w.page", "r.region", "w.idx", "w.word")
+    hits = w.join(r, (F.col("w.page") == F.col("r.page")) & (F.col("w.cell") == F.col("r.cell")) & inside).select("w.page", "r.region", "w.idx", "w.word")
     phrase = hits.groupBy("page", "region").agg(F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ")).alias("needle")).where(F.length("needle") >= 4)
     token = F.regexp_replace("word", r"""^[.,;:()\[\]{}"']+|[.,;:()\[\]{}"']+$""", "")
     single = hits.select("page", "region", token.alias("needle")).where((F.length("needle") >= 4) & (F.col("needle").rlike("[0-9@_-]") | (F.length("needle") >= 10)))

@@ -19,6 +19,7 @@ MODULES: list[str] = [
     "paperloom.operators.arrange",
     "paperloom.operators.outlines",
     "paperloom.operators.edits",
+    "paperloom.operators.reading",
     "paperloom.operators.textops",
     "paperloom.operators.pages",
     "paperloom.operators.answers",
