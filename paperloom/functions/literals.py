@@ -26,3 +26,13 @@ def _sql(value) -> str:
 def values(rows: Sequence[tuple], columns: str, name: str) -> str:
     """``(VALUES ...) AS name(columns)``."""
     return "(VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows) + f") AS {name}({columns})"
+
+
+def values_and(rows: Sequence[tuple], columns: str, name: str, select: str) -> str:
+    """The literal rows and those of ``select``, as ``name(columns)``."""
+    return f"(SELECT * FROM {values(rows, columns, '_v')} UNION ALL {select}) AS {name}({columns})"
+
+
+def pick(rows: Sequence[tuple], column: int, i: str) -> str:
+    """SQL for the value of a column of the literal row number ``i``."""
+    return "[" + ", ".join(_sql(r[column]) for r in rows) + f"][{i} + 1]"

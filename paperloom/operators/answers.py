@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions.literals import frame, values
+from paperloom.functions.literals import frame, values_and
+from paperloom.sources.tables import read
 
 CATEGORIES = ("grammar", "clarity", "tone", "spelling", "other")
 MAX_EDITS = 100
@@ -72,17 +73,36 @@ EDITS = [(0, '{"edits": [{"original": "colour", "suggestion": "color", "category
 FIELDS = [(0, '{"type": "checkbox", "value": "yes", "x": 50, "y": 99, "page": 0}'), (1, '{"type": "radio", "text": "Off"}'), (2, '{"text": " Ann ", "label": "Name", "x": "0.3", "confidence": 0.4, "page": "2"}'), (3, '{"value": "", "field": "x"}'), (4, '{"type": "sig", "text": "s", "confidence": "low", "y": -3}'), (5, '[1]'), (6, '{"text": "t", "uncertain": true, "confidence": 0.9}')]
 
 
+def _answers(spark: SparkSession, sf_dir: str, literal: list[tuple], forms: list[str]) -> DataFrame:
+    """Literal answers, and one for each event, in one of the given forms (SQL that both engines read)."""
+    form = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(forms))
+    own = read(spark, sf_dir, "events").select((F.col("event_id") + 1000).alias("id"), F.expr(f"CASE event_id % {len(forms)} {form} END").alias("answer"))
+    return frame(spark, literal, "id long, answer string").unionByName(own)
+
+
+def _answers_sql(literal: list[tuple], forms: list[str]) -> str:
+    form = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(forms))
+    return values_and(literal, "id, answer", "a", f"SELECT event_id + 1000, CASE event_id % {len(forms)} {form} END FROM events")
+
+
+_ANSWER_FORMS = ["props", "concat('Here:', chr(10), '```json', chr(10), props, chr(10), '```')", "concat('so ', props, ' it is')", "substring(props, 1, length(props) - 1)", "event_type", "concat('{', props, '} or ', props)"]
+_PAIR = """concat('{"original": "', event_type, '", "suggestion": "', replace(event_type, 'c', 'k'), '", "reason": " no. ', CAST(event_id AS STRING), ' ", "category": "', CASE event_id % 3 WHEN 0 THEN 'Tone' WHEN 1 THEN 'odd' ELSE ' clarity ' END, '"}')"""
+_EDIT_FORMS = [f"concat('{{\"edits\": [', {_PAIR}, ', {{\"original\": \"\", \"suggestion\": \"x\"}}]}}')", f"concat('[', {_PAIR}, ', {{\"from\": \" teh \", \"to\": \"', event_type, '\"}}]')", f"concat('{{\"suggestions\": [', {_PAIR}, ']}}')", "event_type", f"concat('{{\"edits\": [', {_PAIR})"]
+_FIELD = """concat('{"type": "', CASE event_id % 4 WHEN 0 THEN 'Check' WHEN 1 THEN 'sign' WHEN 2 THEN 'radio' ELSE 'x' END, '", "value": "', CASE WHEN event_id % 3 = 0 THEN 'off' ELSE event_type END, '", "x": ', CAST(event_id % 130 - 5 AS STRING), ', "page": "', CAST(event_id % 5 - 1 AS STRING), '"'"""
+_FIELD_FORMS = [f"{_FIELD}, '}}')", f"{_FIELD}, ', \"confidence\": 0.', CAST(event_id % 10 AS STRING), ', \"label\": \" f \"}}')", f"{_FIELD}, ', \"uncertain\": true, \"text\": \" t \"}}')", "event_type"]
+
+
 def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, ANSWERS, "id long, answer string")
+    rows = _answers(spark, sf_dir, ANSWERS, _ANSWER_FORMS)
     return rows.select("id", salvaged_json(F.col("answer")).alias("json"))
 
 
 def edit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, EDITS, "id long, answer string").select("id", F.posexplode(edit_list(F.col("answer"))).alias("place", "e")).select("id", F.col("place").cast("long").alias("place"), "e.*")
+    return _answers(spark, sf_dir, EDITS, _EDIT_FORMS).select("id", F.posexplode(edit_list(F.col("answer"))).alias("place", "e")).select("id", F.col("place").cast("long").alias("place"), "e.*")
 
 
 def filled_field_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, FIELDS, "id long, answer string").select("id", filled_field(F.col("answer")).alias("f")).where("f IS NOT NULL").select("id", "f.*")
+    return _answers(spark, sf_dir, FIELDS, _FIELD_FORMS).select("id", filled_field(F.col("answer")).alias("f")).where("f IS NOT NULL").select("id", "f.*")
 
 
 def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,11 +115,11 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (json_salvage, edit_repair, filled_field_parse, event_props)}
 _T = "trim(coalesce({}, ''))"
 ORACLE_SQL = {
-    "json_salvage": f"SELECT CAST(id AS BIGINT) AS id, list_filter([trim(answer), trim(regexp_extract(answer, '(?s)```(?:json)?\\s*(.*?)\\s*```', 1)), regexp_extract(answer, '(?s)(\\{{.*\\}})', 1)], lambda x: x <> '' AND json_valid(x))[1] AS json FROM {values(ANSWERS, 'id, answer', 'a')}",
-    "edit_repair": f"""WITH l AS (SELECT id, CASE WHEN json_valid(answer) THEN coalesce(json_extract(answer, '$.edits'), json_extract(answer, '$.suggestions'), CAST(answer AS JSON)) END AS j FROM {values(EDITS, 'id, answer', 'a')}), e AS (SELECT id, k, json_extract(j, '$[' || k || ']') AS x FROM (SELECT id, j, unnest(range(0, CAST(json_array_length(j) AS BIGINT))) AS k FROM l)),
+    "json_salvage": f"SELECT CAST(id AS BIGINT) AS id, list_filter([trim(answer), trim(regexp_extract(answer, '(?s)```(?:json)?\\s*(.*?)\\s*```', 1)), regexp_extract(answer, '(?s)(\\{{.*\\}})', 1)], lambda x: x <> '' AND json_valid(x))[1] AS json FROM {_answers_sql(ANSWERS, _ANSWER_FORMS)}",
+    "edit_repair": f"""WITH l AS (SELECT id, CASE WHEN json_valid(answer) THEN coalesce(json_extract(answer, '$.edits'), json_extract(answer, '$.suggestions'), CAST(answer AS JSON)) END AS j FROM {_answers_sql(EDITS, _EDIT_FORMS)}), e AS (SELECT id, k, json_extract(j, '$[' || k || ']') AS x FROM (SELECT id, j, unnest(range(0, CAST(json_array_length(j) AS BIGINT))) AS k FROM l)),
  f AS (SELECT id, k, trim(coalesce(x->>'original', x->>'from', '')) AS original, trim(coalesce(x->>'suggestion', x->>'to', x->>'replacement', '')) AS suggestion, left(trim(coalesce(x->>'reason', '')), 200) AS reason, lower(trim(coalesce(x->>'category', ''))) AS c FROM e)
  SELECT CAST(id AS BIGINT) AS id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS place, original, suggestion, reason, CASE WHEN c IN {CATEGORIES} THEN c ELSE 'other' END AS category FROM f WHERE original <> '' AND suggestion <> '' AND original <> suggestion""",
-    "filled_field_parse": f"""WITH j AS (SELECT id, answer, lower(trim(coalesce(answer->>'$.type', ''))) AS k, trim(coalesce(answer->>'$.text', answer->>'$.value', '')) AS t, TRY_CAST(trim(answer->>'$.x') AS DOUBLE) AS x, TRY_CAST(trim(answer->>'$.y') AS DOUBLE) AS y FROM (SELECT id, CAST(answer AS JSON) AS answer FROM {values(FIELDS, 'id, answer', 'a')} WHERE answer LIKE '{{%')),
+    "filled_field_parse": f"""WITH j AS (SELECT id, answer, lower(trim(coalesce(answer->>'$.type', ''))) AS k, trim(coalesce(answer->>'$.text', answer->>'$.value', '')) AS t, TRY_CAST(trim(answer->>'$.x') AS DOUBLE) AS x, TRY_CAST(trim(answer->>'$.y') AS DOUBLE) AS y FROM (SELECT id, CAST(answer AS JSON) AS answer FROM {_answers_sql(FIELDS, _FIELD_FORMS)} WHERE answer LIKE '{{%')),
  n AS (SELECT *, CASE WHEN k IN ('check', 'checkbox', 'tick', 'radio') THEN 'check' WHEN k IN ('signature', 'sign', 'sig') THEN 'signature' ELSE 'text' END AS type FROM j)
  SELECT CAST(id AS BIGINT) AS id, greatest(coalesce(CAST(TRY_CAST(trim(answer->>'$.page') AS DOUBLE) AS INTEGER), 1), 1) AS page, least(greatest(CASE WHEN coalesce(x, 0.15) > 1 THEN x / 100 ELSE coalesce(x, 0.15::DOUBLE) END, 0), 0.97::DOUBLE) AS x, least(greatest(CASE WHEN coalesce(y, 0.15) > 1 THEN y / 100 ELSE coalesce(y, 0.15::DOUBLE) END, 0), 0.97::DOUBLE) AS y,
  CASE WHEN type = 'check' THEN 'X' ELSE t END AS text, trim(coalesce(answer->>'$.field', answer->>'$.label', answer->>'$.name', '')) AS field, type, coalesce(answer->>'$.uncertain' = 'true', false) OR coalesce(TRY_CAST(answer->>'$.confidence' AS DOUBLE) < 0.5, lower(trim(answer->>'$.confidence')) IN ('low', 'uncertain', 'guess', 'unsure'), false) AS uncertain

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.fixed_values import BATCH_LABELS, FALLBACK_KEYWORDS, INSTANT_LABELS, ONTOLOGY, SIGNATURE_LABELS
-from paperloom.functions.literals import frame, values
+from paperloom.functions.literals import frame, pick, values, values_and
 from paperloom.functions.text import folded_label
+from paperloom.sources.tables import read
 
 
 def first_case(cases: Sequence[tuple[Column, Column]], default: Column | None = None) -> Column:
@@ -171,12 +172,35 @@ OVERRIDES = {"Kontakt": "email"}
 FIELDS = [(0, "Vorname", "name"), (0, "Nachname", "name"), (0, "Telefon", "phone"), (1, "Email", "email"), (1, "Geburtsdatum", "date"), (1, "Kontakt", "email"), (1, "Hobby", "text"), (2, "Unknown", "text"), (3, "PLZ", "zip"), (3, "PLZ", "zip"), (4, "", "text"), (4, "phone number", "phone")]
 
 
+def _picked(rows: list[tuple], column: int, i: Column) -> Column:
+    return F.get(F.array(*[F.lit(r[column]) for r in rows]), i.cast("int"))
+
+
+def _varied(label: Column) -> Column:
+    """A label as it is, before a customer's name, or before a segment in brackets."""
+    return F.concat(label, F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" "), "c_name")).when(F.col("c_custkey") % 3 == 2, F.concat(F.lit(" ("), "c_mktsegment", F.lit(")"))).otherwise(""))
+
+
+def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal labels, and one for each customer."""
+    k = F.col("c_custkey")
+    own = read(spark, sf_dir, "customer").select((k + 1000).alias("id"), _varied(_picked(LABELS, 1, k % len(LABELS))).alias("label"))
+    return frame(spark, LABELS, "id long, label string").unionByName(own)
+
+
+def form_fields_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal forms, and forms of four customers' fields each."""
+    k = F.col("c_custkey")
+    own = read(spark, sf_dir, "customer").select(F.floor(k / 4).cast("long").alias("form"), _varied(_picked(FIELDS, 1, k % len(FIELDS))).alias("label"), _picked(FIELDS, 2, k % len(FIELDS)).alias("kind"))
+    return frame(spark, FIELDS, "form long, label string, kind string").unionByName(own.withColumn("form", F.col("form") + 1000))
+
+
 def field_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, LABELS, "id long, label string").select("id", instant_key(F.col("label")).alias("m")).select("id", "m.*")
+    return labels_of(spark, sf_dir).select("id", instant_key(F.col("label")).alias("m")).select("id", "m.*")
 
 
 def ontology_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = frame(spark, LABELS, "id long, label string").select("id", ontology_key(F.col("label")).alias("key"))
+    found = labels_of(spark, sf_dir).select("id", ontology_key(F.col("label")).alias("key"))
     return found.withColumn("kind", ontology_kind(F.col("key")))
 
 
@@ -190,7 +214,7 @@ def field_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch_fill_fields(frame(spark, FIELDS, "form long, label string, kind string"), PROFILE, OVERRIDES)
+    return batch_fill_fields(form_fields_of(spark, sf_dir), PROFILE, OVERRIDES)
 
 
 def batch_fill_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +222,7 @@ def batch_fill_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fallback_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, LABELS, "id long, label string").select("id", fallback_key(F.col("label")).alias("profile_field"))
+    rows = labels_of(spark, sf_dir).select("id", fallback_key(F.col("label")).alias("profile_field"))
     value = lookup(F.col("profile_field"), dict(PROFILE))
     return rows.withColumn("value", value).withColumn("confidence", F.when(F.col("value").isNotNull(), 0.7).otherwise(0.0))
 
@@ -232,7 +256,12 @@ def cross_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (field_map, ontology_match, field_validate, batch_fill, batch_fill_status, fallback_fill, signature_lines, date_normalize, cross_field)}
 
-_LABELS = values(LABELS, "id, label", "l")
+def _varied_sql(label: str) -> str:
+    return f"{label} || CASE c_custkey % 3 WHEN 1 THEN ' ' || c_name WHEN 2 THEN ' (' || c_mktsegment || ')' ELSE '' END"
+
+
+_LABELS = values_and(LABELS, "id, label", "l", f"SELECT c_custkey + 1000, {_varied_sql(pick(LABELS, 1, f'c_custkey % {len(LABELS)}'))} FROM customer")
+_FIELDS = values_and(FIELDS, "form, label, kind", "f", f"SELECT c_custkey // 4 + 1000, {_varied_sql(pick(FIELDS, 1, f'c_custkey % {len(FIELDS)}'))}, {pick(FIELDS, 2, f'c_custkey % {len(FIELDS)}')} FROM customer")
 _INSTANT = values([(i, k, v) for i, (k, v) in enumerate(INSTANT_LABELS.items())], "ord, k, v", "m")
 _ONT = values([(i, _folded_keyword(k), key, kind) for i, (key, kind, ks) in enumerate(ONTOLOGY) for k in ks], "ord, k, key, kind", "o")
 _FOLD = "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(lower(label), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[:._,/]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -266,7 +295,7 @@ def _validated(source: str) -> str:
 
 _KEYED = f"""SELECT f.*, coalesce(CASE WHEN label = 'Kontakt' THEN 'email' END, (SELECT k FROM {_PROFILE} WHERE k = lower(trim(label))),
  (SELECT v FROM {values(list(BATCH_LABELS.items()), 'k, v', 'b')} WHERE k = lower(trim(label)) AND v IN (SELECT k FROM {_PROFILE})),
- (SELECT arg_min(k, ord) FROM {_PROFILE} WHERE contains(lower(trim(label)), k) OR contains(k, lower(trim(label))))) AS profile_key FROM {values(FIELDS, 'form, label, kind', 'f')}"""
+ (SELECT arg_min(k, ord) FROM {_PROFILE} WHERE contains(lower(trim(label)), k) OR contains(k, lower(trim(label))))) AS profile_key FROM {_FIELDS}"""
 _FILLED = f"SELECT form, label, kind, profile_key, CASE WHEN value IS NOT NULL THEN error END AS error, CASE WHEN value IS NOT NULL THEN CASE WHEN error IS NULL THEN value ELSE suggestion END END AS placed FROM ({_validated(f'SELECT q.*, p.v AS value FROM ({_KEYED}) q LEFT JOIN {_PROFILE} ON p.k = q.profile_key')})"
 _SIG = "(" + " OR ".join("contains(t, '" + k.replace("'", "''") + "')" for k in SIGNATURE_LABELS) + ")"
 ORACLE_SQL = {

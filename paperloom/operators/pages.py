@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.literals import frame, values
+from paperloom.functions.literals import frame, values_and
 from paperloom.operators.grid import boxes_in_cells, with_cell
 
 COVERAGE = 0.15
@@ -133,7 +133,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def page_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, SPECS, "id long, spec string").select("id", F.array_join(F.transform(page_list(F.col("spec"), F.lit(10)), lambda p: p.cast("string")), " ").alias("pages"))
+    k = F.col("o_orderkey")
+    ends = F.concat((k % 12).cast("string"), F.lit("-"), (k * 7 % 13).cast("string"))
+    more = F.when(k % 4 == 0, F.concat(F.lit(", "), (k % 10 + 1).cast("string"))).when(k % 4 == 1, ",").when(k % 16 == 2, " , x").otherwise("")
+    orders = _t(spark, sf_dir, "orders").select((k + 1000).alias("id"), F.concat(ends, more).alias("spec"))
+    return frame(spark, SPECS, "id long, spec string").unionByName(orders).select("id", F.array_join(F.transform(page_list(F.col("spec"), F.lit(10)), lambda p: p.cast("string")), " ").alias("pages"))
 
 
 def page_range_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +204,9 @@ def needle_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redaction_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, AREAS, "id long, page int, x0 double, y0 double, x1 double, y1 double")
+    at = lambda c, n, d: ((F.col(c) % n - d) / 100.0).cast("double")
+    li = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 1000).alias("id"), (F.col("l_linenumber") % 5 - 1).cast("int").alias("page"), at("l_partkey", 120, 10).alias("x0"), at("l_suppkey", 90, 0).alias("y0"), at("l_quantity", 60, 0).alias("x1"), at("l_suppkey", 45, 0).alias("y1"))
+    rows = frame(spark, AREAS, "id long, page int, x0 double, y0 double, x1 double, y1 double").unionByName(li)
     return rows.select("id", area_error({c: F.col(c) for c in rows.columns}, F.lit(2)).alias("error"))
 
 
@@ -216,8 +222,10 @@ QUERIES = {f.__name__: f for f in _ALL}
 _HEAD = "x AS (SELECT page_id, regexp_extract_all(html, '(?i)(<h[1-6])[ >]', 1) AS g, regexp_extract_all(html, '(?i)<h[1-6][^>]*>([^<]*)', 1) AS t FROM pages), h AS (SELECT page_id // 10 AS doc, page_id % 10 * 100 + k - 1 AS idx, page_id % 10 AS page, CAST(right(g[k], 1) AS INTEGER) + page_id % 10 % 3 AS level, t[k] AS title FROM (SELECT *, unnest(range(1, len(g) + 1)) AS k FROM x))"
 _BOX = "e AS (SELECT l_orderkey // 20 AS page, l_orderkey * 10 + l_linenumber AS idx, (l_partkey % 90) / 100 AS x, (l_suppkey % 80) / 100 AS y, l_quantity / 500 AS w, (l_quantity % 3) / 100 AS h, 'w-' || l_partkey AS word FROM lineitem), r AS (SELECT l_orderkey // 20 AS page, l_orderkey AS region, (l_partkey % 90) / 100 AS x, (l_suppkey % 80) / 100 AS y, 0.05::DOUBLE AS w, 0.03::DOUBLE AS h FROM lineitem WHERE l_linenumber = 1)"
 _INS = "{0} >= r.x AND {0} < r.x + r.w AND {1} >= r.y AND {1} < r.y + r.h"
+_MORE_SPECS = "SELECT o_orderkey + 1000, (o_orderkey % 12) || '-' || (o_orderkey * 7 % 13) || CASE WHEN o_orderkey % 4 = 0 THEN ', ' || (o_orderkey % 10 + 1) WHEN o_orderkey % 4 = 1 THEN ',' WHEN o_orderkey % 16 = 2 THEN ' , x' ELSE '' END FROM orders"
+_MORE_AREAS = "SELECT l_orderkey + 1000, l_linenumber % 5 - 1, (l_partkey % 120 - 10) / 100, l_suppkey % 90 / 100, l_quantity % 60 / 100, l_suppkey % 45 / 100 FROM lineitem"
 ORACLE_SQL = {
-    "page_range_parse": f"WITH s AS (SELECT id, unnest(list_filter(list_transform(string_split(trim(spec), ','), lambda p: trim(p)), lambda p: p <> '')) AS p FROM {values(SPECS, 'id, spec', 't')}), b AS (SELECT id, TRY_CAST(CASE WHEN contains(p, '-') THEN trim(split_part(p, '-', 1)) ELSE p END AS INTEGER) AS a, TRY_CAST(CASE WHEN contains(p, '-') THEN trim(substr(p, instr(p, '-') + 1)) ELSE p END AS INTEGER) AS b FROM s), o AS (SELECT id, bool_and(coalesce(a BETWEEN 1 AND 10 AND b BETWEEN 1 AND 10, false)) AS good, flatten(list(range(least(a, b) - 1, greatest(a, b)))) AS p FROM b GROUP BY id) SELECT CAST(t.id AS BIGINT) AS id, CASE WHEN o.id IS NULL THEN '' WHEN good THEN array_to_string(list_sort(list_distinct(p)), ' ') END AS pages FROM {values(SPECS, 'id, spec', 't')} LEFT JOIN o ON o.id = t.id",
+    "page_range_parse": f"WITH s AS (SELECT id, unnest(list_filter(list_transform(string_split(trim(spec), ','), lambda p: trim(p)), lambda p: p <> '')) AS p FROM {values_and(SPECS, 'id, spec', 't', _MORE_SPECS)}), b AS (SELECT id, TRY_CAST(CASE WHEN contains(p, '-') THEN trim(split_part(p, '-', 1)) ELSE p END AS INTEGER) AS a, TRY_CAST(CASE WHEN contains(p, '-') THEN trim(substr(p, instr(p, '-') + 1)) ELSE p END AS INTEGER) AS b FROM s), o AS (SELECT id, bool_and(coalesce(a BETWEEN 1 AND 10 AND b BETWEEN 1 AND 10, false)) AS good, flatten(list(range(least(a, b) - 1, greatest(a, b)))) AS p FROM b GROUP BY id) SELECT CAST(t.id AS BIGINT) AS id, CASE WHEN o.id IS NULL THEN '' WHEN good THEN array_to_string(list_sort(list_distinct(p)), ' ') END AS pages FROM {values_and(SPECS, 'id, spec', 't', _MORE_SPECS)} LEFT JOIN o ON o.id = t.id",
     "page_range_format": "WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), r AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS run FROM d), e AS (SELECT l_orderkey, min(l_linenumber) + 1 AS a, max(l_linenumber) + 1 AS b FROM r GROUP BY l_orderkey, run) SELECT l_orderkey, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS spec FROM e GROUP BY l_orderkey",
     "page_invert": "SELECT l_orderkey, array_to_string(list_filter(range(0, 10), lambda i: NOT list_contains(p, i)), ' ') AS pages FROM (SELECT l_orderkey, list(l_linenumber) AS p FROM lineitem GROUP BY l_orderkey)",
     "page_move": "SELECT DISTINCT l_orderkey, l_linenumber, CASE WHEN i = 1 THEN 4 WHEN i > 1 AND i <= 4 THEN i - 1 ELSE i END AS forth, CASE WHEN i = 5 THEN 2 WHEN i >= 2 AND i < 5 THEN i + 1 ELSE i END AS back, CASE WHEN i < 3 THEN i WHEN i > 3 THEN i - 1 END AS after_delete, CASE WHEN i < 3 THEN i ELSE i + 1 END AS after_insert FROM (SELECT *, l_linenumber AS i FROM lineitem)",
@@ -226,6 +234,6 @@ ORACLE_SQL = {
     "outline_sections": f"WITH {_HEAD} SELECT page_id // 10 AS doc, page_id % 10 AS page, (SELECT arg_max(title, (h.page, h.idx)) FROM h WHERE h.doc = page_id // 10 AND h.page <= page_id % 10 AND level <> 2) AS section FROM pages",
     "region_coverage": f"WITH {_BOX} SELECT page, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.page = e.page AND CASE WHEN e.w <= 0 OR e.h <= 0 THEN {_INS.format('e.x', 'e.y')} ELSE least(e.x + e.w, r.x + r.w) - greatest(e.x, r.x) > 0 AND least(e.y + e.h, r.y + r.h) - greatest(e.y, r.y) > 0 AND (least(e.x + e.w, r.x + r.w) - greatest(e.x, r.x)) * (least(e.y + e.h, r.y + r.h) - greatest(e.y, r.y)) >= 0.15::DOUBLE * (e.w * e.h) END) GROUP BY page",
     "needle_words": f"WITH {_BOX}, k AS (SELECT e.page, region, idx, word FROM e JOIN r ON r.page = e.page AND {_INS.format('e.x + e.w / 2', 'e.y + e.h / 2')}) SELECT page, region, string_agg(word, ' ' ORDER BY idx, word) AS needle FROM k GROUP BY page, region HAVING length(needle) >= 4 UNION SELECT page, region, word FROM k WHERE length(word) >= 4",
-    "redaction_areas": f"SELECT CAST(id AS BIGINT) AS id, CASE WHEN page IS NULL OR page < 0 OR page >= 2 THEN 'page' WHEN x0 IS NULL OR isnan(x0) OR x0 < 0 OR x1 > 1 THEN 'coordinates' WHEN x0 = x1 OR y0 = y1 THEN 'empty' END AS error FROM {values([tuple(None if isinstance(v, float) and v != v else v for v in r) for r in AREAS], 'id, page, x0, y0, x1, y1', 'a')}",
+    "redaction_areas": f"SELECT CAST(id AS BIGINT) AS id, CASE WHEN page IS NULL OR page < 0 OR page >= 2 THEN 'page' WHEN NOT coalesce(list_min([x0, y0, x1, y1]) >= 0 AND list_max([x0, y0, x1, y1]) <= 1 AND x0 + y0 + x1 + y1 IS NOT NULL, false) THEN 'coordinates' WHEN x0 = x1 OR y0 = y1 THEN 'empty' END AS error FROM {values_and([tuple(None if isinstance(v, float) and v != v else v for v in r) for r in AREAS], 'id, page, x0, y0, x1, y1', 'a', _MORE_AREAS)}",
     "otsu_threshold": "WITH n AS (SELECT p_brand AS image, CAST(floor(p_retailprice) AS BIGINT) % 256 AS bin, count(*) AS n FROM part GROUP BY ALL), c AS (SELECT image, bin, CAST(sum(n) OVER u AS DOUBLE) AS wb, CAST(sum(bin * n) OVER u AS DOUBLE) AS sb, CAST(sum(n) OVER a AS DOUBLE) AS total, CAST(sum(bin * n) OVER a AS DOUBLE) AS s FROM n WINDOW u AS (PARTITION BY image ORDER BY bin), a AS (PARTITION BY image)), v AS (SELECT image, bin, round(wb * (total - wb) * (sb / wb - (s - sb) / (total - wb)) * (sb / wb - (s - sb) / (total - wb)), 3) AS b FROM c WHERE total > wb) SELECT n.image, coalesce(min(t), 127) AS threshold FROM (SELECT DISTINCT image FROM n) n LEFT JOIN (SELECT image, arg_max(bin, (b, -bin)) AS t FROM v GROUP BY image) USING (image) GROUP BY n.image",
 }

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.literals import frame, values
+from paperloom.functions.literals import frame, pick, values, values_and
 from paperloom.sources.tables import read
 
 #: Event types that a webhook may name, and keys that never leave an audit record.
@@ -126,7 +126,11 @@ def webhook_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receipt_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, RECEIPTS, "id long, product string, token string")
+    k = F.col("o_orderkey")
+    product = F.get(F.array(*map(F.lit, ("monthly", "yearly", "lifetime", "gold", ""))), (k % 5).cast("int"))
+    token = F.concat(F.repeat(F.lit("ab"), (k % 1100).cast("int")), F.when(k % 7 == 0, "<").otherwise("z"))
+    orders = read(spark, sf_dir, "orders").select((k + 1000).alias("id"), product.alias("product"), token.alias("token"))
+    rows = frame(spark, RECEIPTS, "id long, product string, token string").unionByName(orders)
     return rows.select("id", F.array_join(receipt_errors(F.col("product"), F.col("token"), ["monthly", "yearly", "lifetime"]), ",").alias("errors"))
 
 
@@ -143,15 +147,25 @@ def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lenient_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, VALUES, "id long, kind string, value string").select("id", kind_fits(F.col("kind"), F.col("value")).alias("fits"))
+    k = F.col("o_orderkey")
+    kind = F.get(F.array(*map(F.lit, ("email", "phone", "date", "postalCode", "iban", "name", "other"))), (k % 7).cast("int"))
+    text = F.get(F.array(F.col("o_orderpriority"), F.concat(F.lit(" user"), k.cast("string"), F.lit("@example.org")), (k * 7919).cast("string"), F.concat(F.lit("DE"), k.cast("string")), F.repeat("o_orderstatus", (k % 100).cast("int"))), (k % 5).cast("int"))
+    orders = read(spark, sf_dir, "orders").select((k + 1000).alias("id"), kind.alias("kind"), text.alias("value"))
+    return frame(spark, VALUES, "id long, kind string, value string").unionByName(orders).select("id", kind_fits(F.col("kind"), F.col("value")).alias("fits"))
 
 
 def option_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, OPTIONS, "id long, category string, raw string").select("id", option(F.col("category"), F.col("raw")).alias("value"))
+    k = F.col("c_custkey")
+    own = lambda c: F.get(F.array(*[F.lit(r[c]) for r in OPTIONS]), (k % len(OPTIONS)).cast("int"))
+    customers = read(spark, sf_dir, "customer").select((k + 1000).alias("id"), own(1).alias("category"), F.concat(own(2), F.when(k % 2 == 0, "").otherwise(F.concat(F.lit(" "), "c_mktsegment"))).alias("raw"))
+    return frame(spark, OPTIONS, "id long, category string, raw string").unionByName(customers).select("id", option(F.col("category"), F.col("raw")).alias("value"))
 
 
 def fill_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, FILLS, "id long, fill string").select("id", F.array_join(F.transform(fill_rgb(F.col("fill")), lambda x: x.cast("string")), ",").alias("rgb"))
+    k = F.col("p_partkey")
+    six, three = F.lpad(F.hex(k * 7919 % 16777216), 6, "0"), F.lpad(F.hex(k * 31 % 4096), 3, "0")
+    parts = read(spark, sf_dir, "part").select((k + 1000).alias("id"), F.when(k % 5 == 0, F.col("p_brand")).when(k % 5 == 1, three).when(k % 5 == 2, F.concat(F.lit(" #"), F.lower(three))).otherwise(F.concat(F.lit("#"), six)).alias("fill"))
+    return frame(spark, FILLS, "id long, fill string").unionByName(parts).select("id", F.array_join(F.transform(fill_rgb(F.col("fill")), lambda x: x.cast("string")), ",").alias("rgb"))
 
 
 def order_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,15 +239,19 @@ QUERIES = {f.__name__: f for f in _ALL}
 
 _D = {"x": "l_quantity / 100", "y": "l_linenumber / 100", "a": "(l_partkey % 7) / 7", "b": "(l_suppkey % 5) / 5"}
 _CUT = "CASE WHEN len({0}) < 3 THEN {0} ELSE [{0}[1]] || flatten(list_transform(range(1, len({0})), lambda i: [{0}[i] * 0.75::DOUBLE + {0}[i + 1] * 0.25::DOUBLE, {0}[i] * 0.25::DOUBLE + {0}[i + 1] * 0.75::DOUBLE])) || [{0}[-1]] END"
+_MORE_RECEIPTS = "SELECT o_orderkey + 1000, ['monthly', 'yearly', 'lifetime', 'gold', ''][o_orderkey % 5 + 1], repeat('ab', o_orderkey % 1100) || CASE WHEN o_orderkey % 7 = 0 THEN '<' ELSE 'z' END FROM orders"
+_MORE_VALUES = "SELECT o_orderkey + 1000, ['email', 'phone', 'date', 'postalCode', 'iban', 'name', 'other'][o_orderkey % 7 + 1], [o_orderpriority, ' user' || o_orderkey || '@example.org', CAST(o_orderkey * 7919 AS VARCHAR), 'DE' || o_orderkey, repeat(o_orderstatus, o_orderkey % 100)][o_orderkey % 5 + 1] FROM orders"
+_MORE_OPTIONS = f"SELECT c_custkey + 1000, {pick(OPTIONS, 1, f'c_custkey % {len(OPTIONS)}')}, {pick(OPTIONS, 2, f'c_custkey % {len(OPTIONS)}')} || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' ' || c_mktsegment END FROM customer"
+_MORE_FILLS = "SELECT k + 1000, CASE k % 5 WHEN 0 THEN p_brand WHEN 1 THEN three WHEN 2 THEN ' #' || lower(three) ELSE '#' || lpad(to_hex(k * 7919 % 16777216), 6, '0') END FROM (SELECT p_partkey AS k, p_brand, lpad(to_hex(p_partkey * 31 % 4096), 3, '0') AS three FROM part)"
 ORACLE_SQL = {
     "smooth_strokes": f"WITH s AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity, l_tax) AS x FROM lineitem GROUP BY l_orderkey), a AS (SELECT l_orderkey, {_CUT.format('x')} AS y FROM s), b AS (SELECT l_orderkey, {_CUT.format('y')} AS z FROM a) SELECT l_orderkey, CAST(len(z) AS BIGINT) AS n, round(list_sum(z) / len(z), 6) AS mean_x FROM b",
     "webhook_subscribers": "SELECT s_suppkey AS hook_id, s_suppkey % 3 <> 0 AND s_suppkey % 2 = 0 AS gets_purchase, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'bogus' END AS unknown FROM supplier",
-    "receipt_preflight": f"SELECT CAST(id AS BIGINT) AS id, array_to_string(list_filter([CASE WHEN length(t) < 20 THEN 'short' END, CASE WHEN length(t) > 2000 THEN 'long' END, CASE WHEN p = '' THEN 'no_product' END, CASE WHEN p <> '' AND p NOT IN ('monthly', 'yearly', 'lifetime') THEN 'unknown_product' END, CASE WHEN regexp_matches(t, '[ \\n\\t<>]') THEN 'characters' END], lambda e: e IS NOT NULL), ',') AS errors FROM (SELECT id, coalesce(product, '') AS p, coalesce(token, '') AS t FROM {values(RECEIPTS, 'id, product, token', 'r')})",
+    "receipt_preflight": f"SELECT CAST(id AS BIGINT) AS id, array_to_string(list_filter([CASE WHEN length(t) < 20 THEN 'short' END, CASE WHEN length(t) > 2000 THEN 'long' END, CASE WHEN p = '' THEN 'no_product' END, CASE WHEN p <> '' AND p NOT IN ('monthly', 'yearly', 'lifetime') THEN 'unknown_product' END, CASE WHEN regexp_matches(t, '[ \\n\\t<>]') THEN 'characters' END], lambda e: e IS NOT NULL), ',') AS errors FROM (SELECT id, coalesce(product, '') AS p, coalesce(token, '') AS t FROM {values_and(RECEIPTS, 'id, product, token', 'r', _MORE_RECEIPTS)})",
     "audit_details": "SELECT event_id, 'action' AS kept FROM events",
     "profile_lines": "SELECT c_custkey, 'Full Name: ' || c_name || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(10) || 'Market Segment: ' || c_mktsegment END AS summary FROM customer",
-    "lenient_values": f"SELECT CAST(id AS BIGINT) AS id, s <> '' AND length(s) <= 80 AND CASE kind WHEN 'email' THEN contains(s, '@') AND contains(s, '.') WHEN 'phone' THEN length(regexp_replace(s, '[^0-9]', '', 'g')) >= 7 WHEN 'date' THEN regexp_matches(s, '[0-9]') WHEN 'postalCode' THEN regexp_matches(s, '[0-9]{{3,}}') WHEN 'iban' THEN regexp_matches(replace(s, ' ', ''), '^[A-Za-z]{{2}}[0-9]') WHEN 'name' THEN regexp_matches(s, '[A-Za-zÀ-ÿ]') ELSE true END AS fits FROM (SELECT id, kind, trim(v) AS s FROM {values(VALUES, 'id, kind, v', 't')})",
-    "option_values": f"SELECT CAST(id AS BIGINT) AS id, CASE WHEN c = 'gender' THEN CASE WHEN regexp_matches(s, 'weib|female|frau') OR s IN ('w', 'f') THEN 'female' WHEN contains(s, 'divers') OR s = 'd' THEN 'diverse' WHEN regexp_matches(s, 'männ|mannl|male|herr') OR s = 'm' THEN 'male' END ELSE CASE WHEN regexp_matches(s, 'ledig|single') THEN 'single' WHEN regexp_matches(s, 'verheir|married') THEN 'married' WHEN regexp_matches(s, 'geschied|divorc') THEN 'divorced' WHEN regexp_matches(s, 'verwitw|widow') THEN 'widowed' END END AS value FROM (SELECT id, c, lower(trim(raw)) AS s FROM {values(OPTIONS, 'id, c, raw', 'o')})",
-    "fill_colours": f"SELECT CAST(id AS BIGINT) AS id, CASE WHEN coalesce(n, '') IN ('', 'black') THEN '0,0,0' WHEN n = 'white' THEN '255,255,255' WHEN regexp_matches(h, '^[0-9a-f]{{6}}$') THEN array_to_string(list_transform([h[1:2], h[3:4], h[5:6]], lambda p: CAST('0x' || p AS INTEGER)), ',') END AS rgb FROM (SELECT id, n, CASE WHEN length(d) = 3 THEN regexp_replace(d, '(.)', '\\1\\1', 'g') ELSE d END AS h FROM (SELECT id, n, ltrim(n, '#') AS d FROM (SELECT id, lower(trim(fill)) AS n FROM {values(FILLS, 'id, fill', 'f')})))",
+    "lenient_values": f"SELECT CAST(id AS BIGINT) AS id, s <> '' AND length(s) <= 80 AND CASE kind WHEN 'email' THEN contains(s, '@') AND contains(s, '.') WHEN 'phone' THEN length(regexp_replace(s, '[^0-9]', '', 'g')) >= 7 WHEN 'date' THEN regexp_matches(s, '[0-9]') WHEN 'postalCode' THEN regexp_matches(s, '[0-9]{{3,}}') WHEN 'iban' THEN regexp_matches(replace(s, ' ', ''), '^[A-Za-z]{{2}}[0-9]') WHEN 'name' THEN regexp_matches(s, '[A-Za-zÀ-ÿ]') ELSE true END AS fits FROM (SELECT id, kind, trim(v) AS s FROM {values_and(VALUES, 'id, kind, v', 't', _MORE_VALUES)})",
+    "option_values": f"SELECT CAST(id AS BIGINT) AS id, CASE WHEN c = 'gender' THEN CASE WHEN regexp_matches(s, 'weib|female|frau') OR s IN ('w', 'f') THEN 'female' WHEN contains(s, 'divers') OR s = 'd' THEN 'diverse' WHEN regexp_matches(s, 'männ|mannl|male|herr') OR s = 'm' THEN 'male' END ELSE CASE WHEN regexp_matches(s, 'ledig|single') THEN 'single' WHEN regexp_matches(s, 'verheir|married') THEN 'married' WHEN regexp_matches(s, 'geschied|divorc') THEN 'divorced' WHEN regexp_matches(s, 'verwitw|widow') THEN 'widowed' END END AS value FROM (SELECT id, c, lower(trim(raw)) AS s FROM {values_and(OPTIONS, 'id, c, raw', 'o', _MORE_OPTIONS)})",
+    "fill_colours": f"SELECT CAST(id AS BIGINT) AS id, CASE WHEN coalesce(n, '') IN ('', 'black') THEN '0,0,0' WHEN n = 'white' THEN '255,255,255' WHEN regexp_matches(h, '^[0-9a-f]{{6}}$') THEN array_to_string(list_transform([h[1:2], h[3:4], h[5:6]], lambda p: CAST('0x' || p AS INTEGER)), ',') END AS rgb FROM (SELECT id, n, CASE WHEN length(d) = 3 THEN regexp_replace(d, '(.)', '\\1\\1', 'g') ELSE d END AS h FROM (SELECT id, n, ltrim(n, '#') AS d FROM (SELECT id, lower(trim(fill)) AS n FROM {values_and(FILLS, 'id, fill', 'f', _MORE_FILLS)})))",
     "order_ages": "SELECT o_orderkey, CASE WHEN a BETWEEN 1 AND 149 THEN a END AS age FROM (SELECT o_orderkey, date_sub('year', CAST(CAST(o_orderdate AS DATE) - INTERVAL 20 YEAR AS DATE), DATE '2026-07-15') AS a FROM orders)",
     "team_overview": "SELECT n_name, count(*) AS members, min(c_custkey) AS owner, true AS active FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name, n_nationkey",
     "unanswered_fields": "SELECT doc_id, coalesce(quality, -1) AS value, CASE WHEN quality IS NULL THEN 0.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM documents LEFT JOIN labels USING (doc_id)",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions.literals import frame, values
+from paperloom.functions.literals import frame, values, values_and
+from paperloom.sources.tables import read
 
 #: Leading bytes, in order, with MIME type and extension. A dot is any byte.
 MAGIC = [
@@ -88,6 +89,7 @@ def file_link(html: Column) -> Column:
 
 
 PAGES = [(-1, "https://x.org/a", '<a href="/f/a.pdf?x=1&amp;y=2">a</a><img src=\'b.PNG\'><a href="/f/a.pdf?x=1&amp;y=2">again</a><meta http-equiv="refresh" content="0;url=/next.pdf">'), (-2, "https://x.org/doc.zip?d=1", "<html>none</html>"), (-3, "https://x.org/noext", "plain"), (-4, "https://x.org/c.PDF#top", "%PDF-1.7 ..."), (-5, "https://x.org/z.longext", "<a href='c.csv'>")]
+HEADS = ("255044462D312E34", "4D5A", "", "7F454C46", "3C3F706870")
 FILES = [(1, "255044462D312E370A" + "00" * 40 + "2525454F460A"), (2, "255044462D312E370A" + "00" * 40), (3, "4D5A9000"), (4, ""), (5, "7F454C4602"), (6, "00" * 40), (7, "3C3F70687020")]
 
 
@@ -110,14 +112,18 @@ def file_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = F.unhex("hexed")
-    return frame(spark, FILES, "id long, hexed string").select("id", screened(content).alias("refused"), pdf_verdict(content).alias("verdict"))
+    """Literal files, and every page's bytes behind one of five heads."""
+    content, k = F.unhex("hexed"), F.col("page_id")
+    head = F.get(F.array(*map(F.lit, HEADS)), (k % len(HEADS)).cast("int"))
+    pages = read(spark, sf_dir, "pages").select((k + 1000).alias("id"), F.concat(head, F.hex(F.encode("html", "UTF-8")), F.when(k % 2 == 0, "2525454F46").otherwise("")).alias("hexed"))
+    return frame(spark, FILES, "id long, hexed string").unionByName(pages).select("id", screened(content).alias("refused"), pdf_verdict(content).alias("verdict"))
 
 
 QUERIES = {f.__name__: f for f in (html_links, html_file_links, file_type, file_screen)}
 _P = f"p AS (SELECT page_id, url, html FROM pages UNION ALL SELECT * FROM {values(PAGES, 'a, b, c', 'x')})"
 _MAGIC = " ".join(f"WHEN regexp_matches(h, '^{p}') THEN '{m} {e}'" for p, m, e in MAGIC)
 _MIMES = values(list(MIME.items()), "e, m", "mm")
+_MORE_FILES = f"SELECT page_id + 1000, {list(HEADS)}[page_id % {len(HEADS)} + 1] || hex(html) || CASE WHEN page_id % 2 = 0 THEN '2525454F46' ELSE '' END FROM pages"
 ORACLE_SQL = {
     "html_links": f"""WITH {_P}, l AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)(?:href|src|content)\\s*=\\s*["'']([^"'']+?\\.pdf(?:\\?[^"'']*)?)["'']', 1) || regexp_extract_all(html, '(?i)url=([^"''>\\s]+\\.pdf[^"''>\\s]*)', 1), lambda x: trim(replace(x, '&amp;', '&'))) AS l FROM p)
  SELECT page_id, array_to_string((list_filter(l, lambda x, i: list_position(l, x) = i))[1:5], ' ') AS links FROM l""",
@@ -127,5 +133,5 @@ ORACLE_SQL = {
  c AS (SELECT *, CASE WHEN octet_length(encode(t)) < 4 THEN NULL {_MAGIC} WHEN regexp_matches(lower(ltrim(left(t, 16))), '^(<!doctype html|<html)') THEN 'text/html html' END AS g, CASE WHEN x <> '' AND length(x) <= 5 THEN x END AS e FROM b)
  SELECT page_id, CASE WHEN g IS NOT NULL THEN split_part(g, ' ', 1) WHEN ct IS NOT NULL THEN ct WHEN e IS NOT NULL THEN coalesce((SELECT m FROM {_MIMES} WHERE mm.e = c.e), '{DEFAULT_MIME}') ELSE '{DEFAULT_MIME}' END AS mime,
  CASE WHEN g IS NOT NULL THEN split_part(g, ' ', 2) WHEN ct IS NOT NULL THEN 'csv' WHEN e IS NOT NULL THEN e ELSE 'bin' END AS ext FROM c""",
-    "file_screen": f"SELECT CAST(id AS BIGINT) AS id, CASE WHEN h = '' THEN 'empty' WHEN regexp_matches(h, '^(4D5A|7F454C46|23212F|3C3F706870)') THEN 'executable' END AS refused, CASE WHEN length(h) < 64 OR NOT contains(left(h, 2048), '255044462D') THEN 'NotPdf' WHEN NOT contains(right(h, 4096), '2525454F46') THEN 'Truncated' ELSE 'Complete' END AS verdict FROM {values(FILES, 'id, h', 'f')}",
+    "file_screen": f"SELECT CAST(id AS BIGINT) AS id, CASE WHEN h = '' THEN 'empty' WHEN regexp_matches(h, '^(4D5A|7F454C46|23212F|3C3F706870)') THEN 'executable' END AS refused, CASE WHEN length(h) < 64 OR NOT contains(left(h, 2048), '255044462D') THEN 'NotPdf' WHEN NOT contains(right(h, 4096), '2525454F46') THEN 'Truncated' ELSE 'Complete' END AS verdict FROM {values_and(FILES, 'id, h', 'f', _MORE_FILES)}",
 }
