@@ -278,9 +278,9 @@ def page_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def element_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as reported text elements, in all states of repair."""
     k = F.col("event_id")
-    fields = [(k % 7 != 0, F.concat(F.lit('"text":"t'), k.cast("string"), F.lit('"'))), (k % 2 == 0, F.concat(F.lit('"x":'), (k % 10 / 10).cast("string"))), (k % 3 == 0, F.lit('"source":"ocr"')), (k % 5 == 0, F.concat(F.lit('"confidence":'), (k % 4 - 1).cast("string"))), (k % 11 == 0, F.lit('"confidence":"high"')), (k % 4 == 0, F.lit('"bold":true,"fontSize":12'))]
+    fields = [(k % 7 != 0, F.concat(F.lit('"text":"t'), k.cast("string"), F.lit('"'))), (k % 2 == 0, F.concat(F.lit('"x":'), (k % 10 / 10).cast("string"))), (k % 3 == 0, F.lit('"source":"ocr"')), (k % 5 == 0, F.concat(F.lit('"confidence":'), (k % 4 - 1).cast("string"))), ((k % 11 == 0) & (k % 5 != 0), F.lit('"confidence":"high"')), (k % 4 == 0, F.lit('"bold":true,"fontSize":12'))]
     body = F.concat(F.lit("{"), F.concat_ws(",", *[F.when(c, v) for c, v in fields]), F.lit("}"))
-    rows = read(spark, sf_dir, "events").where("event_id % 55 <> 0").select(k, F.explode(text_elements(F.concat(F.lit("["), body, F.lit("]")))).alias("e"))
+    rows = read(spark, sf_dir, "events").select(k, F.explode(text_elements(F.concat(F.lit("["), body, F.lit("]")))).alias("e"))
     return rows.select("event_id", "e.text", "e.x", "e.fontSize", "e.bold", "e.source", "e.confidence")
 
 
@@ -320,7 +320,7 @@ ORACLE_SQL = {
  SELECT o_orderkey, array_to_string(CASE WHEN n <= 1 OR out THEN p ELSE rest END, ' ') AS removed, array_to_string(p[:ins] || [-1::BIGINT] || p[ins + 1:], ' ') AS blank, array_to_string(CASE WHEN out THEN p ELSE p[:i + 1] || [p[i + 1]] || p[i + 2:] END, ' ') AS duplicated,
  array_to_string(CASE WHEN out OR j < 0 OR j >= n THEN p ELSE rest[:j] || [i] || rest[j + 1:] END, ' ') AS moved, array_to_string(list_filter(want, lambda q, k: q >= 0 AND q < n AND list_position(want, q) = k), ' ') AS slots, CAST(a AS INTEGER) AS first, CAST(least(greatest(j, a), n) AS INTEGER) AS last,
  array_to_string(list_transform(rest, lambda q: (CASE WHEN q < i THEN q ELSE q - 1 END) || ':' || q * 10), ' ') AS after_delete, array_to_string(list_transform(p, lambda q: (CASE WHEN q < i THEN q ELSE q + 1 END) || ':' || q * 10), ' ') AS after_insert FROM x""",
-    "element_json": "SELECT event_id, 't' || event_id AS text, CAST(CASE WHEN event_id % 2 = 0 THEN event_id % 10 / 10 ELSE 0 END AS DOUBLE) AS x, CAST(CASE WHEN event_id % 4 = 0 THEN 12 ELSE 0 END AS DOUBLE) AS fontSize, event_id % 4 = 0 AS bold, CASE WHEN event_id % 3 = 0 THEN 'ocr' ELSE 'native' END AS source, CASE WHEN event_id % 5 = 0 THEN CAST(least(greatest(event_id % 4 - 1, 0), 1) AS DOUBLE) WHEN event_id % 3 = 0 THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM events WHERE event_id % 55 <> 0 AND event_id % 7 <> 0",
+    "element_json": "SELECT event_id, 't' || event_id AS text, CAST(CASE WHEN event_id % 2 = 0 THEN event_id % 10 / 10 ELSE 0 END AS DOUBLE) AS x, CAST(CASE WHEN event_id % 4 = 0 THEN 12 ELSE 0 END AS DOUBLE) AS fontSize, event_id % 4 = 0 AS bold, CASE WHEN event_id % 3 = 0 THEN 'ocr' ELSE 'native' END AS source, CASE WHEN event_id % 5 = 0 THEN CAST(least(greatest(event_id % 4 - 1, 0), 1) AS DOUBLE) WHEN event_id % 3 = 0 THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM events WHERE event_id % 7 <> 0",
     "edit_history": """WITH RECURSIVE l AS (SELECT user_id AS owner, event_id AS id, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'push' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
  h AS (SELECT owner, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS u, CAST(0 AS BIGINT) AS r FROM (SELECT DISTINCT owner FROM l)
  UNION ALL SELECT l.owner, l.n, l.id, CASE kind WHEN 'push' THEN least(u + 1, 5) WHEN 'undo' THEN greatest(u - 1, 0) ELSE u + least(r, 1) END, CASE kind WHEN 'push' THEN 0 WHEN 'undo' THEN r + least(u, 1) ELSE greatest(r - 1, 0) END FROM h JOIN l ON l.owner = h.owner AND l.n = h.n + 1)

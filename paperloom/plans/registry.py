@@ -20,6 +20,7 @@ MODULES: list[str] = [
     "paperloom.operators.outlines",
     "paperloom.operators.edits",
     "paperloom.operators.reading",
+    "paperloom.operators.annotations",
     "paperloom.operators.textops",
     "paperloom.operators.pages",
     "paperloom.operators.answers",
