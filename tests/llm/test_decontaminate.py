@@ -111,3 +111,30 @@ def test_copies_of_items_full_of_names_are_caught(spark):
     texts = [around(t) for t in names] + [around(t.lower()) for t in names] + [around(t.upper()) for t in names]
     texts += [around(long[: long.index(" came")]), around(names[1].replace("Maria Lopez", "Rosa Marin").replace("Gala Apples", "Conference Pears"))]
     assert set(hits(spark, texts, [*names, long])) == {(0, 0), (1, 1), (2, 0), (3, 1), (4, 0), (5, 1), (6, 2)}
+
+
+def test_one_name_for_two(spark):
+    item = "How long does the train from Boston to Denver take when it leaves at 9 in the morning and waits for 20 minutes in the old station"
+    asked = item.replace("Boston", "New York").replace("Denver", "Salt Lake City").replace("20", "45")
+    around = lambda t: f"{prose(50, 40)} {t} {prose(51, 40)}"
+    back = "The bus to Santa Rosa Beach passes Fort Worth at 7 and then goes on over the long hill to the small town by the sea"
+    fewer = back.replace("Santa Rosa Beach", "Miami").replace("Fort Worth", "Tulsa")
+    assert set(hits(spark, [around(asked), around(item), around(fewer), prose(9, 120)], [item, back])) == {(0, 0), (1, 0), (2, 1)}
+
+
+def test_short_items_inside_longer_texts(spark):
+    items = ["What is the capital of France?", "Name the largest city of Peru and Chile", "Why?"]
+    around = lambda t: f"{prose(50, 40)} {t} {prose(51, 40)}"
+    texts = [around("What is the capital of France?"), around("what is the capital of france"), around("What is the capital of Spain?"), around("Paris is the capital of France."), around("What is the capital"), around("Name the largest city of Cuba and Cuba!"), around("Name the largest city of Cuba and Haiti"), around("Why?")]
+    got = hits(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (6, 1)}
+    assert got[0, 0]["same_slots"] and not got[2, 0]["same_slots"]
+
+
+def test_no_column_name_clashes_and_long_texts(spark):
+    item = prose(1, 30)
+    df = docs(spark, [prose(7, 60_000) + " " + item, prose(8, 60_000)])
+    for name in ("bad_id", "bad_hash", "__id", "__hash", "h", "view"):
+        df = df.withColumn(name, df["doc_id"])
+    kept = decontaminate.remove_leaks(df, bench(spark, [item]))
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [1]
