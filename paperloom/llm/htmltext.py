@@ -63,6 +63,17 @@ HINTS = {
     "main": "article content main post entry story body text page",
 }
 _HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
+#: Those long enough to tell inside a longer word, as in commentlist or hentry; the longest first.
+_STEMS = sorted((w for w in _HINT_OF if len(w) >= 5), key=lambda w: (-len(w), w))
+
+
+@lru_cache(10_000)
+def hint_of(word: str) -> str | None:
+    """What a word of a class, id or role tells: itself, or the longest known word that it begins or ends with."""
+    whole = _HINT_OF.get(word)
+    return whole or next((_HINT_OF[s] for s in _STEMS if word.startswith(s) or word.endswith(s)), None)
+
+
 _NOTE = re.compile(r"©|\(c\) ?\d{4}|all rights reserved|cookie|subscribe|newsletter|sign up|log ?in|privacy policy|terms of|advertisement|sponsored", re.I)
 CONTENT, BOILERPLATE = 0, 1
 
@@ -135,7 +146,7 @@ class _Tree(HTMLParser):
             for name, value in attrs:
                 if name in ("class", "id", "role", "aria-label", "itemprop") and value:
                     words += re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            self.stack.append((tag, self._node(tag, tuple(sorted({_HINT_OF[w] for w in words if w in _HINT_OF})))))
+            self.stack.append((tag, self._node(tag, tuple(sorted({h for w in words if (h := hint_of(w))})))))
         else:
             self.stack.append((tag, self._at()))
             self.anchors += tag == "a"
@@ -154,6 +165,27 @@ class _Tree(HTMLParser):
             if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
                 return  # an inline end tag does not end a block
 
+    def collapse(self) -> None:
+        """Takes out elements that tell nothing and hold one other element alone: a chain of them would wear the messages out."""
+        n = len(self.tag)
+        children = [0] * n
+        only = [0] * n
+        for i in range(1, n):
+            children[self.parent[i]] += 1
+            only[self.parent[i]] = i
+        gone = [i > 0 and self.text[i] is None and not self.hints[i] and self.tag[i] not in REGIONS and self.tag[i] not in FRAME and children[i] == 1 and self.text[only[i]] is None for i in range(n)]
+        if not any(gone):
+            return
+        place, at, up = [0] * n, [], 0
+        for i in range(n):
+            up = self.parent[i]
+            # A parent that is gone hands its own place on; parents come first.
+            place[i] = place[up] if gone[i] else len(at)
+            if not gone[i]:
+                at.append(i)
+        self.parent = [-1 if i == 0 else place[self.parent[i]] for i in at]
+        self.tag, self.hints, self.text, self.links = ([x[i] for i in at] for x in (self.tag, self.hints, self.text, self.links))
+
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.run.append(data)
@@ -167,15 +199,21 @@ def parse(page: str | None) -> _Tree:
     tree.close()
     tree._pop(0)
     tree.flush()
+    tree.collapse()
     return tree
 
 
 class _Below:
-    """Words, characters, characters of links, and blocks of text with and without a sentence end below every element."""
+    """Words, characters, characters of links, and blocks of text with and without a sentence end below every element; and the zone that each node stands in, by the nearest element that tells."""
 
     def __init__(self, tree: _Tree) -> None:
         n = len(tree.tag)
         self.words, self.chars, self.links, self.stops, self.blocks = ([0] * n for _ in range(5))
+        self.zone = ["none"] * n
+        for i in range(1, n):
+            hints, tag = tree.hints[i], tree.tag[i]
+            own = next((h for h in hints if h != "main"), None) or ("main" if hints or tag in ("article", "main") else tag if tag in REGIONS else None)
+            self.zone[i] = own or self.zone[tree.parent[i]]
         for i in range(n - 1, 0, -1):
             text, p = tree.text[i], tree.parent[i]
             if text is not None:
@@ -205,10 +243,15 @@ def node_features(tree: _Tree, i: int, below: _Below) -> list[str]:
         if below.blocks[i] < 2:
             return own  # a single block speaks for itself
         size = min(9, int(math.log2(below.words[i] + 1)))
-        return [*own, f"below={size}", f"linked={links}", f"stops={_share(below.stops[i], below.blocks[i])}"]
+        # Where all is links, the place tells a reading list from a menu.
+        return [*own, f"below={size}", f"linked={links}", f"stops={_share(below.stops[i], below.blocks[i])}", *([f"linked-in={below.zone[i]}"] if links == 3 else ())]
     text = tree.text[i]
     out = ["text", "in=" + tree.tag[tree.parent[i]], f"words={min(6, int(math.log2(below.words[i])))}", f"links={links}"]
     out.append("end=" + ("stop" if _stops(text) else "none"))
+    if links == 3:
+        out.append(f"link-in={below.zone[i]}")
+    if tree.tag[tree.parent[i]] in HEADINGS:
+        out.append(f"heading-in={below.zone[i]}")
     if below.words[i] < 40 and _NOTE.search(text):
         out.append("note")
     return out
@@ -420,7 +463,9 @@ def labelled_pages(n: int = 600, seed: int = 7, layouts: tuple[str, ...] = LAYOU
                 return f"<blockquote><p>{prose()}</p></blockquote>"
             if p < 0.94:
                 return "<table>" + "".join(f"<tr><td>{prose()}</td><td>{prose()}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>"
-            if p < 0.97:
+            if p < 0.955:
+                return "<dl>" + "".join(f"<dt>{prose()}</dt><dd>{prose()}</dd>" for _ in range(r.randint(2, 5))) + "</dl>"
+            if p < 0.98:
                 return f"<figure><img src=x><figcaption>{prose()}</figcaption></figure>"
             return f"<pre>{prose()}</pre>"
 
@@ -445,18 +490,33 @@ def labelled_pages(n: int = 600, seed: int = 7, layouts: tuple[str, ...] = LAYOU
                 return f"{a}<label>{word()}</label><input name=q><p>{sentence(2, 7)}</p><button>{word()}</button>{b}"
             if kind == "share":
                 return f"{a}{links() if p < 0.5 else words(2, 4)}{b}"
+            if layout not in ("bare", "table") and r.random() < 0.4:
+                own = r.choice(["li", "li class=comment", 'article class="comment"'])
+                said = "".join(f"<{own}><p>{word()} {r.randint(1, 28)}</p><p>{sentences(r.randint(1, 4), 2, 12)}</p></{own.split()[0]}>" for _ in range(r.randint(1, 5)))
+                return f"{a}<{h}>{r.choice(['Comments', word()])}</{h}>{'<ol class=commentlist>' + said + '</ol>' if own[0] == 'l' else said}{b}"
             said = "".join(f"<div{' class=comment' if layout not in ('bare', 'table') else ''}><b>{word()}</b> {word()} {r.randint(1, 28)}<p>{sentences(r.randint(1, 4), 2, 12)}</p></div>" for _ in range(r.randint(1, 5)))
             return f"{a}<{h}>{r.choice(['Comments', word()])}</{h}>{said}{b}"
 
         title = words(2, 8).capitalize()
         content.add(title)
         parts = [body_part() for _ in range(r.choice([1, 2, 4, 8, 15]))]
+        if layout not in ("bare", "table") and r.random() < 0.12:  # a reading list: links are all it says
+            titles = [words(1, 9).capitalize() + r.choice(["", "", "."]) for _ in range(r.randint(2, 12))]
+            content.update(titles)
+            listed = "".join(f'<li><a href="/{word()}">{t}</a></li>' for t in titles)
+            parts = [*(parts[:1] if r.random() < 0.3 else []), r.choice(["<ul>{}</ul>", "<ol>{}</ol>"]).format(listed)]
+            content &= {title, *titles} | ({x for x in content if html_lib.escape(x) in parts[0]} if len(parts) > 1 else set())
         if r.random() < 0.35:
             parts.insert(r.randint(0, len(parts)), boilerplate(r.choice(["ad", "share", "side", "notice", "form"])))
         a, b = region("main")
-        main = f"{a}<h1>{title}</h1>{''.join(parts)}{b}"
-        before = [boilerplate(k) for k in ("head", "menu", "notice", "ad", "form") if r.random() < 0.55]
-        after = [boilerplate(k) for k in ("talk", "side", "ad", "notice", "form", "foot") if r.random() < 0.5]
+        often = r.choice([1] * 7 + [0.1])  # some pages hold little besides their text, and no title then
+        head = f"<h1>{title}</h1>"
+        if often < 1 and r.random() < 0.3:
+            content.discard(title)
+            head = ""
+        main = f"{a}{head}{''.join(parts)}{b}"
+        before = [boilerplate(k) for k in ("head", "menu", "notice", "ad", "form") if r.random() < 0.55 * often]
+        after = [boilerplate(k) for k in ("talk", "side", "ad", "notice", "form", "foot") if r.random() < 0.5 * often]
         r.shuffle(before)
         if layout == "table":
             cells = "".join(f"<td>{x}</td>" for x in (boilerplate("menu"), main, boilerplate("side")))

@@ -73,3 +73,33 @@ def test_rows(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert next(r for r in got if r["page_id"] == 5)["n_chars"] == 5 * 50000 + 1
     assert htmltext.extract_pages(df.where("false")).count() == 0
+
+
+#: Written by hand, apart from the generator: (html, text).
+WRITTEN = {
+    "reading list": (
+        "<html><body><header><h1>My Site</h1><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>About</a></li></ul></nav></header><article><h1>Ten books to read</h1><ul>"
+        + "".join(f"<li><a href=/{i}>Book number {i} by someone</a></li>" for i in range(10))
+        + "</ul></article><footer>&copy; 2024 My Site</footer></body></html>",
+        "\n".join(["Ten books to read", *(f"Book number {i} by someone" for i in range(10))]),
+    ),
+    "comment list": (
+        "<html><body><div id=masthead><h1>My Blog</h1><p>Just another blog</p></div><div class='hentry'><h2 class=entry-title>A walk in spring</h2><div class=entry-content><p>We went out early and walked along the river for two hours.</p><p>The trees were green again, and birds sang.</p></div></div>"
+        "<h3 id=comments>2 Comments</h3><ol class='commentlist'><li class='comment even'><cite>Bob</cite><p>Great post, thank you for sharing it with us!</p></li><li class='comment odd'><cite>Ann</cite><p>I was there last year as well. It is lovely.</p></li></ol></body></html>",
+        "A walk in spring\nWe went out early and walked along the river for two hours.\nThe trees were green again, and birds sang.",
+    ),
+    "deep": ("<html><body>" + "<div>" * 3000 + "<p>This is a paragraph with some text in it, deep down in the page.</p>" + "</div>" * 3000 + "</body></html>", "This is a paragraph with some text in it, deep down in the page."),
+    "german": ("<html><body><div class=navigation><a href=/>Start</a> <a href=/k>Kontakt</a></div><div class=inhalt><h1>Der Fluss</h1><p>Der Fluss stieg über Nacht um einen Meter und trat über die Ufer.</p></div><div id=footer>Impressum | Datenschutz</div></body></html>", "Der Fluss\nDer Fluss stieg über Nacht um einen Meter und trat über die Ufer."),
+    "glossary": ("<html><body><nav><a href=/>Home</a></nav><main><h1>Glossary</h1><dl><dt>Anchor</dt><dd>What holds a ship in its place.</dd><dt>Bow</dt><dd>The front end of a ship.</dd></dl></main><footer><p>All rights reserved.</p></footer></body></html>", "Glossary\nAnchor\nWhat holds a ship in its place.\nBow\nThe front end of a ship."),
+    "promo box": ("<html><body><main><article><h1>News</h1><p>The council met on Monday to talk about the new bridge.</p><div class='promo-box'><p>Subscribe now and save half the price!</p></div><p>It will be built next year, the mayor said.</p></article></main></body></html>", "News\nThe council met on Monday to talk about the new bridge.\nIt will be built next year, the mayor said."),
+    "comments": ("<html><body><article><h1>News</h1><p>The council met on Monday to talk about the new bridge.</p></article><section class=comments><h2>Comments</h2><div class=comment><b>Joe</b><p>I do not think that we need it at all.</p></div></section></body></html>", "News\nThe council met on Monday to talk about the new bridge."),
+}
+
+
+def test_pages_written_by_hand():
+    model = htmltext.default_model()
+    assert {k: htmltext.extract(page, model) for k, (page, _) in WRITTEN.items()} == {k: text for k, (_, text) in WRITTEN.items()}
+
+
+def test_hints_inside_longer_words():
+    assert [htmltext.hint_of(w) for w in ("commentlist", "hentry", "sitefooter", "navbar", "navigation", "x", "subheader")] == ["talk", "main", "foot", "menu", None, None, "head"]
