@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import unused
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 SENTENCE_END = re.compile(r"[.!?…。！？:;؟।॥։።][\"'”’»)\]]*$")
@@ -139,5 +141,5 @@ def judged(docs: DataFrame, text_col: str = "text", out: str = "verdict", rules:
 
 def filter_documents(docs: DataFrame, text_col: str = "text", rules: Rules = RULES) -> DataFrame:
     """The documents kept, with their bad lines removed; same columns."""
-    out = "__quality_verdict"
+    (out,) = unused(docs, "verdict")
     return judged(docs, text_col, out, rules).where(F.col(f"{out}.kept")).withColumn(text_col, F.coalesce(f"{out}.cleaned", text_col)).drop(out)

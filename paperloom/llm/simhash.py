@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import components, persisted
+from paperloom.llm.common import components, persisted, unused
 
 SEED = 42
 #: Start and width of the three segments.
@@ -254,9 +254,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wider = components(ends.select("root_a", "root_b"), "root_a", "root_b", "text-links").withColumnRenamed("node", "root")
         rows = persisted(rows.join(wider, "root", "left").select("doc_id", "text_hash", F.coalesce("component", "root").alias("root")), "wider-groups")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
-    twice = persisted(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "repeated-rows")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
+    one_id, one_hash = unused(docs, "one_id", "one_hash")
+    first = first.select(F.col("first.doc_id").alias(one_id), F.col("first.text_hash").alias(one_hash))
+    twice = persisted(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(one_id), F.col("text_hash").alias(one_hash)), "repeated-rows")
+    same = F.col(id_col).eqNullSafe(F.col(one_id)) & (F.xxhash64(text_col) == F.col(one_hash))
     kept = docs.join(first, same, "left_semi")
     if twice.isEmpty():
         return kept

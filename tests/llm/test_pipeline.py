@@ -39,5 +39,20 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
     assert json.dumps(sorted(queries.ORACLE_SQL)) is not None and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_empty_table_and_columns_named_like_the_stages_own(spark, tmp_path):
+    spark.createDataFrame([(0, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows([prose(1, 60), prose(1, 60), None, prose(2, 60)]), DOCS)
+    for name in ("verdict", "drop", "lines", "hit_id", "one_id", "One_Hash", "bad_id", "__id", "__hash", "__drop", "__quality_verdict", "node", "root", "h"):
+        docs = docs.withColumn(name, docs["doc_id"])
+    for table in (docs, docs.where("false")):
+        out = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            stage(spark, out, str(tmp_path)).write.parquet(str(tmp_path / f"{name}-{table is docs}"))
+            out = spark.read.parquet(str(tmp_path / f"{name}-{table is docs}"))
+            assert out.columns == docs.columns
+        assert {r["doc_id"] for r in out.collect()} == ({0, 3} if table is docs else set())
+        assert corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).count() == (2 if table is docs else 0)
