@@ -322,6 +322,13 @@ def dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dead_letters(attempts, hooks)
 
 
+def dlq_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred entries, failed attempts before inactive webhooks, and the count of all beside each."""
+    all_of = dlq(spark, sf_dir).withColumn("late", F.col("attempt_id").isNull())
+    count = all_of.agg(F.count(F.lit(1)).alias("dlq_count"))
+    return all_of.orderBy("late", F.desc("attempt_id"), F.desc("hook_id")).limit(100).drop("late").crossJoin(F.broadcast(count))
+
+
 # Chat
 
 
@@ -436,7 +443,7 @@ def active_entitlements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (funnel_stats, funnel_by_plan, perf_route_stats, perf_overall, perf_recent, quota_daily, quota_tiers, quota_team_pool, rate_limit, sync_latest, sync_status, audit_chain, audit_verify, audit_cef)
-_ALL += (collab_retention, collab_replay, collab_log, dlq, chat_sessions, chat_history_window, doc_page, doc_with_fields, dashboard_counts, content_cache_stats, active_entitlements)
+_ALL += (collab_retention, collab_replay, collab_log, dlq, dlq_page, chat_sessions, chat_history_window, doc_page, doc_with_fields, dashboard_counts, content_cache_stats, active_entitlements)
 QUERIES = {f.__name__: f for f in _ALL} | {name: _library_query(name) for name in LIBRARY_QUERIES}
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -490,3 +497,4 @@ ORACLE_SQL = {
     "library_search": _lib("contains(lower(name), 'tag2') OR len(list_filter(tags, lambda t: contains(lower(t), 'tag2'))) > 0", "coalesce(opened, created) DESC"),
     "library_favorites": _lib("favorite AND folder = 'src0'", "modified DESC"),
 }
+ORACLE_SQL["dlq_page"] = f"WITH a AS ({ORACLE_SQL['dlq']}) SELECT *, (SELECT count(*) FROM a) AS dlq_count FROM a ORDER BY attempt_id IS NULL, attempt_id DESC, hook_id DESC LIMIT 100"

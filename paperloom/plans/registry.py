@@ -21,6 +21,7 @@ MODULES: list[str] = [
     "paperloom.operators.edits",
     "paperloom.operators.reading",
     "paperloom.operators.annotations",
+    "paperloom.operators.fonts",
     "paperloom.operators.textops",
     "paperloom.operators.pages",
     "paperloom.operators.answers",
@@ -30,6 +31,7 @@ MODULES: list[str] = [
     "paperloom.operators.layout",
     "paperloom.sources.files",
     "paperloom.sources.logs",
+    "paperloom.sources.events_sink",
     "paperloom.streaming.counters",
     "paperloom.streaming.stateful",
 ]

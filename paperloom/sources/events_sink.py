@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from paperloom.sources.scratch import scratch_path
+
 NAME = "paperloom_events"
 SCHEMA = "doc long, place long, line string"
 
@@ -145,3 +147,16 @@ def stream_lines(lines: DataFrame, path: str, checkpoint: str, kind: str = "ndjs
 def committed_lines(spark: SparkSession, path: str) -> DataFrame:
     register(spark)
     return spark.read.format(NAME).option("path", path).load()
+
+
+def progressive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the documents, streamed as events and read back: its document, place and length."""
+    docs = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parquet*")
+    lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    path = scratch_path(spark, "events").removeprefix("file://").removeprefix("file:")
+    stream_lines(lines, path, scratch_path(spark, "events-checkpoint"), "sse").awaitTermination()
+    return committed_lines(spark, path).select("doc", "place", F.length("line").cast("long").alias("n_chars"))
+
+
+QUERIES = {"progressive_lines": progressive_lines}
+ORACLE_SQL = {"progressive_lines": "SELECT doc_id AS doc, k - 1 AS place, length(l[k]) AS n_chars FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"}

@@ -271,6 +271,51 @@ def expiring_cache_stream(lookups: DataFrame, ttl_seconds: int, watermark: str =
     return timed.groupBy("hash").transformWithStateInPandas(_Expiring(ttl_seconds * 1000), "id long, hash string, hit boolean", "append", "EventTime")
 
 
+# Retrieval sessions
+
+
+STORED = "event_id long, n_sessions long, n_docs long, refused boolean, evicted long"
+
+
+class _Sessions(StatefulProcessor):
+    """A user's sessions, the oldest first, each with its documents."""
+
+    def __init__(self, max_sessions: int, max_docs: int):
+        self.max_sessions, self.max_docs = max_sessions, max_docs
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "session long, docs array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = {int(s): list(d) for s, d in self.held.get()}
+        out = []
+        for session, doc, event in _ordered(rows, ["at_us", "event_id"])[["session", "doc", "event_id"]].itertuples(index=False):
+            evicted = None
+            if session not in held and len(held) >= self.max_sessions:
+                evicted = next(iter(held))
+                del held[evicted]
+            docs = held.setdefault(session, [])
+            refused = doc not in docs and len(docs) >= self.max_docs
+            if doc not in docs and not refused:
+                docs.append(int(doc))
+            out.append((event, len(held), len(docs), refused, evicted))
+        self.held.put([(s, d) for s, d in held.items()])
+        frame = pd.DataFrame(out, columns=["event_id", "n_sessions", "n_docs", "refused", "evicted"])
+        yield frame.assign(evicted=frame["evicted"].astype("Int64"))
+
+    def close(self) -> None:
+        pass
+
+
+def session_stream(requests: DataFrame, max_sessions: int = 100, max_docs: int = 20) -> DataFrame:
+    """STORED of indexing requests (user_id, session, doc, event_id, at_us), in append mode: a user's store of sessions, first in, first out.
+
+    A new session beyond ``max_sessions`` puts out the user's oldest; a session takes ``max_docs`` documents and refuses
+    more. The store is the user's own, not the server's: a common one would be one after another for all users.
+    """
+    return requests.groupBy("user_id").transformWithStateInPandas(_Sessions(max_sessions, max_docs), STORED, "append", "none")
+
+
 # Queries
 
 
@@ -313,6 +358,13 @@ def stream_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _to_end(relay_stream(events), "relay").drop("batch")
 
 
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as indexing requests: four sessions a user of three documents each are kept."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    requests = _events(spark, sf_dir).select("user_id", (k % 7).alias("session"), F.floor(k / 7).alias("doc"), "event_id", F.unix_micros("ts").alias("at_us"))
+    return _to_end(session_stream(requests.where("session IS NOT NULL"), 4, 3), "sessions").drop("batch")
+
+
 def stream_ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookups by the props' content, kept for seven days, counted by hash."""
     lookups = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.sha2("props", 256).alias("hash"), "ts")
@@ -320,7 +372,7 @@ def stream_ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("hash").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
-QUERIES = {f.__name__: f for f in (stream_rings, stream_retries, stream_dead_letters, stream_relay, stream_ttl_cache)}
+QUERIES = {f.__name__: f for f in (stream_rings, stream_retries, stream_dead_letters, stream_relay, stream_sessions, stream_ttl_cache)}
 _ATTEMPTS_SQL = """WITH RECURSIVE kinds AS (SELECT event_id, user_id AS hook_id, epoch_us(ts) // 1000 AS ms, a, (event_id * 7 + a * 3) % 10 AS k FROM events, range(1, 4) AS t(a)),
  s AS (SELECT *, CASE WHEN k < 3 THEN 503 WHEN k = 3 THEN 429 WHEN k = 4 THEN 404 ELSE 200 END AS status FROM kinds),
  made AS (SELECT *, ms + 1000 * (CAST(pow(2, a - 1) AS BIGINT) - 1) AS at_ms, coalesce(bool_and(status > 404) OVER (PARTITION BY event_id, hook_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS asked FROM s),

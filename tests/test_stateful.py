@@ -103,6 +103,25 @@ def test_relay_equals_a_walk_over_all_events(spark, tmp_path):
     assert sorted(map(tuple, got.drop("batch").collect())) == relayed(given, 30, 7)
 
 
+def test_sessions_go_first_in_first_out(spark, tmp_path):
+    given = rows(300, seed=9, users=3)
+    shape = lambda s: s.select("user_id", (F.col("value") % 6).cast("long").alias("session"), F.floor(F.col("value") / 6).alias("doc"), "event_id", F.unix_micros("ts").alias("at_us"))
+    got = in_two_runs(spark, tmp_path, given, lambda s: stateful.session_stream(shape(s), 3, 2))
+    want, users = [], {}
+    for event, _, user, _, value in sorted(given, key=lambda g: (g[1], g[0])):
+        held = users.setdefault(user, {})
+        session, doc, evicted = int(value % 6), int(value // 6), None
+        if session not in held and len(held) == 3:
+            evicted = next(iter(held))
+            del held[evicted]
+        docs = held.setdefault(session, set())
+        refused = doc not in docs and len(docs) == 2
+        if not refused:
+            docs.add(doc)
+        want.append((event, len(held), len(docs), refused, evicted))
+    assert sorted(map(tuple, got.drop("batch").collect()), key=str) == sorted(want, key=str)
+
+
 def test_cache_entries_expire_and_hits_stay_right(spark, tmp_path):
     given = rows(400, users=40)
     build = lambda s: stateful.expiring_cache_stream(s.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("hash"), "ts"), 20, "2 seconds")
