@@ -181,8 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     both = of_chains.join(texts, of_chains["doc_id"].eqNullSafe(texts["_id"]) & (of_chains["text_hash"] == texts["_hash"])).withColumn("doc_words", tokens(of_view(F.col("doc_slots"))))
     pairs = F.zip_with(F.slice("item_words", F.col("first") + 1, F.col("size")), F.slice("doc_words", F.col("first") + F.col("diagonal") + 1, F.col("size")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     # Slots that face a slot of their kind; elsewhere words were changed, or the document is in one case.
-    slots = _facing(pairs)
-    checked = both.select("doc_id", "text_hash", "item", "item_id", "view", "band", "chain", "n_hit", "span", slots.alias("slots"))
+    checked = both.select("doc_id", "text_hash", "item", "item_id", "view", "band", "chain", "n_hit", "span", _facing(pairs).alias("slots"))
     checked = checked.groupBy("doc_id", "text_hash", "item", "item_id", "view", "band", "chain", "n_hit", "span").agg(F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     checked = checked.where(_one_to_one(F.col("slots")))
     same = F.forall("slots", lambda p: p["a"] == p["b"])
