@@ -105,7 +105,8 @@ def test_audit_chain_goes_over_batches_and_gathers_no_log(spark):
 
 def test_hmac(spark):
     got = {r["id"]: r["signature"] for r in logs.webhook_signatures(spark, SF).collect()}
-    assert got == {i: hmac.new(k.encode(), p.encode(), hashlib.sha256).hexdigest() for i, p, k in logs.SIGNED}
+    events = [(r["event_id"] + 1000, r["props"], f"key{r['user_id']}") for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
+    assert got == {i: hmac.new(k.encode(), p.encode(), hashlib.sha256).hexdigest() for i, p, k in [*logs.SIGNED, *events]}
 
 
 def test_label_values(spark):
@@ -148,7 +149,7 @@ def test_answers(spark):
     got = {r["id"]: r["json"] for r in answers.json_salvage(spark, SF).collect()}
     assert got[1] == '{"a": 2}' and got[2] == '{"a": {"b": 3}}' and got[3] is None and got[4] is None
     edits = answers.edit_repair(spark, SF).collect()
-    assert {(r["id"], r["original"], r["suggestion"], r["category"]) for r in edits} == {(0, "colour", "color", "spelling"), (1, "teh", "the", "other"), (2, "u", "you", "tone")}
+    assert {(r["id"], r["original"], r["suggestion"], r["category"]) for r in edits if r["id"] < 1000} == {(0, "colour", "color", "spelling"), (1, "teh", "the", "other"), (2, "u", "you", "tone")}
 
 
 def test_file_verdicts(spark):
