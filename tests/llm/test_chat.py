@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -47,3 +48,17 @@ def test_rows(spark):
     assert got[3]["loss_sha256"] == sha("") and got[4]["n_turns"] == 2 and got[5]["loss_chars"] == 100000
     assert got[None]["loss_sha256"] == sha("n")
     assert chat.format_conversations(df.where("false")).count() == 0
+
+
+def test_batches_are_handed_on_by_tokens():
+    turns = [[{"turn": 0, "role": "user", "text": "a b"}, {"turn": 1, "role": "assistant", "text": "c d e é " * (i % 3)}] for i in range(40)]
+    given = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 20), pa.int64()), pa.array(turns[k : k + 20])], ["conv_id", "turns"]) for k in (0, 20)]
+    model = chat.encoder(chat.vocabulary())
+    got = list(chat.formatted_batches(given, model, tokens=60))
+    most = max(len(x) for b in got for x in b.column("ids"))
+    assert len(got) > 5 and all(len(b.column("ids").flatten()) < 60 + most for b in got)
+    rows = [tuple(x.values()) for b in got for x in b.to_pylist()]
+    for (conv, n, formatted, ids, offsets, mask), own in zip(rows, turns, strict=True):
+        want = chat.format_conversation([(x["role"], x["text"]) for x in own], model)
+        assert n == 2 and (formatted, ids, [(o["start"], o["end"]) for o in offsets], mask) == want
+    assert [r[0] for r in rows] == list(range(40))
