@@ -140,13 +140,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     slots = slots.withColumn("runs", has_name_runs(F.col("slots")))
     windows = with_windows(slots, tokens(template_of(F.col("slots"))), "windows")
     windows = with_windows(windows, tokens(plain_of(F.col("slots"))), "plain")
-    each = windows.select("doc_id", "text_hash", "runs", F.posexplode_outer(F.arrays_zip("windows", "plain")).alias("pos", "x")).where("x IS NOT NULL")
+    windows = with_windows(windows, F.when(F.col("runs"), tokens(template_of(joined_names(F.col("slots"))))), "joined")
+    windows = windows.withColumn("joined", F.coalesce("joined", F.array().cast("array<long>")))
+    # One pass over the texts: a place's windows of all three kinds, nulls where there is none or the plain one is no other.
+    each = windows.select("doc_id", "text_hash", "runs", F.posexplode_outer(F.arrays_zip("windows", "plain", "joined")).alias("pos", "x")).where("x IS NOT NULL")
     # A text without names in a row is the same in both views (2).
-    each = each.select("doc_id", "text_hash", F.when(F.col("runs"), 0).otherwise(2).alias("of"), "pos", F.explode(F.array_distinct(F.array("x.windows", "x.plain"))).alias("h"))
-    joined = with_windows(slots.where("runs"), tokens(template_of(joined_names(F.col("slots")))), "windows")
-    joined = joined.select("doc_id", "text_hash", F.lit(1).alias("of"), F.posexplode_outer("windows").alias("pos", "h")).where("h IS NOT NULL")
+    own, plain = F.when(F.col("runs"), 0).otherwise(2), F.when(F.col("x.plain") != F.col("x.windows"), F.col("x.plain"))
+    kinds = [F.struct(of.alias("of"), h.alias("h")) for of, h in ((own, F.col("x.windows")), (own, plain), (F.lit(1), F.col("x.joined")))]
+    each = each.select("doc_id", "text_hash", "pos", F.explode_outer(F.array(*kinds)).alias("y")).select("doc_id", "text_hash", "pos", "y.of", "y.h").where("h IS NOT NULL")
     spans = F.broadcast(spans) if few else spans
-    hits = each.union(joined).join(spans, "h").where("of = 2 OR of = view").drop("of").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    hits = each.join(spans, "h").where("of = 2 OR of = view").drop("of").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     # Repeated rows of one id and text are one; their hits are the same.
     hits = persisted(hits.drop("h").distinct(), "window-hits")
 

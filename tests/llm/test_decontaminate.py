@@ -138,3 +138,17 @@ def test_no_column_name_clashes_and_long_texts(spark):
         df = df.withColumn(name, df["doc_id"])
     kept = decontaminate.remove_leaks(df, bench(spark, [item]))
     assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [1]
+
+
+def test_the_search_makes_each_texts_slots_once(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, name, *more):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return persisted(df, name, *more)
+
+    persisted = decontaminate.persisted
+    monkeypatch.setattr(decontaminate, "persisted", seen)
+    bench = spark.createDataFrame([(1, "Anna Berg of New York bought nine red apples for 3 kg of green paint on Monday")], "item_id long, text string")
+    decontaminate.leaks(docs(spark), bench).count()
+    assert plans["window-hits"].count("kilometres") == 1
