@@ -226,11 +226,18 @@ def fingerprint_links(distinct: DataFrame, bits: int = 4, block: int = 50_000) -
     return dealt.repartition(*by).sortWithinPartitions("key").mapInPandas(_bucket_links(bits), "a long, b long")
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
-    """One row per document: (doc_id, text_hash, fp, root, component_id); root names the component by a fingerprint of it."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, text_links: DataFrame | None = None) -> DataFrame:
+    """One row per document: (doc_id, text_hash, fp, root, component_id); root names the component by a fingerprint of it.
+
+    ``text_links`` (a, b) are further links, between text hashes.
+    """
     fps = persisted(fingerprints(docs, id_col, text_col), "fingerprints")
     firsts = persisted(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    groups = components(fingerprint_links(firsts, bits), "a", "b", "fingerprint-links")
+    links = fingerprint_links(firsts, bits)
+    if text_links is not None:
+        fp_of = fps.select("text_hash", "fp").distinct()
+        links = links.union(text_links.join(fp_of.toDF("a", "fp_a"), "a").join(fp_of.toDF("b", "fp_b"), "b").select("fp_a", "fp_b"))
+    groups = components(links, "a", "b", "fingerprint-links")
     member = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "first_id")
     roots = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     label = member.join(roots, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
@@ -247,12 +254,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``text_links`` (a, b) are further links, between text hashes.
     """
-    rows = persisted(grouped(docs, id_col, text_col, bits).select("doc_id", "text_hash", "root"), "fingerprint-groups")
-    if text_links is not None:
-        root = rows.select("text_hash", "root").distinct()
-        ends = text_links.join(root.toDF("a", "root_a"), "a").join(root.toDF("b", "root_b"), "b")
-        wider = components(ends.select("root_a", "root_b"), "root_a", "root_b", "text-links").withColumnRenamed("node", "root")
-        rows = persisted(rows.join(wider, "root", "left").select("doc_id", "text_hash", F.coalesce("component", "root").alias("root")), "wider-groups")
+    rows = persisted(grouped(docs, id_col, text_col, bits, text_links).select("doc_id", "text_hash", "root"), "fingerprint-groups")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     one_id, one_hash = unused(docs, "one_id", "one_hash")
     first = first.select(F.col("first.doc_id").alias(one_id), F.col("first.text_hash").alias(one_hash))

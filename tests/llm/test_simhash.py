@@ -84,3 +84,28 @@ def test_keep_first_and_empty_table(spark):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [0, 3, 4, 5, 7]
     assert simhash.near_duplicates(no_docs(spark)).count() == 0
     assert simhash.keep_first(no_docs(spark)).count() == 0
+
+
+def test_components_stop_as_soon_as_all_links_are_stars(spark, monkeypatch):
+    from paperloom.llm import common
+
+    written, persisted = [], common.persisted
+    monkeypatch.setattr(common, "persisted", lambda df, name, *a: written.append(name) or persisted(df, name, *a))
+    links = spark.createDataFrame([(2, 1), (2, 3), (3, 2), (5, 5), (9, 8)], "a long, b long")
+    found = sorted(tuple(r) for r in common.components(links, "a", "b").collect())
+    assert found == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+    assert len(written) == 2  # the links and one round
+
+
+def test_links_of_both_kinds_are_followed_at_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    called, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda *a: called.append(a[-1]) or components(*a))
+    a, b = prose(7, 400), prose(8, 400)
+    texts = [a, f"{a} ", prose(9, 400), b, f"{b} "]  # 0 and 1, 3 and 4 have equal fingerprints
+    df = docs(spark, texts)
+    hashed = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    links = spark.createDataFrame([(hashed[1], hashed[3])], "a long, b long")
+    assert sorted(r["doc_id"] for r in simhash.keep_first(df, text_links=links).collect()) == [0, 2]
+    assert len(called) == 1
