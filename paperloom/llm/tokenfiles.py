@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,16 +45,21 @@ from paperloom.llm.packing import _U4, _byte_letters
 
 END_ID = 0
 LIMIT, BLOCK, STEP = 16, 32768, 128
-#: Entries in a Python worker's cache of ids; a full one starts anew.
-CACHE = 500_000
+#: Entries in a Python worker's cache of ids; when it is full, the half not asked for lately goes.
+CACHE = 1_000_000
 #: Blocks decoded side by side.
 _TOGETHER = 8
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-@lru_cache(2)
 def encoder(vocab: str):
-    """text -> ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
+    """text -> ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's own."""
+    return _encoders(vocab)[0]
+
+
+@lru_cache(2)
+def _encoders(vocab: str):
+    """(encode, known): of whole texts, and of runs where these can be looked up, else none.
 
     The byte-level splitter never joins a word to the white space behind it, so runs between white space,
     with one space before them, are encoded once and remembered, and so are the words inside. Texts with
@@ -74,7 +80,7 @@ def encoder(vocab: str):
     said = json.loads(vocab)
     split = said.get("pre_tokenizer") or {}
     if said.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex") or not all(t["content"].startswith("<|") for t in said.get("added_tokens", [])):
-        return encode_whole
+        return encode_whole, None
     words_of, runs_of = regex.compile(_SPLIT).findall, re.compile(r" ?\S+|\s+(?!\S)|\s").findall
     odd = re.compile("[^\x00-\x1b\x20-ɏ]|<\\|").search
     letters = _byte_letters()
@@ -84,17 +90,23 @@ def encoder(vocab: str):
         return array(_U4, [t.id for t in tokenize(word.translate(spelled))]).tobytes()
 
     class Known(dict):
-        """Ids of runs and of words."""
+        """Ids of runs and of words: those asked for lately, and those before."""
+
+        before: dict[str, bytes] = {}
 
         def __missing__(self, run: str) -> bytes:
-            if run.lstrip(" ").isalpha():
+            ids = self.before.get(run)
+            if ids is not None:
+                pass
+            elif run.lstrip(" ").isalpha():
                 ids = word_ids(run)
             elif run[-1] in ".,!" and run[:-1].lstrip(" ").isalpha():
                 ids = self[run[:-1]] + marks[run[-1]]
             else:
                 words = words_of(run)
                 ids = b"".join([self[w] for w in words]) if len(words) > 1 else word_ids(run)
-            if len(self) >= CACHE:
+            if len(self) >= CACHE // 2:
+                self.before = dict(self)
                 self.clear()
             if len(run) <= 64:
                 self[run] = ids
@@ -105,7 +117,78 @@ def encoder(vocab: str):
     def encode(text: str) -> bytes:
         return encode_whole(text) if odd(text) else b"".join(map(known.__getitem__, runs_of(text)))
 
-    return encode
+    return encode, known
+
+
+#: 1 for ASCII letters, 2 for digits, 3 for other marks than the apostrophe, else 0.
+_KIND = np.array([0 if c > 126 or c < 33 or c == 39 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)
+
+
+def _run_starts(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the runs ``encoder`` looks up begin in texts that lie one after another, and the end of all; white space is ASCII.
+
+    They are also cut between letters, digits and marks, where the splitter always cuts (not so at an apostrophe).
+    """
+    space = buf == 32
+    white = space | ((buf >= 9) & (buf <= 13))
+    inner = np.ones(len(buf) + 1, bool)
+    inner[bounds] = False
+    starts = ~inner
+    to_white = white[1:] & ~white[:-1]
+    to_dark = white[:-1] & ~white[1:] & inner[1:-1]
+    starts[1:-1] |= to_white | (to_dark & ~space[:-1])
+    kind = _KIND[buf]
+    wide = np.flatnonzero(buf[:-1] == 0xC3)
+    wide = wide[(buf[wide + 1] != 0x97) & (buf[wide + 1] != 0xB7)]  # U+00C0 to U+00FF are letters but for two
+    kind[wide] = kind[wide + 1] = 1
+    starts[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    starts[:-2] |= to_dark  # the last white character is no part of those before it
+    return np.flatnonzero(starts)
+
+
+def _odd_texts(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Texts with white space outside ASCII, characters from U+0240 on or what may be a special token: places among ``bounds``."""
+    a, b = buf[:-1], buf[1:]
+    pairs = ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == ord("<")) & (b == ord("|")))
+    at = np.concatenate((np.flatnonzero((buf >= 0xC9) | ((buf >= 0x1C) & (buf <= 0x1F))), np.flatnonzero(pairs)))
+    return np.unique(np.searchsorted(bounds, at, side="right") - 1)
+
+
+def encode_texts(vocab: str, texts: pa.Array, together: int = 8_000_000) -> Iterator[bytes]:
+    """What ``encoder`` gives for each text (null: empty). Of some ``together`` bytes of texts each different run is looked up once."""
+    encode, known = _encoders(vocab)
+    if known is None:
+        yield from (encode(x or "") for x in texts.to_pylist())
+        return
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + together, side="right")) - 1)
+        some, bounds = texts.slice(lo, hi - lo), offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
+        if not bounds[-1]:
+            yield from [b""] * len(some)
+            continue
+        buf = np.frombuffer(some.buffers()[2], np.uint8)[offsets[hi - len(some)] : offsets[hi]]
+        odd = {i: encode(some[i].as_py()) for i in _odd_texts(buf, bounds).tolist()}
+        if odd:
+            some = pc.if_else(pa.array([i in odd for i in range(len(some))]), "", some)
+            bounds = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
+            if bounds[0] == bounds[-1]:
+                yield from (odd.get(i, b"") for i in range(len(some)))
+                continue
+            buf, bounds = np.frombuffer(some.buffers()[2], np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+        at = _run_starts(buf, bounds)
+        runs = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(buf)]).dictionary_encode()
+        found = [known[x] for x in runs.dictionary.to_numpy(zero_copy_only=False)]
+        flat, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        each = runs.indices.to_numpy()
+        n = sizes[each]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[each] - ends[:-1], n)].tobytes()
+        cuts = (4 * ends[np.searchsorted(at, bounds)]).tolist()
+        yield from (odd[i] if i in odd else ids[a:z] for i, (a, z) in enumerate(zip(cuts, cuts[1:])))
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -203,7 +286,7 @@ def raw_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("docs", docs_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocab.value), np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         id_type = None
         held, first, inside, total = bytearray(), 0, [], 0
@@ -221,8 +304,8 @@ def raw_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         for b in batches:
             id_type = b.column(0).type
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text or "") + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode_texts(vocab.value, b.column(1))):
+                ids += end
                 held += ids
                 inside.append((doc_id, total, len(ids) // 4))
                 total += len(ids) // 4

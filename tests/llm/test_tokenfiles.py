@@ -1,6 +1,7 @@
 import heapq
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -12,10 +13,15 @@ from paperloom.llm.chat import vocabulary
 from tests.llm import data
 
 
-def whole_ids(text):
+@lru_cache(1)
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_str(vocabulary()).encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_str(vocabulary())
+
+
+def whole_ids(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 @settings(max_examples=300, deadline=None)
@@ -24,6 +30,35 @@ def test_encoder_equals_the_tokenizer(text):
     assert np.frombuffer(tokenfiles.encoder(vocabulary())(text), "<u4").tolist() == whole_ids(text)[:-1]
 
 
+PIECES = [" ", "  ", "\n", "\t", "\x1f", "\xa0", "\x85", "a", "Word", "it's", "é", "日本", "ɀ", "9", "<|endoftext|>", "<", "|", ".", ",", "!", "...", "x'", "'s", "s", "×", "÷", "Ý", "«", "²", "&&&", "§", "-"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(PIECES), max_size=8).map("".join)), max_size=8), st.integers(1, 40), st.integers(0, 2))
+def test_texts_together_equal_the_tokenizer(texts, together, skip):
+    import pyarrow as pa
+
+    for kind in (pa.string(), pa.large_string()):
+        got = list(tokenfiles.encode_texts(vocabulary(), pa.array(texts, kind)[skip:], together))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole_ids(t)[:-1] for t in texts[skip:]]
+
+
+def test_a_run_is_looked_up_once_for_many_texts(monkeypatch):
+    import pyarrow as pa
+
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, run):
+            self.n += 1
+            return b"\x01\x00\x00\x00"
+
+    seen = Counted()
+    monkeypatch.setattr(tokenfiles, "_encoders", lambda _: (None, seen))
+    assert list(tokenfiles.encode_texts("", pa.array(["a b a b b", " b a", None]))) == [b"\x01\x00\x00\x00" * 5, b"\x01\x00\x00\x00" * 2, b""]
+    assert seen.n == 3  # "a" and " b", and " a"
+
+
 def huffman_total(counts):
     """The least total of bits without a limit."""
     heap, total = sorted(counts), 0
