@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import components, links_by_keys, persisted, unused
+from paperloom.llm.common import components_by_keys, persisted, unused
 
 #: A token that holds a digit, from its first character on.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
@@ -119,8 +119,8 @@ def copy_groups(sets: DataFrame, shared: float) -> DataFrame:
         both = common.join(more, "node").where((F.col("next") > F.col("last")) & (F.col("rest") >= shared * F.col("size") - F.col("got")))
         return both.select(F.xxhash64("key", "next.shape").alias("key"), "node", "size", (F.col("got") + F.col("tokens")).alias("got"), F.col("next").alias("last"))
 
-    links = links_by_keys(keys, verified, narrower, lambda k: k.where(F.col("got") >= shared * F.col("size")), name="line-copies")
-    return components(links, "a", "b", "line-copies").withColumnRenamed("component", "root")
+    found = components_by_keys(keys, verified, narrower, lambda k: k.where(F.col("got") >= shared * F.col("size")), name="line-copies")
+    return found.withColumnRenamed("component", "root")
 
 
 def recurring_shapes(lines: DataFrame, min_docs: int, min_tokens: int, similarity: float, shared: float, depth: int) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 
 import pytest
-from paperloom.llm import common
+from pyspark.sql import functions as F
+
+from paperloom.llm import common, linededup
 
 
 def smallest_reachable(links):
@@ -45,3 +47,18 @@ def test_steps_over_few_links_are_few_files(spark, monkeypatch):
             spark.conf.set(k, v)
     assert len(steps) > 2
     assert all(len(step.inputFiles()) <= spark.sparkContext.defaultParallelism for step in steps[1:])
+
+
+def test_links_of_line_copies_are_followed_once(spark, monkeypatch):
+    written, persisted = [], common.persisted
+    monkeypatch.setattr(common, "persisted", lambda df, name, *a: written.append(name) or persisted(df, name, *a))
+    line = lambda i: i * 256 + 8
+    # 150 documents share one line; 70 of them have all but one line in common, and as many others.
+    sets = [[line(0), *[line(1 + k) for k in range(4)], line(1000 + i)] for i in range(70)]
+    sets += [[line(0), *[line(11 + k) for k in range(4)], line(2000 + i)] for i in range(70)]
+    sets += [[line(0), *[line(5000 + 9 * i + k) for k in range(5)]] for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(sets)), "node long, set array<long>").select("node", F.sort_array("set").alias("set"))
+    found = dict(map(tuple, linededup.copy_groups(df, 0.5).collect()))
+    assert found == {i: i // 70 * 70 for i in range(140)}
+    # One write of links for each set of keys, and none for links that were followed before.
+    assert written.count("line-copies") == written.count("line-copies-pairs")
