@@ -1,24 +1,29 @@
 """Page detection in gray images: edge energy, quads and their scores, corner order, perspective warp, fill check.
 
-Points, quads and scores are column expressions. Pixels are arrays of a row (width, height, gray, row by row);
-numpy handles one array at a time, or one batch of equation systems. A row whose array does not have
-width x height pixels, or has none, gives null; so does a quad without four points.
+Pixels are arrays of a row (width, height, gray, row by row). numpy handles all quads of an Arrow batch at once, and
+all images of one size in blocks of ``BLOCK`` pixels, a larger image by itself. A row whose array does not have width x
+height pixels, or has none, gives null; so does a quad without four points.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.sources.tables import read
+from paperloom.sources.tables import read, spread
 
 #: Bounds of a plausible page: share of the frame's area, width by height, least edge by the frame's shorter side.
 AREA, ASPECT, LEAST_EDGE = (0.10, 0.999), (0.15, 6.5), 0.05
 #: The coverage that scores best, and the weights of coverage, symmetry and right angles.
 BEST_COVERAGE, WEIGHTS = 0.65, (0.4, 0.35, 0.25)
 INSET, ENERGY_CONFIDENCE, THUMBNAIL = 0.04, 0.6, 320
+#: Pixels of images of one size that numpy takes at once.
+BLOCK = 1 << 17
 POINT = "struct<x:double,y:double>"
 QUAD = f"array<{POINT}>"
 
@@ -27,80 +32,94 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
-# Quads as arrays of four points: top left, top right, bottom right, bottom left
+# Quads as arrays (n, 4, 2): top left, top right, bottom right, bottom left
 
 
-def ordered_corners(points: Column) -> Column:
-    """The four corners of four points or more: those of extreme sum and difference; if these are not four or not convex, four points around their centre."""
-    keyed = F.transform(points, lambda p, i: F.struct((p["x"] + p["y"]).alias("s"), (p["y"] - p["x"]).alias("d"), i.alias("i"), p.alias("p")))
+def ordered_corners(points: np.ndarray) -> np.ndarray:
+    """(n, 4, 2): the corners of n sets of k points (n, k, 2), k being four or more: those of extreme sum and difference; if four points give not four or not convex ones, the points around their centre."""
+    x, y = points[..., 0], points[..., 1]
+    rows = np.arange(len(points))[:, None]
+    least = [np.where(np.isnan(v), np.inf, v).argmin(1) for v in (x + y, y - x, -x - y, x - y)]
+    corners = points[rows, np.stack(least, 1)]
+    if points.shape[1] > 4:
+        return corners
+    alike = [(corners[:, i] == corners[:, j]).all(1) for i in range(4) for j in range(i)]
+    good = convex(corners) & ~np.any(alike, 0)
+    centre = [(v[:, 0] + v[:, 1] + v[:, 2] + v[:, 3])[:, None] / 4 for v in (x, y)]
+    around = points[rows, np.argsort(np.arctan2(y - centre[1] + 0.0, x - centre[0] + 0.0), 1, kind="stable")]
+    first = around.sum(2).argmin(1)
+    return np.where(good[:, None, None], corners, around[rows, (first[:, None] + np.arange(4)) % 4])
 
-    def extreme(key: str, sign: int) -> Column:
-        return F.array_min(F.transform(keyed, lambda k: F.struct((k[key] * sign).alias("v"), k["i"].alias("i"), k["p"].alias("p"))))["p"]
 
-    corners = F.array(extreme("s", 1), extreme("d", 1), extreme("s", -1), extreme("d", -1))
-    total = lambda c: F.aggregate(points, F.lit(0.0), lambda n, p: n + p[c])
-    centre = [total(c) / F.size(points) for c in "xy"]
-    around = F.transform(F.array_sort(F.transform(points, lambda p, i: F.struct(F.atan2(p["y"] - centre[1], p["x"] - centre[0]).alias("a"), i.alias("i"), p.alias("p")))), lambda k: k["p"])
-    first = F.array_min(F.transform(around, lambda p, i: F.struct((p["x"] + p["y"]).alias("s"), i.alias("i"))))["i"]
-    turned = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(around, (first + i) % 4))
-    good = (F.size(F.array_distinct(corners)) == 4) & convex(corners)
-    return F.when(F.size(points) == 4, F.when(good, corners).otherwise(turned)).when(F.size(points) > 4, corners)
+def _steps(quads: np.ndarray) -> np.ndarray:
+    """From each corner to the next one."""
+    return np.roll(quads, -1, 1) - quads
 
 
-def _steps(quad: Column, size: int = 4) -> Column:
-    """From each corner to the next one."""
-    return F.transform(quad, lambda p, i: F.struct((F.get(quad, (i + 1) % size)["x"] - p["x"]).alias("x"), (F.get(quad, (i + 1) % size)["y"] - p["y"]).alias("y")))
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
 
 
-def convex(quad: Column) -> Column:
+def convex(quads: np.ndarray) -> np.ndarray:
     """Whether all corners turn the same way; straight ones do not count."""
-    turns = F.transform(_steps(quad), lambda a, i: a["x"] * F.get(_steps(quad), (i + 1) % 4)["y"] - a["y"] * F.get(_steps(quad), (i + 1) % 4)["x"])
-    return F.forall(turns, lambda t: t > -1e-9) | F.forall(turns, lambda t: t < 1e-9)
+    steps = _steps(quads)
+    turns = _cross(steps, np.roll(steps, -1, 1))
+    return (turns > -1e-9).all(1) | (turns < 1e-9).all(1)
 
 
-def area(quad: Column) -> Column:
-    crossed = F.transform(quad, lambda p, i: p["x"] * F.get(quad, (i + 1) % 4)["y"] - F.get(quad, (i + 1) % 4)["x"] * p["y"])
-    return F.abs(F.aggregate(crossed, F.lit(0.0), lambda n, x: n + x)) / 2
+def area(quads: np.ndarray) -> np.ndarray:
+    return np.abs(_cross(quads, np.roll(quads, -1, 1)).sum(1)) / 2
 
 
-def edges(quad: Column) -> Column:
+def edges(quads: np.ndarray) -> np.ndarray:
     """Lengths of the top, right, bottom and left edge."""
-    return F.transform(_steps(quad), lambda s: F.sqrt(s["x"] * s["x"] + s["y"] * s["y"]))
-
-
-def _unit(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    steps = _steps(quads)
+    return np.sqrt(steps[..., 0] ** 2 + steps[..., 1] ** 2)
 
 
-def _ratio(a: Column, b: Column) -> Column:
-    return F.coalesce(F.least(a, b) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0))
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, nothing where b is zero."""
+    return np.divide(a, b, out=np.zeros(len(a)), where=b != 0)
 
 
-def plausible(quad: Column, width: Column, height: Column) -> Column:
+def plausible(quads: np.ndarray, width: np.ndarray, height: np.ndarray) -> np.ndarray:
     """Convex, of a fitting share of the frame, shape and least edge."""
-    e = edges(quad)
-    top, right, bottom, left = (F.get(e, i) for i in range(4))
-    share = area(quad) / F.nullif(width * height, F.lit(0.0))
-    shape = F.coalesce(F.greatest(top, bottom) / F.nullif(F.greatest(left, right), F.lit(0.0)), F.lit(0.0))
-    return F.coalesce(convex(quad) & share.between(*AREA) & shape.between(*ASPECT) & (F.array_min(e) >= F.least(width, height) * LEAST_EDGE), F.lit(False))
+    e = edges(quads)
+    share, shape = _over(area(quads), width * height), _over(np.maximum(e[:, 0], e[:, 2]), np.maximum(e[:, 3], e[:, 1]))
+    fits = lambda x, bounds: (x >= bounds[0]) & (x <= bounds[1])
+    return convex(quads) & fits(share, AREA) & fits(shape, ASPECT) & (e.min(1) >= np.minimum(width, height) * LEAST_EDGE)
 
 
-def quad_score(quad: Column, width: Column, height: Column) -> Column:
+def quad_scores(quads: np.ndarray, width: np.ndarray, height: np.ndarray) -> np.ndarray:
     """0 to 1: coverage near BEST_COVERAGE, opposite edges alike, corners near right angles; 0 if not plausible."""
-    e = edges(quad)
-    share = area(quad) / F.nullif(width * height, F.lit(0.0))
-    coverage = 1 - _unit(F.abs(_unit(share) - BEST_COVERAGE) / BEST_COVERAGE)
-    alike = (_ratio(F.get(e, 0), F.get(e, 2)) + _ratio(F.get(e, 3), F.get(e, 1))) / 2
-    steps = _steps(quad)
+    e, steps = edges(quads), _steps(quads)
+    share = np.clip(_over(area(quads), width * height), 0, 1)
+    coverage = 1 - np.clip(np.abs(share - BEST_COVERAGE) / BEST_COVERAGE, 0, 1)
+    alike = sum(_over(np.minimum(e[:, i], e[:, j]), np.maximum(e[:, i], e[:, j])) for i, j in ((0, 2), (3, 1))) / 2
+    back, before = np.roll(steps, 1, 1), np.roll(e, 1, 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cosine = -(back[..., 0] * steps[..., 0] + back[..., 1] * steps[..., 1]) / (before * e)
+    right = np.clip(1 - np.abs(np.arccos(np.clip(cosine, -1, 1)) - np.pi / 2) / (np.pi / 2), 0, 1)
+    score = np.clip(coverage * WEIGHTS[0] + alike * WEIGHTS[1] + np.nan_to_num(right).sum(1) / 4 * WEIGHTS[2], 0, 1)
+    return np.where(plausible(quads, width, height), score, 0.0)
+
+
+def _floats(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(float)
 
-    def right_angle(i: Column) -> Column:
-        back, ahead = F.get(steps, (i + 3) % 4), F.get(steps, i)
-        long = F.get(e, (i + 3) % 4) * F.get(e, i)
-        cosine = -(back["x"] * ahead["x"] + back["y"] * ahead["y"]) / F.nullif(long, F.lit(0.0))
-        return F.coalesce(_unit(1 - F.abs(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))) - np.pi / 2) / (np.pi / 2)), F.lit(0.0))
 
-    angles = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(3)), right_angle), F.lit(0.0), lambda n, x: n + x) / 4
-    return F.when(plausible(quad, width, height), _unit(coverage * WEIGHTS[0] + alike * WEIGHTS[1] + angles * WEIGHTS[2])).otherwise(0.0)
+def _quads(points: pa.ListArray) -> np.ndarray:
+    """The ordered corners of each list of points; NaN where there are fewer than four, or a null among them."""
+    sizes = pc.list_value_length(points).fill_null(0).to_numpy(zero_copy_only=False)
+    starts, given = np.cumsum(sizes) - sizes, points.flatten()
+    xy = np.stack([_floats(c) for c in given.flatten()], 1)
+    out = np.full((len(points), 4, 2), np.nan)
+    for k in np.unique(sizes[sizes >= 4]):
+        rows = np.flatnonzero(sizes == k)
+        out[rows] = ordered_corners(xy[starts[rows][:, None] + np.arange(k)])
+    missing = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in given.flatten()], 0)
+    out[np.repeat(np.arange(len(points)), sizes)[missing]] = np.nan
+    return out
 
 
 def inset_frame(width: Column, height: Column) -> Column:
@@ -110,12 +129,19 @@ def inset_frame(width: Column, height: Column) -> Column:
 
 def best_quads(candidates: DataFrame) -> DataFrame:
     """(image, corners, confidence, fallback) of each image's best candidate (image, width, height, rank, points); the first of equals; the inset frame if none is plausible."""
+    names = [f"{k}{i}" for i in range(4) for k in "xy"]
+
+    @F.arrow_udf(", ".join(f"{c} double" for c in ["score", *names]))
+    def run(width: pa.Array, height: pa.Array, points: pa.Array) -> pa.Array:
+        quads = _quads(points)
+        return pa.StructArray.from_arrays([pa.array(c) for c in (quad_scores(quads, _floats(width), _floats(height)), *quads.reshape(-1, 8).T)], ["score", *names])
+
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
-    named = candidates.select("image", w.alias("width"), h.alias("height"), "rank", ordered_corners(F.col("points")).alias("quad"))
-    scored = named.withColumn("score", F.coalesce(quad_score(F.col("quad"), F.col("width"), F.col("height")), F.lit(0.0)))
-    best = scored.groupBy("image").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.max(F.struct("score", (-F.col("rank")).alias("r"), "quad")).alias("x"))
+    scored = candidates.select("image", w.alias("width"), h.alias("height"), "rank", run(w, h, "points").alias("q"))
+    best = scored.groupBy("image").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.max(F.struct("q.score", (-F.col("rank")).alias("r"), *[f"q.{c}" for c in names])).alias("x"))
     found = F.col("x.score") > 0
-    inside = F.transform("x.quad", lambda p: point(F.least(F.greatest(p["x"], F.lit(0.0)), F.col("width")), F.least(F.greatest(p["y"], F.lit(0.0)), F.col("height"))))
+    within = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), F.col(most))
+    inside = F.array(*[point(within(F.col(f"x.x{i}"), "width"), within(F.col(f"x.y{i}"), "height")) for i in range(4)])
     return best.select("image", F.when(found, inside).otherwise(inset_frame(F.col("width"), F.col("height"))).alias("corners"), F.col("x.score").alias("confidence"), (~found).alias("fallback"))
 
 
@@ -123,57 +149,82 @@ def best_quads(candidates: DataFrame) -> DataFrame:
 
 
 def thumbnail(gray: np.ndarray, longest: int = THUMBNAIL) -> np.ndarray:
-    """Nearest pixels, so that the longer side has at most ``longest``."""
-    scale = longest / max(gray.shape)
+    """Nearest pixels of an image, or of many (n, height, width), so that the longer side has at most ``longest``."""
+    sides = gray.shape[-2:]
+    scale = longest / max(sides)
     if scale >= 1:
         return gray
-    rows, cols = (np.arange(max(1, int(n * scale + 0.5))) for n in gray.shape)
-    return gray[(rows * gray.shape[0] / len(rows)).astype(int)][:, (cols * gray.shape[1] / len(cols)).astype(int)]
+    rows, cols = ((np.arange(m) * n / m).astype(int) for n, m in ((n, max(1, int(n * scale + 0.5))) for n in sides))
+    return gray[..., rows[:, None], cols]
 
 
 def edge_energy(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sobel magnitudes summed by row and by column; none on the border."""
+    """Sobel magnitudes of an image, or of many (n, height, width), summed by row and by column; none on the border."""
     g = gray.astype(float)
-    across = g[:, 2:] - g[:, :-2]
-    down = g[2:] - g[:-2]
-    gx = across[:-2] + 2 * across[1:-1] + across[2:]
-    gy = down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:]
-    size = np.zeros(g.shape)
-    size[1:-1, 1:-1] = np.hypot(gx, gy)
-    return size.sum(1), size.sum(0)
+    across = g[..., 2:] - g[..., :-2]
+    down = g[..., 2:, :] - g[..., :-2, :]
+    gx = across[..., :-2, :] + 2 * across[..., 1:-1, :] + across[..., 2:, :]
+    gy = down[..., :-2] + 2 * down[..., 1:-1] + down[..., 2:]
+    size = np.sqrt(gx * gx + gy * gy)
+    border = [(0, 0)] * (g.ndim - 2) + [(1, 1)]
+    return np.pad(size.sum(-1), border), np.pad(size.sum(-2), border)
+
+
+def longest_bands(energy: np.ndarray, threshold: float = 0.15) -> np.ndarray:
+    """(n, 2): first and last index of the longest run of each row (n, length), the first of equals, at ``threshold`` of the peak or above; -1 where there is none."""
+    peak, places = energy.max(1), np.arange(energy.shape[1])
+    high = energy >= peak[:, None] * threshold
+    run = places - np.maximum.accumulate(np.where(high, -1, places), 1)
+    last = run.argmax(1)
+    out = np.stack([last - run[np.arange(len(run)), last] + 1, last], 1)
+    out[~(peak > 0)] = -1
+    return out
 
 
 def longest_band(energy: np.ndarray, threshold: float = 0.15) -> tuple[int, int] | None:
-    """First and last index of the longest run, the first of equals, at ``threshold`` of the peak or above."""
-    if not len(energy) or energy.max() <= 0:
+    """``longest_bands`` of one row, None where there is none."""
+    if not len(energy):
         return None
-    turns = np.flatnonzero(np.diff(np.concatenate([[0], energy >= energy.max() * threshold, [0]]).astype(int)))
-    starts, ends = turns[::2], turns[1::2]
-    i = int(np.argmax(ends - starts))
-    return int(starts[i]), int(ends[i]) - 1
-
-
-def _pixels(width, height, gray) -> np.ndarray | None:
-    if gray is None or width is None or height is None or width * height != len(gray) or not len(gray):
-        return None
-    return np.asarray(gray).reshape(int(height), int(width))
-
-
-def energy_bands(images: DataFrame, threshold: float = 0.15) -> DataFrame:
-    """Adds ``bands``: top, bottom, left and right of the band of edges as shares of the image, or null where there is none."""
-
-    @F.pandas_udf("array<double>")
-    def run(width: pd.Series, height: pd.Series, gray: pd.Series) -> pd.Series:
-        out = []
-        for w, h, g in zip(width, height, gray):
-            pixels, found = _pixels(w, h, g), None
-            if pixels is not None and min(pixels.shape) > 2:
-                small = thumbnail(pixels)
-                bands = [longest_band(x, threshold) for x in edge_energy(small)]
-                if None not in bands:
-                    found = [x for (a, b), n in zip(bands, small.shape) for x in (a / n, (b + 1) / n)]
-            out.append(found)
-        return pd.Series(out, dtype=object)
+    first, last = longest_bands(energy[None], threshold)[0].tolist()
+    return None if first < 0 else (first, last)
+
+
+def _blocks(width: pa.Array, height: pa.Array, gray: pa.ListArray, more: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, pixels (n, height, width)) of the images that have their pixels, those of one size together, at most BLOCK pixels or one image at once; images that differ in a row of ``more`` are not put together."""
+    w, h = (np.nan_to_num(_floats(c)).astype(int) for c in (width, height))
+    n = pc.list_value_length(gray).fill_null(0).to_numpy(zero_copy_only=False)
+    starts, values = np.cumsum(n) - n, gray.flatten().to_numpy(zero_copy_only=False)
+    keys = np.column_stack([w, h, *([] if more is None else [more])])
+    good = np.flatnonzero((w > 0) & (h > 0) & (w * h == n))
+    if len(good):
+        kinds, of = np.unique(keys[good], axis=0, return_inverse=True)
+        for k, (own_w, own_h, *_) in enumerate(kinds.tolist()):
+            rows, at_once = good[of.ravel() == k], max(1, BLOCK // (own_w * own_h))
+            for i in range(0, len(rows), at_once):
+                part = rows[i : i + at_once]
+                yield part, values[starts[part][:, None] + np.arange(own_w * own_h)].reshape(-1, own_h, own_w)
+
+
+def energy_bands(images: DataFrame, threshold: float = 0.15, fitting: bool = False) -> DataFrame:
+    """Adds ``bands``: top, bottom, left and right of the band of edges as shares of the image, or null where there is none (``fitting``: none that bounds a plausible page)."""
+
+    @F.arrow_udf("array<double>")
+    def run(width: pa.Array, height: pa.Array, gray: pa.Array) -> pa.Array:
+        out: list[list[float] | None] = [None] * len(gray)
+        for rows, pixels in _blocks(width, height, gray):
+            h, w = pixels.shape[1:]
+            if min(h, w) < 3:
+                continue
+            small = thumbnail(pixels)
+            found = np.concatenate([longest_bands(x, threshold) for x in edge_energy(small)], 1)
+            shares = (found + [0, 1, 0, 1]) / np.repeat(small.shape[1:], 2)
+            good = (found >= 0).all(1)
+            if fitting:
+                quads = shares[:, [[2, 0], [3, 0], [3, 1], [2, 1]]] * [w, h]
+                good &= plausible(quads, np.full(len(rows), float(w)), np.full(len(rows), float(h)))
+            for i, x in zip(rows[good].tolist(), shares[good].tolist()):
+                out[i] = x
+        return pa.array(out, pa.list_(pa.float64()))
 
     return images.withColumn("bands", run("width", "height", "gray"))
 
@@ -184,8 +235,8 @@ def detected_pages(images: DataFrame, threshold: float = 0.15) -> DataFrame:
     top, bottom = (F.get("bands", i) * h for i in (0, 1))
     left, right = (F.get("bands", i) * w for i in (2, 3))
     quad = F.array(point(left, top), point(right, top), point(right, bottom), point(left, bottom))
-    good = F.col("bands").isNotNull() & plausible(quad, w, h)
-    found = energy_bands(images, threshold)
+    good = F.col("bands").isNotNull()
+    found = energy_bands(images, threshold, True)
     return found.select(*images.columns, F.when(good, quad).otherwise(inset_frame(w, h)).alias("corners"), F.when(good, ENERGY_CONFIDENCE).otherwise(0.0).alias("confidence"), (~good).alias("fallback"))
 
 
@@ -221,40 +272,60 @@ def output_size(quads: np.ndarray, longest: float) -> np.ndarray:
 
 
 def sampled(gray: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bilinear samples at x and y, kept inside the image; rounded and cut to a byte."""
-    top, left = (np.clip(v, 0, n - 1) for v, n in ((y, gray.shape[0]), (x, gray.shape[1])))
-    i, j = np.floor(top).astype(int), np.floor(left).astype(int)
-    down, right = np.minimum(i + 1, gray.shape[0] - 1), np.minimum(j + 1, gray.shape[1] - 1)
-    g, dx, dy = gray.astype(float), left - j, top - i
-    upper = g[i, j] + (g[i, right] - g[i, j]) * dx
-    lower = g[down, j] + (g[down, right] - g[down, j]) * dx
+    """Bilinear samples of an image at x and y, or of n images (n, height, width) each at its own (n, places); kept inside the image, rounded and cut to a byte."""
+    h, w = gray.shape[-2:]
+    top, left = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
+    i, j = top.astype(int), left.astype(int)
+    down, right = np.minimum(i + 1, h - 1), np.minimum(j + 1, w - 1)
+    flat, dx, dy = gray.astype(float).ravel(), left - j, top - i
+    first = 0 if gray.ndim == 2 else np.arange(len(gray))[:, None] * (h * w)
+    i, down = first + i * w, first + down * w
+    upper = flat[i + j]
+    upper += (flat[i + right] - upper) * dx
+    lower = flat[down + j]
+    lower += (flat[down + right] - lower) * dx
     return np.clip(np.floor(upper + (lower - upper) * dy + 0.5), 0, 255).astype(int)
 
 
 def flattened(images: DataFrame, longest: int = 2400) -> DataFrame:
     """Adds ``flat`` (width, height, gray) of the quad ``corners``; null where the image or the quad has no pixels or no shape."""
 
-    @F.pandas_udf("width int, height int, gray array<int>")
-    def run(width: pd.Series, height: pd.Series, gray: pd.Series, corners: pd.Series) -> pd.DataFrame:
-        blank = np.full((4, 2), np.nan)
-        quads = np.array([[(p["x"], p["y"]) for p in c] if c is not None and len(c) == 4 else blank for c in corners], float).reshape(-1, 4, 2)
+    @F.arrow_udf("width int, height int, gray array<int>")
+    def run(width: pa.Array, height: pa.Array, gray: pa.Array, corners: pa.Array) -> pa.Array:
+        quads = _corners(corners)
         sizes = output_size(quads, longest)
         w, h = sizes[:, 0].astype(float), sizes[:, 1].astype(float)
         zero = np.zeros(len(w))
         maps = homographies(np.stack([np.stack([zero, zero], 1), np.stack([w, zero], 1), np.stack([w, h], 1), np.stack([zero, h], 1)], 1), quads)
-        rows = []
-        for own, size, sw, sh, g in zip(maps, sizes, width, height, gray):
-            pixels = _pixels(sw, sh, g)
-            if pixels is None or np.isnan(own).any():
-                rows.append((None, None, None))
-                continue
-            x, y = np.meshgrid(np.arange(size[0]), np.arange(size[1]))
-            at = mapped(own[None], np.stack([x.ravel(), y.ravel()], 1)[None].astype(float))[0]
-            rows.append((int(size[0]), int(size[1]), sampled(pixels, at[:, 0], at[:, 1])))
-        return pd.DataFrame(rows, columns=["width", "height", "gray"])
-
-    flat = run("width", "height", "gray", "corners")
-    return images.withColumn("flat", F.when(flat["gray"].isNotNull(), flat))
+        shaped = ~np.isnan(maps).any((1, 2))
+        done = np.zeros(len(w), bool)
+        n = np.where(shaped, sizes.prod(1), 0)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for rows, pixels in _blocks(width, height, gray, sizes * shaped[:, None]):
+            if shaped[rows[0]]:
+                x, y = np.meshgrid(np.arange(float(sizes[rows[0], 0])), np.arange(float(sizes[rows[0], 1])))
+                at = mapped(maps[rows], np.broadcast_to(np.stack([x.ravel(), y.ravel()], 1), (len(rows), x.size, 2)))
+                parts.append((rows, sampled(pixels, at[..., 0], at[..., 1]).astype(np.int32)))
+                done[rows] = True
+        n[~done] = 0
+        ends = np.cumsum(n)
+        out = np.zeros(ends[-1] if len(ends) else 0, np.int32)
+        for rows, samples in parts:
+            out[(ends - n)[rows][:, None] + np.arange(samples.shape[1])] = samples
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out))
+        return pa.StructArray.from_arrays([pa.array(sizes[:, 0].astype(np.int32)), pa.array(sizes[:, 1].astype(np.int32)), lists], ["width", "height", "gray"], mask=pa.array(~done))
+
+    return images.withColumn("flat", run("width", "height", "gray", "corners"))
+
+
+def _corners(corners: pa.ListArray) -> np.ndarray:
+    """(n, 4, 2); NaN where there are not four points."""
+    sizes = pc.list_value_length(corners).fill_null(0).to_numpy(zero_copy_only=False)
+    starts, four = np.cumsum(sizes) - sizes, np.flatnonzero(sizes == 4)
+    out = np.full((len(corners), 4, 2), np.nan)
+    xy = np.stack([_floats(c) for c in corners.flatten().flatten()], 1)
+    out[four] = xy[starts[four][:, None] + np.arange(4)]
+    return out
 
 
 def shows_fill(pixels: Column, fill: Column, tolerance: int = 24, share: float = 0.97) -> Column:
@@ -268,18 +339,23 @@ def shows_fill(pixels: Column, fill: Column, tolerance: int = 24, share: float =
 
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as an image of 60 x 48 pixels: a bright page on a dark ground, its place by the part's key and size."""
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (F.col("p_partkey") % 11).alias("a"), (F.col("p_size") % 13).alias("b"))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    p = spread(read(spark, sf_dir, "part")).select(F.col("p_partkey").alias("image"), (F.col("p_partkey") % 11).alias("a"), (F.col("p_size") % 13).alias("b"))
     w, h = 60, 48
-    left, top, right, bottom = F.col("a") + 2, F.col("b") + 2, w - 3 - F.col("b"), h - 3 - F.col("a")
 
-    def pixel(i: Column) -> Column:
-        x, y = i % w, F.floor(i / w)
-        inside = x.between(left, right) & y.between(top, bottom)
-        # Text on the page, so that its inside has edges.
-        return F.when(inside, 225 - (x * 7 + y * 13) % 5 * 25).otherwise(40)
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = np.arange(w), np.arange(h)[:, None]
+        text = (225 - (x * 7 + y * 13) % 5 * 25).astype(np.int32)  # text on the page, so that its inside has edges
+        for batch in batches:
+            for i in range(0, len(batch), 1000):
+                image, *places = batch.slice(i, 1000).columns
+                a, b = (c.to_numpy(zero_copy_only=False)[:, None, None] for c in places)
+                inside = (x >= a + 2) & (x <= w - 3 - b) & (y >= b + 2) & (y <= h - 3 - a)
+                n = len(image)
+                gray = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (w * h)), pa.array(np.where(inside, text, np.int32(40)).ravel()))
+                yield pa.RecordBatch.from_arrays([image, pa.array(np.full(n, w, np.int32)), pa.array(np.full(n, h, np.int32)), gray], ["image", "width", "height", "gray"])
 
-    gray = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(w * h - 1).cast("long")), lambda i: pixel(i).cast("int"))
-    return p.select("image", F.lit(w).alias("width"), F.lit(h).alias("height"), gray.alias("gray"))
+    return p.mapInArrow(draw, "image long, width int, height int, gray array<int>")
 
 
 def _sides(found: DataFrame) -> DataFrame:
@@ -295,7 +371,7 @@ def quad_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as frames of 70 x 70, their lines as four points each in an order of their own."""
     q, d, t, n = F.col("l_quantity").cast("int"), F.round(F.col("l_discount") * 100).cast("int"), F.round(F.col("l_tax") * 100).cast("int"), F.col("l_linenumber")
     points = F.array(point(d, t), point(q + 10, t + d % 3), point(q + 10 - d % 4, q + 12), point(t, q + d + 10))
-    turned = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(points, (i * F.when(n % 2 == 0, 3).otherwise(1) + n) % 4))
+    turned = F.array(*[F.get(points, (i * F.when(n % 2 == 0, 3).otherwise(1) + n) % 4) for i in range(4)])
     found = best_quads(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.lit(70).alias("width"), F.lit(70).alias("height"), n.alias("rank"), turned.alias("points")))
     c = F.col("corners")
     return found.select("image", *[F.round(c[i][k], 4).alias(f"{k}{i}") for i in range(4) for k in "xy"], F.round("confidence", 6).alias("confidence"), "fallback")
@@ -307,7 +383,20 @@ def flattened_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lean = F.col("image") % 5
     corners = F.array(point(lean + 3, F.lit(4)), point(F.lit(55) - lean, lean + 2), point(F.lit(57), F.lit(44) - lean), point(F.lit(2), F.lit(45)))
     flat = flattened(drawn.withColumn("corners", corners))
-    return flat.select("image", "flat.width", "flat.height", F.aggregate("flat.gray", F.lit(0).cast("long"), lambda n, g: n + g).alias("gray_sum"), F.get("flat.gray", F.col("flat.width") + 1).alias("inner_pixel"))
+    summary = F.arrow_udf(_summary, "width int, height int, gray_sum long, inner_pixel int")
+    return flat.select("image", summary("flat").alias("s")).select("image", "s.*")
+
+
+def _summary(flat: pa.Array) -> pa.Array:
+    """Size, sum of the pixels, and the one inside the upper left corner. Right behind ``flattened`` Spark runs it in the same Python task, so flat pixels go nowhere."""
+    width, height, gray = flat.flatten()
+    n = pc.list_value_length(gray).fill_null(0).to_numpy(zero_copy_only=False)
+    pixels, ends, at = gray.flatten().to_numpy(zero_copy_only=False), np.cumsum(n), width.fill_null(0).to_numpy(zero_copy_only=False) + 1
+    sums = np.concatenate([[0], np.cumsum(pixels, dtype=np.int64)])
+    inner = np.zeros(len(n), np.int32)
+    inner[at < n] = pixels[(ends - n + at)[at < n]]
+    none = gray.is_null().to_numpy(zero_copy_only=False)
+    return pa.StructArray.from_arrays([width, height, pa.array(np.diff(sums[ends], prepend=0), mask=none), pa.array(inner, mask=at >= n)], ["width", "height", "gray_sum", "inner_pixel"])
 
 
 def fill_shown(spark: SparkSession, sf_dir: str) -> DataFrame:

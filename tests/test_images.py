@@ -160,3 +160,19 @@ def test_fill_check(spark):
 def test_large_images_are_searched_as_thumbnails():
     g = np.arange(1000 * 400).reshape(400, 1000)
     assert images.thumbnail(g).shape == (128, 320) and images.thumbnail(g[:5, :5]).shape == (5, 5)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quads_are_scored_by_batches_and_not_by_expressions_within_expressions(spark):
+    made = plan(images.best_quads(spark.createDataFrame([], f"image int, width int, height int, rank int, points {images.QUAD}")))
+    assert made.count("lambdafunction") == 0 and made.count("ArrowEvalPython") == 1
+
+
+def test_a_null_or_missing_point_leaves_no_quad(spark):
+    square = [(10.0, 10.0), (90.0, 10.0), (90.0, 70.0), (10.0, 70.0)]
+    rows = [(0, 100, 80, 0, square), (1, 100, 80, 0, square[:3]), (2, 100, 80, 0, None), (3, 100, 80, 0, [*square, None]), (4, 100, 80, 0, [(None, 1.0), *square]), (5, 0, 0, 0, square), (6, None, 80, 0, square)]
+    got = images.best_quads(spark.createDataFrame(rows, f"image int, width int, height int, rank int, points {images.QUAD}")).collect()
+    assert {x["image"]: x["fallback"] for x in got} == {0: False, **{i: True for i in range(1, 7)}}
