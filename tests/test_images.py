@@ -176,3 +176,20 @@ def test_a_null_or_missing_point_leaves_no_quad(spark):
     rows = [(0, 100, 80, 0, square), (1, 100, 80, 0, square[:3]), (2, 100, 80, 0, None), (3, 100, 80, 0, [*square, None]), (4, 100, 80, 0, [(None, 1.0), *square]), (5, 0, 0, 0, square), (6, None, 80, 0, square)]
     got = images.best_quads(spark.createDataFrame(rows, f"image int, width int, height int, rank int, points {images.QUAD}")).collect()
     assert {x["image"]: x["fallback"] for x in got} == {0: False, **{i: True for i in range(1, 7)}}
+
+
+def test_energy_and_bands_of_many_images_are_those_of_each(monkeypatch, spark):
+    r = np.random.default_rng(6)
+    many = r.integers(0, 256, (5, 9, 13))
+    for axis, of_all in enumerate(images.edge_energy(many)):
+        assert np.allclose(of_all, [images.edge_energy(g)[axis] for g in many])
+        assert images.longest_bands(of_all, 0.6).tolist() == [list(images.longest_band(e, 0.6)) for e in of_all]
+    assert (images.thumbnail(many, 4) == [images.thumbnail(g, 4) for g in many]).all()
+    monkeypatch.setattr(images, "BLOCK", 150)
+    rr = random.Random(7)
+    drawn = [page(rr, *rr.choice([(80, 64), (90, 64), (78, 61)]))[0] for _ in range(12)]
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(drawn)], "image int, width int, height int, gray array<int>")
+    for x in images.energy_bands(df.coalesce(1)).collect():
+        w, h, gray = drawn[x["image"]]
+        (top, bottom), (left, right) = (images.longest_band(np.array(e)) for e in naive_energy(np.array(gray).reshape(h, w).tolist()))
+        assert x["bands"] == pytest.approx([top / h, (bottom + 1) / h, left / w, (right + 1) / w])
