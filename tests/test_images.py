@@ -193,3 +193,21 @@ def test_energy_and_bands_of_many_images_are_those_of_each(monkeypatch, spark):
         w, h, gray = drawn[x["image"]]
         (top, bottom), (left, right) = (images.longest_band(np.array(e)) for e in naive_energy(np.array(gray).reshape(h, w).tolist()))
         assert x["bands"] == pytest.approx([top / h, (bottom + 1) / h, left / w, (right + 1) / w])
+
+
+def test_flattened_pixels_are_summed_in_the_task_that_makes_them(spark):
+    made = plan(images.flattened_pages(spark, "/root/testdata/sf0.001"))
+    assert made.count("ArrowEvalPython") == 1 and "lambdafunction" not in made
+
+
+def test_flattening_many_images_is_flattening_each(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(30):
+        w, h = r.choice([(23, 17), (20, 31)])
+        lean = r.choice([0.0, 1.5, 3.0])
+        rows.append((i, w, h, [r.randrange(256) for _ in range(w * h)], [(1.0 + lean, 2.0), (w - 3.0, 1.0), (w - 2.0 - lean, h - 2.0), (1.0, h - 3.0)]))
+    df = spark.createDataFrame(rows, f"image int, width int, height int, gray array<int>, corners {images.QUAD}")
+    together = {x["image"]: x["flat"] for x in images.flattened(df.coalesce(1)).collect()}
+    apart = {x["image"]: x["flat"] for x in images.flattened(df.repartition(30, "image")).collect()}
+    assert together == apart and len({(f["width"], f["height"]) for f in together.values()}) > 2
