@@ -120,17 +120,21 @@ ATTEMPTS = "event_id long, hook_id long, attempt int, at_ms long, status int, su
 
 
 class _Retries(StatefulProcessor):
-    """First attempts as events come, later ones by timer, until one succeeds, cannot be retried or is the last."""
+    """First attempts as events come, later ones by timer, until one succeeds, cannot be retried or is the last.
+
+    A key is a share of the hooks. What waits is one list, with one timer for the earliest of it, so a batch costs a share a
+    few calls to the store, however many deliveries it has.
+    """
 
     def __init__(self, send: Callable[[int, int, int], int], tries: int, base_ms: int):
         self.send, self.tries, self.base_ms = send, tries, base_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.due = handle.getMapState("due", "at_ms long, event_id long", "attempt int")
+        self.due = handle.getListState("due", "at_ms long, event_id long, hook_id long, attempt int")
 
-    def _attempts(self, hook: int, event: int, attempt: int, at_ms: int, now_ms: int) -> Iterator[tuple]:
-        """This attempt and all later ones that the watermark has passed already; the next one waits for its timer."""
+    def _attempts(self, hook: int, event: int, attempt: int, at_ms: int, now_ms: int, waiting: list[tuple]) -> Iterator[tuple]:
+        """This attempt and all later ones that the watermark has passed already; the next one waits."""
         while True:
             status = self.send(hook, event, attempt)
             again = (status >= 500 or status == 429) and attempt < self.tries
@@ -139,8 +143,7 @@ class _Retries(StatefulProcessor):
                 return
             at_ms, attempt = at_ms + self.base_ms * 2 ** (attempt - 1), attempt + 1
             if at_ms >= now_ms:
-                self.due.updateValue((at_ms, event), (attempt,))
-                self.handle.registerTimer(at_ms)
+                waiting.append((at_ms, event, hook, attempt))
                 return
 
     @staticmethod
@@ -148,30 +151,41 @@ class _Retries(StatefulProcessor):
         return pd.DataFrame(rows, columns=[c.split()[0] for c in ATTEMPTS.split(", ")])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, waiting = timerValues.getCurrentWatermarkInMs(), []
         for frame in rows:
-            now = timerValues.getCurrentWatermarkInMs()
-            yield self._frame([a for e, t in zip(frame["event_id"], frame["at_ms"]) for a in self._attempts(int(key[0]), int(e), 1, int(t), now)])
+            given = zip(frame["hook_id"].tolist(), frame["event_id"].tolist(), frame["at_ms"].tolist())
+            yield self._frame([a for h, e, t in given for a in self._attempts(h, e, 1, t, now, waiting)])
+        if waiting:
+            self.due.appendList(waiting)
+            self.handle.registerTimer(min(w[0] for w in waiting))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at_ms, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        ready = [(k, v[0]) for k, v in list(self.due.iterator()) if k[0] == at_ms]
-        for k, _ in ready:
-            self.due.removeKey(k)
-        yield self._frame([a for (_, event), attempt in ready for a in self._attempts(int(key[0]), int(event), attempt, at_ms, now)])
+        now, waiting, ready = timerValues.getCurrentWatermarkInMs(), [], []
+        for at_ms, event, hook, attempt in self.due.get():
+            (ready if at_ms < now else waiting).append((at_ms, event, hook, attempt))
+        made = [a for at_ms, event, hook, attempt in sorted(ready) for a in self._attempts(hook, event, attempt, at_ms, now, waiting)]
+        if made:  # else an earlier timer of this batch did it all
+            if waiting:
+                self.due.put(waiting)
+                self.handle.registerTimer(min(w[0] for w in waiting))
+            else:
+                self.due.clear()
+        yield self._frame(made)
 
     def close(self) -> None:
         pass
 
 
-def retry_stream(deliveries: DataFrame, send: Callable[[int, int, int], int], tries: int = 3, base_ms: int = 1000, watermark: str = "0 seconds") -> DataFrame:
+def retry_stream(deliveries: DataFrame, send: Callable[[int, int, int], int], tries: int = 3, base_ms: int = 1000, watermark: str = "0 seconds", shares: int = 1024) -> DataFrame:
     """ATTEMPTS of deliveries (event_id, hook_id, ts), in append mode.
 
     ``send(hook_id, event_id, attempt)`` returns an HTTP status; 5xx and 429 are tried again after base, 2 x base,
     and so on, up to ``tries`` attempts in all. A retry is made when the watermark has passed its time. What is
-    waiting stands in the state, one entry a delivery, and goes with its last attempt.
+    waiting stands in the state, one entry a delivery, and goes with its last attempt. Deliveries are dealt by event into
+    ``shares``, so that a hot hook is many tasks' work; a stream goes on with the number that it began with.
     """
-    timed = deliveries.withColumn("at_ms", F.unix_millis("ts")).withWatermark("ts", watermark)
-    return timed.groupBy("hook_id").transformWithStateInPandas(_Retries(send, tries, base_ms), ATTEMPTS, "append", "EventTime")
+    timed = deliveries.withColumn("at_ms", F.unix_millis("ts")).withColumn("share", F.pmod(F.xxhash64("event_id"), F.lit(shares))).withWatermark("ts", watermark)
+    return timed.groupBy("share").transformWithStateInPandas(_Retries(send, tries, base_ms), ATTEMPTS, "append", "EventTime")
 
 
 def dead_letter_rows(attempts: DataFrame) -> DataFrame:

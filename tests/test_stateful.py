@@ -82,6 +82,14 @@ def test_retries_fire_by_timer_and_survive_a_restart(spark, tmp_path):
     assert letters == {(w[0], w[2]) for w in want if w[6] and not w[5]}
 
 
+def test_one_list_and_timer_serve_a_share_of_all_hooks(spark, tmp_path):
+    given = rows(200, 3, users=50)
+    send = lambda hook, event, attempt: 503 if (hook + event + attempt) % 3 else 200
+    got = in_two_runs(spark, tmp_path, given, lambda s: stateful.retry_stream(s.select("event_id", F.col("user_id").alias("hook_id"), "ts"), send, shares=2))
+    until = max(int(g[1].replace(tzinfo=dt.timezone.utc).timestamp() * 1000) for g in given)
+    assert sorted(map(tuple, got.drop("batch").collect())) == retried(given, send, until)
+
+
 def relayed(given, keep, replay):
     here, log, out = set(), [], []
     for event, _, user, kind, _ in sorted(given, key=lambda g: (g[1], g[0])):
