@@ -168,3 +168,7 @@ def test_no_module_outside_llm_imports_it():
     for f in root.rglob("*.py"):
         if "llm" not in f.parts:
             assert "paperloom.llm" not in f.read_text(), f
+
+
+def test_an_index_holds_texts_only_where_they_are_cited(spark):
+    assert "text" not in retrieval._index(spark, SF).columns and "text" in retrieval._index(spark, SF, True).columns
