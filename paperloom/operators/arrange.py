@@ -17,6 +17,8 @@ from paperloom.sources.tables import read
 
 #: How near an object and the page draw others.
 OBJECT_REACH, GUIDE_REACH = 0.012, 0.014
+#: Reaches that a cell of anchors is wide.
+CELL = 8
 GUIDES = (0.25, 0.5, 0.75)
 _AXES = {"x": ("left", "right"), "y": ("top", "bottom")}
 #: Distances are compared to this many decimals, so that equal ones tie in any arithmetic.
@@ -57,13 +59,18 @@ def page_aligned(objects: DataFrame, edge: str) -> DataFrame:
     return _moved(objects, axis, shift)
 
 
+def _dealt(anchors: DataFrame, reach: float) -> DataFrame:
+    """Adds cell and own: each anchor in its own cell, and in the next one too where that begins within ``reach``."""
+    home, before, after = (F.floor((F.col("at") + d) / (reach * CELL)) for d in (0, -reach, reach))
+    rows = anchors.select("page", "id", "at", F.explode(F.array_distinct(F.array(home, before, after))).alias("cell"))
+    return rows.withColumn("own", F.col("cell") == home)
+
+
 def nearest_anchors(objects: DataFrame, axis: str, reach: float = OBJECT_REACH) -> DataFrame:
     """(page, id, guide, shift): the nearest anchor of another object of the page, closer than ``reach``; of equally near ones the smaller guide, then the smaller own anchor."""
     low, high = (F.col(c) for c in _AXES[axis])
     anchors = objects.select("page", "id", F.explode(F.array(low, (low + high) / 2, high)).alias("at"))
-    home = F.floor(F.col("at") / reach)
-    dealt = anchors.select("page", "id", "at", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("off"), home.alias("home"))
-    dealt = dealt.select("page", "id", "at", (F.col("home") + F.col("off")).alias("cell"), (F.col("off") == 0).alias("own"))
+    dealt = _dealt(anchors, reach)
     for side, way in (("below", F.asc), ("above", F.desc)):
         order = Window.partitionBy("page", "cell").orderBy(way("at"), way("id"))
         others = [F.when(F.lag("id", k).over(order) != F.col("id"), F.lag("at", k).over(order)) for k in (1, 2, 3)]

@@ -106,3 +106,9 @@ def test_toggle_and_circles(spark):
     assert {x["closed"] for x in outlines.all_set(df, True).collect()} == {True}
     with pytest.raises(ValueError, match="circle"):
         outlines.flattened(spark.createDataFrame([(1, 0, 1, False), (1, 1, 0, False)], df.schema))
+
+
+def test_few_anchors_are_dealt_to_two_cells(spark):
+    anchors = spark.range(4000).selectExpr("1L AS page", "id", "id / 4000 AS at")
+    dealt = arrange._dealt(anchors, 0.012)
+    assert dealt.where("own").count() == 4000 and dealt.count() < 5200
